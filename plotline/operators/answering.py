@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plotline.functions import json_recovery as J
 from plotline.functions import text as X
@@ -91,7 +92,7 @@ def prediction_rows(answers: DataFrame, run_name: str) -> DataFrame:
 
 def ask(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.Series], column: str = "raw_text") -> DataFrame:
     """Call a model on Arrow batches of prompt rows; ``model`` maps a batch to one text per row."""
-    fields = prompts.schema.add(column, "string")
+    fields = T.StructType([*prompts.schema.fields, T.StructField(column, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

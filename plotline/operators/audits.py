@@ -109,6 +109,10 @@ def leak_report(flagged: DataFrame, checks: Sequence[str], row_id: str = "id", s
     return counts.join(ids, "check", "left").withColumn("samples", F.coalesce("samples", F.lit("")))
 
 
+def _line_matches(regex: str):
+    return lambda line: line["t"].rlike(regex)
+
+
 def sensitive_findings(text: Column, patterns=RISK_PATTERNS, marker: str = "Pattern(", excerpt: int = 180) -> Column:
     """First matching line per pattern: array of (pattern, label, line number, excerpt). No row leaves its partition."""
     numbered = F.transform(X.lines(text), lambda ln, i: F.struct((i + 1).alias("line"), ln.alias("t")))
@@ -116,7 +120,7 @@ def sensitive_findings(text: Column, patterns=RISK_PATTERNS, marker: str = "Patt
     found = []
     for place, (label, pattern, ignore_case) in enumerate(patterns):
         regex = ("(?i)" if ignore_case else "") + pattern
-        first = F.try_element_at(F.filter(scanned, lambda s, r=regex: s["t"].rlike(r)), F.lit(1))
+        first = F.try_element_at(F.filter(scanned, _line_matches(regex)), F.lit(1))
         # A text that matches nowhere is the usual case and costs one search, without cutting it into lines.
         found.append(F.when(text.rlike(regex) & first.isNotNull(), F.struct(
             F.lit(place).alias("pattern"), F.lit(label).alias("label"), first["line"].alias("line"),

@@ -140,7 +140,7 @@ def _tfidf_sql(source: str, key: str, left: str, right: str, out: str) -> str:
     WITH pairs AS (SELECT id, prior[-1].text AS l, text AS r FROM v_items)
     SELECT id, round(similarity, 6) AS similarity FROM ({_tfidf_sql('pairs', 'id', 'l', 'r', 'similarity')})""", "v_items"))
 def tfidf_pairs(spark, sf_dir):
-    pairs = A.examples(spark, sf_dir).select("id", F.element_at("prior", -1)["text"].alias("l"), F.col("target_sentence").alias("r"))
+    pairs = A.examples(spark, sf_dir).select("id", F.try_element_at("prior", F.lit(-1))["text"].alias("l"), F.col("target_sentence").alias("r"))
     return V.tfidf_cosine(pairs, ["id"], "l", "r").withColumn("similarity", F.round("similarity", 6))
 
 

@@ -69,14 +69,14 @@ def blocks(spark: SparkSession, sf_dir: str, longest: int | None = None, width:
 
 
 def _last_word(text: Column) -> Column:
-    return F.element_at(F.split(text, " "), -1)
+    return F.try_element_at(F.split(text, " "), F.lit(-1))
 
 
 def decisions(spark: SparkSession, sf_dir: str, longest: int | None = None) -> DataFrame:
     """Blocks with one raw model decision each."""
     c, s, n = F.col("conv_id"), F.col("block_start"), F.size("clips")
-    first = F.col("clips")[0]
-    second = F.element_at("clips", F.least(F.lit(2), n))
+    first = F.try_element_at("clips", F.lit(1))
+    second = F.try_element_at("clips", F.least(F.lit(2), n))
     third = F.coalesce(F.try_element_at("clips", F.lit(3))["clip_id"], F.lit("none"))
 
     def span(clip: Column, text: Column, kind: Column) -> Column:
@@ -131,7 +131,7 @@ def examples(spark: SparkSession, sf_dir: str, longest: int | None = None) -> Da
         Q.last_k(F.col("prior"), (1 + F.pmod(c + p, F.lit(3))).cast("int")).alias("context"),
         F.pmod(c + p, F.lit(4)).cast("int").alias("answer_idx"),
         F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat(F.lit("They say: "), F.col("text"))).alias("answer_text"),
-        F.array(F.element_at("prior", -1)["text"], F.coalesce("next_text", F.lit("Nothing more is said.")),
+        F.array(F.try_element_at("prior", F.lit(-1))["text"], F.coalesce("next_text", F.lit("Nothing more is said.")),
                 F.lit("The scene ends without a word.")).alias("_wrong"),
         F.when(F.pmod(c + p, F.lit(3)) == 0, F.array(*[F.lit("entity_swapped")] * 3)).otherwise(
             F.array(F.lit("already_happened"), F.lit("plausible_unsupported"), F.lit("unrelated"))).alias("_kinds"),
@@ -156,7 +156,7 @@ def examples(spark: SparkSession, sf_dir: str, longest: int | None = None) -> Da
     def inserted(values: Column, own: Column) -> Column:
         return F.concat(F.slice(values, F.lit(1), a), F.array(own), F.slice(values, a + 1, 3 - a))
 
-    last = F.element_at("context", -1)
+    last = F.try_element_at("context", F.lit(-1))
     own_evidence = F.struct(last["clip_id"].alias("clip_id"), _last_word(last["text"]).alias("span"), F.col("_evidence_raw").alias("evidence_type"))
     blank = F.struct(F.lit("").alias("clip_id"), F.lit("x").alias("span"), F.lit("other").alias("evidence_type"))
     return (
