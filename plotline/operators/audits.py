@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from plotline.functions import text as X
 from plotline.operators.sequence import last_k
 
-#: label, Java pattern, ignore case
+# Word edges with every Unicode letter and digit counted as part of a word.
+_B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+#: label, pattern, ignore case
 RISK_PATTERNS: tuple[tuple[str, str, bool], ...] = (
     ("private path", r"(/Users/|/home/[A-Za-z0-9_.-]+)", True),
-    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", False),
-    ("institution/lab string", r"\b(tufts|stanford|mit|berkeley|cmu|cornell)\b", True),
-    ("api key wording", r"\b(api[_-]?key|secret[_-]?key|access[_-]?token|hf_token|openai_api_key)\b", True),
-    ("personal github/hf name", r"\bgithub\.com/(?!huggingface\b)[A-Za-z0-9_.-]+", True),
-    ("personal github/hf name", r"\bhuggingface\.co/(?!api/)[A-Za-z0-9_.-]+", True),
+    ("email", _B + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + _E, False),
+    ("institution/lab string", _B + r"(tufts|stanford|mit|berkeley|cmu|cornell)" + _E, True),
+    ("api key wording", _B + r"(api[_-]?key|secret[_-]?key|access[_-]?token|hf_token|openai_api_key)" + _E, True),
+    ("personal github/hf name", _B + r"github\.com/(?!huggingface" + _E + r")[A-Za-z0-9_.-]+", True),
+    ("personal github/hf name", _B + r"huggingface\.co/(?!api/)[A-Za-z0-9_.-]+", True),
 )
 
 

@@ -1,12 +1,14 @@
 """Row constraints of the benchmark schemas, on rows read as JSON text.
 
 Rows are parsed to VARIANT, since a typed DataFrame cannot tell a missing key from a null or a wrong type. A schema is a
-list of rule stages; a row's errors are those of the first stage that has any.
+list of rule stages, and a row's errors are those of the first stage that has any. Some rules are reported along with
+whichever of the first two stages that is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,13 @@ from plotline.functions import domains as D
 #: (condition under which the rule is broken, one message or an array<string> of messages)
 Rule = tuple[Column, str | Column]
 
+
+@dataclass
+class Schema:
+    stages: list[list[Rule]]
+    along: list[Rule] = field(default_factory=list)
+
+
 CORE_KEYS = (
     "id", "movie", "target_clip_id", "target_sentence", "context_clip_ids", "context_sentences", "question_type",
     "question", "options", "predictability", "expectedness", "target_type", "evidence_clip_ids",
@@ -143,27 +152,18 @@ def _answer(row: Row) -> list[Rule]:
     ]
 
 
-def public_stages(row: Row) -> list[list[Rule]]:
-    key = (row.has("answer_idx") | row.has("answer_text"), "public example must not contain answer key")
-    extra = [key] + _split(row, "public")
-    first, second = core_stages(row)
-    # Missing keys end the core checks, but never these.
-    gone = F.size(_collect(first)) > 0
-    return [first + [(gone & c, m) for c, m in extra], second + extra]
+def public_schema(row: Row) -> Schema:
+    key = row.has("answer_idx") | row.has("answer_text")
+    return Schema(core_stages(row), [(key, "public example must not contain answer key")] + _split(row, "public"))
 
 
-def private_stages(row: Row) -> list[list[Rule]]:
-    first, second = core_stages(row)
-    answers = _missing(row, ("answer_idx", "answer_text", "answer_source"))
-    gone = F.size(_collect(first)) > 0
+def private_schema(row: Row) -> Schema:
     source = row.kind("answer_source") == "OBJECT"
 
     def same(key: str) -> Column:
         return row.text(f"answer_source.{key}").eqNullSafe(row.text(key))
 
-    return [
-        first + [(gone & c, m) for c, m in answers],
-        second + answers,
+    answers = (
         _answer(row)
         + [
             (~source, "answer_source must be an object"),
@@ -172,8 +172,9 @@ def private_stages(row: Row) -> list[list[Rule]]:
             (source & ~same("target_clip_id"), "answer_source.target_clip_id must match target_clip_id"),
             (source & ~same("target_sentence"), "answer_source.target_sentence must match target_sentence"),
         ]
-        + _split(row, "private"),
-    ]
+        + _split(row, "private")
+    )
+    return Schema(core_stages(row) + [answers], _missing(row, ("answer_idx", "answer_text", "answer_source")))
 
 
 def _item_rules(row: Row, path: str, noun: str, keys: Sequence[str]) -> list[Rule]:
@@ -209,29 +210,26 @@ def release_public_stages(row: Row, hidden: Sequence[str] = HIDDEN_KEYS) -> list
     ]
 
 
-def release_answer_stages(row: Row) -> list[list[Rule]]:
-    public = release_public_stages(row, ("target_sentence", "target_clip_id"))
-    answers = _missing(row, ("answer_idx", "answer_text"))
-    gone = F.size(_collect(public[0])) > 0
-    return [
-        public[0] + [(gone & c, m) for c, m in answers],
-        public[1] + answers,
+def release_public_schema(row: Row) -> Schema:
+    return Schema(release_public_stages(row))
+
+
+def release_answer_schema(row: Row) -> Schema:
+    answers = (
         _answer(row)
         + [
             (row.has("hidden_target_ad") & ~row.is_text("hidden_target_ad"),
              "hidden_target_ad must be non-empty string when present"),
             (row.has("evidence") & ~row.is_array("evidence"), "evidence must be a list"),
         ]
-        + _item_rules(row, "evidence", "evidence", ("clip_id", "span")),
-    ]
+        + _item_rules(row, "evidence", "evidence", ("clip_id", "span"))
+    )
+    public = release_public_stages(row, ("target_sentence", "target_clip_id"))
+    return Schema(public + [answers], _missing(row, ("answer_idx", "answer_text")))
 
 
-def internal_stages(row: Row) -> list[list[Rule]]:
-    first, second = core_stages(row)
-    answers = _missing(row, ("answer_idx", "answer_text"))
-    gone = F.size(_collect(first)) > 0
+def internal_schema(row: Row) -> Schema:
     meta = _missing(row, ("selection_metadata", "validation_metadata"))
-    no_meta = F.size(_collect(meta)) > 0
     index = F.try_variant_get(row.v, "$.answer_idx", "int")
     labels = F.transform(row.items("distractor_metadata"), lambda d: F.try_variant_get(d, "$", "string"))
     four = row.size("distractor_metadata") == 4
@@ -282,45 +280,41 @@ def internal_stages(row: Row) -> list[list[Rule]]:
         ]
         + [(row.kind("quality.should_keep") != "BOOLEAN", "quality.should_keep must be boolean")]
     )
-    return [
-        first + [(gone & c, m) for c, m in answers],
-        second + answers,
-        # A wrong answer is reported together with missing metadata, or with the rest.
-        [(no_meta & c, m) for c, m in _answer(row)] + meta,
-        _answer(row) + rules,
-    ]
+    # A wrong answer or missing metadata ends the checks.
+    return Schema(core_stages(row) + [_answer(row) + meta, rules], _missing(row, ("answer_idx", "answer_text")))
 
 
-STAGES: dict[str, Callable[[Row], list[list[Rule]]]] = {
-    "public": release_public_stages,
-    "with_answers": release_answer_stages,
-    "private": private_stages,
-    "legacy_public": public_stages,
-    "legacy_private": private_stages,
-    "internal": internal_stages,
+SCHEMAS: dict[str, Callable[[Row], Schema]] = {
+    "public": release_public_schema,
+    "with_answers": release_answer_schema,
+    "private": private_schema,
+    "legacy_public": public_schema,
+    "legacy_private": private_schema,
+    "internal": internal_schema,
 }
 
 
 def _collect(rules: Sequence[Rule]) -> Column:
     """Messages of the rules that are broken, in rule order."""
     empty = F.array().cast("array<string>")
+    if not rules:
+        return empty
     parts = [F.when(broken, F.array(F.lit(m)) if isinstance(m, str) else m) for broken, m in rules]
     return F.flatten(F.array(*[F.coalesce(p, empty) for p in parts]))
 
 
-def constraint_errors(row: Column, schema: str) -> Column:
-    """Error messages of a row (VARIANT) under a schema; an empty array for a valid row."""
-    out = None
-    for stage in reversed(STAGES[schema](Row(row))):
-        errors = _collect(stage)
-        out = errors if out is None else F.when(F.size(errors) > 0, errors).otherwise(out)
-    return out
-
-
 def check(rows: DataFrame, schema: str, text: str = "json") -> DataFrame:
-    """Add ``errors`` to rows of JSON text; each text is parsed once."""
+    """Add ``errors`` to rows of JSON text; empty for a valid row. A text is parsed once, a stage evaluated once."""
     parsed = rows.withColumn("_v", F.try_parse_json(text))
-    return parsed.withColumn("errors", constraint_errors(F.col("_v"), schema)).drop("_v")
+    rules = SCHEMAS[schema](Row(F.col("_v")))
+    names = [f"_s{i}" for i in range(len(rules.stages))]
+    staged = parsed.withColumns(
+        {"_along": _collect(rules.along)} | {n: _collect(stage) for n, stage in zip(names, rules.stages)})
+    errors = F.when(F.size(names[0]) > 0, F.concat(names[0], "_along")).when(
+        F.size(names[1]) + F.size("_along") > 0, F.concat(names[1], "_along"))
+    for later in names[2:]:
+        errors = errors.when(F.size(later) > 0, F.col(later))
+    return staged.withColumn("errors", errors.otherwise(F.array().cast("array<string>"))).drop("_v", "_along", *names)
 
 
 def inferred_schema(variant: Column) -> Column:
@@ -344,7 +338,8 @@ def schema_mix(rows: DataFrame, text: str = "json") -> DataFrame:
 
 def error_report(checked: DataFrame, row: str = "row", errors: str = "errors", first: int = 20) -> DataFrame:
     """The first messages in row order, each with the total number of messages."""
-    listed = checked.select(row, F.posexplode(errors).alias("place", "message"))
+    # An outer explode keeps the optimizer from testing the whole check a second time before it.
+    listed = checked.select(row, F.posexplode_outer(errors).alias("place", "message")).filter("message IS NOT NULL")
     total = checked.agg(F.coalesce(F.sum(F.size(errors)), F.lit(0))).scalar()
     return listed.orderBy(row, "place").limit(first).select(
         F.format_string("row %d: %s", F.col(row), F.col("message")).alias("message"), total.alias("total"))

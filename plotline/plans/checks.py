@@ -20,7 +20,7 @@ _SUM = F.col("conv_id") + F.col("pos")
 def internal_json(spark, sf_dir):
     """Items as JSON text with faults: missing keys (user turns drop nulls), blank names, short lists, foreign keys."""
     rows = A.examples(spark, sf_dir)
-    cut = F.slice("context_sentences", F.lit(1), F.size("context_sentences") - 1)
+    cut = F.slice("context_sentences", F.lit(1), F.greatest(F.size("context_sentences") - 1, F.lit(0)))
     fields = [
         F.col("id"), F.when(F.col("role") == "system", "").otherwise(F.col("movie")).alias("movie"), F.col("target_clip_id"),
         F.col("target_sentence"), F.col("context_clip_ids"),
@@ -168,18 +168,26 @@ def _finding(place: int, label: str, hit: str) -> str:
     return f"SELECT doc_id, {place} AS pattern, '{label}' AS label, line, t FROM lines WHERE {hit}"
 
 
+# Word edges with every letter counted as part of a word, spelled out because engines differ in what \b means.
+_B, _E = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 _KEYWORDS = "api[_-]?key|secret[_-]?key|access[_-]?token|hf_token|openai_api_key"
+_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+def _host(host: str, allowed: str) -> str:
+    urls = rf"regexp_extract_all(t, '(?i){_B}{host}/[A-Za-z0-9_./-]+')"
+    return f"len(list_filter({urls}, lambda u: NOT regexp_matches(u, '(?i){host}/({allowed}|[^A-Za-z0-9_.-])'))) > 0"
 
 
 @query("sensitive_scan", f"""
     WITH lines AS (SELECT doc_id, line, t FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS line
                      FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS l FROM documents)) WHERE NOT contains(t, 'Pattern(')),
     hits AS ({_finding(0, 'private path', "regexp_matches(t, '(?i)(/Users/|/home/[A-Za-z0-9_.-]+)')")}
-      UNION ALL {_finding(1, 'email', r"regexp_matches(t, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')")}
-      UNION ALL {_finding(2, 'institution/lab string', r"regexp_matches(t, '(?i)\b(tufts|stanford|mit|berkeley|cmu|cornell)\b')")}
-      UNION ALL {_finding(3, 'api key wording', rf"regexp_matches(t, '(?i)\b({_KEYWORDS})\b')")}
-      UNION ALL {_finding(4, 'personal github/hf name', r"len(list_filter(regexp_extract_all(t, '(?i)\bgithub\.com/[A-Za-z0-9_.-]+'), lambda u: NOT regexp_matches(u, '(?i)^github\.com/huggingface\b'))) > 0")}
-      UNION ALL {_finding(5, 'personal github/hf name', r"len(list_filter(regexp_extract_all(t, '(?i)\bhuggingface\.co/[A-Za-z0-9_./-]+'), lambda u: NOT regexp_matches(u, '(?i)^huggingface\.co/(api/|[^A-Za-z0-9_.-])'))) > 0")})
+      UNION ALL {_finding(1, 'email', f"regexp_matches(t, '{_B}{_MAIL}{_E}')")}
+      UNION ALL {_finding(2, 'institution/lab string', f"regexp_matches(t, '(?i){_B}(tufts|stanford|mit|berkeley|cmu|cornell){_E}')")}
+      UNION ALL {_finding(3, 'api key wording', f"regexp_matches(t, '(?i){_B}({_KEYWORDS}){_E}')")}
+      UNION ALL {_finding(4, 'personal github/hf name', _host('github[.]com', f'huggingface{_E}'))}
+      UNION ALL {_finding(5, 'personal github/hf name', _host('huggingface[.]co', 'api/'))})
     SELECT doc_id, pattern, label, min(line) AS line, left(trim(arg_min(t, line)), 180) AS excerpt FROM hits GROUP BY doc_id, pattern, label""")
 def sensitive_scan(spark, sf_dir):
     found = A.table(spark, sf_dir, "documents").select("doc_id", F.explode(U.sensitive_findings(F.col("text"))).alias("f"))
