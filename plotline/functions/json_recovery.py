@@ -42,28 +42,34 @@ def top_level_objects(text: Column) -> Column:
 
 def json_candidates(text: Column) -> Column:
     """Candidate substrings, longest first (text order among equals), without repeats."""
-    bare = without_fences(text)
-    whole = F.when(bare.startswith("{") & bare.endswith("}"), F.array(bare)).otherwise(F.array().cast("array<string>"))
-    every = F.concat(whole, top_level_objects(bare))
-    ranked = F.array_sort(F.transform(every, lambda c, i: F.struct((-F.length(c)).alias("n"), i.alias("i"), c.alias("c"))))
-    return F.array_distinct(F.transform(ranked, lambda s: F.trim(s["c"])))
+    found = top_level_objects(without_fences(text))
+    ranked = F.array_sort(F.transform(found, lambda c, i: F.struct((-F.length(c)).alias("n"), i.alias("i"), c.alias("c"))))
+    return F.array_distinct(F.transform(ranked, lambda s: s["c"]))
+
 
+def _parses_to_object(text: Column) -> Column:
+    parsed = F.try_parse_json(text)
+    return parsed.isNotNull() & F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
 
-def is_object(candidate: Column) -> Column:
-    parsed = F.try_parse_json(candidate)
-    return parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
+
+def is_object(text: Column) -> Column:
+    """The whole text is one JSON object. The parser alone would let anything follow it."""
+    bare = F.trim(text)
+    return F.coalesce(
+        _parses_to_object(bare) & (F.try_element_at(top_level_objects(bare), F.lit(1)) == bare), F.lit(False))
 
 
 def recovered_object(text: Column) -> Column:
     """First candidate that parses to a JSON object, as text; null if there is none."""
-    return F.try_element_at(F.filter(json_candidates(text), is_object), F.lit(1))
+    return F.try_element_at(F.filter(json_candidates(text), _parses_to_object), F.lit(1))
 
 
 def recovery_error(text: Column) -> Column:
     """Why no object was found; null if one was."""
+    bare = without_fences(text)
     return (
         F.when(text.isNull() | (F.length(F.regexp_replace(text, r"\s+", "")) == 0), "empty model output")
         .when(recovered_object(text).isNotNull(), None)
-        .when(F.size(json_candidates(text)) == 0, "no JSON object found in model output")
+        .when((F.size(json_candidates(text)) == 0) & ~bare.rlike(r"^\{[\s\S]*\}$"), "no JSON object found in model output")
         .otherwise("failed to parse model JSON")
     )

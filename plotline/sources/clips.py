@@ -63,24 +63,48 @@ def with_row_numbers(rows: DataFrame) -> DataFrame:
     )
 
 
+def _json_field(entries: Column, field: str) -> Column:
+    """The same rule row by row: the first alias that is a key of the row decides."""
+    value = None
+    for alias in D.CLIP_COLUMN_ALIASES[field]:
+        hits = F.filter(entries, _key_is(alias))
+        found = F.try_element_at(hits, F.lit(-1))["value"]
+        value = F.when(F.size(hits) > 0, found) if value is None else value.when(F.size(hits) > 0, found)
+    return F.when(F.length(value) > 0, F.trim(value))
+
+
+def _key_is(alias: str):
+    return lambda e: F.lower(e["key"]) == alias
+
+
+def _json_columns(lines: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Objects of a JSON-lines file; blank lines and other JSON values are skipped, broken JSON makes the job fail."""
+    parsed = lines.withColumn("_t", F.trim("value")).filter(F.length("_t") > 0).withColumn("_v", F.try_parse_json("_t"))
+    valid = F.when(F.col("_v").isNotNull(), F.schema_of_variant("_v").startswith("OBJECT")).otherwise(
+        F.raise_error(F.concat(F.lit("invalid JSON in "), "_file", F.lit(": "), F.left("_t", F.lit(200)))).cast("boolean"))
+    rows = parsed.filter(valid).withColumn("_e", F.map_entries(F.from_json("_t", "map<string,string>")))
+    return rows.select(*[_json_field(F.col("_e"), f).alias(f) for f in D.CLIP_COLUMN_ALIASES], *keep)
+
+
 def scan_layout(spark: SparkSession, path: str, kind: str, sep: str = ",", glob: str | None = None,
                 multi_line: bool = False) -> DataFrame | None:
-    """Clip columns of files that share one layout; files whose header differs make the job fail."""
+    """Clip columns of CSV files that share one header, or of JSON-lines files with any keys.
+
+    CSV files whose header differs from the first one make the job fail rather than be misread.
+    """
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if kind == "csv":
         raw = reader.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
     else:
-        # Values are read as text, so that a number and a string under one key do not change the schema.
-        raw = reader.option("primitivesAsString", True).json(path)
-        if "_corrupt_record" in raw.columns:
-            raw = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        raw = reader.text(path)
     if not raw.columns:
         return None
+    keep = (*_PLACE, "_at")
     placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                         F.monotonically_increasing_id().alias("_at"))
-    return clip_columns(placed, keep=(*_PLACE, "_at"))
+    return clip_columns(placed, keep) if kind == "csv" else _json_columns(placed, keep)
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from plotline.functions.json_recovery import is_object
+
 REQUIRED_CLIP_COLUMNS = ("audio_description", "clip_id", "movie")
 
 
@@ -18,8 +20,7 @@ def tolerant_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def malformed(json: Column) -> Column:
     """No JSON, or JSON that is no object."""
-    parsed = F.try_parse_json(json)
-    return parsed.isNull() | ~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    return ~is_object(json)
 
 
 def strict_lines(spark: SparkSession, path: str) -> DataFrame:
