@@ -103,15 +103,20 @@ def text_match(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys:
         .withColumn("_one", F.coalesce("_one1", "_one2"))
         .filter(F.col("_n").isNotNull())
     )
-    single = found.filter("_n = 1").select(*left_id, "_one.*")
+    # One pass for both cases: only rows with several candidates are sent to the cells in reach.
+    width, several, nowhere = 4 * limit, F.col("_n") > 1, F.array(F.lit(None).cast("bigint"))
+    probes = (
+        found.withColumn("_cs", F.explode(F.when(several, _cells(F.col("l_start"), limit, width)).otherwise(nowhere)))
+        .withColumn("_ce", F.explode(F.when(several, _cells(F.col("l_end"), limit, width)).otherwise(nowhere)))
+    )
     places = _places(index, [*keys, "text_key"], order, payload)
-    several = found.filter("_n > 1").select(*left_id, *keys, "text_key", "l_start", "l_end")
+    stored = places.withColumn("_cs", _cell(F.col("r_start"), width)).withColumn("_ce", _cell(F.col("r_end"), width))
+    joined = probes.join(stored, [*keys, "text_key", "_cs", "_ce"], "left")
+    near = F.struct(*[F.col(f"_p.{c}").alias(c) for c in payload], "r_start", "r_end")
     distance = F.abs(F.col("r_start") - F.col("l_start")) + F.abs(F.col("r_end") - F.col("l_end"))
-    close = _in_reach(several, places, [*keys, "text_key"], limit).withColumn("_d", distance).filter(F.col("_d") <= limit)
-    best = close.groupBy(*left_id).agg(
-        F.min_by(F.struct("_p", "r_start", "r_end"), F.struct("_d", order)).alias("_b"))
-    nearest = best.select(*left_id, "_b._p.*", F.col("_b.r_start").alias("r_start"), F.col("_b.r_end").alias("r_end"))
-    return single.unionByName(nearest)
+    candidates = joined.withColumn("_d", F.when(several, distance).otherwise(0.0)).filter(F.col("_d") <= F.when(several, limit).otherwise(0.0))
+    best = candidates.groupBy(*left_id).agg(F.min_by(F.when(several, near).otherwise(F.col("_one")), F.struct("_d", order)).alias("_b"))
+    return best.select(*left_id, "_b.*")
 
 
 def match_texts(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys: Sequence[str], payload: Sequence[str],

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def last_predictions(predictions: DataFrame, keys: Sequence[str], value: str = "prediction", order: str = "ord") -> DataFrame:
     """One prediction per id; the last in file order wins, also when it is null."""
-    return (
-        predictions.groupBy(*keys)
-        .agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_p"))
-        .select(*keys, F.col("_p.v").alias(value))
-    )
+    return predictions.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
 def run_metrics(examples: DataFrame, predictions: DataFrame, run: Sequence[str] = (), value: str = "prediction",
@@ -97,8 +93,9 @@ def context_gain(runs: DataFrame, source: str = "source", k: str = "k", shared_a
     reachable accuracy the gain is also given as a share of it.
     """
     if shared_accuracy is None:
-        base = runs.groupBy(source).agg(F.max(F.when(F.col(k) == 0, F.col("accuracy"))).alias("acc0"))
-        rows = runs.join(base, source)
+        # One row per context length, so a source's window stays tiny and the runs are computed once.
+        own = F.max(F.when(F.col(k) == 0, F.col("accuracy"))).over(Window.partitionBy(source))
+        rows = runs.withColumn("acc0", own)
         acc0 = F.coalesce("acc0", F.raise_error(F.concat(F.lit("source without a k=0 row: "), F.col(source))).cast("double"))
     else:
         rows, acc0 = runs, shared_accuracy if isinstance(shared_accuracy, Column) else F.lit(float(shared_accuracy))

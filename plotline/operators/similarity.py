@@ -15,17 +15,17 @@ def tfidf_cosine(pairs: DataFrame, keys: Sequence[str], left: str, right: str, o
     """Cosine of two texts with idf 1 for shared tokens and 1 + ln 2 for one-sided ones; one row per pair key.
 
     Tokens of both sides are counted in one aggregation on (pair, token), summed once more per pair; both are
-    combined on the map side and neither depends on how long a text is.
+    combined on the map side and neither depends on how long a text is. A side without tokens leaves one empty row, so
+    every pair comes out without being joined back.
     """
     sides = pairs.select(*keys, F.explode(F.array(
         F.struct(F.lit(1).alias("is_left"), X.content_tokens(F.col(left)).alias("toks")),
         F.struct(F.lit(0).alias("is_left"), X.content_tokens(F.col(right)).alias("toks")),
     )).alias("s"))
-    counted = (
-        sides.select(*keys, F.col("s.is_left").alias("is_left"), F.explode("s.toks").alias("tok"))
-        .groupBy(*keys, "tok")
-        .agg(F.sum("is_left").alias("a"), F.sum(1 - F.col("is_left")).alias("b"))
-    )
+    token_rows = sides.select(*keys, F.col("s.is_left").alias("is_left"), F.explode_outer("s.toks").alias("tok"))
+    counted = token_rows.groupBy(*keys, "tok").agg(
+        F.count_if(F.col("tok").isNotNull() & (F.col("is_left") == 1)).alias("a"),
+        F.count_if(F.col("tok").isNotNull() & (F.col("is_left") == 0)).alias("b"))
     idf = F.when((F.col("a") > 0) & (F.col("b") > 0), F.lit(1.0)).otherwise(F.lit(D.ONE_SIDED_IDF))
     sums = counted.groupBy(*keys).agg(
         F.sum(F.col("a") * idf * F.col("b") * idf).alias("_dot"),
@@ -33,8 +33,7 @@ def tfidf_cosine(pairs: DataFrame, keys: Sequence[str], left: str, right: str, o
         F.sum(F.pow(F.col("b") * idf, F.lit(2))).alias("_bb"),
     )
     norm = F.sqrt("_aa") * F.sqrt("_bb")
-    scored = sums.select(*keys, F.when(norm > 0, F.col("_dot") / norm).otherwise(0.0).alias(out))
-    return pairs.select(*keys).join(scored, list(keys), "left").select(*keys, F.coalesce(out, F.lit(0.0)).alias(out))
+    return sums.select(*keys, F.when(norm > 0, F.col("_dot") / norm).otherwise(0.0).alias(out))
 
 
 def vector_cosine(a: Column, b: Column) -> Column:

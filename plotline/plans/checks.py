@@ -128,7 +128,7 @@ def verbatim_options(spark, sf_dir):
 
 @query("benchmark_contamination", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_contamination(spark, sf_dir):
-    return U.contained_items(A.table(spark, sf_dir, "documents"), A.table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return U.contained_items(A.documents(spark, sf_dir), A.table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 _FLAGS = ("no_context_prompt_differs_across_sources", "no_context_prompt_contains_source_name", "no_context_prompt_contains_real_id",
@@ -190,5 +190,5 @@ def _host(host: str, allowed: str) -> str:
       UNION ALL {_finding(5, 'personal github/hf name', _host('huggingface[.]co', 'api/'))})
     SELECT doc_id, pattern, label, min(line) AS line, left(trim(arg_min(t, line)), 180) AS excerpt FROM hits GROUP BY doc_id, pattern, label""")
 def sensitive_scan(spark, sf_dir):
-    found = A.table(spark, sf_dir, "documents").select("doc_id", F.explode(U.sensitive_findings(F.col("text"))).alias("f"))
+    found = A.documents(spark, sf_dir).select("doc_id", F.explode(U.sensitive_findings(F.col("text"))).alias("f"))
     return found.select("doc_id", "f.pattern", "f.label", F.col("f.line").cast("bigint").alias("line"), "f.excerpt")

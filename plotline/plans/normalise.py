@@ -17,7 +17,7 @@ from plotline.sources import adapters as A
     SELECT doc_id, length(t) AS n_chars, md5(t) AS digest
     FROM (SELECT doc_id, {O.squeeze("translate(text, '’“”', '''\"\"')")} AS t FROM documents)""")
 def normalize_text(spark, sf_dir):
-    t = A.table(spark, sf_dir, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("t"))
+    t = A.documents(spark, sf_dir).select("doc_id", X.normalize_text(F.col("text")).alias("t"))
     return t.select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
 
 
@@ -31,7 +31,7 @@ def lookup_keys(spark, sf_dir):
     t = A.timed(spark, sf_dir).select(
         "event_id", X.compare_key(F.col("text")).alias("compare_key"), X.lookup_key(F.col("text")).alias("lookup_key"),
         F.col("key").alias("sequence_key"))
-    d = A.table(spark, sf_dir, "documents").select(
+    d = A.documents(spark, sf_dir).select(
         (-1 - F.col("doc_id")).alias("event_id"), F.md5(X.compare_key(F.col("text"))).alias("compare_key"),
         F.md5(X.lookup_key(F.col("text"))).alias("lookup_key"),
         X.sequence_key(F.concat(F.lit("17_"), "source")).alias("sequence_key"))
@@ -154,7 +154,7 @@ def validation_scores(spark, sf_dir):
 @query("token_counts", f"""
     SELECT token, count(*) AS n FROM (SELECT unnest({O.tokens('text')}) AS token FROM documents) GROUP BY token""")
 def token_counts(spark, sf_dir):
-    t = A.table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"))).alias("token"))
+    t = A.documents(spark, sf_dir).select(F.explode(X.tokens(F.col("text"))).alias("token"))
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -163,7 +163,7 @@ def token_counts(spark, sf_dir):
            md5(array_to_string({O.actions('t')}, ' ')) AS actions, md5(array_to_string({O.objects('t')}, ' ')) AS objects
     FROM (SELECT doc_id, {O.tokens('text')} AS t FROM documents)""")
 def lexicon_tags(spark, sf_dir):
-    t = A.table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    t = A.documents(spark, sf_dir).select("doc_id", X.tokens(F.col("text")).alias("t"))
     toks = F.col("t")
     return t.select(
         "doc_id", F.array_join(X.people(toks), " ").alias("people"), F.array_join(X.locations(toks), " ").alias("locations"),

@@ -41,7 +41,7 @@ def evidence_reconcile(spark, sf_dir):
     SELECT doc_id, regexp_matches(lower(trim(text)), '^(knocking|sending|causing|making|leaving|revealing|showing|then|he|she|it|they|his|her|their) ') AS needs
     FROM documents""")
 def needs_antecedent(spark, sf_dir):
-    return A.table(spark, sf_dir, "documents").select("doc_id", P.needs_antecedent(F.col("text")).alias("needs"))
+    return A.documents(spark, sf_dir).select("doc_id", P.needs_antecedent(F.col("text")).alias("needs"))
 
 
 @query("selection_gate", O.with_views("SELECT id, passes, sufficiency, continuity, array_to_string(reasoning, ',') AS reasoning FROM v_selection", "v_selection"))
@@ -132,7 +132,7 @@ def kept_cap(spark, sf_dir):
     SELECT d.doc_id, CASE WHEN h.p IS NOT NULL THEN 'matched private/secret pattern ''' || h.p || '''' END AS reason
     FROM documents d LEFT JOIN (SELECT doc_id, arg_min(p, pos) AS p FROM hits WHERE p IS NOT NULL GROUP BY doc_id) h USING (doc_id)""")
 def quarantine(spark, sf_dir):
-    return A.table(spark, sf_dir, "documents").select("doc_id", G.quarantine_reason(F.col("text")).alias("reason"))
+    return A.documents(spark, sf_dir).select("doc_id", G.quarantine_reason(F.col("text")).alias("reason"))
 
 
 @query("validation_outcome", O.with_views("SELECT route, count(*) AS n FROM v_routed GROUP BY route", "v_routed"))

@@ -39,7 +39,7 @@ def search_blocks(spark, sf_dir):
     WHERE length(trim(array_to_string(m, ' '))) >= 20""")
 def line_blocks(spark, sf_dir):
     """Blocks over the lines of whole documents. A text lies in one row, so no line has to be shuffled."""
-    docs = A.table(spark, sf_dir, "documents").select("doc_id", X.lines(F.col("text")).alias("lines"))
+    docs = A.documents(spark, sf_dir).select("doc_id", X.lines(F.col("text")).alias("lines"))
     members = F.transform("lines", lambda ln, i: F.slice("lines", i + 1, 3))
     rows = docs.select("doc_id", F.posexplode(members).alias("pos", "m"))
     joined = F.array_join("m", " ")
@@ -140,7 +140,7 @@ def _tfidf_sql(source: str, key: str, left: str, right: str, out: str) -> str:
     WITH pairs AS (SELECT id, prior[-1].text AS l, text AS r FROM v_items)
     SELECT id, round(similarity, 6) AS similarity FROM ({_tfidf_sql('pairs', 'id', 'l', 'r', 'similarity')})""", "v_items"))
 def tfidf_pairs(spark, sf_dir):
-    pairs = A.examples(spark, sf_dir).select("id", F.try_element_at("prior", F.lit(-1))["text"].alias("l"), F.col("target_sentence").alias("r"))
+    pairs = A.examples(spark, sf_dir).select("id", F.try_element_at("context", F.lit(-1))["text"].alias("l"), F.col("target_sentence").alias("r"))
     return V.tfidf_cosine(pairs, ["id"], "l", "r").withColumn("similarity", F.round("similarity", 6))
 
 

@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table in fewer pieces than there are cores, spread out for work that is heavy per row; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def pick(values: Sequence, index: Column) -> Column:
     """Entry ``index mod len`` of a list of literals (strings, nulls or lists of strings)."""
     def literal(v) -> Column:
@@ -116,7 +126,9 @@ def examples(spark: SparkSession, sf_dir: str, longest: int | None = None) -> Da
     framed = neighbour_columns(
         ordered, ["movie"], "pos",
         {
-            "prior": lambda w: F.collect_list(Q.clip_struct()).over(w.rowsBetween(-8, -1)),
+            # Eight clips back by id only; texts are carried for the three that can be shown.
+            "prior": lambda w: F.collect_list(Q.clip_struct(("clip_id", "sequence_index"))).over(w.rowsBetween(-8, -1)),
+            "_near": lambda w: F.collect_list(Q.clip_struct()).over(w.rowsBetween(-3, -1)),
             "next_text": lambda w: F.lead("text").over(w),
         },
         before=8, after=1, longest=longest,
@@ -128,10 +140,10 @@ def examples(spark: SparkSession, sf_dir: str, longest: int | None = None) -> Da
         F.col("clip_id").alias("target_clip_id"),
         F.col("text").alias("target_sentence"),
         F.col("timestamp_start").alias("target_start"),
-        Q.last_k(F.col("prior"), (1 + F.pmod(c + p, F.lit(3))).cast("int")).alias("context"),
+        Q.last_k(F.col("_near"), (1 + F.pmod(c + p, F.lit(3))).cast("int")).alias("context"),
         F.pmod(c + p, F.lit(4)).cast("int").alias("answer_idx"),
         F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat(F.lit("They say: "), F.col("text"))).alias("answer_text"),
-        F.array(F.try_element_at("prior", F.lit(-1))["text"], F.coalesce("next_text", F.lit("Nothing more is said.")),
+        F.array(F.try_element_at("_near", F.lit(-1))["text"], F.coalesce("next_text", F.lit("Nothing more is said.")),
                 F.lit("The scene ends without a word.")).alias("_wrong"),
         F.when(F.pmod(c + p, F.lit(3)) == 0, F.array(*[F.lit("entity_swapped")] * 3)).otherwise(
             F.array(F.lit("already_happened"), F.lit("plausible_unsupported"), F.lit("unrelated"))).alias("_kinds"),
