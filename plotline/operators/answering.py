@@ -77,17 +77,15 @@ def prediction_rows(answers: DataFrame, run_name: str) -> DataFrame:
     field = lambda key: F.get_json_object("_json", f"$.{key}")
     index = F.coalesce(field("prediction_idx"), field("answer_idx"), field("prediction"))
     wording = F.coalesce(field("prediction_text"), field("answer_text"))
-    return (
-        found.withColumn("_p", normalize_prediction(index, wording, F.col("options"), F.col("option_order")))
-        .withColumn("prediction_idx", F.col("_p.prediction_idx"))
-        .withColumn("prediction_text", F.col("_p.prediction_text"))
-        .withColumn("displayed_idx", F.col("_p.displayed_idx"))
-        .withColumn("displayed_answer_idx", (F.array_position("option_order", F.col("answer_idx")) - 1).cast("int"))
-        .withColumn("correct", F.coalesce(F.col("prediction_idx") == F.col("answer_idx"), F.lit(False)))
-        .withColumn("error", J.recovery_error(F.col("raw_text")))
-        .withColumn("run_name", F.lit(run_name))
-        .drop("_p", "_json")
-    )
+    return found.withColumn("_p", normalize_prediction(index, wording, F.col("options"), F.col("option_order"))).withColumns({
+        "prediction_idx": F.col("_p.prediction_idx"),
+        "prediction_text": F.col("_p.prediction_text"),
+        "displayed_idx": F.col("_p.displayed_idx"),
+        "displayed_answer_idx": (F.array_position("option_order", F.col("answer_idx")) - 1).cast("int"),
+        "correct": F.coalesce(F.col("_p.prediction_idx") == F.col("answer_idx"), F.lit(False)),
+        "error": J.recovery_error(F.col("raw_text")),
+        "run_name": F.lit(run_name),
+    }).drop("_p", "_json")
 
 
 def ask(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.Series], column: str = "raw_text") -> DataFrame:
@@ -118,8 +116,10 @@ def failure_log(rows: DataFrame, prompt: str = "prompt", prompt_chars: int = 500
         F.left("raw_text", F.lit(output_chars)).alias("output_preview"))
 
 
-def best_option(context: Column, options: Column) -> Column:
-    """Heuristic answer: the option that shares most words with the context, the first one on ties."""
-    words = X.word_set(F.array_join(context, " "))
-    scores = F.transform(options, lambda o, i: F.struct(word_overlap(X.word_set(o), words).alias("s"), (-i).alias("i")))
+def best_option(context_words: Column, options: Column) -> Column:
+    """Heuristic answer: the option that shares most words with the context, the first one on ties.
+
+    ``context_words`` should be a column of its own, so that it is not made again for every option.
+    """
+    scores = F.transform(options, lambda o, i: F.struct(word_overlap(X.word_set(o), context_words).alias("s"), (-i).alias("i")))
     return (-F.array_max(scores)["i"]).cast("int")

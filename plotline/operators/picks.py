@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions import domains as D
 from plotline.functions import text as X
-from plotline.operators.similarity import text_overlap, word_overlap
+from plotline.operators.similarity import word_overlap
 
 
 def capped_topk(scored: DataFrame, group: str, per_group: int = 2, take: int = 8, trim: int = 6,
@@ -59,20 +59,34 @@ def capped_topk2(scored: DataFrame, first: str, second: str, per_first: int = 2,
                        (-F.col("r.n")).alias(score))
 
 
-def _best_context_overlap(answer: Column, sentences: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(sentences, lambda s: text_overlap(answer, s))), F.lit(0.0))
+def with_word_sets(rows: DataFrame) -> DataFrame:
+    """Word sets of answer, target, context sentences and evidence spans, each made once per row."""
+    return rows.withColumns({
+        "answer_words": X.word_set(F.col("answer_text")),
+        "target_words": X.word_set(F.col("target_sentence")),
+        "context_words": F.transform("context_sentences", X.word_set),
+        "evidence_words": F.transform("evidence", lambda e: X.word_set(e["span"])),
+    })
 
 
-def overlap_columns(rows: DataFrame) -> DataFrame:
-    """Overlap of the answer with the hidden target and with its closest context sentence."""
-    return rows.withColumn("target_overlap", text_overlap(F.col("answer_text"), F.col("target_sentence"))).withColumn(
-        "context_overlap", _best_context_overlap(F.col("answer_text"), F.col("context_sentences")))
+def with_overlaps(rows: DataFrame) -> DataFrame:
+    """Overlap of the answer with the hidden target and with its closest context sentence, and the bridge words.
+
+    Bridge words are answer words that also occur in the evidence, or in the context if the evidence has no words.
+    """
+    closest = F.array_max(F.transform("context_words", lambda w: word_overlap(F.col("answer_words"), w)))
+    spans = F.array_distinct(F.flatten("evidence_words"))
+    around = F.array_distinct(F.flatten("context_words"))
+    return rows.withColumns({
+        "target_overlap": word_overlap(F.col("answer_words"), F.col("target_words")),
+        "context_overlap": F.coalesce(closest, F.lit(0.0)),
+        "bridge": F.array_intersect(F.when(F.size(spans) > 0, spans).otherwise(around), F.col("answer_words")),
+    })
 
 
-def evidence_supports(evidence: Column, answer: Column) -> Column:
+def evidence_supports(evidence_words: Column, answer_words: Column) -> Column:
     """Any evidence span shares a word with the answer."""
-    words = X.word_set(answer)
-    return F.exists(evidence, lambda e: F.arrays_overlap(X.word_set(e["span"]), words))
+    return F.exists(evidence_words, lambda w: F.arrays_overlap(w, answer_words))
 
 
 def _score(rules: Sequence[tuple[str, Column, float]]) -> tuple[Column, Column]:
@@ -92,7 +106,7 @@ def rule_score(rows: DataFrame, main: str = "human", second: str = "alpha", none
         ("second_source_correct", F.col(second), 1),
         ("compact_context", F.size("context_sentences") <= 2, 2),
         ("expected", F.col("expectedness") >= 0.7, 2),
-        ("evidence_supports_answer", evidence_supports(F.col("evidence"), F.col("answer_text")), 2),
+        ("evidence_supports_answer", evidence_supports(F.col("evidence_words"), F.col("answer_words")), 2),
         ("concrete_target", F.col("target_type").isin(*D.CONCRETE_TARGET_TYPES), 1),
         ("empty_context_sentence", F.exists("context_sentences", lambda s: F.length(s) == 0), -2),
         ("no_context_correct", F.col(none), -2),
@@ -101,7 +115,7 @@ def rule_score(rows: DataFrame, main: str = "human", second: str = "alpha", none
         ("other_question_type", F.col("question_type") != "what_happens_next", -1),
         ("video_available", F.col("has_video"), 1),
     ])
-    return rows.withColumn("score", total).withColumn("notes", notes)
+    return rows.withColumns({"score": total, "notes": notes})
 
 
 def comparison_score(rows: DataFrame, main: str, others: tuple[str, str], none: str) -> DataFrame:
@@ -123,14 +137,7 @@ def comparison_score(rows: DataFrame, main: str, others: tuple[str, str], none:
         ("second_other_drops_words", F.col("second_drops") > 0, 1.5),
         ("compact_context", F.size("context_sentences") <= 2, 2),
     ])
-    return rows.filter(wanted).withColumn("score", total).withColumn("notes", notes)
-
-
-def bridge_words(evidence: Column, sentences: Column, answer: Column) -> Column:
-    """Answer words that also occur in the evidence, or in the context if the evidence has no words."""
-    spans = F.array_distinct(F.flatten(F.transform(evidence, lambda e: X.word_set(e["span"]))))
-    around = F.array_distinct(F.flatten(F.transform(sentences, X.word_set)))
-    return F.array_intersect(F.when(F.size(spans) > 0, spans).otherwise(around), X.word_set(answer))
+    return rows.filter(wanted).withColumns({"score": total, "notes": notes})
 
 
 def dropped_words(bridge: Column, reference: Column, other: Column) -> Column:
@@ -139,8 +146,8 @@ def dropped_words(bridge: Column, reference: Column, other: Column) -> Column:
 
 
 def weak_reasons() -> Column:
-    """Why an item is weak; reads ``distractor_quality, distractor_metadata, answer_idx, answer_text,
-    target_sentence, context_sentences``."""
+    """Why an item is weak; reads ``distractor_quality, distractor_metadata, answer_idx, target_sentence,
+    context_sentences`` and the word sets of answer and target."""
     wrong = F.filter(F.transform("distractor_metadata", lambda d, i: F.when(i != F.col("answer_idx"), d)), lambda d: d.isNotNull())
 
     def opening(sentence: Column) -> Column:
@@ -151,7 +158,7 @@ def weak_reasons() -> Column:
         F.when((F.size(wrong) > 0) & (F.size(F.array_distinct(wrong)) <= 2), F.lit("few_distractor_types")),
         F.when(F.array_contains("distractor_metadata", "already_happened") & F.exists(
             "context_sentences", lambda s: opening(s) == opening(F.col("target_sentence"))), F.lit("target_repeats_context")),
-        F.when(word_overlap(X.word_set(F.col("answer_text")), X.word_set(F.col("target_sentence"))) >= 0.6,
+        F.when(word_overlap(F.col("answer_words"), F.col("target_words")) >= 0.6,
                F.lit("answer_near_paraphrase")),
     ))
 

@@ -35,16 +35,15 @@ def resolve_target(blocks: DataFrame) -> DataFrame:
         F.try_element_at(ids, F.col("target_position").cast("int")))
     wanted = F.coalesce(F.col("target_clip_id"), by_position)
     at = F.coalesce(F.array_position(ids, wanted), F.lit(0)).cast("int")
-    return (
-        blocks.withColumn("_at", at)
-        .withColumn("target", F.when(F.col("_at") > 0, F.try_element_at("clips", F.col("_at"))))
-        .withColumn("target_clip_id", F.col("target.clip_id"))
-        .withColumn("target_position", F.when(F.col("_at") > 0, F.col("_at")))
-        .withColumn("target_sentence", F.col("target.text"))
-        .withColumn("found", S.truthy_bool(F.col("found_valid_target")) & (F.col("_at") > 0))
-        .withColumn("prefix", F.slice("clips", 1, F.greatest(F.col("_at") - 1, F.lit(0))))
-        .drop("_at")
-    )
+    target = F.when(F.col("_at") > 0, F.try_element_at("clips", F.col("_at")))
+    return blocks.withColumn("_at", at).withColumns({
+        "target": target,
+        "target_clip_id": target["clip_id"],
+        "target_position": F.when(F.col("_at") > 0, F.col("_at")),
+        "target_sentence": target["text"],
+        "found": S.truthy_bool(F.col("found_valid_target")) & (F.col("_at") > 0),
+        "prefix": F.slice("clips", 1, F.greatest(F.col("_at") - 1, F.lit(0))),
+    }).drop("_at")
 
 
 def reconcile_evidence(rows: DataFrame) -> DataFrame:
@@ -65,14 +64,13 @@ def reconcile_evidence(rows: DataFrame) -> DataFrame:
     ))
     chosen = F.filter("selected_context_clip_ids", lambda x: F.array_contains(prefix_ids, x))
     cited = F.filter("evidence_clip_ids", lambda x: F.array_contains(prefix_ids, x))
-    return (
-        rows.withColumn("evidence", evidence)
-        .withColumn("_merged", F.concat(chosen, _ids(F.col("evidence"))))
-        .withColumn("context", F.filter("prefix", lambda c: F.array_contains("_merged", c["clip_id"])))
-        .withColumn("selected_context_clip_ids", _ids(F.col("context")))
-        .withColumn("evidence_clip_ids", F.when(F.size(cited) > 0, cited).otherwise(_ids(F.col("evidence"))))
-        .drop("_merged")
-    )
+    merged = rows.withColumn("evidence", evidence).withColumn("_merged", F.concat(chosen, _ids(F.col("evidence"))))
+    context = F.filter("prefix", lambda c: F.array_contains("_merged", c["clip_id"]))
+    return merged.withColumns({
+        "context": context,
+        "selected_context_clip_ids": _ids(context),
+        "evidence_clip_ids": F.when(F.size(cited) > 0, cited).otherwise(_ids(F.col("evidence"))),
+    }).drop("_merged")
 
 
 def passes_selection(threshold: float) -> Column:
@@ -126,22 +124,18 @@ def rejection_reason(raw_target_id: Column, raw_position: Column) -> Column:
 
 def materialize(decided: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Blocks with raw decision columns become selection rows with route and rejection reason."""
-    rows = (
-        decided.withColumn("raw_target_id", F.col("target_clip_id")).withColumn("raw_position", F.col("target_position"))
-    )
-    rows = reconcile_evidence(resolve_target(rows))
-    rows = (
-        rows.withColumn("sufficiency", S.loose_double(F.col("evidence_sufficiency"), signed=False))
-        .withColumn("reasoning_type", L.reasoning_types(F.col("reasoning_type")))
-        .withColumn("continuity_type", L.continuity_type(F.col("continuity_type"), F.col("reasoning_type")))
-        .withColumn("passes", passes_selection(threshold))
-    )
-    return (
-        rows.withColumn("route", route(F.col("passes")))
-        .withColumn("rejection_reason", F.when(F.col("route") != "selected",
-                                               rejection_reason(F.col("raw_target_id"), F.col("raw_position"))))
-        .withColumn("id", F.concat_ws("::", "block_id", F.coalesce("target_clip_id", F.lit("no_target"))))
-    )
+    raw = {"raw_target_id": F.col("target_clip_id"), "raw_position": F.col("target_position")}
+    reasoning = L.reasoning_types(F.col("reasoning_type"))
+    rows = reconcile_evidence(resolve_target(decided.withColumns(raw))).withColumns({
+        "sufficiency": S.loose_double(F.col("evidence_sufficiency"), signed=False),
+        "reasoning_type": reasoning,
+        "continuity_type": L.continuity_type(F.col("continuity_type"), reasoning),
+    })
+    routed = rows.withColumn("passes", passes_selection(threshold)).withColumn("route", route(F.col("passes")))
+    return routed.withColumns({
+        "rejection_reason": F.when(F.col("route") != "selected", rejection_reason(F.col("raw_target_id"), F.col("raw_position"))),
+        "id": F.concat_ws("::", "block_id", F.coalesce("target_clip_id", F.lit("no_target"))),
+    })
 
 
 def fixed_window_route(threshold: float) -> Column:

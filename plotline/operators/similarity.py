@@ -62,9 +62,8 @@ def text_overlap(a: Column, b: Column) -> Column:
     return word_overlap(X.word_set(a), X.word_set(b))
 
 
-def lexicon_overlaps(context_text: Column, target_text: Column) -> dict[str, Column]:
-    """Entity, action and location overlap of two texts."""
-    a, b = X.tokens(context_text), X.tokens(target_text)
+def lexicon_overlaps(a: Column, b: Column) -> dict[str, Column]:
+    """Entity, action and location overlap of two token lists (context, target)."""
     return {
         "entity_overlap": overlap_ratio(
             F.array_union(X.people(a), X.objects(a)), F.array_union(X.people(b), X.objects(b))),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotline.functions import json_recovery as J
+from plotline.functions import text as X
 from plotline.operators import answering as N
 from plotline.operators import selection as P
 from plotline.plans import oracle_views as O
@@ -114,8 +115,9 @@ def failure_log(spark, sf_dir):
       SELECT id, list_transform(options, lambda o: {O.overlap(O.word_set('o'), 'cw')}) AS scores
       FROM (SELECT id, options, {O.word_set("array_to_string(context_sentences, ' ')")} AS cw FROM v_examples))""", "v_examples"))
 def heuristic_answerer(spark, sf_dir):
-    return A.examples(spark, sf_dir).select(
-        "id", N.best_option(F.col("context_sentences"), F.col("options")).cast("bigint").alias("prediction_idx"))
+    rows = A.examples(spark, sf_dir).withColumn("_words", X.word_set(F.array_join("context_sentences", " ")))
+    return rows.select(
+        "id", N.best_option(F.col("_words"), F.col("options")).cast("bigint").alias("prediction_idx"))
 
 
 def _first_model(batch):

@@ -26,13 +26,13 @@ def items(spark, sf_dir):
     """Items with outcomes, overlaps and bridge words. Two altered copies of the context stand for generated texts."""
     n = A.longest_conversation(spark, sf_dir)
     rows = A.examples(spark, sf_dir, n).join(outcomes(spark, sf_dir, n), "id", "left").withColumn("evidence", F.col("evidence_raw"))
-    rows = T.overlap_columns(rows).withColumn("bridge", T.bridge_words(F.col("evidence"), F.col("context_sentences"), F.col("answer_text")))
+    rows = T.with_overlaps(T.with_word_sets(rows))
 
     def drops(old: str, new: str):
         per_clip = F.transform("context_sentences", lambda s: T.dropped_words(F.col("bridge"), s, F.replace(s, F.lit(old), F.lit(new))))
         return F.aggregate(per_clip, F.lit(0), lambda a, x: a + x)
 
-    return rows.withColumn("first_drops", drops("er", "or")).withColumn("second_drops", drops("th", "ht"))
+    return rows.withColumns({"first_drops": drops("er", "or"), "second_drops": drops("th", "ht")})
 
 
 _RULE = f"""(CASE WHEN human THEN 3 ELSE 0 END + CASE WHEN alpha THEN 1 ELSE 0 END + CASE WHEN len(context_sentences) <= 2 THEN 2 ELSE 0 END
@@ -119,5 +119,6 @@ def paraphrase_items(spark, sf_dir):
           string_split(lower(s), ' ')[1:3] = string_split(lower(target_sentence), ' ')[1:3])) > 0 THEN 'target_repeats_context' END,
         CASE WHEN t >= 0.6 THEN 'answer_near_paraphrase' END], lambda x: x IS NOT NULL), ';') AS reasons FROM v_scored_items""", "v_scored_items"))
 def weak_items(spark, sf_dir):
-    rows = A.examples(spark, sf_dir).withColumn("distractor_quality", S.loose_double(F.col("distractor_raw")))
-    return rows.select("id", F.array_join(T.weak_reasons(), ";").alias("reasons"))
+    rows = A.examples(spark, sf_dir).withColumns({
+        "distractor_quality": S.loose_double(F.col("distractor_raw")), "evidence": F.col("evidence_raw")})
+    return T.with_word_sets(rows).select("id", F.array_join(T.weak_reasons(), ";").alias("reasons"))

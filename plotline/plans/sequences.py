@@ -175,6 +175,7 @@ def _overlap_sql(source: str, key: str) -> str:
     {_overlap_sql('toks', 'id')}""", "v_examples"))
 def overlap_ratios(spark, sf_dir):
     rows = A.examples(spark, sf_dir).select("id", F.array_join("context_sentences", " ").alias("c"), F.col("target_sentence").alias("t"))
+    rows = rows.select("id", X.tokens(F.col("c")).alias("c"), X.tokens(F.col("t")).alias("t"))
     return rows.select("id", *[F.round(v, 6).alias(n) for n, v in V.lexicon_overlaps(F.col("c"), F.col("t")).items()])
 
 
@@ -209,8 +210,9 @@ def continuity_features(spark, sf_dir):
         .agg(F.max(F.when(F.col("kind") == "last", F.col("similarity"))).alias("last"),
              F.max(F.when(F.col("kind") == "mean", F.col("similarity"))).alias("mean"))
     )
-    overlaps = V.lexicon_overlaps(F.col("context_text"), F.col("target_text"))
-    return pairs.join(sims, "block_id").select(
+    tokened = pairs.select("block_id", "timestamp_gap", X.tokens(F.col("context_text")).alias("_c"), X.tokens(F.col("target_text")).alias("_t"))
+    overlaps = V.lexicon_overlaps(F.col("_c"), F.col("_t"))
+    return tokened.select("block_id", "timestamp_gap", *[v.alias(n) for n, v in overlaps.items()]).join(sims, "block_id").select(
         "block_id", F.round("timestamp_gap", 6).alias("timestamp_gap"),
         F.round("last", 6).alias("semantic_similarity_last"), F.round("mean", 6).alias("semantic_similarity_mean"),
-        *[F.round(v, 6).alias(n) for n, v in overlaps.items()])
+        *[F.round(n, 6).alias(n) for n in overlaps])

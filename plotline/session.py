@@ -17,6 +17,8 @@ def get_spark(app: str = "plotline", master: str | None = None, shuffle_partitio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call sites of every Column call are only of use in a debugger and cost more than the call.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -39,14 +39,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def pick(values: Sequence, index: Column) -> Column:
-    """Entry ``index mod len`` of a list of literals (strings, nulls or lists of strings)."""
-    def literal(v) -> Column:
-        if isinstance(v, (tuple, list)):
-            return F.array(*[F.lit(x) for x in v]).cast("array<string>")
-        return F.lit(v).cast("string")
+def _literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, (tuple, list)):
+        return f"CAST(array({', '.join(_literal(x) for x in v)}) AS array<string>)"
+    return "'" + v.replace("'", "\\'") + "'"
 
-    return F.element_at(F.array(*[literal(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
+
+def pick(values: Sequence, index: str) -> Column:
+    """Entry ``index mod len`` of a list of literals (strings, nulls or lists of strings); ``index`` is a SQL expression."""
+    return F.expr(f"element_at(array({', '.join(_literal(v) for v in values)}), CAST(pmod({index}, {len(values)}) AS INT) + 1)")
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,28 +97,28 @@ def decisions(spark: SparkSession, sf_dir: str, longest: int | None = None) -> D
 
     return blocks(spark, sf_dir, longest).select(
         "*",
-        pick(("true", "yes", "True ", "1", "keep", "no", "false"), c + 3 * s).alias("found_valid_target"),
+        pick(("true", "yes", "True ", "1", "keep", "no", "false"), "conv_id + 3 * block_start").alias("found_valid_target"),
         F.when(F.pmod(c + s, F.lit(11)) != 0, 2 + F.pmod(7 * c + s, F.lit(3))).alias("target_position"),
         F.when((F.pmod(c + 2 * s, F.lit(5)) == 0) & (n >= 2), second["clip_id"])
         .when(F.pmod(c + 2 * s, F.lit(13)) == 1, "ghost_clip").alias("target_clip_id"),
-        pick((*D.TARGET_TYPES, "dance_move", ""), 5 * c + s).alias("target_type"),
+        pick((*D.TARGET_TYPES, "dance_move", ""), "5 * conv_id + block_start").alias("target_type"),
         pick(("nontrivial", "nontrivial", "nontrivial", "trivial_generic_motion", "meaningful_but_noninferable"),
-             2 * c + s).alias("target_triviality"),
-        pick(("predictable", "predictable", "underdetermined", "unpredictable", None), c + s).alias("predictability"),
+             "2 * conv_id + block_start").alias("target_triviality"),
+        pick(("predictable", "predictable", "underdetermined", "unpredictable", None), "conv_id + block_start").alias("predictability"),
         pick(("continuous_physical", "continuous_social", "scene_cut_semantically_linked", "garbage", None),
-             3 * c + s).alias("continuity_type"),
-        pick(LOOSE_REASONING, c + s).alias("reasoning_type"),
-        pick(("0.85", "score 0.7", "-0.9", "", "high", "1", None), c + 2 * s).alias("evidence_sufficiency"),
+             "3 * conv_id + block_start").alias("continuity_type"),
+        pick(LOOSE_REASONING, "conv_id + block_start").alias("reasoning_type"),
+        pick(("0.85", "score 0.7", "-0.9", "", "high", "1", None), "conv_id + 2 * block_start").alias("evidence_sufficiency"),
         F.array(first["clip_id"], third, F.lit("ghost_clip")).alias("selected_context_clip_ids"),
         F.array(
-            span(first, F.concat(F.lit(" "), _last_word(first["text"])), pick(LOOSE_EVIDENCE, c + s)),
+            span(first, F.concat(F.lit(" "), _last_word(first["text"])), pick(LOOSE_EVIDENCE, "conv_id + block_start")),
             span(second, _last_word(second["text"]), F.lit("motion_trajectory")),
             span(first, F.lit("§ not in the text"), F.lit("other")),
         ).alias("selected_context_spans"),
         F.when(F.pmod(c + s, F.lit(3)) == 0, F.array().cast("array<string>"))
         .otherwise(F.array(first["clip_id"], F.lit("ghost_clip"))).alias("evidence_clip_ids"),
         (F.pmod(c + s, F.lit(7)) != 3).alias("called"),
-        pick(("keep", "reject", "true", "no", "1"), c + 4 * s).alias("should_keep_raw"),
+        pick(("keep", "reject", "true", "no", "1"), "conv_id + 4 * block_start").alias("should_keep_raw"),
     )
 
 
@@ -148,19 +151,19 @@ def examples(spark: SparkSession, sf_dir: str, longest: int | None = None) -> Da
         F.when(F.pmod(c + p, F.lit(3)) == 0, F.array(*[F.lit("entity_swapped")] * 3)).otherwise(
             F.array(F.lit("already_happened"), F.lit("plausible_unsupported"), F.lit("unrelated"))).alias("_kinds"),
         F.lit("What happens next?").alias("question"),
-        pick(("what_happens_next", "state_change", "object_reveal", "mystery", None), c + 2 * p).alias("question_type_raw"),
-        pick((*D.TARGET_TYPES, "dance_move"), 5 * c + p).alias("target_type"),
-        pick(("nontrivial", "nontrivial", "nontrivial", "meaningful_but_noninferable"), 2 * c + p).alias("target_triviality"),
-        pick(("predictable", "predictable", "underdetermined", "unpredictable"), c + p).alias("predictability"),
-        pick(("continuous_physical", "scene_cut_semantically_linked", "garbage", None), 3 * c + p).alias("continuity_raw"),
-        pick(("0.55", "1.7", "-0.2", "n/a", None, "0.8 ", "0.3"), 2 * c + p).alias("expectedness_raw"),
-        pick(LOOSE_REASONING, c + p).alias("reasoning_raw"),
-        pick(LOOSE_EVIDENCE, c + p).alias("_evidence_raw"),
-        pick(("0.9", "confidence 0.65", "", "0.72", None), c + 3 * p).alias("confidence_raw"),
-        pick(("0.8", "-0.4", "0.75 of 1", None), c + p).alias("sufficiency_raw"),
-        pick(("0.0", "0.71", "none", "1"), 3 * c + p).alias("distractor_raw"),
-        pick(("keep", "reject", "true", "no", "1", "yes", "maybe", None), c + p).alias("keep_raw"),
-        pick((None, None, None, "multi_answer", "context does not support the answer"), 3 * c + p).alias("failure_reason"),
+        pick(("what_happens_next", "state_change", "object_reveal", "mystery", None), "conv_id + 2 * pos").alias("question_type_raw"),
+        pick((*D.TARGET_TYPES, "dance_move"), "5 * conv_id + pos").alias("target_type"),
+        pick(("nontrivial", "nontrivial", "nontrivial", "meaningful_but_noninferable"), "2 * conv_id + pos").alias("target_triviality"),
+        pick(("predictable", "predictable", "underdetermined", "unpredictable"), "conv_id + pos").alias("predictability"),
+        pick(("continuous_physical", "scene_cut_semantically_linked", "garbage", None), "3 * conv_id + pos").alias("continuity_raw"),
+        pick(("0.55", "1.7", "-0.2", "n/a", None, "0.8 ", "0.3"), "2 * conv_id + pos").alias("expectedness_raw"),
+        pick(LOOSE_REASONING, "conv_id + pos").alias("reasoning_raw"),
+        pick(LOOSE_EVIDENCE, "conv_id + pos").alias("_evidence_raw"),
+        pick(("0.9", "confidence 0.65", "", "0.72", None), "conv_id + 3 * pos").alias("confidence_raw"),
+        pick(("0.8", "-0.4", "0.75 of 1", None), "conv_id + pos").alias("sufficiency_raw"),
+        pick(("0.0", "0.71", "none", "1"), "3 * conv_id + pos").alias("distractor_raw"),
+        pick(("keep", "reject", "true", "no", "1", "yes", "maybe", None), "conv_id + pos").alias("keep_raw"),
+        pick((None, None, None, "multi_answer", "context does not support the answer"), "3 * conv_id + pos").alias("failure_reason"),
         (F.col("role") == "assistant").alias("has_video"),
     )
     a = F.col("answer_idx")
@@ -171,17 +174,17 @@ def examples(spark: SparkSession, sf_dir: str, longest: int | None = None) -> Da
     last = F.try_element_at("context", F.lit(-1))
     own_evidence = F.struct(last["clip_id"].alias("clip_id"), _last_word(last["text"]).alias("span"), F.col("_evidence_raw").alias("evidence_type"))
     blank = F.struct(F.lit("").alias("clip_id"), F.lit("x").alias("span"), F.lit("other").alias("evidence_type"))
-    return (
-        items.withColumn("options", inserted(F.col("_wrong"), F.col("answer_text")))
-        .withColumn("distractor_metadata", inserted(F.col("_kinds"), F.lit("correct")))
-        .withColumn("evidence_raw", F.when(F.pmod(c + F.col("pos"), F.lit(4)) == 0, F.array(own_evidence, blank)).otherwise(F.array(own_evidence)))
-        .withColumn("question_type", L.question_type(F.col("question_type_raw"), F.col("target_type")))
-        .withColumn("expectedness", S.score(F.col("expectedness_raw")))
-        .withColumn("context_clip_ids", F.transform("context", lambda x: x["clip_id"]))
-        .withColumn("context_sentences", F.transform("context", lambda x: x["text"]))
-        .withColumn("evidence_clip_ids", F.slice("context_clip_ids", -1, 1))
-        .drop("_wrong", "_kinds", "_evidence_raw")
-    )
+    ids = F.transform("context", lambda x: x["clip_id"])
+    return items.withColumns({
+        "options": inserted(F.col("_wrong"), F.col("answer_text")),
+        "distractor_metadata": inserted(F.col("_kinds"), F.lit("correct")),
+        "evidence_raw": F.when(F.expr("pmod(conv_id + pos, 4) = 0"), F.array(own_evidence, blank)).otherwise(F.array(own_evidence)),
+        "question_type": L.question_type(F.col("question_type_raw"), F.col("target_type")),
+        "expectedness": S.score(F.col("expectedness_raw")),
+        "context_clip_ids": ids,
+        "context_sentences": F.transform("context", lambda x: x["text"]),
+        "evidence_clip_ids": F.slice(ids, -1, 1),
+    }).drop("_wrong", "_kinds", "_evidence_raw")
 
 
 def answer_key(spark: SparkSession, sf_dir: str, longest: int | None = None) -> DataFrame:
