@@ -14,7 +14,8 @@ from plotline.plans import oracle_views as O
 from plotline.plans.registry import query
 from plotline.sources import adapters as A
 
-_SUM = F.col("conv_id") + F.col("pos")
+def _sum():
+    return F.col("conv_id") + F.col("pos")
 
 
 def internal_json(spark, sf_dir):
@@ -24,16 +25,16 @@ def internal_json(spark, sf_dir):
     fields = [
         F.col("id"), F.when(F.col("role") == "system", "").otherwise(F.col("movie")).alias("movie"), F.col("target_clip_id"),
         F.col("target_sentence"), F.col("context_clip_ids"),
-        F.when(F.pmod(_SUM, F.lit(7)) == 0, cut).otherwise(F.col("context_sentences")).alias("context_sentences"),
+        F.when(F.pmod(_sum(), F.lit(7)) == 0, cut).otherwise(F.col("context_sentences")).alias("context_sentences"),
         F.col("question_type_raw").alias("question_type"), F.col("question"),
-        F.when(F.pmod(_SUM, F.lit(9)) == 0, F.slice("options", 1, 3)).otherwise(F.col("options")).alias("options"),
+        F.when(F.pmod(_sum(), F.lit(9)) == 0, F.slice("options", 1, 3)).otherwise(F.col("options")).alias("options"),
         F.col("predictability"), S.safe_double(F.col("expectedness_raw")).alias("expectedness"), F.col("target_type"),
         F.col("evidence_clip_ids"),
     ]
     track = F.lit("main").alias("track")
     json = (
         F.when(F.col("role") == "user", F.to_json(F.struct(*fields)))
-        .when(F.pmod(_SUM, F.lit(5)) == 0, F.to_json(F.struct(*fields, track), {"ignoreNullFields": "false"}))
+        .when(F.pmod(_sum(), F.lit(5)) == 0, F.to_json(F.struct(*fields, track), {"ignoreNullFields": "false"}))
         .otherwise(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
     )
     return rows.select("id", (F.col("conv_id") * 1000 + F.col("pos")).alias("row"), json.alias("json"))
@@ -72,11 +73,11 @@ def release_json(spark, sf_dir):
     """Release rows with faults: an answer key, a blank context text, a wrong context length."""
     rows = A.examples(spark, sf_dir)
     context = F.transform("context", lambda c, i: F.struct(
-        c["clip_id"].alias("clip_id"), F.when((F.pmod(_SUM, F.lit(6)) == 0) & (i == 0), "").otherwise(c["text"]).alias("text")))
+        c["clip_id"].alias("clip_id"), F.when((F.pmod(_sum(), F.lit(6)) == 0) & (i == 0), "").otherwise(c["text"]).alias("text")))
     fields = [
         F.col("id"), F.col("movie").alias("source_id"), context.alias("prior_context"), F.col("question"), F.col("options"),
         F.col("question_type"), F.col("target_type"),
-        (F.size("context") + F.when(F.pmod(_SUM, F.lit(5)) == 0, 1).otherwise(0)).alias("context_length"), F.col("expectedness"),
+        (F.size("context") + F.when(F.pmod(_sum(), F.lit(5)) == 0, 1).otherwise(0)).alias("context_length"), F.col("expectedness"),
     ]
     keep = {"ignoreNullFields": "false"}
     return rows.select("id", F.when(F.col("role") == "system", F.to_json(F.struct(*fields, "answer_idx"), keep))
