@@ -32,46 +32,60 @@ def verbatim_options(examples: DataFrame, keep: Sequence[str] = ()) -> DataFrame
         "matching_option_is_correct", F.col("matching_option_idx") == F.col("answer_idx"))
 
 
-def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, text: str = "text",
-                    gram: int = 8, max_short_items: int = 1000) -> DataFrame:
-    """(text, item) pairs where the text holds the item verbatim.
+#: Key lengths, in characters, for items that are too short for a key of whole words.
+_CHAR_KEYS = (12, 6, 3, 2, 1)
+
+
+def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, text: str = "text", gram: int = 8) -> DataFrame:
+    """(text, item) pairs where the text holds the item verbatim; empty items are in no text.
 
     An item inside a text has its inner words, blank for blank, as whole words of that text; only its first and last
     word may be glued to something else. So one run of ``gram`` inner words per item is an exact join key, and only
-    texts that have the run are searched. Items with fewer inner words are keyed by their longest inner word; for items
-    of one or two words, whose number is checked, every text is searched.
+    texts that have the run are searched. Items with fewer inner words are keyed by their longest inner word, items of
+    one or two words by their first characters.
     """
-    item = items.select(item_id, F.col(text).alias("_item"), F.split(text, " ", -1).alias("_w"))
+    item = items.filter(F.length(text) > 0).select(item_id, F.col(text).alias("_item"), F.split(text, " ", -1).alias("_w"))
     inner = F.size("_w") - 2
-    long = item.filter(inner >= gram).select(
-        item_id, "_item", F.xxhash64(F.array_join(F.slice("_w", 2, gram), " ")).alias("_key"))
-    middle = item.filter((inner >= 1) & (inner < gram)).select(
+    longest = F.array_max(F.transform(F.slice("_w", 2, F.greatest(inner, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    reach = F.greatest(*[F.when(F.length("_item") >= q, q).otherwise(1) for q in _CHAR_KEYS])
+    keyed = item.select(
         item_id, "_item",
-        F.xxhash64(F.array_max(F.transform(F.slice("_w", 2, inner), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).alias("_key"))
-    short = item.filter(inner < 1).select(item_id, "_item")
-
-    words = texts.select(text_id, F.split(text, " ", -1).alias("_w"))
-    grams = words.filter(F.size("_w") >= gram).select(text_id, F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size("_w") - gram + 1),
-        lambda i: F.xxhash64(F.array_join(F.slice("_w", i, gram), " "))))).alias("_key"))
-    singles = words.select(text_id, F.explode(F.array_distinct(F.transform("_w", lambda w: F.xxhash64(w)))).alias("_key"))
-
-    hits = grams.join(long, "_key").select(text_id, item_id, "_item")
-    if middle.limit(1).count():
-        hits = hits.unionByName(singles.join(middle, "_key").select(text_id, item_id, "_item"))
-    found = (
-        hits.dropDuplicates([text_id, item_id]).join(texts.select(text_id, F.col(text).alias("_text")), text_id)
+        F.when(inner >= gram, gram).when((inner >= 1) & (F.length(longest) > 0), 0).otherwise(-reach).alias("_kind"),
+        F.when(inner >= gram, F.array_join(F.slice("_w", 2, gram), " ")).when((inner >= 1) & (F.length(longest) > 0), longest)
+        .otherwise(F.left("_item", reach)).alias("_run"),
+    ).select(item_id, "_item", "_kind", F.xxhash64("_run").alias("_key"))
+    # Which kinds of keys occur decides which keys are made of the texts: a handful of numbers.
+    kinds = [r["_kind"] for r in keyed.select("_kind").distinct().collect()]
+    words = F.split(text, " ", -1)
+    parts = []
+    for kind in kinds:
+        if kind == 0:
+            hashes = F.transform(words, lambda w: F.xxhash64(w))
+        elif kind > 0:
+            hashes = F.transform(
+                F.sequence(F.lit(1), F.greatest(F.size("_w") - kind + 1, F.lit(1))),
+                lambda i: F.xxhash64(F.array_join(F.slice("_w", i, gram), " ")))
+        else:
+            hashes = _char_hashes(text, -kind)
+        rows = texts.withColumn("_w", words) if kind > 0 else texts
+        keys = rows.select(text_id, F.lit(kind).alias("_kind"), F.explode(F.array_distinct(hashes)).alias("_key"))
+        parts.append(keys)
+    if not parts:
+        return texts.join(items, F.lit(False)).select(text_id, item_id)
+    hits = parts[0]
+    for other in parts[1:]:
+        hits = hits.unionByName(other)
+    pairs = hits.join(keyed, ["_kind", "_key"]).select(text_id, item_id, "_item").dropDuplicates([text_id, item_id])
+    return (
+        pairs.join(texts.select(text_id, F.col(text).alias("_text")), text_id)
         .filter(F.col("_text").contains(F.col("_item"))).select(text_id, item_id)
     )
-    n_short = short.limit(max_short_items + 1).count()
-    if n_short > max_short_items:
-        raise ValueError("too many items of one or two words to search every text for each of them")
-    if n_short:
-        few = [(r[0], r[1]) for r in short.collect()]
-        listed = F.array(*[F.struct(F.lit(i).alias(item_id), F.lit(t).alias("_item")) for i, t in few])
-        found = found.unionByName(texts.select(text_id, F.explode(F.filter(
-            listed, lambda s: F.col(text).contains(s["_item"]))).alias("_s")).select(text_id, F.col(f"_s.{item_id}")))
-    return found
+
+
+def _char_hashes(text: str, n: int) -> Column:
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
+        lambda i: F.xxhash64(F.substr(F.col(text), i, F.lit(n))))
 
 
 def leak_flags(index: Column, prior: Column, contexts: Mapping[int, Column], prompt0: Column, row_id: Column,

@@ -38,6 +38,15 @@ def validation_scores(rows: DataFrame, positive_default: float = D.QUALITY_THRES
     )
 
 
+def without_model(rows: DataFrame, errors: str = "errors") -> DataFrame:
+    """Validation when no model is at hand: schema errors reject with zero scores, a valid row keeps its own."""
+    bad = F.size(errors) > 0
+    scores = ("qwen_confidence", "evidence_sufficiency", "distractor_quality")
+    return rows.withColumns(
+        {s: F.when(bad, 0.0).otherwise(F.col(s)) for s in scores}
+        | {"should_keep": F.col("should_keep") & ~bad, "failure_reasons": F.col(errors)})
+
+
 def reason_list(value: Column) -> Column:
     """A scalar failure reason becomes a list of one; null stays empty."""
     return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(value))

@@ -122,6 +122,25 @@ def rejection_reason(raw_target_id: Column, raw_position: Column) -> Column:
     )
 
 
+def with_decisions(blocks: DataFrame, decisions: DataFrame, answered: str = "answered", key: str = "block_id") -> DataFrame:
+    """Blocks with their decision; a block without one, or whose model call failed, gets the default decision."""
+    ok = F.coalesce(F.col(answered), F.lit(False))
+    default = {
+        "found_valid_target": F.lit("false"),
+        "predictability": F.lit("unpredictable"),
+        "continuity_type": F.lit("discontinuous_unpredictable"),
+        "reasoning_type": F.array(F.lit("other")),
+        "evidence_sufficiency": F.lit("0.0"),
+        "selected_context_clip_ids": F.array().cast("array<string>"),
+        "selected_context_spans": F.array().cast("array<struct<clip_id:string,span:string,evidence_type:string>>"),
+        "evidence_clip_ids": F.array().cast("array<string>"),
+    }
+    fields = [c for c in decisions.columns if c not in {key, answered}]
+    joined = blocks.join(decisions, key, "left")
+    return joined.withColumns(
+        {c: F.when(ok, F.col(c)).otherwise(default.get(c, F.lit(None))) for c in fields} | {answered: ok})
+
+
 def materialize(decided: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Blocks with raw decision columns become selection rows with route and rejection reason."""
     raw = {"raw_target_id": F.col("target_clip_id"), "raw_position": F.col("target_position")}

@@ -73,6 +73,22 @@ def prior_context(ordered: DataFrame, k: int = 8, out: str = "prior", fields=CLI
     )
 
 
+def contexts_of(examples: DataFrame, ordered: DataFrame, k: int = 8, longest: int | None = None,
+                hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Add ``prior`` to examples that name their target by sequence number or, where that is null, by clip id.
+
+    Joins are on (movie, clip), never on the movie alone. A target that is not in its sequence makes the job fail.
+    """
+    frames = prior_context(ordered, k, "prior", longest=longest, hot_rows=hot_rows)
+    by_id = ordered.select("movie", F.col("clip_id").alias("target_clip_id"), F.col("sequence_index").alias("_found"))
+    located = examples.join(by_id, ["movie", "target_clip_id"], "left").withColumn(
+        "_index", F.coalesce("target_index", "_found"))
+    joined = located.join(frames.select("movie", F.col("sequence_index").alias("_index"), "prior"), ["movie", "_index"], "left")
+    lost = F.raise_error(F.concat(F.lit("could not locate target sequence index for "), F.col("id")))
+    return joined.withColumn("prior", F.when(F.col("prior").isNull(), lost.cast(joined.schema["prior"].dataType)).otherwise(
+        F.col("prior"))).drop("_found", "_index")
+
+
 def last_k(prior: Column, k: Column | int) -> Column:
     """Last ``k`` entries of an array that may be shorter than ``k``."""
     k = F.lit(k) if isinstance(k, int) else k

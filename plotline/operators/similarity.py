@@ -46,6 +46,14 @@ def vector_cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(wide_a, wide_b), F.sqrt(dot(wide_a, wide_a)) * F.sqrt(dot(wide_b, wide_b)))
 
 
+def semantic_similarity(pairs: DataFrame, keys: Sequence[str], left: str, right: str, left_vector: str, right_vector: str) -> DataFrame:
+    """Vector cosine where both vectors exist, TF-IDF cosine elsewhere; ``backend`` tells which."""
+    texts = tfidf_cosine(pairs.filter(F.col(left_vector).isNull() | F.col(right_vector).isNull()), keys, left, right)
+    vectors = pairs.filter(F.col(left_vector).isNotNull() & F.col(right_vector).isNotNull()).select(
+        *keys, vector_cosine(F.col(left_vector), F.col(right_vector)).alias("similarity"))
+    return vectors.withColumn("backend", F.lit("vectors")).unionByName(texts.withColumn("backend", F.lit("tfidf_fallback")))
+
+
 def overlap_ratio(left: Column, right: Column) -> Column:
     """Share of the right set that is in the left set; 0 for an empty right set."""
     goal = F.array_distinct(right)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plotline.functions import scalars as S
 from plotline.operators import audits as U
 from plotline.operators import constraints as C
+from plotline.operators import gates as G
 from plotline.operators import answering as N
 from plotline.operators import release as E
 from plotline.operators import sequence as Q
@@ -18,7 +19,7 @@ def _sum():
     return F.col("conv_id") + F.col("pos")
 
 
-def internal_json(spark, sf_dir):
+def internal_json(spark, sf_dir, keep=()):
     """Items as JSON text with faults: missing keys (user turns drop nulls), blank names, short lists, foreign keys."""
     rows = A.examples(spark, sf_dir)
     cut = F.slice("context_sentences", F.lit(1), F.greatest(F.size("context_sentences") - 1, F.lit(0)))
@@ -37,7 +38,7 @@ def internal_json(spark, sf_dir):
         .when(F.pmod(_sum(), F.lit(5)) == 0, F.to_json(F.struct(*fields, track), {"ignoreNullFields": "false"}))
         .otherwise(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
     )
-    return rows.select("id", (F.col("conv_id") * 1000 + F.col("pos")).alias("row"), json.alias("json"))
+    return rows.select("id", (F.col("conv_id") * 1000 + F.col("pos")).alias("row"), json.alias("json"), *keep)
 
 
 _EXPECT = O.safe_double("expectedness_raw")
@@ -193,3 +194,16 @@ def _host(host: str, allowed: str) -> str:
 def sensitive_scan(spark, sf_dir):
     found = A.documents(spark, sf_dir).select("doc_id", F.explode(U.sensitive_findings(F.col("text"))).alias("f"))
     return found.select("doc_id", "f.pattern", "f.label", F.col("f.line").cast("bigint").alias("line"), "f.excerpt")
+
+
+@query("candidate_validation", O.with_views(f"""
+    SELECT v.id, v.keep AND len(c.errors) = 0 AS should_keep, CASE WHEN len(c.errors) > 0 THEN 0.0::DOUBLE ELSE {O.loose_double('confidence_raw')} END AS confidence,
+           array_to_string(c.errors, ';') AS failure_reasons FROM v_validated v JOIN v_core_errors c USING (id)""", "v_validated", "v_core_errors"))
+def candidate_validation(spark, sf_dir):
+    """Validation without a model."""
+    text = internal_json(spark, sf_dir, keep=("confidence_raw", "sufficiency_raw", "distractor_raw", "keep_raw"))
+    checked = C.check(text, "legacy_public").withColumns({
+        "qwen_confidence": S.loose_double(F.col("confidence_raw")), "evidence_sufficiency": S.loose_double(F.col("sufficiency_raw")),
+        "distractor_quality": S.loose_double(F.col("distractor_raw")), "should_keep": F.coalesce(S.loose_bool(F.col("keep_raw")), F.lit(False))})
+    return G.without_model(checked).select(
+        "id", "should_keep", F.col("qwen_confidence").alias("confidence"), F.array_join("failure_reasons", ";").alias("failure_reasons"))

@@ -12,6 +12,7 @@ from plotline.session import scratch_path
 from plotline.sources import adapters as A
 from plotline.sources import clips as C
 from plotline.sources import rows as R
+from plotline.sources import tables as T
 
 
 @query("clip_scan", O.with_views("SELECT movie, clip_id, timestamp_start, timestamp_end, text FROM v_clips", "v_clips"))
@@ -124,3 +125,11 @@ def variant_lookup(spark, sf_dir):
     right = A.generated_wide(spark, sf_dir)
     return M.variant_lookup(t, right, ["event_id"], names, "movie", ["ord"]).select(
         "event_id", "ord", F.col("variant_rank").cast("bigint").alias("variant_rank"))
+
+
+@query("sequence_store", O.with_views("SELECT movie, pos, clip_id, md5(text) AS digest FROM v_ordered", "v_ordered"))
+def sequence_store(spark, sf_dir):
+    """Ordered clips written as a sequence store and read back."""
+    path = scratch_path(spark, "sequences")
+    T.write_sequences(A.ordered_clips(spark, sf_dir), path)
+    return T.read_sequences(spark, path).select("movie", "pos", "clip_id", F.md5("text").alias("digest"))

@@ -12,7 +12,7 @@ from plotline.operators import selection as P
 from plotline.plans import oracle_views as O
 from plotline.plans.normalise import validated
 from plotline.plans.registry import query
-from plotline.plans.sequences import selection_rows
+from plotline.plans.sequences import SELECTION_THRESHOLD, selection_rows
 from plotline.sources import adapters as A
 
 KEPT_LIMIT = 25
@@ -138,3 +138,16 @@ def quarantine(spark, sf_dir):
 @query("validation_outcome", O.with_views("SELECT route, count(*) AS n FROM v_routed GROUP BY route", "v_routed"))
 def validation_outcome(spark, sf_dir):
     return R.count_by(routed(spark, sf_dir), "route")
+
+
+@query("default_decisions", O.with_views("""
+    SELECT block_id, CASE WHEN called THEN route ELSE 'rejected' END AS route,
+           CASE WHEN called THEN block_id || '::' || coalesce(tid, 'no_target') ELSE block_id || '::no_target' END AS id FROM v_selection""", "v_selection"))
+def default_decisions(spark, sf_dir):
+    """Blocks joined with the decisions of the calls that came back; the others get the default."""
+    n = A.longest_conversation(spark, sf_dir)
+    fields = ("found_valid_target", "target_clip_id", "target_position", "target_type", "target_triviality", "predictability", "continuity_type",
+              "reasoning_type", "evidence_sufficiency", "selected_context_clip_ids", "selected_context_spans", "evidence_clip_ids")
+    came_back = A.decisions(spark, sf_dir, n).filter("called").select("block_id", *fields, F.lit(True).alias("answered"))
+    rows = P.with_decisions(A.blocks(spark, sf_dir, n), came_back)
+    return P.materialize(rows, SELECTION_THRESHOLD).select("block_id", "route", "id")

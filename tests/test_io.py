@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plotline.operators import answering as N
 from plotline.sources import clips as C
 from plotline.sources import rows as R
+from plotline.sources import tables as T
 from plotline.streaming import route as H
 
 
@@ -114,3 +115,26 @@ def test_stream_adds_only_what_is_new(spark, tmp_path):
     total = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
     got = {r["route"]: r["n"] for r in H.progress(spark, out, "id string, v int, route string", total).collect()}
     assert got == {"rejected": 1, "selected": 2, "remaining": 1}
+
+
+def test_text_source_file_with_byte_order_mark(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("start,end,alpha,ground_truth,beta-2,movie,vid\n144.104,148.433, He runs. ,He ran.,,SIGNS,x\n1,2,,,\"b, c\",1005_Signs,y\n", encoding="utf-8-sig")
+    rows = T.read_text_sources(spark, str(path), ["alpha", "beta-2"]).orderBy("r_start").collect()
+    assert [(r["key"], r["r_start"], r["source"], r["text"], r["ground_truth"]) for r in rows] == [
+        ("signs", 1.0, "beta-2", "b, c", ""), ("signs", 144.104, "alpha", "He runs.", "He ran.")]
+    with pytest.raises(ValueError):
+        T.read_text_sources(spark, str(path), ["gamma"])
+
+
+def test_split_and_route_sinks(spark, tmp_path):
+    row = {"id": "x", "movie": "m", "target_clip_id": "c", "target_sentence": "t", "context_clip_ids": ["a"], "context_sentences": ["s"], "question_type": "q",
+           "question": "?", "options": ["o"], "predictability": "p", "expectedness": 0.5, "target_type": "y", "evidence_clip_ids": ["a"], "answer_idx": 0, "answer_text": "o"}
+    rows = spark.createDataFrame([row])
+    T.write_splits(rows, F.lit("train"), str(tmp_path / "s"))
+    public = spark.read.json(str(tmp_path / "s" / "public"))
+    private = spark.read.json(str(tmp_path / "s" / "private"))
+    assert public.first()["split"] == "train_public" and "answer_idx" not in public.columns
+    assert private.first()["split"] == "train_private" and private.first()["answer_source"]["source"] == "target_sentence"
+    T.write_routed(rows.select("id", F.lit("kept").alias("route")), str(tmp_path / "r"))
+    assert (tmp_path / "r" / "route=kept").is_dir()

@@ -208,8 +208,26 @@ def test_contained_items_of_every_length(spark):
     i = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
     want = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(items) if y in x}
     assert {tuple(r) for r in U.contained_items(t, i, "doc_id", "item_id").collect()} == want
-    with pytest.raises(ValueError):
-        U.contained_items(t, i, "doc_id", "item_id", max_short_items=1)
+    assert U.contained_items(t, i.filter("item_id < 0"), "doc_id", "item_id").count() == 0
+
+
+def test_contained_items_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab  ") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    items = [t[i:i + rng.randint(1, 30)] for t in texts if len(t) > 2 for i in [rng.randrange(len(t) - 1)]] + ["", " ", "ba" * 9]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    want = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(items) if y and y in x}
+    assert {tuple(r) for r in U.contained_items(t, i, "doc_id", "item_id", gram=3).collect()} == want
+
+
+def test_similarity_falls_back_to_text(spark):
+    pairs = spark.createDataFrame([(1, "a dog", "a dog", [1.0, 0.0], [0.0, 2.0]), (2, "red dog", "red dog", None, [1.0])],
+                                  "id int, l string, r string, lv array<double>, rv array<double>")
+    got = {r["id"]: (round(r["similarity"], 6), r["backend"]) for r in V.semantic_similarity(pairs, ["id"], "l", "r", "lv", "rv").collect()}
+    assert got == {1: (0.0, "vectors"), 2: (1.0, "tfidf_fallback")}
 
 
 def test_sensitive_lines(spark):

@@ -57,6 +57,17 @@ def test_last_k_and_strictly_prior(spark):
     assert got["strict"] == ["c1"] and got["all"] == ["c1", "c3", "c4"]
 
 
+def test_contexts_of_examples(spark, clips):
+    ordered = Q.order_clips(clips)
+    examples = spark.createDataFrame([("e1", "MOVIEA", "a3", None), ("e2", "MOVIEB", "nowhere", 3), ("e3", "MOVIEA", "a1", 0)],
+                                     "id string, movie string, target_clip_id string, target_index long")
+    got = {r["id"]: [c["clip_id"] for c in r["prior"]] for r in Q.contexts_of(examples, ordered, 2).collect()}
+    assert got == {"e1": ["a1", "a2"], "e2": ["b2", "b3"], "e3": []}
+    lost = spark.createDataFrame([("e1", "MOVIEA", "b1", None)], examples.schema)
+    with pytest.raises(Exception, match="could not locate target"):
+        Q.contexts_of(lost, ordered, 2).collect()
+
+
 def _naive_walk(steps):
     out = {}
     for movie, by_start in steps.items():
