@@ -71,7 +71,7 @@ def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: s
         keys = rows.select(text_id, F.lit(kind).alias("_kind"), F.explode(F.array_distinct(hashes)).alias("_key"))
         parts.append(keys)
     if not parts:
-        return texts.join(items, F.lit(False)).select(text_id, item_id)
+        return texts.select(text_id, F.lit(None).cast(dict(items.dtypes)[item_id]).alias(item_id)).limit(0)
     hits = parts[0]
     for other in parts[1:]:
         hits = hits.unionByName(other)

@@ -3,7 +3,9 @@
 All time joins are equi joins on (sequence, start cell, end cell). Both times are cells of a grid, a left row is
 copied to the few cells its tolerance touches, and right rows at the same place are first reduced to the one that can
 win. A cell therefore holds at most as many right rows as there are clock ticks in it, whatever the size of the
-tables; a sequence that holds a third of all rows spreads over as many cells as it has moments.
+tables; a sequence that holds a third of all rows spreads over as many cells as it has moments. Where the nearest row
+is wanted and the densest cell, which is counted first, is still crowded, the search goes outwards in rings: a row found
+within a small reach is the nearest, and only rows that found none go on to larger cells.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions import domains as D
 from plotline.functions import text as X
+from plotline.operators.ordering import setting
 
 _SLACK = 1e-6
 
@@ -70,14 +73,47 @@ def tolerance_match(left: DataFrame, right: DataFrame, left_id: Sequence[str], k
     return best.select(*left_id, "_b._p.*", F.col("_b.r_start").alias("r_start"), F.col("_b.r_end").alias("r_end"))
 
 
+#: Rows in a cell from which the search goes outwards in rings.
+DENSE_CELL = ("spark.plotline.denseCell", 2000)
+
+
+def _crowded(right: DataFrame, keys: Sequence[str], limit: float) -> bool:
+    """Whether any cell holds many rows: one combined count over (keys, cell), one number to the driver."""
+    width = 4 * limit
+    densest = (
+        right.groupBy(*keys, _cell(F.col("r_start"), width).alias("_cs"), _cell(F.col("r_end"), width).alias("_ce"))
+        .count().agg(F.max("count")).first()[0] or 0
+    )
+    return densest > setting(right, DENSE_CELL)
+
+
+def _rings(limit: float) -> list[float]:
+    return [limit / 100, limit / 10, limit]
+
+
+def _nearest(left: DataFrame, places: DataFrame, left_id: Sequence[str], keys: Sequence[str], order: str, distance: Column,
+             reaches: Sequence[float], strict: bool) -> DataFrame:
+    """``left_id`` and winning place ``_b`` (with its distance ``_d``) per left row with a place in reach."""
+    found = None
+    rest = left
+    for reach in reaches:
+        close = _in_reach(rest, places, keys, reach).withColumn("_d", distance)
+        close = close.filter(F.col("_d") < reach if strict else F.col("_d") <= reach)
+        best = close.groupBy(*left_id).agg(
+            F.min_by(F.struct("_p", "r_start", "r_end", "_d"), F.struct("_d", order)).alias("_b"))
+        found = best if found is None else found.unionByName(best)
+        rest = rest.join(best.select(*left_id), list(left_id), "left_anti")
+    return found
+
+
 def nearest_match(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys: Sequence[str], payload: Sequence[str],
                   order: str = "ord", limit: float = D.NEAREST_LIMIT) -> DataFrame:
     """Right row with the smallest max(|start|, |end|) difference below the limit; first in input order on ties."""
-    close = _in_reach(left.select(*left_id, *keys, "l_start", "l_end"), _places(right, keys, order, payload), keys, limit)
     error = F.greatest(F.abs(F.col("r_start") - F.col("l_start")), F.abs(F.col("r_end") - F.col("l_end")))
-    close = close.withColumn("error", error).filter(F.col("error") < limit)
-    best = close.groupBy(*left_id).agg(F.min_by(F.struct("_p", "error"), F.struct("error", order)).alias("_b"))
-    return best.select(*left_id, "_b._p.*", F.col("_b.error").alias("error"))
+    reaches = _rings(limit) if _crowded(right, keys, limit) else [limit]
+    best = _nearest(left.select(*left_id, *keys, "l_start", "l_end"), _places(right, keys, order, payload), left_id, keys, order,
+                    error, reaches, strict=True)
+    return best.select(*left_id, "_b._p.*", F.col("_b._d").alias("error"))
 
 
 def text_index(right: DataFrame, keys: Sequence[str], truth: str = "ground_truth") -> DataFrame:
@@ -103,19 +139,26 @@ def text_match(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys:
         .withColumn("_one", F.coalesce("_one1", "_one2"))
         .filter(F.col("_n").isNotNull())
     )
+    by_text = [*keys, "text_key"]
+    places = _places(index, by_text, order, payload)
+    distance = F.abs(F.col("r_start") - F.col("l_start")) + F.abs(F.col("r_end") - F.col("l_end"))
+    if _crowded(index, by_text, limit):
+        single = found.filter("_n = 1").select(*left_id, "_one.*")
+        several = found.filter("_n > 1").select(*left_id, *by_text, "l_start", "l_end")
+        best = _nearest(several, places, left_id, by_text, order, distance, _rings(limit), strict=False)
+        return single.unionByName(
+            best.select(*left_id, "_b._p.*", F.col("_b.r_start").alias("r_start"), F.col("_b.r_end").alias("r_end")))
     # One pass for both cases: only rows with several candidates are sent to the cells in reach.
-    width, several, nowhere = 4 * limit, F.col("_n") > 1, F.array(F.lit(None).cast("bigint"))
+    width, many, nowhere = 4 * limit, F.col("_n") > 1, F.array(F.lit(None).cast("bigint"))
     probes = (
-        found.withColumn("_cs", F.explode(F.when(several, _cells(F.col("l_start"), limit, width)).otherwise(nowhere)))
-        .withColumn("_ce", F.explode(F.when(several, _cells(F.col("l_end"), limit, width)).otherwise(nowhere)))
+        found.withColumn("_cs", F.explode(F.when(many, _cells(F.col("l_start"), limit, width)).otherwise(nowhere)))
+        .withColumn("_ce", F.explode(F.when(many, _cells(F.col("l_end"), limit, width)).otherwise(nowhere)))
     )
-    places = _places(index, [*keys, "text_key"], order, payload)
     stored = places.withColumn("_cs", _cell(F.col("r_start"), width)).withColumn("_ce", _cell(F.col("r_end"), width))
-    joined = probes.join(stored, [*keys, "text_key", "_cs", "_ce"], "left")
+    joined = probes.join(stored, [*by_text, "_cs", "_ce"], "left")
     near = F.struct(*[F.col(f"_p.{c}").alias(c) for c in payload], "r_start", "r_end")
-    distance = F.abs(F.col("r_start") - F.col("l_start")) + F.abs(F.col("r_end") - F.col("l_end"))
-    candidates = joined.withColumn("_d", F.when(several, distance).otherwise(0.0)).filter(F.col("_d") <= F.when(several, limit).otherwise(0.0))
-    best = candidates.groupBy(*left_id).agg(F.min_by(F.when(several, near).otherwise(F.col("_one")), F.struct("_d", order)).alias("_b"))
+    candidates = joined.withColumn("_d", F.when(many, distance).otherwise(0.0)).filter(F.col("_d") <= limit)
+    best = candidates.groupBy(*left_id).agg(F.min_by(F.when(many, near).otherwise(F.col("_one")), F.struct("_d", order)).alias("_b"))
     return best.select(*left_id, "_b.*")
 
 

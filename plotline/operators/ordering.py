@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 
 from plotline.session import durable
 
-HOT_GROUP_ROWS = 1_000_000
-CHUNK_ROWS = 4096
+#: Settings and their defaults: rows from which a group counts as hot, rows per chunk of a hot group, starts per
+#: piece of a walk.
+HOT_GROUP_ROWS = ("spark.plotline.hotGroupRows", 1_000_000)
+CHUNK_ROWS = ("spark.plotline.chunkRows", 4096)
+WALK_STARTS = ("spark.plotline.walkStarts", 256)
+
+
+def setting(df: DataFrame, entry: tuple[str, int], given: int | None = None) -> int:
+    """The argument if there is one, else the session's setting, else the default."""
+    return given if given is not None else int(df.sparkSession.conf.get(entry[0], str(entry[1])))
 
 
 def longest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -74,26 +82,27 @@ def ranged_positions(df: DataFrame, group: Sequence[str], order: Sequence[str |
 
 
 def positions(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str = "pos",
-              longest: int | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+              longest: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Dense 0-based position of each row in its group."""
     if longest is None:
         longest = longest_group(df, group)
-    if longest > hot_rows:
+    if longest > setting(df, HOT_GROUP_ROWS, hot_rows):
         return ranged_positions(df, group, order, out)
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*_names(order))).cast("bigint") - 1)
 
 
 def neighbour_columns(df: DataFrame, group: Sequence[str], pos: str, columns: dict[str, Callable[[WindowSpec], Column]],
-                      before: int, after: int, longest: int, hot_rows: int = HOT_GROUP_ROWS,
-                      chunk: int = CHUNK_ROWS) -> DataFrame:
+                      before: int, after: int, longest: int, hot_rows: int | None = None,
+                      chunk: int | None = None) -> DataFrame:
     """Columns computed over at most ``before`` rows back and ``after`` rows ahead by dense position.
 
     Short groups share the partitioning that gave the position. Long ones are cut into chunks by position; only the
     few rows at a chunk edge are copied into the neighbouring chunk.
     """
-    if longest <= hot_rows:
+    if longest <= setting(df, HOT_GROUP_ROWS, hot_rows):
         spec = Window.partitionBy(*group).orderBy(pos)
         return df.select("*", *[make(spec).alias(name) for name, make in columns.items()])
+    chunk = setting(df, CHUNK_ROWS, chunk)
     own = F.floor(F.col(pos) / chunk)
     first = F.greatest(F.lit(0), F.floor((F.col(pos) - after) / chunk))
     last = F.floor((F.col(pos) + before) / chunk)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions import domains as D
 from plotline.functions import scalars as S
-from plotline.operators.ordering import HOT_GROUP_ROWS, longest_group, neighbour_columns, positions
+from plotline.operators.ordering import longest_group, neighbour_columns, positions
 
 CLIP_FIELDS = ("clip_id", "sequence_index", "timestamp_start", "timestamp_end", "text")
 
@@ -17,7 +17,7 @@ def clip_order() -> list[Column]:
     return [S.safe_double(F.col("timestamp_start")).asc_nulls_last(), F.col("sequence_index"), F.col("clip_id")]
 
 
-def order_clips(clips: DataFrame, longest: int | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def order_clips(clips: DataFrame, longest: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Add the dense 0-based position ``pos`` of each clip in its movie."""
     return positions(clips, ["movie"], clip_order(), "pos", longest, hot_rows)
 
@@ -31,7 +31,7 @@ def joined_text(clips: Column) -> Column:
 
 
 def search_blocks(ordered: DataFrame, width: int = 3, min_chars: int = D.MIN_BLOCK_CHARS, prefix: str = "seq",
-                  max_blocks: int | None = None, longest: int | None = None, hot_rows: int = HOT_GROUP_ROWS,
+                  max_blocks: int | None = None, longest: int | None = None, hot_rows: int | None = None,
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """One block per start position with up to ``width`` clips ahead; blocks of too little text are dropped."""
     if width < 1:
@@ -58,7 +58,7 @@ def search_blocks(ordered: DataFrame, width: int = 3, min_chars: int = D.MIN_BLO
 
 
 def prior_context(ordered: DataFrame, k: int = 8, out: str = "prior", fields=CLIP_FIELDS, longest: int | None = None,
-                  hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                  hot_rows: int | None = None) -> DataFrame:
     """Up to ``k`` clips right before each clip, oldest first."""
     if k < 0:
         raise ValueError("k must be non-negative")
@@ -74,7 +74,7 @@ def prior_context(ordered: DataFrame, k: int = 8, out: str = "prior", fields=CLI
 
 
 def contexts_of(examples: DataFrame, ordered: DataFrame, k: int = 8, longest: int | None = None,
-                hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                hot_rows: int | None = None) -> DataFrame:
     """Add ``prior`` to examples that name their target by sequence number or, where that is null, by clip id.
 
     Joins are on (movie, clip), never on the movie alone. A target that is not in its sequence makes the job fail.

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.operators.ordering import HOT_GROUP_ROWS, positions
+from plotline.operators.ordering import positions
 
 SPLITS = ("train", "val", "test")
 
@@ -57,7 +57,7 @@ def _next(counts: np.ndarray, targets: np.ndarray) -> np.ndarray:
 
 
 def group_split(examples: DataFrame, group: str = "movie", ratios: tuple[float, float, float] = (0.8, 0.1, 0.1),
-                hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                hot_rows: int | None = None) -> DataFrame:
     """``(group, size, split)``; every group lies in exactly one split."""
     if round(sum(ratios), 6) != 1.0:
         raise ValueError("split ratios must sum to 1.0")

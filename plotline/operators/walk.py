@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_STARTS = 256
+from plotline.operators.ordering import WALK_STARTS, setting
+
 DEAD = -1
 
 
@@ -47,8 +48,11 @@ def _through(children: Column, entry: Column, chunk: int) -> Column:
 
 
 def walk(blocks: DataFrame, width: int, longest: int, group: str = "movie", start: str = "block_start",
-         step: str = "step", chunk: int = CHUNK_STARTS) -> DataFrame:
+         step: str = "step", chunk: int | None = None) -> DataFrame:
     """Visited ``(group, start)`` rows. ``step`` lies in 1..width; ``longest`` bounds the length of a sequence."""
+    chunk = setting(blocks, WALK_STARTS, chunk)
+    if chunk < width:
+        raise ValueError("a piece must not be shorter than a step")
     steps = blocks.select(F.col(group).alias("g"), F.col(start).cast("bigint").alias("start"),
                           F.col(step).cast("bigint").alias("step"))
     leaves = (
@@ -139,7 +143,7 @@ def step_of(found: Column, position: Column) -> Column:
 
 def walk_with_budget(blocks: DataFrame, width: int, longest: int, budget: int, called: str = "called",
                      group: str = "movie", start: str = "block_start", step: str = "step",
-                     chunk: int = CHUNK_STARTS) -> DataFrame:
+                     chunk: int | None = None) -> DataFrame:
     """Walk in which only the first ``budget`` calls (over all sequences, in sequence order) use their decision.
 
     Later blocks get the default decision, which moves on by one. Adds ``used``.

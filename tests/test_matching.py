@@ -58,8 +58,17 @@ def _text(l, right):
     return None
 
 
+@pytest.fixture(params=[None, "0"])
+def rings(spark, request):
+    """Plain cells, and a search in rings whatever the density."""
+    if request.param:
+        spark.conf.set("spark.plotline.denseCell", request.param)
+    yield
+    spark.conf.unset("spark.plotline.denseCell")
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_matches_equal_the_sequential_rules(spark, seed):
+def test_matches_equal_the_sequential_rules(spark, rings, seed):
     left, right = _data(seed)
     ldf, rdf = spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT)
     by_time = {r["id"]: r["ord"] for r in M.tolerance_match(ldf, rdf, ["id"], ["key"], ["ord", "text"]).collect()}

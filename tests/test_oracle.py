@@ -29,3 +29,19 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 15
+
+
+HOT = ["clip_order", "search_blocks", "last_k_context", "target_walk", "walk_budget", "verbatim_options", "context_materialize", "context_gain", "group_split",
+       "selection_route", "leak_audit"]
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_query_when_every_group_counts_as_hot(spark, con, name):
+    settings = {"spark.plotline.hotGroupRows": "2", "spark.plotline.chunkRows": "3", "spark.plotline.walkStarts": "4"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        assert differences(spark, entry.queries()[name], entry.oracle_sql()[name], SF, con) is None
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
