@@ -57,7 +57,7 @@ def prompt_table(spark, sf_dir):
 
 
 @query("prediction_normalize", O.with_views("""
-    SELECT id, CASE WHEN d < 4 THEN ord[d + 1] END AS prediction_idx, CASE WHEN d < 4 THEN options[ord[d + 1] + 1] END AS prediction_text,
+    SELECT id, CASE WHEN d < 4 THEN ord[d + 1] END::BIGINT AS prediction_idx, CASE WHEN d < 4 THEN options[ord[d + 1] + 1] END AS prediction_text,
            CASE WHEN d < 4 THEN d END AS displayed_idx
     FROM (SELECT *, CASE WHEN role = 'user' THEN (conv_id + pos) % 5
                          WHEN role = 'assistant' THEN list_position(list_transform(shown, lambda o: lower(o)), lower(answer_text)) - 1 ELSE 9 END AS d FROM v_shown)""",
@@ -92,7 +92,7 @@ O.VIEWS["v_triage"] = (("v_shown",), """
 @query("output_triage", O.with_views("""
     SELECT id, CASE kind WHEN 0 THEN '1' WHEN 1 THEN '2' END AS given, CASE WHEN kind = 1 THEN 'a } brace " and {' END AS note,
            CASE kind WHEN 2 THEN 'no JSON object found in model output' WHEN 4 THEN 'empty model output' END AS error,
-           CASE kind WHEN 0 THEN ord[2] WHEN 1 THEN ord[3] WHEN 3 THEN ord[list_position(list_transform(shown, lambda o: lower(o)), lower(answer_text))] END AS prediction_idx
+           CASE kind WHEN 0 THEN ord[2] WHEN 1 THEN ord[3] WHEN 3 THEN ord[list_position(list_transform(shown, lambda o: lower(o)), lower(answer_text))] END::BIGINT AS prediction_idx
     FROM v_triage""", "v_triage"))
 def output_triage(spark, sf_dir):
     done = N.prediction_rows(raw_outputs(spark, sf_dir), "triage").withColumn("_json", J.recovered_object(F.col("raw_text")))
@@ -111,7 +111,7 @@ def failure_log(spark, sf_dir):
 
 
 @query("heuristic_answerer", O.with_views(f"""
-    SELECT id, list_position(scores, list_max(scores)) - 1 AS prediction_idx FROM (
+    SELECT id, (list_position(scores, list_max(scores)) - 1)::BIGINT AS prediction_idx FROM (
       SELECT id, list_transform(options, lambda o: {O.overlap(O.word_set('o'), 'cw')}) AS scores
       FROM (SELECT id, options, {O.word_set("array_to_string(context_sentences, ' ')")} AS cw FROM v_examples))""", "v_examples"))
 def heuristic_answerer(spark, sf_dir):
@@ -130,7 +130,7 @@ def _second_model(batch):
 
 
 @query("retry_invalid", O.with_views("""
-    SELECT id, CASE role WHEN 'user' THEN ord[1] WHEN 'assistant' THEN ord[4] END AS prediction_idx,
+    SELECT id, CASE role WHEN 'user' THEN ord[1] WHEN 'assistant' THEN ord[4] END::BIGINT AS prediction_idx,
            CASE WHEN role = 'user' THEN 'ask' ELSE 'ask_retry' END AS run_name FROM v_shown""", "v_shown"))
 def retry_invalid(spark, sf_dir):
     prompts = shown(spark, sf_dir).select("id", "role", "options", "option_order", "answer_idx")

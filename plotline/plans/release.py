@@ -139,7 +139,8 @@ def public_rows(spark, sf_dir):
                                     "v_sizes", "v_examples", recursive=True))
 def private_rows(spark, sf_dir):
     rows = E.private_rows(split_examples(spark, sf_dir), F.col("_split"))
-    return _shown(rows).select("*", F.col("answer_source.source").alias("source"), F.col("answer_source.target_clip_id").alias("source_clip")).drop("answer_source")
+    return _shown(rows).select("*", F.col("answer_source.source").alias("source"), F.col("answer_source.target_clip_id").alias("source_clip")).drop("answer_source").withColumn(
+        "answer_idx", F.col("answer_idx").cast("bigint"))
 
 
 _CONTEXT = "array_to_string(list_transform(context, lambda c: c.clip_id || '=' || c.text), '|')"
@@ -167,4 +168,4 @@ def release_answers(spark, sf_dir):
     rows = A.examples(spark, sf_dir).withColumn("evidence", L.evidence_rows(F.col("evidence_raw")))
     shown = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["clip_id"], e["span"], e["evidence_type"])), ";")
     return _flat(E.release_with_answers(rows)).withColumns({
-        "evidence": shown, "distractor_metadata": F.array_join("distractor_metadata", ",")})
+        "evidence": shown, "distractor_metadata": F.array_join("distractor_metadata", ","), "answer_idx": F.col("answer_idx").cast("bigint")})

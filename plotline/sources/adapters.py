@@ -54,7 +54,7 @@ def pick(values: Sequence, index: str) -> Column:
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as sequences of clips: two seconds per turn."""
-    raw = table(spark, sf_dir, "conversations")
+    raw = spread(table(spark, sf_dir, "conversations"), "conv_id")
     start, end = F.col("turn") * F.lit(2.0), F.col("turn") * F.lit(2.0) + F.lit(1.5)
     named = raw.select(
         "conv_id", "turn", "role",
@@ -219,7 +219,7 @@ def predictions(spark: SparkSession, sf_dir: str, longest: int | None = None) ->
 
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as timed texts: one sequence per user, times in seconds to the millisecond."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"), "event_id")
     start = F.round(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 1e6, 3)
     rows = e.select(
         "event_id", "user_id", "event_type",

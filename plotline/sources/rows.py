@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plotline.functions.json_recovery import is_object
+from plotline.sources.clips import with_row_numbers
 
 REQUIRED_CLIP_COLUMNS = ("audio_description", "clip_id", "movie")
 
 
-def tolerant_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines as ``json`` with a ``malformed`` flag."""
-    text = spark.read.text(path).select(F.trim("value").alias("json")).filter(F.length("json") > 0)
-    return text.withColumn("malformed", malformed(F.col("json")))
+def tolerant_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """Non-blank lines as ``json`` with a ``malformed`` flag; ``numbered`` adds file and 1-based line number."""
+    text = spark.read.text(path)
+    if numbered:
+        placed = text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_path").alias("file"),
+                             F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+        text = with_row_numbers(placed).withColumn("line", F.col("sequence_index") + 1)
+    keep = ["file", "line"] if numbered else []
+    rows = text.select(F.trim("value").alias("json"), *keep).filter(F.length("json") > 0)
+    return rows.withColumn("malformed", malformed(F.col("json")))
 
 
 def malformed(json: Column) -> Column:
@@ -24,10 +31,11 @@ def malformed(json: Column) -> Column:
 
 
 def strict_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines as ``json``; the job fails at a line that is no JSON object."""
-    rows = tolerant_lines(spark, path)
+    """Non-blank lines as ``json``; the job fails at a line that is no JSON object and names its place."""
+    rows = tolerant_lines(spark, path, numbered=True)
+    place = F.concat_ws(":", "file", "line")
     checked = F.when(~F.col("malformed"), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit(f"{path}: invalid JSON object: "), F.left("json", F.lit(200)))).cast("boolean"))
+        F.raise_error(F.concat(place, F.lit(": invalid JSON object: "), F.left("json", F.lit(200)))).cast("boolean"))
     return rows.filter(checked).select("json")
 
 

@@ -53,7 +53,9 @@ def test_json_rows(spark, tmp_path):
     path = tmp_path / "r.jsonl"
     path.write_text('{"id": "a"}\n\n{"id": \n[1]\n')
     assert sorted(r["malformed"] for r in R.tolerant_lines(spark, str(path)).collect()) == [False, True, True]
-    with pytest.raises(Exception, match="invalid JSON object"):
+    bad = R.tolerant_lines(spark, str(path), numbered=True).filter("malformed").orderBy("line")
+    assert [r["line"] for r in bad.collect()] == [3, 4]
+    with pytest.raises(Exception, match=r"r.jsonl:[34]: invalid JSON object"):
         R.strict_lines(spark, str(path)).collect()
     for name, payload in (("list.json", [{"id": "a"}]), ("data.json", {"data": [{"id": "a"}]})):
         (tmp_path / name).write_text(json.dumps(payload, indent=1))

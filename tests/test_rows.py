@@ -88,6 +88,13 @@ def test_kept_cap(spark, limit, kept):
     assert len(over) == 5 - kept and all(r["route"] == "rejected" and r["failure_reasons"] == [G.OVERFLOW_REASON] for r in over)
 
 
+def test_kept_cap_can_route_the_overflow(spark):
+    rows = spark.createDataFrame([(1, "kept", "predictable"), (2, "kept", "underdetermined"), (3, "kept", "predictable")], "id int, route string, predictability string")
+    rows = rows.withColumns({"failure_reasons": F.array().cast("array<string>"), "continuity_type": F.lit("x"), "target_triviality": F.lit("nontrivial")})
+    got = [r["route"] for r in G.kept_cap(rows, 1, ["id"], overflow_to="route").orderBy("id").collect()]
+    assert got == ["kept", "challenge", "rejected"]
+
+
 def test_quarantine(spark):
     texts = ["fine", "a\nAPI_KEY: x", "todo(author) api_key: x", "/Users/me and secret_key", None]
     assert _map(spark, texts, G.quarantine_reason) == [
