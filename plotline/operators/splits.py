@@ -8,10 +8,12 @@ works out its own split from its rank among the groups of its size.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from plotline.operators.ordering import positions
 
 SPLITS = ("train", "val", "test")
 
+# The helpers below travel with the job, so workers need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _fill(counts: np.ndarray, targets: np.ndarray, size: np.ndarray, picks: np.ndarray) -> np.ndarray:
     """Groups each split has received after ``picks`` picks of groups of one size (row-wise, exact).

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from plotline.functions import json_recovery as J
@@ -15,6 +18,9 @@ from plotline.session import scratch_path
 from plotline.sources import adapters as A
 from plotline.streaming import route as H
 
+# The stand-in models travel with the job, so workers need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 O.VIEWS["v_shown"] = (("v_examples",), """
     SELECT *, list_transform(ord, lambda i: options[i + 1]) AS shown
     FROM (SELECT *, list_transform(list_sort(list_transform([0, 1, 2, 3], lambda i: {'h': sha256(id || ':' || i), 'i': i})), lambda s: s.i) AS ord

@@ -112,3 +112,18 @@ def test_top_values_and_funnel(spark):
     got = {tuple(r) for r in R.top_values(rows, {"a": F.array("a"), "b": F.col("b")}).collect()}
     assert got == {("a", "x", 2), ("a", "None", 1), ("b", "p", 2), ("b", "q", 1)}
     assert {tuple(r) for r in R.stage_funnel({"all": rows, "none": rows.filter("a = 'z'")}).collect()} == {("all", 3), ("none", 0)}
+
+
+def test_task_helpers_need_no_package_on_the_workers(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from plotline.plans import models
+
+    blob = tmp_path / "fn.pkl"
+    blob.write_bytes(cloudpickle.dumps((D._fill, D._next, models._first_model)))
+    code = f"import pickle; fns = pickle.load(open({str(blob)!r}, 'rb')); import sys; assert 'plotline' not in sys.modules; print(len(fns))"
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip().endswith("3"), done.stderr
