@@ -11,6 +11,24 @@ from llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm import exact
+
+    return exact.groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm import language
+
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm import pack
+
+    return pack.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm import mix
 
@@ -23,5 +41,23 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_mix_sources, op8_kd_shards)}
-ORACLES: dict[str, str] = {}
+def op9_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm import vectors
+
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_dedup, op4_language, op6_best_two_fit, op7_mix_sources, op8_kd_shards, op9_bayes_jaccard, op10_vector_near_dedup)}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": """
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+             g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+        SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256 FROM t JOIN g ON t.norm = g.norm
+    """,
+}
