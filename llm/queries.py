@@ -11,6 +11,12 @@ from llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm import suffixes
+
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm import exact
 
@@ -59,7 +65,7 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_dedup, op4_language, op5_window_dedup, op6_best_two_fit, op7_mix_sources, op8_kd_shards, op9_bayes_jaccard, op10_vector_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op4_language, op5_window_dedup, op6_best_two_fit, op7_mix_sources, op8_kd_shards, op9_bayes_jaccard, op10_vector_near_dedup)}
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
