@@ -100,7 +100,7 @@ def groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 
 def deduplicate(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = groups(docs, keep).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("__doc"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__sha", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
-    one = F.row_number().over(Window.partitionBy("__doc", "__sha").orderBy("__doc"))
-    return keyed.join(stay, ["__doc", "__sha"]).withColumn("__one", one).where("__one = 1").select(*docs.columns)
+    stay = groups(docs, keep).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("__exact_doc"), F.col("text_sha256").alias("__exact_sha"))
+    keyed = docs.withColumn("__exact_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__exact_sha", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
+    one = F.row_number().over(Window.partitionBy("__exact_doc", "__exact_sha").orderBy("__exact_doc"))
+    return keyed.join(stay, ["__exact_doc", "__exact_sha"]).withColumn("__exact_one", one).where("__exact_one = 1").select(*docs.columns)

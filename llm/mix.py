@@ -134,9 +134,10 @@ def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CA
 
     Rows that share a doc_id are told apart by their number among the rows of that id.
     """
-    number = lambda df, *by: df.withColumn("__key", F.coalesce("doc_id", F.lit(-1))).withColumn(
-        "__number", F.row_number().over(Window.partitionBy("__key").orderBy(*by)))
-    chosen = number(plan(docs, weights, cap), "size").select("__key", "__number", "copies")
-    texts = number(docs.withColumn("__size", word_count(F.col("text"))), "__size")
-    repeated = texts.join(chosen, ["__key", "__number"]).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__mix_key")
+    chosen = plan(docs, weights, cap).select(key, F.struct("size", "copies").alias("__mix")).groupBy("__mix_key").agg(F.sort_array(F.collect_list("__mix")).alias("__mix"))
+    keyed = docs.select("*", key).join(chosen, "__mix_key")
+    number = F.row_number().over(Window.partitionBy("__mix_key").orderBy(word_count(F.col("text"))))
+    copies = F.element_at("__mix", F.col("__mix_number"))["copies"]
+    repeated = keyed.withColumn("__mix_number", number).withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return repeated.select(*docs.columns)

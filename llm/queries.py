@@ -23,6 +23,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm import suffix_tree
+
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm import language
 
@@ -65,7 +71,7 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op4_language, op5_window_dedup, op6_best_two_fit, op7_mix_sources, op8_kd_shards, op9_bayes_jaccard, op10_vector_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_suffix_tree_score, op4_language, op5_window_dedup, op6_best_two_fit, op7_mix_sources, op8_kd_shards, op9_bayes_jaccard, op10_vector_near_dedup)}
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
