@@ -59,7 +59,7 @@ def _rates(lam: Column, x: Column, cap: float) -> Column:
 def solve(hist: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
     """sources with the dual variable ``lam``. ``hist`` has sid, size, n; ``sources`` what :func:`targets` gives."""
     mean = F.col("source_size") / F.col("n")
-    state = stored(sources.select("sid", "target", mean.alias("mean"), F.coalesce(F.log(F.col("target") / F.col("source_size")), F.lit(0.0)).alias("lam"), F.lit(-1e7).alias("lo"), F.lit(1e7).alias("hi"),
+    state = stored(sources.select("sid", "target", mean.alias("mean"), F.coalesce(F.log(F.try_divide("target", "source_size")), F.lit(0.0)).alias("lam"), F.lit(-1e7).alias("lo"), F.lit(1e7).alias("hi"),
                                   (F.col("target") >= cap * F.col("source_size")).alias("full"), F.lit(False).alias("done")), "dual")
     for _ in range(STEPS):
         at = hist.where("size > 0").join(state.where("not full and not done"), "sid").withColumn("x", F.col("size") / F.col("mean"))
