@@ -287,7 +287,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = stored(components(candidates), "candidate-groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = stored(reps.select("rep", "members", "h1").join(groups.withColumnRenamed("id", "rep"), "rep").join(stored(sizes, "group-sizes"), "component"), "members")
-    sets = rows.withColumnRenamed("doc", "rep").join(members, "rep").select("component", "rep", "members", "size", "h1", "text").mapInArrow(
+    # A merge join at every size: whether the few members fit a broadcast must not decide the plan.
+    sets = rows.withColumnRenamed("doc", "rep").join(members.hint("merge"), "rep").select("component", "rep", "members", "size", "h1", "text").mapInArrow(
         _sets, "component long, rep long, members long, size long, grams array<long>")
     verified = _tiled(sets, "component", "size", TILE).mapInArrow(lambda it: _verified(it, threshold), "a long, b long, links long")
     verified = stored(verified, "links")
