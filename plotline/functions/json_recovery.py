@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plotline.functions.text import strip
+
 
 def without_fences(text: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"(?i)^```(?:json)?\s*", "")
@@ -54,11 +56,18 @@ def _parses_to_object(text: Column) -> Column:
 
 def is_object(text: Column) -> Column:
     """The whole text is one JSON object. The parser alone would let anything follow it."""
-    bare = F.trim(text)
+    bare = strip(text)
     return F.coalesce(
         _parses_to_object(bare) & (F.try_element_at(top_level_objects(bare), F.lit(1)) == bare), F.lit(False))
 
 
+def whole_json(text: Column) -> Column:
+    """The text as VARIANT; null if it is no JSON, or an object that other text follows."""
+    parsed = F.try_parse_json(text)
+    trails = F.schema_of_variant(parsed).startswith("OBJECT") & ~is_object(text)
+    return F.when(~F.coalesce(trails, F.lit(False)), parsed)
+
+
 def recovered_object(text: Column) -> Column:
     """First candidate that parses to a JSON object, as text; null if there is none."""
     return F.try_element_at(F.filter(json_candidates(text), _parses_to_object), F.lit(1))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plotline.functions import domains as D
+from plotline.functions.text import strip
 
 
 def _mapped(label: Column, table: dict[str, str]) -> Column:
@@ -14,7 +15,7 @@ def _mapped(label: Column, table: dict[str, str]) -> Column:
 
 
 def _clean(label: Column) -> Column:
-    return F.trim(F.coalesce(label, F.lit("")))
+    return strip(F.coalesce(label, F.lit("")))
 
 
 def question_type(label: Column, target_type: Column) -> Column:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plotline.functions.text import strip
+
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def safe_double(value: Column) -> Column:
     """A timestamp-like string as DOUBLE; null when it is empty or no number."""
-    return F.when(value.rlike(NUMBER), F.trim(value).try_cast("double"))
+    return F.when(value.rlike(NUMBER), strip(value).try_cast("double"))
 
 
 def loose_bool(value: Column, default: bool = False) -> Column:
     """Common spellings of a flag; anything else is the default."""
-    text = F.lower(F.trim(value))
+    text = F.lower(strip(value))
     return (
         F.when(text.isin("true", "yes", "1", "keep"), True)
         .when(text.isin("false", "no", "0", "", "reject"), False)
@@ -25,7 +27,7 @@ def loose_bool(value: Column, default: bool = False) -> Column:
 
 def truthy_bool(value: Column, default: bool = False) -> Column:
     """Spelling rules of the selection stage: any other non-empty string counts as true."""
-    text = F.lower(F.trim(value))
+    text = F.lower(strip(value))
     return (
         F.when(value.isNull(), F.lit(default))
         .when(text.isin("false", "no", "0", ""), False)
@@ -33,11 +35,6 @@ def truthy_bool(value: Column, default: bool = False) -> Column:
     )
 
 
-def number_flag(value: Column, default: bool = False) -> Column:
-    """Truth of a numeric column."""
-    return F.coalesce(value != 0, F.lit(default))
-
-
 def loose_double(value: Column, default: Column | float = 0.0, signed: bool = True) -> Column:
     """First number inside a string; ``signed=False`` ignores a minus sign."""
     pattern = r"-?\d+(?:\.\d+)?" if signed else r"\d+(?:\.\d+)?"

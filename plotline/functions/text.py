@@ -15,6 +15,11 @@ TOKEN = r"[A-Za-z][A-Za-z']+"
 WORD = r"[a-z']+"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+
+
 def squeeze(text: Column) -> Column:
     """White-space runs become one blank; none is left at either end."""
     return F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))

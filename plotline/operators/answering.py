@@ -58,10 +58,10 @@ def normalize_prediction(index: Column, text: Column, options: Column, order: Co
 
     ``index`` is the displayed number as a string; the wording is tried exactly, then ignoring case.
     """
-    number = F.when(F.trim(index).rlike(r"^\d+$"), F.trim(index).try_cast("bigint"))
+    number = F.when(X.strip(index).rlike(r"^\d+$"), X.strip(index).try_cast("bigint"))
     by_index = F.when(number < F.size(options), number.cast("int"))
     shown = displayed_options(options, order)
-    at = F.array_position(F.transform(shown, F.lower), F.lower(F.trim(text)))
+    at = F.array_position(F.transform(shown, F.lower), F.lower(X.strip(text)))
     displayed = F.coalesce(by_index, F.when(at > 0, (at - 1).cast("int")))
     original = F.try_element_at(order, displayed + 1)
     return F.struct(
@@ -74,9 +74,17 @@ def normalize_prediction(index: Column, text: Column, options: Column, order: Co
 def prediction_rows(answers: DataFrame, run_name: str) -> DataFrame:
     """Raw model texts (``raw_text``) become prediction rows, with the failure text where nothing was found."""
     found = answers.withColumn("_json", J.recovered_object(F.col("raw_text")))
-    field = lambda key: F.get_json_object("_json", f"$.{key}")
-    index = F.coalesce(field("prediction_idx"), field("answer_idx"), field("prediction"))
-    wording = F.coalesce(field("prediction_text"), field("answer_text"))
+    fields = F.from_json("_json", "map<string,string>")
+
+    def first_present(*keys: str) -> Column:
+        """Value of the first key that the object has, even if it is null."""
+        value = F.lit(None).cast("string")
+        for key in reversed(keys):
+            value = F.when(F.map_contains_key(fields, F.lit(key)), F.try_element_at(fields, F.lit(key))).otherwise(value)
+        return value
+
+    index = first_present("prediction_idx", "answer_idx", "prediction")
+    wording = first_present("prediction_text", "answer_text")
     return found.withColumn("_p", normalize_prediction(index, wording, F.col("options"), F.col("option_order"))).withColumns({
         "prediction_idx": F.col("_p.prediction_idx"),
         "prediction_text": F.col("_p.prediction_text"),

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotline.functions.json_recovery import whole_json
 from plotline.functions import domains as D
 
 #: (condition under which the rule is broken, one message or an array<string> of messages)
@@ -305,7 +306,7 @@ def _collect(rules: Sequence[Rule]) -> Column:
 
 def check(rows: DataFrame, schema: str, text: str = "json") -> DataFrame:
     """Add ``errors`` to rows of JSON text; empty for a valid row. A text is parsed once, a stage evaluated once."""
-    parsed = rows.withColumn("_v", F.try_parse_json(text))
+    parsed = rows.withColumn("_v", whole_json(F.col(text)))
     rules = SCHEMAS[schema](Row(F.col("_v")))
     names = [f"_s{i}" for i in range(len(rules.stages))]
     staged = parsed.withColumns(

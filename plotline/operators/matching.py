@@ -29,7 +29,7 @@ def unpivot_sources(wide: DataFrame, ids: Sequence[str], sources: Sequence[str])
         raise ValueError(f"no such source column: {missing}")
     return (
         wide.unpivot(list(ids), list(sources), "source", "text")
-        .withColumn("text", F.trim("text"))
+        .withColumn("text", X.strip(F.col("text")))
         .filter(F.length("text") > 0)
     )
 

@@ -21,9 +21,11 @@ def capped_topk(scored: DataFrame, group: str, per_group: int = 2, take: int = 8
 
 
 def capped_topk2(scored: DataFrame, first: str, second: str, per_first: int = 2, per_second: int = 4, take: int = 14,
-                 trim: int = 10, min_score: float = 6, score: str = "score", tie: str = "id") -> DataFrame:
+                 trim: int = 10, min_score: float = 6, score: str = "score", then: str | None = None, tie: str = "id") -> DataFrame:
     """Greedy top-k under two caps, exact, over a row set whose size does not depend on the data.
 
+    Rows with equal scores are ordered by ``then`` (largest first), if given, and by ``tie``.
+
     A row that is passed over is one whose ``first`` or ``second`` value is full, and full values stay full. So in a
     (first, second) cell only the best ``min(caps)`` rows can be taken. Among the rows of one ``second`` value, those
     passed over belong to full ``first`` values, of which there are at most ``take / per_first``; the same holds the
@@ -35,17 +37,17 @@ def capped_topk2(scored: DataFrame, first: str, second: str, per_first: int = 2,
     reach_first = per_first + full_second * least
     few = (
         scored.filter(F.col(score) >= min_score)
-        .select(F.col(score).alias("s"), F.col(tie).alias("t"), F.col(first).alias("a"), F.col(second).alias("b"))
+        .select(F.col(score).alias("s"), (F.lit(0) if then is None else F.col(then)).cast("double").alias("e"), F.col(tie).alias("t"), F.col(first).alias("a"), F.col(second).alias("b"))
     )
     for keys, limit in ((("a", "b"), least), (("b",), reach_second), (("a",), reach_first)):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("s"), "t"))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("s"), F.desc("e"), "t"))
         few = few.withColumn("_r", rank).filter(F.col("_r") <= limit).drop("_r")
-    head = few.orderBy(F.desc("s"), "t").limit(take + full_first * reach_first + full_second * reach_second)
-    ordered = head.agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("n"), "t", "a", "b"))).alias("rows"))
+    head = few.orderBy(F.desc("s"), F.desc("e"), "t").limit(take + full_first * reach_first + full_second * reach_second)
+    ordered = head.agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("n"), (-F.col("e")).alias("m"), "t", "a", "b"))).alias("rows"))
     kind = dict(few.dtypes)
-    row = f"struct<n:double,t:{kind['t']},a:{kind['a']},b:{kind['b']}>"
+    row = f"struct<n:double,m:double,t:{kind['t']},a:{kind['a']},b:{kind['b']}>"
     taken = F.aggregate(
-        F.transform("rows", lambda r: F.struct(r["n"].cast("double").alias("n"), r["t"], r["a"], r["b"])),
+        F.transform("rows", lambda r: F.struct(r["n"].cast("double").alias("n"), r["m"], r["t"], r["a"], r["b"])),
         F.array().cast(f"array<{row}>"),
         lambda acc, r: F.when(
             (F.size(acc) < take)

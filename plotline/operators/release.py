@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotline.functions import domains as D
 from plotline.functions import labels as L
 from plotline.functions import scalars as S
+from plotline.functions import text as X
 
 PUBLIC_COLUMNS = (
     "id", "movie", "target_clip_id", "target_sentence", "context_clip_ids", "context_sentences", "question_type",
@@ -65,12 +66,12 @@ def answer_index(value: Column, options: Column, answer: Column, answer_text: Co
     A digit string settles the matter even when it is out of range.
     """
     def digits(raw: Column) -> Column:
-        return F.trim(raw).rlike(r"^\d+$")
+        return X.strip(raw).rlike(r"^\d+$")
 
     def direct(raw: Column) -> Column:
-        text = F.trim(raw)
+        text = X.strip(raw)
         number = text.try_cast("bigint")
-        at = F.array_position(F.transform(options, F.trim), text)
+        at = F.array_position(F.transform(options, X.strip), text)
         return (
             F.when(digits(raw), F.when(number.between(0, 3), number.cast("int")))
             .when(text.rlike("^[A-Da-d]$"), F.ascii(F.upper(text)) - F.ascii(F.lit("A")))

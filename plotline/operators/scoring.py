@@ -44,7 +44,11 @@ def source_metrics(examples: DataFrame, predictions: DataFrame, run: Sequence[st
     """Run metrics over valid predictions only, plus the number of invalid rows among all rows."""
     valid = run_metrics(examples, predictions.filter(F.col(value).isNotNull()), run, value, order)
     invalid = predictions.groupBy(*run).agg(F.count_if(F.col(value).isNull()).alias("num_invalid"))
-    return valid.join(invalid, list(run))
+    # A run without a valid prediction has no row on the left, but its invalid ones count.
+    total = examples.agg(F.count(F.lit(1))).scalar()
+    nothing = {"num_predictions": F.lit(0), "num_correct": F.lit(0), "accuracy": F.lit(0.0), "num_examples": total, "num_missing": total}
+    both = invalid.join(valid, list(run), "left")
+    return both.withColumns({c: F.coalesce(c, v) for c, v in nothing.items()}).select(*valid.columns, "num_invalid")
 
 
 def label_distribution(examples: DataFrame, predictions: DataFrame, value: str = "prediction", order: str = "ord") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotline.functions import domains as D
 from plotline.functions import labels as L
 from plotline.functions import scalars as S
+from plotline.functions import text as X
 
 
 def _ids(clips: Column) -> Column:
@@ -17,14 +18,14 @@ def _ids(clips: Column) -> Column:
 def needs_antecedent(sentence: Column) -> Column:
     """A sentence that opens with a fragment verb or a pronoun leans on the clip right before it."""
     starts = "|".join(D.FRAGMENT_STARTS + D.PRONOUN_STARTS)
-    return F.lower(F.trim(F.coalesce(sentence, F.lit("")))).rlike(f"^({starts}) ")
+    return F.lower(X.strip(F.coalesce(sentence, F.lit("")))).rlike(f"^({starts}) ")
 
 
 def explicitly_invalid(target_type: Column, triviality: Column) -> Column:
     """Type given but outside the domain (a null counts as given), or a trivial target."""
-    label = F.lower(F.trim(F.coalesce(target_type, F.lit("none"))))
+    label = F.lower(X.strip(F.coalesce(target_type, F.lit("none"))))
     return ((label != "") & ~label.isin(*D.TARGET_TYPES)) | F.coalesce(
-        F.lower(F.trim(triviality)).isin(*D.TRIVIAL), F.lit(False))
+        F.lower(X.strip(triviality)).isin(*D.TRIVIAL), F.lit(False))
 
 
 def resolve_target(blocks: DataFrame) -> DataFrame:
@@ -53,13 +54,13 @@ def reconcile_evidence(rows: DataFrame) -> DataFrame:
         F.coalesce("selected_context_spans", F.array().cast("array<struct<clip_id:string,span:string,evidence_type:string>>")),
         lambda e: F.exists(
             "prefix",
-            lambda c: (c["clip_id"] == e["clip_id"]) & (F.length(F.trim(e["span"])) > 0) & c["text"].contains(F.trim(e["span"])),
+            lambda c: (c["clip_id"] == e["clip_id"]) & (F.length(X.strip(e["span"])) > 0) & c["text"].contains(X.strip(e["span"])),
         ),
     )
     evidence = F.transform(quoted, lambda e: F.struct(
         e["clip_id"].alias("clip_id"),
-        F.trim(e["span"]).alias("span"),
-        F.when(F.trim(e["evidence_type"]).isin(*D.EVIDENCE_TYPES), F.trim(e["evidence_type"])).otherwise("other")
+        X.strip(e["span"]).alias("span"),
+        F.when(X.strip(e["evidence_type"]).isin(*D.EVIDENCE_TYPES), X.strip(e["evidence_type"])).otherwise("other")
         .alias("evidence_type"),
     ))
     chosen = F.filter("selected_context_clip_ids", lambda x: F.array_contains(prefix_ids, x))
@@ -106,7 +107,7 @@ def route(passes: Column) -> Column:
 
 def rejection_reason(raw_target_id: Column, raw_position: Column) -> Column:
     """First rule that applies, in fixed order."""
-    triviality = F.lower(F.trim(F.coalesce("target_triviality", F.lit(""))))
+    triviality = F.lower(X.strip(F.coalesce("target_triviality", F.lit(""))))
     no_target = ~F.col("found") | F.col("target").isNull()
     named = F.coalesce(F.length(raw_target_id) > 0, F.lit(False)) | raw_position.isNotNull()
     invalid = explicitly_invalid(F.col("target_type"), F.col("target_triviality"))

@@ -77,10 +77,14 @@ def contexts_of(examples: DataFrame, ordered: DataFrame, k: int = 8, longest: in
                 hot_rows: int | None = None) -> DataFrame:
     """Add ``prior`` to examples that name their target by sequence number or, where that is null, by clip id.
 
-    Joins are on (movie, clip), never on the movie alone. A target that is not in its sequence makes the job fail.
+    The frame counts by sequence number, not by time: it holds the ``k`` clips with the largest numbers below the target's. Where
+    a number or an id occurs twice in a movie, its first clip counts. Joins are on (movie, clip), never on the movie alone. A
+    target that is not in its sequence makes the job fail.
     """
-    frames = prior_context(ordered, k, "prior", longest=longest, hot_rows=hot_rows)
-    by_id = ordered.select("movie", F.col("clip_id").alias("target_clip_id"), F.col("sequence_index").alias("_found"))
+    by_number = positions(ordered.withColumnRenamed("pos", "_time"), ["movie"], [F.col("sequence_index"), F.col("_time")], "pos", longest, hot_rows)
+    framed = prior_context(by_number, k, "prior", longest=longest, hot_rows=hot_rows)
+    frames = framed.groupBy("movie", "sequence_index").agg(F.min_by("prior", "pos").alias("prior"))
+    by_id = ordered.groupBy("movie", F.col("clip_id").alias("target_clip_id")).agg(F.min_by("sequence_index", "pos").alias("_found"))
     located = examples.join(by_id, ["movie", "target_clip_id"], "left").withColumn(
         "_index", F.coalesce("target_index", "_found"))
     joined = located.join(frames.select("movie", F.col("sequence_index").alias("_index"), "prior"), ["movie", "_index"], "left")

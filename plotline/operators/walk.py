@@ -53,8 +53,11 @@ def walk(blocks: DataFrame, width: int, longest: int, group: str = "movie", star
     chunk = setting(blocks, WALK_STARTS, chunk)
     if chunk < width:
         raise ValueError("a piece must not be shorter than a step")
-    steps = blocks.select(F.col(group).alias("g"), F.col(start).cast("bigint").alias("start"),
-                          F.col(step).cast("bigint").alias("step"))
+    moves, place = F.col(step).cast("bigint"), F.col(start).cast("bigint")
+    # Checked in the plan, so that both ways of walking give the same rows or both fail.
+    sound = F.when(moves.between(1, width), moves).otherwise(F.raise_error(F.concat(F.lit(f"a step outside 1..{width} at "), place.cast("string"))).cast("bigint"))
+    inside = F.when(place.between(0, longest - 1), place).otherwise(F.raise_error(F.concat(F.lit(f"a sequence longer than {longest}: start "), place.cast("string"))).cast("bigint"))
+    steps = blocks.select(F.col(group).alias("g"), inside.alias("start"), sound.alias("step"))
     leaves = (
         steps.groupBy("g", F.floor(F.col("start") / chunk).alias("piece"))
         .agg(F.array_sort(F.collect_list(F.struct("start", "step"))).alias("starts"))
@@ -146,8 +149,9 @@ def walk_with_budget(blocks: DataFrame, width: int, longest: int, budget: int, c
                      chunk: int | None = None) -> DataFrame:
     """Walk in which only the first ``budget`` calls (over all sequences, in sequence order) use their decision.
 
-    Later blocks get the default decision, which moves on by one. Adds ``used``.
+    Later blocks, and blocks whose call did not come back, get the default decision, which moves on by one. Adds ``used``.
     """
+    blocks = blocks.withColumn(step, F.when(F.col(called), F.col(step)).otherwise(F.lit(1)))
     flags = blocks.select(group, start, called)
     plain = walk(blocks, width, longest, group, start, step, chunk).join(flags, [group, start])
     # The last call inside the budget: at most one row to the driver.

@@ -33,9 +33,9 @@ def mcq_metrics(spark, sf_dir):
 
 
 @query("source_metrics", O.with_views("""
-    SELECT p.source, p.k, p.num_invalid, v.num_predictions, v.num_correct
+    SELECT p.source, p.k, p.num_invalid, coalesce(v.num_predictions, 0) AS num_predictions, coalesce(v.num_correct, 0) AS num_correct
     FROM (SELECT source, k, count(*) FILTER (prediction IS NULL) AS num_invalid FROM v_predictions GROUP BY ALL) p
-    JOIN (SELECT l.source, l.k, count(*) AS num_predictions, count(*) FILTER (l.prediction = e.answer_idx) AS num_correct
+    LEFT JOIN (SELECT l.source, l.k, count(*) AS num_predictions, count(*) FILTER (l.prediction = e.answer_idx) AS num_correct
           FROM (SELECT id, source, k, arg_max(prediction, ord) AS prediction FROM v_predictions WHERE prediction IS NOT NULL GROUP BY ALL) l
           LEFT JOIN v_key e USING (id) GROUP BY ALL) v USING (source, k)""", "v_predictions", "v_key"))
 def source_metrics(spark, sf_dir):

@@ -97,7 +97,7 @@ def target_walk(spark, sf_dir):
 
 
 @query("walk_budget", O.with_views(f"""
-    WITH steps AS ({_STEPS}),
+    WITH steps AS (SELECT movie, block_start, called, CASE WHEN called THEN step ELSE 1 END AS step FROM ({_STEPS})),
     visited AS (
       SELECT movie, min(block_start) AS block_start FROM steps GROUP BY movie
       UNION ALL

@@ -29,14 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table in fewer pieces than there are cores, spread out for work that is heavy per row; others stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def _literal(v) -> str:
@@ -54,7 +48,7 @@ def pick(values: Sequence, index: str) -> Column:
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as sequences of clips: two seconds per turn."""
-    raw = spread(table(spark, sf_dir, "conversations"), "conv_id")
+    raw = table(spark, sf_dir, "conversations")
     start, end = F.col("turn") * F.lit(2.0), F.col("turn") * F.lit(2.0) + F.lit(1.5)
     named = raw.select(
         "conv_id", "turn", "role",
@@ -219,7 +213,7 @@ def predictions(spark: SparkSession, sf_dir: str, longest: int | None = None) ->
 
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as timed texts: one sequence per user, times in seconds to the millisecond."""
-    e = spread(table(spark, sf_dir, "events"), "event_id")
+    e = table(spark, sf_dir, "events")
     start = F.round(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 1e6, 3)
     rows = e.select(
         "event_id", "user_id", "event_type",

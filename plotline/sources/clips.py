@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plotline.functions import domains as D
 from plotline.functions import scalars as S
 from plotline.functions import text as X
+from plotline.functions.json_recovery import whole_json
 
 _FORMATS = (("csv", "*.{csv,CSV}", ","), ("csv", "*.{tsv,TSV}", "\t"), ("json", "*.{jsonl,JSONL}", None))
 _PLACE = ("_file", "_block")
@@ -21,7 +22,7 @@ def _resolve(df: DataFrame, field: str, default: str | None = None) -> Column:
     for alias in D.CLIP_COLUMN_ALIASES[field]:
         if alias in by_name:
             value = F.col(f"`{by_name[alias]}`").cast("string")
-            return F.when(F.length(value) > 0, F.trim(value)).otherwise(F.lit(default))
+            return F.when(F.length(value) > 0, X.strip(value)).otherwise(F.lit(default))
     return F.lit(default).cast("string")
 
 
@@ -70,7 +71,7 @@ def _json_field(entries: Column, field: str) -> Column:
         hits = F.filter(entries, _key_is(alias))
         found = F.try_element_at(hits, F.lit(-1))["value"]
         value = F.when(F.size(hits) > 0, found) if value is None else value.when(F.size(hits) > 0, found)
-    return F.when(F.length(value) > 0, F.trim(value))
+    return F.when(F.length(value) > 0, X.strip(value))
 
 
 def _key_is(alias: str):
@@ -79,7 +80,7 @@ def _key_is(alias: str):
 
 def _json_columns(lines: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Objects of a JSON-lines file; blank lines and other JSON values are skipped, broken JSON makes the job fail."""
-    parsed = lines.withColumn("_t", F.trim("value")).filter(F.length("_t") > 0).withColumn("_v", F.try_parse_json("_t"))
+    parsed = lines.withColumn("_t", X.strip(F.col("value"))).filter(F.length("_t") > 0).withColumn("_v", whole_json(F.col("_t")))
     valid = F.when(F.col("_v").isNotNull(), F.schema_of_variant("_v").startswith("OBJECT")).otherwise(
         F.raise_error(F.concat(F.lit("invalid JSON in "), "_file", F.lit(": "), F.left("_t", F.lit(200)))).cast("boolean"))
     rows = parsed.filter(valid).withColumn("_e", F.map_entries(F.from_json("_t", "map<string,string>")))

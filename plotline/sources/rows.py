@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plotline.functions.json_recovery import is_object
+from plotline.functions.text import strip
 from plotline.sources.clips import with_row_numbers
 
 REQUIRED_CLIP_COLUMNS = ("audio_description", "clip_id", "movie")
@@ -21,7 +22,7 @@ def tolerant_lines(spark: SparkSession, path: str, numbered: bool = False) -> Da
                              F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
         text = with_row_numbers(placed).withColumn("line", F.col("sequence_index") + 1)
     keep = ["file", "line"] if numbered else []
-    rows = text.select(F.trim("value").alias("json"), *keep).filter(F.length("json") > 0)
+    rows = text.select(strip(F.col("value")).alias("json"), *keep).filter(F.length("json") > 0)
     return rows.withColumn("malformed", malformed(F.col("json")))
 
 

@@ -34,7 +34,7 @@ def read_text_sources(spark: SparkSession, path: str, sources: Sequence[str]) ->
     place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
     rows = wide.select(
         F.col("start").cast("double").alias("r_start"), F.col("end").cast("double").alias("r_end"),
-        X.sequence_key(F.col("movie")).alias("key"), F.trim(F.coalesce("ground_truth", F.lit(""))).alias("ground_truth"),
+        X.sequence_key(F.col("movie")).alias("key"), X.strip(F.coalesce("ground_truth", F.lit(""))).alias("ground_truth"),
         place.alias("ord"), *[F.col(f"`{s}`") for s in sources if s in wide.columns])
     return unpivot_sources(rows, ["ord", "key", "r_start", "r_end", "ground_truth"], sources)
 

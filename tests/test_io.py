@@ -140,3 +140,19 @@ def test_split_and_route_sinks(spark, tmp_path):
     assert private.first()["split"] == "train_private" and private.first()["answer_source"]["source"] == "target_sentence"
     T.write_routed(rows.select("id", F.lit("kept").alias("route")), str(tmp_path / "r"))
     assert (tmp_path / "r" / "route=kept").is_dir()
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from plotline.functions import scalars as S
+    from plotline.functions import text as X
+    from plotline.operators import selection as P
+
+    rows = spark.createDataFrame([("keep\n", "\nHe runs", " 　M\t")], "flag string, sentence string, movie string")
+    got = rows.select(S.loose_bool(F.col("flag")), P.needs_antecedent(F.col("sentence")), X.strip(F.col("movie"))).first()
+    assert tuple(got) == (True, True, "M")
+
+
+def test_text_behind_a_json_object_is_an_error(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"movie": "m", "text": "x"} trailing\n')
+    with pytest.raises(Exception, match="invalid JSON"):
+        C.scan_clips(spark, str(tmp_path / "a.jsonl")).collect()

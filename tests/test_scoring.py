@@ -127,3 +127,27 @@ def test_task_helpers_need_no_package_on_the_workers(tmp_path):
     code = f"import pickle; fns = pickle.load(open({str(blob)!r}, 'rb')); import sys; assert 'plotline' not in sys.modules; print(len(fns))"
     done = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, timeout=120)
     assert done.stdout.strip().endswith("3"), done.stderr
+
+
+def test_a_run_of_invalid_predictions_counts(spark):
+    from plotline.operators import scoring as K
+
+    gold = spark.createDataFrame([("x", 0), ("y", 1)], "id string, answer_idx int")
+    said = spark.createDataFrame([("x", "a", 0, 1), ("y", "a", 1, 2), ("x", "b", None, 3), ("y", "b", None, 4)], "id string, source string, prediction int, ord int")
+    got = {r["source"]: (r["accuracy"], r["num_invalid"], r["num_predictions"], r["num_missing"]) for r in K.source_metrics(gold, said, ["source"]).collect()}
+    assert got == {"a": (1.0, 0, 2, 0), "b": (0.0, 2, 0, 2)}
+
+
+def test_a_null_key_that_is_present_decides(spark):
+    from plotline.operators import answering as N
+
+    rows = spark.createDataFrame([("a", '{"prediction_idx": null, "prediction": 2}'), ("b", '{"prediction": 2}')], "id string, raw_text string").selectExpr(
+        "*", "array('p','q','r','s') AS options", "array(0,1,2,3) AS option_order", "2 AS answer_idx")
+    assert {r["id"]: r["prediction_idx"] for r in N.prediction_rows(rows, "r").collect()} == {"a": None, "b": 2}
+
+
+def test_score_ties_go_by_the_second_score(spark):
+    from plotline.operators import picks as T
+
+    rows = spark.createDataFrame([("a", "m1", "x", 7.0, 1), ("b", "m2", "y", 7.0, 3), ("c", "m3", "z", 8.0, 0)], "id string, movie string, target_type string, score double, evidence int")
+    assert [r["id"] for r in T.capped_topk2(rows, "movie", "target_type", then="evidence").orderBy("place").collect()] == ["c", "b", "a"]

@@ -110,7 +110,7 @@ def test_walk_budget_equals_the_sequential_rule(spark, budget):
             want.add((m, at, used and called))
             if used and called:
                 calls += 1
-            at += step if used else 1
+            at += step if used and called else 1  # a call that did not come back gives the default decision
     df = spark.createDataFrame(rows, "movie string, block_start long, step long, called boolean")
     got = {tuple(r) for r in W.walk_with_budget(df, 3, 14, budget, chunk=4).select("movie", "block_start", "used").collect()}
     assert got == want
@@ -196,3 +196,34 @@ def test_pronoun_target_needs_the_clip_before_it(spark):
     clips = [(f"a{i + 1}", i, None, None, t) for i, t in enumerate(["The hall is dark.", "A lamp is lit.", "He smiles."])]
     far = _block(0, clips=clips, selected_context_spans=[("a1", "dark", "other")], selected_context_clip_ids=[])
     assert _materialize(spark, far).first()["route"] == "rejected"
+
+
+def test_last_k_counts_by_number_and_first_match_wins(spark):
+    from plotline.operators import sequence as Q
+
+    clips = spark.createDataFrame([("m", "c5", "0", 5), ("m", "c1", "1", 1), ("m", "c7", "2", 7), ("m", "c9", "3", 9), ("m", "c7", "4", 11)],
+                                  "movie string, clip_id string, timestamp_start string, sequence_index long").selectExpr("*", "'' AS timestamp_end", "clip_id AS text")
+    ordered = Q.order_clips(clips)
+    examples = spark.createDataFrame([("a", "m", None, 5), ("b", "m", "c7", None), ("c", "m", None, 9)], "id string, movie string, target_clip_id string, target_index long")
+    got = {r["id"]: [c["sequence_index"] for c in r["prior"]] for r in Q.contexts_of(examples, ordered, 2).collect()}
+    assert got == {"a": [1], "b": [1, 5], "c": [5, 7]}
+
+
+def test_both_walks_refuse_the_same_steps(spark):
+    import pytest
+
+    from plotline.operators import walk as W
+
+    for step, longest in ((6, 100), (0, 100), (1, 30)):
+        blocks = spark.createDataFrame([("m", i, step if i == 5 else 1) for i in range(40)], "movie string, block_start long, step long")
+        for chunk in (64, 4):
+            with pytest.raises(Exception, match="outside 1..4|longer than"):
+                W.walk(blocks, 4, longest, chunk=chunk).collect()
+
+
+def test_a_call_that_did_not_come_back_moves_on_by_one(spark):
+    from plotline.operators import walk as W
+
+    blocks = spark.createDataFrame([("m", 0, 3, False), ("m", 1, 2, True), ("m", 2, 1, True), ("m", 3, 1, True)], "movie string, block_start long, step long, called boolean")
+    got = {(r["block_start"], r["used"]) for r in W.walk_with_budget(blocks, 4, 4, 5).collect()}
+    assert got == {(0, False), (1, True), (3, True)}
