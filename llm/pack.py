@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,10 @@ from llm.textops import SPACE, pieces, span_hashes, text_buffer
 LIMIT = 2048
 END = 0
 #: Units that a task remembers before it starts over.
-MEMORY = 1 << 21
+MEMORY = 1 << 20
+#: Units encoded at a time, and bytes of text handled at a time.
+AT_ONCE = 2048
+PIECE = 1 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -90,11 +94,16 @@ class Encoder:
     def _learn(self, data: np.ndarray, keys: np.ndarray, check: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         if len(self.keys) > MEMORY:
             self._forget()
-        raw = data.tobytes()
-        found = [e.ids for e in self.tokenizer.encode_batch([raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        raw, spans = data.tobytes(), list(zip(starts.tolist(), ends.tolist(), strict=True))
+        sizes, flat = [], [self.ids]
+        for k in range(0, len(spans), AT_ONCE):  # an encoding is much larger than its ids
+            found = self.tokenizer.encode_batch([raw[s:e].decode() for s, e in spans[k : k + AT_ONCE]], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        size = np.concatenate(sizes)
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *[np.asarray([x for f in found for x in f], dtype=np.uint32)]])
+        self.ids = np.concatenate(flat)
         keys, check, at, size = (np.concatenate(p) for p in ((self.keys, keys), (self.check, check), (self.at, at), (self.size, size)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.check, self.at, self.size = keys[order], check[order], at[order], size[order]
@@ -154,7 +163,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for some in pieces(batch):
+            for some in pieces(batch, limit=PIECE):
                 data, offsets = text_buffer(some.column(1))
                 ids, bounds = encode(data, offsets)
                 n = np.diff(bounds)
