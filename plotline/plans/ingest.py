@@ -17,20 +17,21 @@ from plotline.sources import tables as T
 
 @query("clip_scan", O.with_views("SELECT movie, clip_id, timestamp_start, timestamp_end, text FROM v_clips", "v_clips"))
 def clip_scan(spark, sf_dir):
-    """Turns written as CSV, TSV and JSONL with three header styles, read back as one clip table."""
+    """Turns written as CSV with two headers, TSV and JSON lines, read back from one folder as one clip table."""
     base = scratch_path(spark, "clip-scan")
     turns = A.clips(spark, sf_dir)
     times = ("timestamp_start", "timestamp_end")
-    csv = turns.filter("role = 'user'").select("movie", *[F.col(t).alias(a) for t, a in zip(times, ("start", "end"))], F.col("text").alias("Sentence"))
+    csv = turns.filter("role = 'user' AND conv_id % 2 = 0").select("movie", *[F.col(t).alias(a) for t, a in zip(times, ("start", "end"))], F.col("text").alias("Sentence"))
     tsv = turns.filter("role = 'assistant'").select(F.col("movie").alias("Video_ID"), *times, F.lit(None).cast("string").alias("id"), F.col("text").alias("caption"))
     jsonl = turns.filter("role = 'system'").select(F.col("movie").alias("imdb"), *[F.col(t).alias(a) for t, a in zip(times, ("start_time", "end_time"))], "text")
     csv.write.option("header", True).option("escape", '"').csv(f"{base}/csv")
-    tsv.write.option("header", True).option("escape", '"').option("sep", "\t").csv(f"{base}/tsv")
+    tsv.write.option("header", True).option("escape", '"').option("sep", "\t").option("extension", "tsv").csv(f"{base}/tsv")
+    # A second header among the comma-separated files, in one scan with the first.
+    other = turns.filter("role = 'user' AND conv_id % 2 = 1").select(F.col("text").alias("description"), F.col("movie").alias("Movie_ID"), *times)
+    other.write.option("header", True).option("escape", '"').csv(f"{base}/other")
     jsonl.write.json(f"{base}/jsonl")
-    # Spark names its files .csv and .json, so the three layouts are scanned one by one.
-    scanned = [C.scan_layout(spark, f"{base}/csv", "csv", sep=","), C.scan_layout(spark, f"{base}/tsv", "csv", sep="\t"),
-               C.scan_layout(spark, f"{base}/jsonl", "json")]
-    return C.finish_clips(C.with_row_numbers(C.union_all(scanned))).select("movie", "clip_id", *times, "text")
+    # Spark names JSON lines .json.
+    return C.scan_clips(spark, base, suffixes=C.LAYOUTS | {"json": "jsonl"}).select("movie", "clip_id", *times, "text")
 
 
 @query("clip_ids", O.with_views("""

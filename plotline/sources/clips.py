@@ -12,7 +12,7 @@ from plotline.functions import scalars as S
 from plotline.functions import text as X
 from plotline.functions.json_recovery import whole_json
 
-_FORMATS = (("csv", "*.{csv,CSV}", ","), ("csv", "*.{tsv,TSV}", "\t"), ("json", "*.{jsonl,JSONL}", None))
+LAYOUTS = {"csv": "csv", "tsv": "tsv", "jsonl": "jsonl"}
 _PLACE = ("_file", "_block")
 
 
@@ -87,25 +87,28 @@ def _json_columns(lines: DataFrame, keep: Sequence[str]) -> DataFrame:
     return rows.select(*[_json_field(F.col("_e"), f).alias(f) for f in D.CLIP_COLUMN_ALIASES], *keep)
 
 
-def scan_layout(spark: SparkSession, path: str, kind: str, sep: str = ",", glob: str | None = None,
-                multi_line: bool = False) -> DataFrame | None:
-    """Clip columns of CSV files that share one header, or of JSON-lines files with any keys.
+def _csv_columns(spark: SparkSession, files: Sequence[str], sep: str, multi_line: bool) -> DataFrame:
+    """Clip columns of CSV files that share one header line."""
+    raw = spark.read.csv(list(files), header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
+    return clip_columns(_placed(raw), (*_PLACE, "_at"))
 
-    CSV files whose header differs from the first one make the job fail rather than be misread.
-    """
-    reader = spark.read.option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    if kind == "csv":
-        raw = reader.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
-    else:
-        raw = reader.text(path)
-    if not raw.columns:
-        return None
-    keep = (*_PLACE, "_at")
-    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                        F.monotonically_increasing_id().alias("_at"))
-    return clip_columns(placed, keep) if kind == "csv" else _json_columns(placed, keep)
+
+def _placed(raw: DataFrame) -> DataFrame:
+    return raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_at"))
+
+
+def _listed(spark: SparkSession, path: str, suffixes: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(layout, path, path as the readers report it) of the clip files below a path. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("_metadata.file_path").alias("uri"))
+    found = [(suffixes.get(r["path"].rsplit(".", 1)[-1].lower()), r["path"], r["uri"]) for r in files.collect()]
+    return sorted(f for f in found if f[0])
+
+
+def _headers(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
+    """First line of each file."""
+    lines = _placed(spark.read.text(list(files))).filter("_block = 0")
+    return {r["_file"]: r["line"].lstrip("\ufeff") for r in lines.groupBy("_file").agg(F.min_by("value", "_at").alias("line")).collect()}
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -115,24 +118,27 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return rows
 
 
-def scan_clips(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
-    """All clips in the given files or directories; other file types are skipped.
+def scan_clips(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False, suffixes: dict[str, str] = LAYOUTS) -> DataFrame:
+    """All clips in the given files or directories, whatever clip file types these hold; other files are skipped.
 
-    Every path is resolved on its own, so paths may differ in their headers. ``multi_line`` allows line breaks inside
-    CSV fields; such files cannot be split.
+    Files of one layout may differ in their headers: they are read together per header line. ``multi_line`` allows line
+    breaks inside CSV fields; such files cannot be split. ``suffixes`` maps lower-case file suffixes to layouts.
     """
-    parts = []
-    for path in [paths] if isinstance(paths, str) else paths:
-        suffix = path.rsplit(".", 1)[-1].lower()
-        for kind, glob, sep in _FORMATS:
-            if suffix in {"csv", "tsv", "jsonl"}:
-                if suffix in glob:
-                    parts.append(scan_layout(spark, path, kind, sep or ",", None, multi_line))
-            else:
-                parts.append(scan_layout(spark, path, kind, sep or ",", glob, multi_line))
-    parts = [p for p in parts if p is not None]
-    if not parts:
+    listed = sorted({f for path in ([paths] if isinstance(paths, str) else paths) for f in _listed(spark, path, suffixes)})
+    if not listed:
         raise ValueError(f"no csv, tsv or jsonl file in {paths}")
+    tables = [(layout, path, uri) for layout, path, uri in listed if layout != "jsonl"]
+    headers = _headers(spark, [path for _, path, _ in tables]) if tables else {}
+    groups: dict[tuple[str, str], list[str]] = {}
+    for layout, path, uri in tables:
+        if uri in headers:  # an empty file has no first line
+            groups.setdefault((layout, headers[uri]), []).append(path)
+    parts = [_csv_columns(spark, files, "\t" if layout == "tsv" else ",", multi_line) for (layout, _), files in groups.items()]
+    lines = [path for layout, path, _ in listed if layout == "jsonl"]
+    if lines:
+        parts.append(_json_columns(_placed(spark.read.text(lines)), (*_PLACE, "_at")))
+    if not parts:
+        return finish_clips(spark.createDataFrame([], ", ".join(f"{f} string" for f in D.CLIP_COLUMN_ALIASES)).withColumn("sequence_index", F.lit(0).cast("bigint")))
     return finish_clips(with_row_numbers(union_all(parts)))
 
 

@@ -41,12 +41,18 @@ def test_row_numbers_go_through_input_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_mixed_headers_in_one_layout_fail(spark, tmp_path):
+def test_headers_may_differ_in_a_folder(spark, tmp_path):
     (tmp_path / "a.csv").write_text("movie,text\nm,x\n")
-    (tmp_path / "b.csv").write_text("text,movie\nx,m\n")
-    with pytest.raises(Exception, match="header|schema"):
-        C.scan_clips(spark, str(tmp_path)).collect()
-    assert C.scan_clips(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).filter("movie = 'm'").count() == 2
+    (tmp_path / "b c.CSV").write_text("text,movie\ny,m\nz,m\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = {(r["movie"], r["text"], r["sequence_index"]) for r in C.scan_clips(spark, str(tmp_path)).collect()}
+    assert got == {("m", "x", 0), ("m", "y", 0), ("m", "z", 1)}
+
+
+@pytest.mark.parametrize("name,content", [("a.csv", "movie,text\nm,x\n"), ("a.TSV", "movie\ttext\nm\tx\n"), ("a.jsonl", '{"movie": "m", "text": "x"}\n')])
+def test_a_folder_with_one_type(spark, tmp_path, name, content):
+    (tmp_path / name).write_text(content)
+    assert [(r["movie"], r["text"]) for r in C.scan_clips(spark, str(tmp_path)).collect()] == [("m", "x")]
 
 
 def test_json_rows(spark, tmp_path):
