@@ -24,7 +24,7 @@ def internal_json(spark, sf_dir, keep=()):
     rows = A.examples(spark, sf_dir)
     cut = F.slice("context_sentences", F.lit(1), F.greatest(F.size("context_sentences") - 1, F.lit(0)))
     fields = [
-        F.col("id"), F.when(F.col("role") == "system", "").otherwise(F.col("movie")).alias("movie"), F.col("target_clip_id"),
+        F.col("id"), F.when(A.planted(), "").otherwise(F.col("movie")).alias("movie"), F.col("target_clip_id"),
         F.col("target_sentence"), F.col("context_clip_ids"),
         F.when(F.pmod(_sum(), F.lit(7)) == 0, cut).otherwise(F.col("context_sentences")).alias("context_sentences"),
         F.col("question_type_raw").alias("question_type"), F.col("question"),
@@ -44,7 +44,7 @@ def internal_json(spark, sf_dir, keep=()):
 _EXPECT = O.safe_double("expectedness_raw")
 O.VIEWS["v_core_errors"] = (("v_examples",), f"""
     SELECT id, conv_id * 1000 + pos AS row, CASE WHEN role = 'user' AND len(gone) > 0 THEN gone ELSE list_filter([
-        CASE WHEN role = 'system' THEN 'movie must be non-empty string' END,
+        CASE WHEN (conv_id + pos) % 11 = 4 THEN 'movie must be non-empty string' END,
         CASE WHEN s % 7 = 0 THEN 'context_clip_ids and context_sentences must align' END,
         CASE WHEN question_type_raw IS NULL OR NOT list_contains({O.QUESTION_TYPES}, question_type_raw) THEN 'invalid question_type' END,
         CASE WHEN s % 9 = 0 THEN 'options must contain exactly four strings' END,
@@ -81,12 +81,12 @@ def release_json(spark, sf_dir):
         (F.size("context") + F.when(F.pmod(_sum(), F.lit(5)) == 0, 1).otherwise(0)).alias("context_length"), F.col("expectedness"),
     ]
     keep = {"ignoreNullFields": "false"}
-    return rows.select("id", F.when(F.col("role") == "system", F.to_json(F.struct(*fields, "answer_idx"), keep))
+    return rows.select("id", F.when(A.planted(), F.to_json(F.struct(*fields, "answer_idx"), keep))
                        .otherwise(F.to_json(F.struct(*fields), keep)).alias("json"))
 
 
 @query("release_constraints", O.with_views(f"""
-    SELECT id, CASE WHEN role = 'system' THEN 'public example must not contain answer_idx' ELSE array_to_string(list_filter([
+    SELECT id, CASE WHEN (conv_id + pos) % 11 = 4 THEN 'public example must not contain answer_idx' ELSE array_to_string(list_filter([
         CASE WHEN s % 6 = 0 THEN 'each prior_context item must have non-empty text' END,
         CASE WHEN NOT list_contains({O.TYPES}, target_type) THEN 'invalid target_type' END,
         CASE WHEN s % 5 = 0 THEN 'context_length must equal len(prior_context)' END], lambda x: x IS NOT NULL), ';') END AS errors
@@ -140,29 +140,31 @@ _FLAGS = ("no_context_prompt_differs_across_sources", "no_context_prompt_contain
 
 @query("leak_audit", O.with_views("""
     WITH flags AS (
-      SELECT id, 0 AS no_context_prompt_differs_across_sources, (contains(shown, 'ground_truth') OR contains(shown, 'alpha'))::INT AS no_context_prompt_contains_source_name,
-             (role = 'system' OR contains(shown, id))::INT AS no_context_prompt_contains_real_id,
-             (contains(shown, 'Prior') OR contains(shown, 'audio descriptions'))::INT AS no_context_prompt_contains_context_header,
-             contains(shown, '"prediction_idx": 0')::INT AS prompt_contains_dummy_answer,
-             (role = 'system')::INT AS context_includes_target_or_later,
-             (length(target_sentence) < 60)::INT AS k1_not_immediate_prior, (role = 'system')::INT AS k_not_last_k_prior
-      FROM (SELECT *, array_to_string(options, ' ') AS shown FROM v_examples)),
+      SELECT id, ((conv_id + pos) % 17 = 6)::INT AS no_context_prompt_differs_across_sources, (leaks OR contains(shown, 'ground_truth') OR contains(shown, 'alpha'))::INT AS no_context_prompt_contains_source_name,
+             ((conv_id + pos) % 11 = 4 OR contains(shown, id))::INT AS no_context_prompt_contains_real_id,
+             (leaks OR contains(shown, 'Prior') OR contains(shown, 'audio descriptions'))::INT AS no_context_prompt_contains_context_header,
+             (leaks OR contains(shown, '"prediction_idx": 0'))::INT AS prompt_contains_dummy_answer,
+             ((conv_id + pos) % 11 = 4)::INT AS context_includes_target_or_later,
+             (length(target_sentence) < 60)::INT AS k1_not_immediate_prior, ((conv_id + pos) % 11 = 4)::INT AS k_not_last_k_prior
+      FROM (SELECT *, array_to_string(options, ' ') AS shown, (conv_id + pos) % 13 = 5 AS leaks FROM v_examples)),
     long AS (UNPIVOT flags ON COLUMNS(* EXCLUDE id) INTO NAME "check" VALUE n)
     SELECT "check", sum(n)::BIGINT AS violations, coalesce(array_to_string((list(id ORDER BY id) FILTER (n > 0))[1:5], ','), '') AS samples
     FROM long GROUP BY "check" """, "v_examples"))
 def leak_audit(spark, sf_dir):
-    """Contexts and prompts with planted faults: system turns leak the target and the id, short targets lose their context."""
+    """Contexts and prompts with planted faults: planted turns leak the target and the id, others a source name,
+    a context header and an answer, or differ across sources; short targets lose their context."""
     rows = A.examples(spark, sf_dir)
-    index, system = F.col("sequence_index"), F.col("role") == "system"
+    index, system = F.col("sequence_index"), A.planted()
     prior = F.transform("prior", lambda c: c["sequence_index"])
     contexts = {k: Q.last_k(prior, k) for k in (1, 2, 4, 8)}
     contexts[1] = F.when(F.length("target_sentence") < 60, F.slice(prior, 1, 0)).otherwise(contexts[1])
     contexts[4] = F.when(system, F.array_append(contexts[4], index)).otherwise(contexts[4])
-    asked = F.when(system, F.concat("question", F.lit(" "), "id")).otherwise(F.col("question"))
+    leaked = F.when(F.pmod(_sum(), F.lit(13)) == 5, ' alpha Prior audio descriptions "prediction_idx": 0').otherwise("")
+    asked = F.concat(F.col("question"), F.when(system, F.concat(F.lit(" "), F.col("id"))).otherwise(""), leaked)
     shown = N.displayed_options(F.col("options"), N.option_order(F.col("id"), F.col("options")))
     prompt = N.question_prompt(asked, shown, F.array().cast("array<string>"))
-    rows = rows.withColumn("_prompt", prompt)
-    flags = U.leak_flags(index, prior, contexts, F.col("_prompt"), F.col("id"), ("ground_truth", "alpha"), (F.col("_prompt"),))
+    rows = rows.withColumn("_prompt", prompt).withColumn("_other", F.concat("_prompt", F.when(F.pmod(_sum(), F.lit(17)) == 6, " ").otherwise("")))
+    flags = U.leak_flags(index, prior, contexts, F.col("_prompt"), F.col("id"), ("ground_truth", "alpha"), (F.col("_prompt"), F.col("_other")))
     return U.leak_report(rows.select("id", *[v.alias(n) for n, v in flags.items()]), list(flags))
 
 

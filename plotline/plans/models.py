@@ -65,14 +65,14 @@ def prompt_table(spark, sf_dir):
 @query("prediction_normalize", O.with_views("""
     SELECT id, CASE WHEN d < 4 THEN ord[d + 1] END::BIGINT AS prediction_idx, CASE WHEN d < 4 THEN options[ord[d + 1] + 1] END AS prediction_text,
            CASE WHEN d < 4 THEN d END AS displayed_idx
-    FROM (SELECT *, CASE WHEN role = 'user' THEN (conv_id + pos) % 5
+    FROM (SELECT *, CASE WHEN (conv_id + pos) % 11 = 4 THEN 9 WHEN role = 'user' THEN (conv_id + pos) % 5
                          WHEN role = 'assistant' THEN list_position(list_transform(shown, lambda o: lower(o)), lower(answer_text)) - 1 ELSE 9 END AS d FROM v_shown)""",
     "v_shown"))
 def prediction_normalize(spark, sf_dir):
-    """User turns are answered by number (4 is out of range), assistant turns by wording, system turns not at all."""
+    """User turns are answered by number (4 is out of range), assistant turns by wording, planted turns not at all."""
     rows = shown(spark, sf_dir)
-    index = F.when(F.col("role") == "user", F.concat(F.lit(" "), F.pmod(F.col("conv_id") + F.col("pos"), F.lit(5)).cast("string")))
-    wording = F.when(F.col("role") == "assistant", F.concat(F.lower("answer_text"), F.lit(" ")))
+    index = F.when((F.col("role") == "user") & ~A.planted(), F.concat(F.lit(" "), F.pmod(F.col("conv_id") + F.col("pos"), F.lit(5)).cast("string")))
+    wording = F.when((F.col("role") == "assistant") & ~A.planted(), F.concat(F.lower("answer_text"), F.lit(" ")))
     p = rows.select("id", N.normalize_prediction(index, wording, F.col("options"), F.col("option_order")).alias("p"))
     return p.select("id", F.col("p.prediction_idx").cast("bigint").alias("prediction_idx"), "p.prediction_text",
                     F.col("p.displayed_idx").cast("bigint").alias("displayed_idx"))

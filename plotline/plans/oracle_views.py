@@ -281,7 +281,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
               CROSS JOIN (VALUES ('a',0),('b',1),('c',2)) s(source, number)
               CROSS JOIN (VALUES (0),(1),(2),(4),(8)) ks(k)
               CROSS JOIN (VALUES (1),(2)) t(ord)
-              WHERE role <> 'system' AND (t.ord = 1 OR role = 'assistant'))"""),
+              WHERE (conv_id + pos) % 11 <> 4 AND (t.ord = 1 OR role = 'assistant'))"""),
     "v_last": (("v_predictions",), """
         SELECT id, source, k, arg_max({'v': prediction}, ord).v AS prediction FROM v_predictions GROUP BY id, source, k"""),
     "v_timed": ((), f"""

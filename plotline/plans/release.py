@@ -40,14 +40,14 @@ def answer_index(spark, sf_dir):
 
 
 def question_rows(spark, sf_dir, longest=None):
-    """User turns answer as a lettered map, system turns give three options only, labels need repair."""
+    """User turns answer as a lettered map, other planted turns give three options only, labels need repair."""
     raw = raw_questions(spark, sf_dir, longest)
     letters = F.array(*[F.lit(c) for c in "ABCD"])
     is_map = F.col("role") == "user"
     return E.question_blocks(raw.select(
         "id", "target_type",
         F.when(is_map, F.map_from_arrays(letters, F.col("options"))).alias("choices"),
-        F.when(F.col("role") == "system", F.slice("options", 1, 3)).otherwise(F.col("options")).alias("options"),
+        F.when(A.planted(), F.slice("options", 1, 3)).otherwise(F.col("options")).alias("options"),
         F.col("idx_raw").alias("answer_idx"),
         F.when(is_map, F.char(65 + F.col("answer_idx"))).otherwise(F.col("answer_raw")).alias("answer"),
         F.col("text_raw").alias("answer_text"),
@@ -61,7 +61,7 @@ def question_rows(spark, sf_dir, longest=None):
     SELECT id, error, question_type, CASE WHEN error IS NULL THEN i END AS answer_idx, CASE WHEN error IS NULL THEN options[i + 1] END AS answer_text,
            CASE WHEN error IS NULL THEN array_to_string(list_transform([0,1,2,3], lambda j: CASE WHEN j = i THEN 'correct'
              WHEN role = 'user' OR j < 3 THEN 'plausible_unsupported' ELSE 'unrelated' END), ',') END AS labels
-    FROM (SELECT *, CASE WHEN role = 'system' THEN 'generate_question must return exactly four options' END AS error,
+    FROM (SELECT *, CASE WHEN (conv_id + pos) % 11 = 4 AND role <> 'user' THEN 'generate_question must return exactly four options' END AS error,
                  CASE WHEN role = 'user' THEN answer_idx ELSE idx END AS i FROM v_raw_questions)""", "v_raw_questions"))
 def question_block(spark, sf_dir):
     return question_rows(spark, sf_dir).select(
@@ -101,11 +101,11 @@ def candidate_assemble(spark, sf_dir):
 @query("expectedness_enriched", O.with_views(f"""
     SELECT id, {O.score('expectedness_raw')} AS expectedness,
            CASE WHEN {O.score('expectedness_raw')} IS NULL THEN 'invalid_expectedness_output' END AS expectedness_warning
-    FROM (SELECT id, CASE WHEN role <> 'system' THEN expectedness_raw END AS expectedness_raw FROM v_examples)""", "v_examples"))
+    FROM (SELECT id, CASE WHEN (conv_id + pos) % 11 <> 4 THEN expectedness_raw END AS expectedness_raw FROM v_examples)""", "v_examples"))
 def expectedness_enriched(spark, sf_dir):
-    """Items joined with a score table that has no rows for system turns."""
+    """Items joined with a score table that has no rows for planted turns."""
     n = A.longest_conversation(spark, sf_dir)
-    scores = A.examples(spark, sf_dir, n).filter("role <> 'system'").select("id", "expectedness_raw")
+    scores = A.examples(spark, sf_dir, n).filter("(conv_id + pos) % 11 <> 4").select("id", "expectedness_raw")
     return E.with_expectedness(A.answer_key(spark, sf_dir, n).select("id"), scores)
 
 

@@ -46,6 +46,11 @@ def pick(values: Sequence, index: str) -> Column:
     return F.expr(f"element_at(array({', '.join(_literal(v) for v in values)}), CAST(pmod({index}, {len(values)}) AS INT) + 1)")
 
 
+def planted() -> Column:
+    """Turns that carry the planted faults; the SQL of the queries states the same rule."""
+    return F.pmod(F.col("conv_id") + F.col("pos"), F.lit(11)) == 4
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as sequences of clips: two seconds per turn."""
     raw = table(spark, sf_dir, "conversations")
@@ -192,10 +197,10 @@ def answer_key(spark: SparkSession, sf_dir: str, longest: int | None = None) ->
 def predictions(spark: SparkSession, sf_dir: str, longest: int | None = None) -> DataFrame:
     """Answers of three sources at five context lengths, in original option numbers.
 
-    System turns get none, assistant turns a second one that replaces the first, and the first turn of a conversation,
+    Planted turns get none, assistant turns a second one that replaces the first, and the first turn of a conversation,
     which is no item, gets some as well. One value in five is null.
     """
-    ordered = ordered_clips(spark, sf_dir, longest).filter(F.col("role") != "system")
+    ordered = ordered_clips(spark, sf_dir, longest).filter(~planted())
     runs = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(i).alias("number"), F.lit(k).alias("k"))
                      for i, s in enumerate(SOURCES) for k in CONTEXT_LENGTHS])
     tries = F.when(F.col("role") == "assistant", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
