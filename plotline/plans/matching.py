@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plotline.operators import matching as M
+from plotline.operators import scoring as K
 from plotline.operators import sequence as Q
 from plotline.operators.ordering import longest_group, neighbour_columns, positions
 from plotline.plans import oracle_views as O
@@ -104,3 +106,105 @@ def context_materialize(spark, sf_dir):
     GROUP BY item HAVING count(*) > count(text)""", "v_context"))
 def unmatched_report(spark, sf_dir):
     return contexts(spark, sf_dir).filter("NOT complete").select("item", F.array_join("unmatched", ",").alias("unmatched"))
+
+
+GENERATED = ("alpha", "beta", "gamma")
+LENGTHS = (1, 2, 4, 8)
+_SOURCES = ", ".join(f"('{s}', {i})" for i, s in enumerate(GENERATED))
+
+O.VIEWS["v_tried"] = (("v_timed",), f"SELECT t.*, s.source FROM v_timed t CROSS JOIN (VALUES {_SOURCES}) s(source, number)")
+O.VIEWS["v_all_time"] = (("v_tried", "v_generated"), """
+    SELECT DISTINCT t.event_id, t.source FROM v_tried t JOIN v_generated g
+      ON g.source = t.source AND g.key = t.key AND abs(g.r_start - t.start_s) <= 0.02 AND abs(g.r_end - t.end_s) <= 0.02""")
+O.VIEWS["v_all_index"] = (("v_generated",), f"""
+    SELECT source, key, {O.compare_key('ground_truth')} AS tkey, r_start, r_end FROM v_generated
+    UNION ALL SELECT source, key, {O.lookup_key('ground_truth')}, r_start, r_end FROM v_generated""")
+O.VIEWS["v_all_text"] = (("v_tried", "v_all_index"), f"""
+    WITH n AS (SELECT source, key, tkey, count(*) AS n FROM v_all_index GROUP BY ALL),
+    p AS (SELECT t.event_id, t.source, t.key, t.start_s, t.end_s, coalesce(c1.n, c2.n) AS n, CASE WHEN c1.n IS NOT NULL THEN t.k1 ELSE t.k2 END AS tkey
+          FROM (SELECT *, {O.compare_key('text')} AS k1, {O.lookup_key('text')} AS k2 FROM v_tried) t
+          LEFT JOIN n c1 ON c1.source = t.source AND c1.key = t.key AND c1.tkey = t.k1
+          LEFT JOIN n c2 ON c2.source = t.source AND c2.key = t.key AND c2.tkey = t.k2
+          WHERE coalesce(c1.n, c2.n) IS NOT NULL)
+    SELECT DISTINCT p.event_id, p.source FROM p JOIN v_all_index i ON i.source = p.source AND i.key = p.key AND i.tkey = p.tkey
+    WHERE p.n = 1 OR abs(i.r_start - p.start_s) + abs(i.r_end - p.end_s) <= 6.0""")
+O.VIEWS["v_all_matched"] = (("v_all_time", "v_all_text"), "SELECT event_id, source FROM v_all_time UNION SELECT event_id, source FROM v_all_text")
+O.VIEWS["v_eval"] = (("v_tried", "v_all_matched", "v_timed"), f"""
+    WITH pos AS (SELECT event_id, key, row_number() OVER (PARTITION BY key ORDER BY start_s, event_id) AS pos FROM v_timed),
+    runs AS (SELECT s.source, s.number, k.k FROM (VALUES {_SOURCES}) s(source, number) CROSS JOIN (VALUES (1), (2), (4), (8)) k(k)),
+    gone AS (SELECT o.event_id, r.source, r.k, count(*) AS lost FROM pos o JOIN pos p ON p.key = o.key AND p.pos < o.pos AND p.pos >= o.pos - 8
+             JOIN runs r ON p.pos >= o.pos - r.k LEFT JOIN v_all_matched m ON m.event_id = p.event_id AND m.source = r.source
+             WHERE m.event_id IS NULL GROUP BY ALL)
+    SELECT o.event_id, r.source, r.k, g.lost IS NULL AS complete, (o.event_id * 3 + r.k * 2 + r.number) % 7 < 4 AS correct,
+           bool_and(g.lost IS NULL) OVER (PARTITION BY o.event_id) AS common
+    FROM pos o CROSS JOIN runs r LEFT JOIN gone g ON g.event_id = o.event_id AND g.source = r.source AND g.k = r.k""")
+
+
+def matched_sources(spark, sf_dir):
+    """Events with the list of sources that have a text for them, by time or wording."""
+    rows = probes(spark, sf_dir)
+    tried = rows.withColumn("source", F.explode(F.array(*map(F.lit, GENERATED))))
+    matched = M.match_texts(tried, A.generated(spark, sf_dir), ["event_id", "source"], ["source", "key"], ["text"])
+    found = matched.groupBy("event_id").agg(F.collect_set("source").alias("found"))
+    return rows.join(found, "event_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+
+
+def _holds(source):
+    return lambda found: F.array_contains(found, source)
+
+
+def evaluated(spark, sf_dir):
+    """Every event as an item, asked with the last k events of its user as context, told by each source.
+
+    One frame of eight serves all lengths: a run leaves out the items of which it lacks a text.
+    """
+    longest = longest_group(A.table(spark, sf_dir, "events"), ["user_id"])
+    ordered = positions(matched_sources(spark, sf_dir).select("event_id", "key", "l_start", "found"), ["key"], ["l_start", "event_id"], "pos", longest)
+    framed = neighbour_columns(ordered, ["key"], "pos", {"before": lambda w: F.collect_list("found").over(w.rowsBetween(-max(LENGTHS), -1))},
+                               before=max(LENGTHS), after=0, longest=longest)
+    runs = []
+    for number, source in enumerate(GENERATED):
+        for k in LENGTHS:
+            complete = F.forall(Q.last_k(F.col("before"), k), _holds(source))
+            correct = F.pmod(F.col("event_id") * 3 + k * 2 + number, F.lit(7)) < 4
+            runs.append(F.struct(F.lit(source).alias("source"), F.lit(k).alias("k"), complete.alias("complete"), correct.alias("correct")))
+    rows = framed.select("event_id", F.array(*runs).alias("runs"))
+    return rows.withColumn("common", F.forall("runs", lambda r: r["complete"])).select("event_id", "common", F.inline("runs"))
+
+
+@query("context_eval", O.with_views("""
+    WITH runs AS (
+      SELECT source, k, count(*) FILTER (complete) AS num_examples, count(*) FILTER (NOT complete) AS num_unmatched,
+             count(*) FILTER (complete AND correct) AS num_correct, count(*) FILTER (common) AS num_common, count(*) FILTER (common AND correct) AS common_correct
+      FROM v_eval GROUP BY ALL
+      UNION ALL SELECT 'shared', 0, count(*), 0, count(*) FILTER (event_id % 7 < 3), NULL, NULL FROM v_timed),
+    acc AS (SELECT *, coalesce(num_correct / nullif(num_examples, 0), 0) AS a FROM runs)
+    SELECT source, k, num_examples, num_unmatched, num_correct, round(a, 6) AS accuracy, round(a - (SELECT a FROM acc WHERE k = 0), 6) AS gain,
+           k = 0 AS shared_baseline, num_common, common_correct FROM acc""", "v_eval", "v_timed"))
+def context_eval(spark, sf_dir):
+    """Accuracy per source and context length over the items that are matched, and over those matched in every run; gain over a shared k = 0 run."""
+    rows = evaluated(spark, sf_dir).groupBy("source", "k").agg(
+        F.count_if("complete").alias("num_examples"), F.count_if(~F.col("complete")).alias("num_unmatched"),
+        F.count_if(F.col("complete") & F.col("correct")).alias("num_correct"), F.count_if("common").alias("num_common"),
+        F.count_if(F.col("common") & F.col("correct")).alias("common_correct"))
+    none = F.lit(None).cast("bigint")
+    shared = A.table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("num_examples"), F.count_if(F.col("event_id") % 7 < 3).alias("num_correct")).select(
+        F.lit("shared").alias("source"), F.lit(0).alias("k"), "num_examples", F.lit(0).cast("bigint").alias("num_unmatched"), "num_correct",
+        none.alias("num_common"), none.alias("common_correct"))
+    runs = rows.select(*shared.columns).unionByName(shared)
+    runs = runs.withColumn("accuracy", F.coalesce(F.try_divide("num_correct", "num_examples"), F.lit(0.0)))
+    # One row per run: the window over all of them is a dozen rows.
+    baseline = F.max(F.when(F.col("k") == 0, F.col("accuracy"))).over(Window.partitionBy())
+    gained = K.context_gain(runs, shared_accuracy=baseline)
+    return gained.select("source", "k", "num_examples", "num_unmatched", "num_correct", F.round("accuracy", 6).alias("accuracy"), F.round("gain", 6).alias("gain"),
+                         (F.col("k") == 0).alias("shared_baseline"), "num_common", "common_correct")
+
+
+@query("unmatched_contexts", O.with_views("""
+    SELECT t.source, t.movie, t.event_id, round(t.start_s, 3) AS l_start, round(t.end_s, 3) AS l_end
+    FROM v_tried t LEFT JOIN v_all_matched m USING (event_id, source) WHERE m.event_id IS NULL""", "v_tried", "v_all_matched"))
+def unmatched_contexts(spark, sf_dir):
+    """Events that a source has no text for, with movie and both times."""
+    rows = matched_sources(spark, sf_dir)
+    lost = F.array_except(F.array(*map(F.lit, GENERATED)), F.col("found"))
+    return rows.select(F.explode(lost).alias("source"), "movie", "event_id", F.round("l_start", 3).alias("l_start"), F.round("l_end", 3).alias("l_end"))

@@ -122,9 +122,13 @@ def kept_cap(spark, sf_dir):
     return capped.select("id", "route", F.array_join("failure_reasons", ";").alias("reasons"))
 
 
-@query("quarantine", """
-    WITH lines AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
-                     FROM (SELECT doc_id, regexp_split_to_array(lower(text), '\\r\\n|\\n|\\r') AS l FROM documents))
+_PLANTED_LINES = ("log of /Users/x", "raw source of /users/y", "OPENAI_API_KEY=1", "api_key: 2", "no access_token here", "secret_key", "private path secret_key")
+
+
+@query("quarantine", f"""
+    WITH texts AS (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN text || chr(10) || {list(_PLANTED_LINES)}[(doc_id // 5 % 7 + 1)::INT] ELSE text END AS text FROM documents),
+    lines AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+                     FROM (SELECT doc_id, regexp_split_to_array(lower(text), '\\r\\n|\\n|\\r') AS l FROM texts))
                    WHERE NOT (contains(line, 'todo(author)') OR contains(line, 'private path') OR contains(line, 'raw source'))),
     hits AS (SELECT doc_id, pos, CASE WHEN contains(line, '/users/') THEN '/users/' WHEN contains(line, 'openai_api_key') THEN 'openai_api_key'
                WHEN contains(line, 'api_key:') THEN 'api_key:' WHEN contains(line, 'access_token') THEN 'access_token'
@@ -132,7 +136,10 @@ def kept_cap(spark, sf_dir):
     SELECT d.doc_id, CASE WHEN h.p IS NOT NULL THEN 'matched private/secret pattern ''' || h.p || '''' END AS reason
     FROM documents d LEFT JOIN (SELECT doc_id, arg_min(p, pos) AS p FROM hits WHERE p IS NOT NULL GROUP BY doc_id) h USING (doc_id)""")
 def quarantine(spark, sf_dir):
-    return A.documents(spark, sf_dir).select("doc_id", G.quarantine_reason(F.col("text")).alias("reason"))
+    """One document in five gets a further line; two of the seven lines carry a marker that lets them through."""
+    line = A.pick(_PLANTED_LINES, "doc_id div 5")
+    text = F.when(F.pmod("doc_id", F.lit(5)) == 2, F.concat("text", F.lit("\n"), line)).otherwise(F.col("text"))
+    return A.documents(spark, sf_dir).select("doc_id", G.quarantine_reason(text).alias("reason"))
 
 
 @query("validation_outcome", O.with_views("SELECT route, count(*) AS n FROM v_routed GROUP BY route", "v_routed"))

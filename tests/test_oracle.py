@@ -49,9 +49,11 @@ def test_query_when_every_group_counts_as_hot(spark, con, name):
 
 def test_planted_faults_are_found(spark):
     """Queries whose faults are planted give each outcome at least once."""
-    found = {name: entry.queries()[name](spark, SF).collect() for name in ("leak_audit", "resume_pending", "question_block", "expectedness_enriched", "release_constraints")}
+    found = {name: entry.queries()[name](spark, SF).collect() for name in ("leak_audit", "resume_pending", "question_block", "expectedness_enriched", "release_constraints", "quarantine", "context_eval")}
     assert all(r["violations"] > 0 for r in found["leak_audit"]) and len(found["leak_audit"]) == 8
     assert found["resume_pending"]
     assert {r["error"] is None for r in found["question_block"]} == {True, False}
     assert {r["expectedness_warning"] is None for r in found["expectedness_enriched"]} == {True, False}
     assert any("answer_idx" in r["errors"] for r in found["release_constraints"])
+    assert len({r["reason"] for r in found["quarantine"]}) == 6
+    assert len(found["context_eval"]) == 13 and all(r["num_unmatched"] > 0 for r in found["context_eval"] if r["source"] == "beta")
