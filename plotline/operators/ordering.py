@@ -83,12 +83,19 @@ def ranged_positions(df: DataFrame, group: Sequence[str], order: Sequence[str |
 
 def positions(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str = "pos",
               longest: int | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Dense 0-based position of each row in its group."""
+    """Dense 0-based position of each row in its group. Only groups beyond the limit take the range plan and are checkpointed."""
+    limit = setting(df, HOT_GROUP_ROWS, hot_rows)
     if longest is None:
         longest = longest_group(df, group)
-    if longest > setting(df, HOT_GROUP_ROWS, hot_rows):
-        return ranged_positions(df, group, order, out)
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*_names(order))).cast("bigint") - 1)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*_names(order))).cast("bigint") - 1)
+
+    if longest <= limit:
+        return plain(df)
+    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).drop("_n")
+    long = ranged_positions(df.join(hot, list(group), "left_semi"), group, order, out)
+    return plain(df.join(hot, list(group), "left_anti")).unionByName(long)
 
 
 def neighbour_columns(df: DataFrame, group: Sequence[str], pos: str, columns: dict[str, Callable[[WindowSpec], Column]],

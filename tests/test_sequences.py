@@ -227,3 +227,17 @@ def test_a_call_that_did_not_come_back_moves_on_by_one(spark):
     blocks = spark.createDataFrame([("m", 0, 3, False), ("m", 1, 2, True), ("m", 2, 1, True), ("m", 3, 1, True)], "movie string, block_start long, step long, called boolean")
     got = {(r["block_start"], r["used"]) for r in W.walk_with_budget(blocks, 4, 4, 5).collect()}
     assert got == {(0, False), (1, True), (3, True)}
+
+
+def test_only_hot_groups_take_the_range_plan(spark, monkeypatch):
+    """One hot and many short groups: the checkpoint holds rows of the hot one only."""
+    from plotline.operators import ordering
+
+    rows = spark.range(400).select(F.when(F.col("id") < 200, "hot").otherwise(F.concat(F.lit("m"), (F.col("id") % 40).cast("string"))).alias("g"), ((F.col("id") * 37) % 401).alias("a"))
+    kept = []
+    durable = ordering.durable
+    monkeypatch.setattr(ordering, "durable", lambda df: kept.append(durable(df)) or kept[-1])
+    got = ordering.positions(rows, ["g"], ["a"], "pos", 200, 50)
+    plain = ordering.positions(rows, ["g"], ["a"], "pos", 200, 1000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert len(kept) == 1 and {r["g"] for r in kept[0].select("g").distinct().collect()} == {"hot"}
