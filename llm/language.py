@@ -79,10 +79,11 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def weighted(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows, with the logarithm of the counts."""
-    x = np.log1p(count) * idf
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.maximum(norm, 1e-12)
+    """Unit TF-IDF rows, with the logarithm of the counts; works in place."""
+    np.log1p(count, out=count)
+    count *= idf
+    count /= np.maximum(np.linalg.norm(count, axis=1, keepdims=True), 1e-12)
+    return count
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -129,17 +130,22 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model
     langs, at, count = (rows.column(c).to_pylist() if c == "lang" else rows.column(c).to_numpy() for c in ("lang", "at", "count"))
     names = sorted(set(langs))
     which = np.array([names.index(x) for x in langs])
-    dense = np.zeros((len(langs), DIMENSIONS), dtype=np.float32)
-    for i, (a, c) in enumerate(zip(at, count, strict=True)):
-        dense[i, a] = c
-    order = np.lexsort([dense.sum(axis=1), which])  # the same model however the rows arrive
-    dense, which = dense[order], which[order]
-    idf = np.log((1 + len(dense)) / (1 + (dense > 0).sum(axis=0))).astype(np.float32) + 0.1
-    x = weighted(dense, idf)
-    centres = [clustered(x[which == i], CLUSTERS) for i in range(len(names))]
+    seen = np.zeros(DIMENSIONS, dtype=np.float32)
+    for a in at:
+        seen[a] += 1
+    idf = np.log((1 + len(langs)) / (1 + seen)) + np.float32(0.1)
+    centres, floor = [], []
+    for i in range(len(names)):  # dense rows of one language at a time
+        own = np.flatnonzero(which == i)
+        own = own[np.argsort([float(count[k].sum()) + float(at[k].sum()) / 2**40 for k in own], kind="stable")]  # however the rows arrive
+        x = np.zeros((len(own), DIMENSIONS), dtype=np.float32)
+        for k, row in zip(own.tolist(), x, strict=True):
+            row[at[k]] = count[k]
+        c = clustered(weighted(x, idf), CLUSTERS)
+        centres.append(c)
+        floor.append(REJECT * np.quantile((x @ c.T).max(axis=1), 0.01))
     owner = np.repeat(np.arange(len(names)), [len(c) for c in centres])
-    floor = np.array([REJECT * np.quantile((x[which == i] @ c.T).max(axis=1), 0.01) for i, c in enumerate(centres)])
-    return Model(names, idf, np.concatenate(centres), owner, floor)
+    return Model(names, idf, np.concatenate(centres), owner, np.array(floor))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
