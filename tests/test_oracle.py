@@ -4,9 +4,12 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry
+from plotline.plans import load
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {"manifest_check"}
+#: The library's own queries; those of the llm subpackage have tests of their own.
+QUERIES, SQL = load()
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +18,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(SQL) == ROWS_ONLY
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    query, sql = entry.queries()[name], entry.oracle_sql().get(name)
+    query, sql = QUERIES[name], SQL.get(name)
     if sql is None:
         assert query(spark, SF).count() > 0
     else:
@@ -41,7 +45,7 @@ def test_query_when_every_group_counts_as_hot(spark, con, name):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        assert differences(spark, entry.queries()[name], entry.oracle_sql()[name], SF, con) is None
+        assert differences(spark, QUERIES[name], SQL[name], SF, con) is None
     finally:
         for key in settings:
             spark.conf.unset(key)
@@ -49,7 +53,7 @@ def test_query_when_every_group_counts_as_hot(spark, con, name):
 
 def test_planted_faults_are_found(spark):
     """Queries whose faults are planted give each outcome at least once."""
-    found = {name: entry.queries()[name](spark, SF).collect() for name in ("leak_audit", "resume_pending", "question_block", "expectedness_enriched", "release_constraints", "quarantine", "context_eval")}
+    found = {name: QUERIES[name](spark, SF).collect() for name in ("leak_audit", "resume_pending", "question_block", "expectedness_enriched", "release_constraints", "quarantine", "context_eval")}
     assert all(r["violations"] > 0 for r in found["leak_audit"]) and len(found["leak_audit"]) == 8
     assert found["resume_pending"]
     assert {r["error"] is None for r in found["question_block"]} == {True, False}
