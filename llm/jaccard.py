@@ -118,13 +118,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.zeros((len(n), BANDS), dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
             for r in range(ROWS):
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + mins[:, r::ROWS][:, :BANDS])
-            none = n == 0
             flat = key.view(np.int64).reshape(-1)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
             sigs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.arange(0, sig.size + 1, HASHES, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(sig))])
             out = pa.RecordBatch.from_arrays([some.column(0), pa.array(n.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]), sigs, bands], names=["doc", "n", "h1", "h2", "sig", "bands"])
             yield out
-            del none
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
