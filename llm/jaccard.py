@@ -1,6 +1,7 @@
 """N-gram Jaccard join with Bayesian pruning.
 
-Word 5-gram sets, similarity 0.8 or more. Documents with equal sets are one representative with a count. Representatives that
+Word 5-gram sets, similarity 0.8 or more. Documents with equal sets are one representative with a count, under a number of its own:
+doc_ids may be null or repeated, so they only order and name classes. Representatives that
 share a band of MinHash values (40 bands of 5: a pair at 0.8 shares none with probability 1.3e-7) meet in a bucket, where their
 signatures are compared a few values at a time: a pair is dropped as soon as the posterior probability that it reaches the
 threshold (uniform prior) is below ``TOLERANCE``. What survives joins documents into candidate groups, and within each group every
@@ -11,8 +12,8 @@ are cut into pairs of blocks, so no task holds a whole hot bucket. Within a buck
 again, which keeps thousands of near copies cheap.
 
 Edge cases: null and empty texts have no set and link with nothing; a text of one to four words has one n-gram, all its words;
-repeated rows link with one another; a null doc_id counts as -1. An empty table gives no rows. Extra columns are ignored by
-:func:`join` and kept by :func:`deduplicate`.
+repeated rows link with one another; a null doc_id counts as -1. Different texts under one doc_id are different documents. An empty
+table gives no rows. Extra columns are ignored by :func:`join` and kept by :func:`deduplicate`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import components, partitions, stars, stored
@@ -38,7 +39,7 @@ TOLERANCE = 1e-7
 BUCKET, TILE = 512, 256
 _DRAWS = np.random.default_rng(20240229).integers(0, 1 << 32, (2, HASHES), dtype=np.uint64)
 _A, _B = (_DRAWS[0] | np.uint64(1)).astype(np.uint32), _DRAWS[1].astype(np.uint32)
-_SIGNED = "doc long, n int, h1 long, h2 long, sig binary, bands array<long>"
+_SIGNED = "doc long, digest binary, n int, h1 long, h2 long, sig binary, bands array<long>"
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -106,7 +107,7 @@ def minhashes(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in pieces(batch):
-            grams, offsets = shingles(*text_buffer(some.column(1)))
+            grams, offsets = shingles(*text_buffer(some.column(2)))
             mins = minhashes(grams, offsets)
             n = np.diff(offsets)
             sums = []
@@ -121,7 +122,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = key.view(np.int64).reshape(-1)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
             sigs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.arange(0, sig.size + 1, HASHES, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(sig))])
-            out = pa.RecordBatch.from_arrays([some.column(0), pa.array(n.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]), sigs, bands], names=["doc", "n", "h1", "h2", "sig", "bands"])
+            out = pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]), sigs, bands], names=["doc", "digest", "n", "h1", "h2", "sig", "bands"])
             yield out
 
 
@@ -203,12 +204,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in pieces(batch):
             grams, offsets = shingles(*text_buffer(some.column(some.schema.get_field_index("text"))))
             own = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(grams.view(np.int64)))
-            rest = [some.column(c) for c in ("component", "rep", "members", "size", "h1")]
-            c = np.zeros(len(grams) + 1, dtype=np.uint64)
-            np.cumsum(mixed(grams ^ np.uint64(0x5851F42D4C957F2D)), out=c[1:])
-            same = (c[offsets[1:]] - c[offsets[:-1]]).view(np.int64) == some.column("h1").to_numpy()  # another row of the same id
-            out = pa.RecordBatch.from_arrays([*rest[:4], own], names=["component", "rep", "members", "size", "grams"])
-            yield out.filter(pa.array(same))
+            rest = [some.column(some.schema.get_field_index(c)) for c in ("component", "rep", "members", "size")]
+            new = np.ones(some.num_rows, bool)  # repeated rows are neighbours and give one set
+            new[1:] = np.diff(rest[1].to_numpy()) != 0
+            out = pa.RecordBatch.from_arrays([*rest, own], names=["component", "rep", "members", "size", "grams"])
+            yield out.filter(pa.array(new))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -266,17 +266,21 @@ def _tiled(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
     return dealt.repartition(partitions(rows.sparkSession), group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links, kept for every document.
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
 
-    n_links counts the other documents with similarity at or above the threshold; class_id is the smallest doc_id reachable by
-    links; kept is true for that document.
-    """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), "text")
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc, digest, n, members, links for every row, and in ``first`` the smallest (doc, digest) of its class (null if n is 0)."""
+    rows = docs.select(_doc().alias("doc"), _digest().alias("digest"), "text")
     signed = stored(rows.mapInArrow(_signed, _SIGNED), "signatures")
-    # Equal sets have equal signatures, so any will do.
-    reps = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    reps = stored(reps, "shingle-sets")
+    # Equal sets have equal signatures, so any will do. The numbers are fixed by storing them.
+    reps = signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc", "digest")).alias("at"), F.count(F.lit(1)).alias("members"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "shingle-sets")
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     crowded = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     own = keyed.join(crowded, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "size")).alias("in"))  # at most one entry per band
@@ -284,25 +288,38 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     candidates = _tiled(entries, "key", "size", BUCKET).select("key", "i", "j", "rep", "sig").mapInArrow(_buckets, "a long, b long")
     groups = stored(components(candidates), "candidate-groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = stored(reps.select("rep", "members", "h1").join(groups.withColumnRenamed("id", "rep"), "rep").join(stored(sizes, "group-sizes"), "component"), "members")
+    members = stored(reps.select("rep", "members", "at.doc", "at.digest").join(groups.withColumnRenamed("id", "rep"), "rep").join(stored(sizes, "group-sizes"), "component"), "members")
     # A merge join at every size: whether the few members fit a broadcast must not decide the plan.
-    sets = rows.withColumnRenamed("doc", "rep").join(members.hint("merge"), "rep").select("component", "rep", "members", "size", "h1", "text").mapInArrow(
+    sets = rows.join(members.hint("merge"), ["doc", "digest"]).select("component", "rep", "members", "size", "text").mapInArrow(
         _sets, "component long, rep long, members long, size long, grams array<long>")
     verified = _tiled(sets, "component", "size", TILE).mapInArrow(lambda it: _verified(it, threshold), "a long, b long, links long")
     verified = stored(verified, "links")
     links = verified.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     parts = components(verified.where("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
-    found = stored(reps.select("h1", "h2", "rep", "members").join(links, "rep", "left").join(parts, "rep", "left"), "classes")
-    out = signed.select("doc", "n", "h1", "h2").join(found, ["h1", "h2"], "left")
+    parts = stored(reps.select("rep", "at").join(parts, "rep"), "parts")
+    first = stored(parts.groupBy("component").agg(F.min("at").alias("first")), "firsts")
+    parts = parts.select("rep", "component").join(first, "component").select("rep", "first")
+    found = reps.select("h1", "h2", "rep", "members", "at").join(links, "rep", "left").join(parts, "rep", "left")
+    found = stored(found.select("h1", "h2", "members", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", "at").alias("first")), "classes")
+    return signed.select("doc", "digest", "n", "h1", "h2").join(found, ["h1", "h2"], "left").drop("h1", "h2")
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links, kept for every document.
+
+    n_links counts the other documents with similarity at or above the threshold; class_id is the smallest doc_id reachable by
+    links; kept is true for that document.
+    """
     some = F.col("n") > 0
-    number = F.when(some, F.col("members") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    class_ = F.when(some, F.coalesce("component", "rep")).otherwise(F.col("doc"))
-    return out.select(F.col("doc").alias("doc_id"), class_.alias("class_id"), number.alias("n_links"), (class_ == F.col("doc")).alias("kept"))
+    number = F.when(some, F.col("members") - 1 + F.col("links")).otherwise(F.lit(0)).cast("long")
+    class_ = F.when(some, F.col("first.doc")).otherwise(F.col("doc"))
+    return _classes(docs, threshold).select(F.col("doc").alias("doc_id"), class_.alias("class_id"), number.alias("n_links"), (class_ == F.col("doc")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, with all columns of ``docs``: the one with the smallest doc_id."""
-    stay = join(docs, threshold).where("kept").select(F.col("doc_id").alias("__doc")).distinct()
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    one = F.row_number().over(Window.partitionBy("__doc").orderBy(F.length(F.coalesce("text", F.lit(""))).desc()))
-    return keyed.join(stay, "__doc").withColumn("__one", one).where("__one = 1").select(*docs.columns)
+    """One document of each class, with all columns of ``docs``: the one with the smallest doc_id, and of several texts under that
+    id the one with the smallest digest. Texts without words are classes of their own; of repeated rows one stays."""
+    stay = _classes(docs, threshold).where("n = 0 or (doc = first.doc and digest = first.digest)").select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest")).distinct()
+    keyed = docs.withColumn("__doc", _doc()).withColumn("__digest", _digest())
+    one = F.row_number().over(Window.partitionBy("__doc", "__digest").orderBy("__doc"))
+    return keyed.join(stay, ["__doc", "__digest"]).withColumn("__one", one).where("__one = 1").select(*docs.columns)

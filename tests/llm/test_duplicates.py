@@ -91,6 +91,24 @@ def test_jaccard_keeps_one_of_each_class(docs, nothing, awkward):
     assert jaccard.join(nothing).collect() == []
 
 
+def test_jaccard_with_null_and_equal_ids(spark):
+    """Different texts that share an id, or have none, are different documents: as vertices, in buckets and among what stays."""
+    rng = np.random.default_rng(8)
+    prose = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+
+    def near(words):
+        return " ".join([*words[:90], "changed", *words[91:]])
+
+    a, b, c, d, e, f = (prose(n) for n in (200, 180, 160, 220, 240, 210))
+    rows = [(None, " ".join(a)), (None, " ".join(b)), (None, near(a)), (7, " ".join(c)), (7, " ".join(d)), (9, near(c)), (3, " ".join(e)), (8, near(e)), (8, " ".join(f)),
+            (10, near(f)), (10, near(b)), (11, near(d)), (11, near(d)), (None, ""), (None, " "), (12, None), (12, "\t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard.join(df).collect())) == wanted_classes(rows)
+    kept = [(r.doc_id, r.text) for r in jaccard.deduplicate(df).collect()]
+    firsts = [{rows[0], rows[2]}, {rows[1]}, {rows[3]}, {rows[4]}, {rows[6]}, {rows[8]}, {(None, "")}, {(None, " ")}, {(12, None)}, {(12, "\t")}]
+    assert len(kept) == len(firsts) and all(len(x & set(kept)) == 1 for x in firsts)
+
+
 def test_pruning_loses_a_true_pair_rarely():
     """The chance that a pair at the threshold is dropped, summed over the rounds."""
     from math import comb
