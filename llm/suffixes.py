@@ -15,7 +15,7 @@ A byte goes if a 200-byte string that covers it also starts anywhere else. The w
 4. Repeated windows merge into spans, which are cut out.
 
 Edge cases: null and empty texts have no bytes; texts under 200 bytes are left alone; equal rows are repeats of one another
-whatever their ids; a null doc_id counts as -1. Cutting is by bytes, so kept bytes need not be valid UTF-8. An empty table gives
+whatever their ids; different texts under one id (or a null one, which counts as -1) are different texts. Cutting is by bytes, so kept bytes need not be valid UTF-8. An empty table gives
 no rows; extra columns are ignored.
 """
 
@@ -225,15 +225,6 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop rows that share a representative's id but not its text."""
-    for batch in batches:
-        for some in pieces(batch):
-            h1, h2 = _whole(*text_buffer(_column(some, "text")))
-            same = (h1 == _column(some, "h1").to_numpy()) & (h2 == _column(some, "h2").to_numpy())
-            yield some.select(["rep", "h1", "h2", "anchors", "text"]).filter(pa.array(same))
-
-
 def _contested(some: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts, and the windows on one of their listed anchors, with anchor and owner."""
     data, offsets = text_buffer(_column(some, "text"))
@@ -306,8 +297,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, b = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
             kept = data[~gone]
             sha = _digests(kept, offsets - c[offsets])
-            yield pa.RecordBatch.from_arrays([_column(some, "h1"), _column(some, "h2"), pa.array(c[offsets[1:]] - c[offsets[:-1]]), pa.array(b[offsets[1:]] - b[offsets[:-1]]), pa.array(sha)],
-                                             names=["h1", "h2", "cut", "cut_spans", "cut_sha"])
+            yield pa.RecordBatch.from_arrays([_column(some, "rep"), pa.array(c[offsets[1:]] - c[offsets[:-1]]), pa.array(b[offsets[1:]] - b[offsets[:-1]]), pa.array(sha)],
+                                             names=["rep", "cut", "cut_spans", "cut_sha"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -315,13 +306,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     read = stored(rows.mapInArrow(_read, _READ), "byte-texts")
     # Equal texts have equal anchors, so any row's will do.
-    classes = read.where(F.col("n_bytes") >= WINDOW).groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("anchors").alias("anchors"))
-    classes = stored(classes, "byte-classes")
-    own = classes.select("rep", "h1", "h2", "members", F.explode("anchors").alias("anchor"))
+    classes = read.where(F.col("n_bytes") >= WINDOW).groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("sha").alias("sha"), F.count(F.lit(1)).alias("members"), F.first("anchors").alias("anchors"))
+    # A class has a number of its own (fixed by storing it): ids may be null or repeated.
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "byte-classes")
+    own = classes.select("rep", "doc", "sha", "members", F.explode("anchors").alias("anchor"))
     # An anchor matters if it occurs twice, and not only in texts that are removed whole anyway.
     again = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("members").alias("least")).where("n > 1 and least = 1")
-    wanted = own.join(stored(again.select("anchor"), "anchors"), "anchor").groupBy("rep", "h1", "h2").agg(F.collect_set("anchor").alias("anchors"))  # at most a text's own
-    texts = rows.withColumnRenamed("doc", "rep").join(stored(wanted, "anchored"), "rep").mapInArrow(_checked, "rep long, h1 long, h2 long, anchors array<long>, text string")
+    wanted = own.join(stored(again.select("anchor"), "anchors"), "anchor").groupBy("rep", "doc", "sha").agg(F.collect_set("anchor").alias("anchors"))  # at most a text's own
+    texts = rows.withColumn("sha", F.sha2("text", 256)).join(stored(wanted, "anchored"), ["doc", "sha"]).select("rep", "anchors", "text")
     texts = stored(texts, "anchored-texts")
     runs = stored(texts.select("rep", "anchors", "text").mapInArrow(_runs, "anchor long, s1 long, s2 long, rep long, start int, windows int"), "runs")
     snippets = runs.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min("anchor").alias("anchor"), F.min(F.struct("rep", "start")).alias("at"), F.min("windows").alias("windows"))
@@ -343,8 +335,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     part = runs.select("s1", "s2", "rep", "start").join(searched, ["s1", "s2"]).select("rep", (F.col("start") + F.col("skip")).alias("start"), "windows")
     single = dense.join(twice, ["w1", "w2"]).select("rep", "start", F.lit(1).alias("windows"))
     spans = full.unionByName(part).unionByName(single).groupBy("rep").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))  # at most a text's own
-    cuts = texts.select("rep", "h1", "h2", "text").join(spans, "rep").mapInArrow(_cut, "h1 long, h2 long, cut long, cut_spans long, cut_sha string")
-    found = stored(classes.select("h1", "h2", "members").join(stored(cuts, "cuts").dropDuplicates(["h1", "h2"]), ["h1", "h2"], "left"), "byte-results")
+    cuts = texts.select("rep", "text").join(spans, "rep").mapInArrow(_cut, "rep long, cut long, cut_spans long, cut_sha string")
+    found = stored(classes.select("rep", "h1", "h2", "members").join(stored(cuts, "cuts").dropDuplicates(["rep"]), "rep", "left").drop("rep"), "byte-results")
     out = read.drop("anchors").join(found, ["h1", "h2"], "left")
     copy = F.coalesce(F.col("members") > 1, F.lit(False))
     return out.select(

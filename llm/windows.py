@@ -11,7 +11,7 @@ A window is removed where its word sequence also starts in a document with a sma
 4. Windows that start in an earlier document merge into intervals, which are cut out.
 
 Edge cases: null and empty texts have no words; texts shorter than a window are left alone; rows with equal ids are not earlier
-than one another; a null doc_id counts as -1. An empty table gives no rows; extra columns are ignored.
+than one another, and different texts all the same; a null doc_id counts as -1. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from llm.textops import covered, mixed, pieces, run_hashes, runs_within, sliding
 
 WINDOW = 50
 GRAM = 25
-_READ = "doc long, n_words long, sha string, h1 long, h2 long, anchors array<long>"
+_READ = "doc long, digest binary, n_words long, sha string, h1 long, h2 long, anchors array<long>"
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -93,12 +93,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             once[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
             a, o = a[once], o[once]
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), pa.array(np.diff(first)), pa.array(sha), pa.array(h1), pa.array(h2), _lists(a, np.searchsorted(o, np.arange(len(offsets))))],
-                names=["doc", "n_words", "sha", "h1", "h2", "anchors"])
+                [some.column(0), some.column(some.schema.get_field_index("digest")), pa.array(np.diff(first)), pa.array(sha), pa.array(h1), pa.array(h2), _lists(a, np.searchsorted(o, np.arange(len(offsets))))],
+                names=["doc", "digest", "n_words", "sha", "h1", "h2", "anchors"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows on repeated anchors: two hashes, document, first word."""
+    """Windows on repeated anchors: two hashes, class, document, first word."""
     for batch in batches:
         for some in pieces(batch):
             data, offsets = text_buffer(some.column(some.schema.get_field_index("text")))
@@ -115,21 +115,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, own = at[hit], own[hit]
             w1 = run_hashes(words, WINDOW)[at] if len(at) else anchor[:0]
             w2 = run_hashes(span_hashes(data, starts, ends, 1), WINDOW, 1)[at] if len(at) else anchor[:0]
-            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), some.column(0).take(pa.array(own)), pa.array((at - first[own]).astype(np.int32))],
-                                             names=["w1", "w2", "doc", "start"])
-
-
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop rows that share a representative's id but not its words."""
-    for batch in batches:
-        for some in pieces(batch):
-            column = lambda name, at=some: at.column(at.schema.get_field_index(name))
-            data, offsets = text_buffer(column("text"))
-            starts, ends, first = word_spans(data, offsets)
-            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-            h1, h2 = _sequences(span_hashes(data, starts, ends), span_hashes(data, starts, ends, 1), first, owner)
-            same = (h1 == column("h1").to_numpy()) & (h2 == column("h2").to_numpy())
-            yield some.select(["rep", "h1", "h2", "anchors", "text"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), some.column(0).take(pa.array(own)), some.column(1).take(pa.array(own)), pa.array((at - first[own]).astype(np.int32))],
+                                             names=["w1", "w2", "rep", "doc", "start"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,28 +131,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = covered(place, WINDOW, len(starts))
             c = np.concatenate([[0], np.cumsum(gone)])
             sha = _digests(*joined(data, offsets, starts, ends, owner, ~gone))
-            yield pa.RecordBatch.from_arrays([some.column(some.schema.get_field_index("h1")), some.column(some.schema.get_field_index("h2")), pa.array(c[first[1:]] - c[first[:-1]]), pa.array(sha)],
-                                             names=["h1", "h2", "cut", "cut_sha"])
+            yield pa.RecordBatch.from_arrays([some.column(some.schema.get_field_index("rep")), pa.array(c[first[1:]] - c[first[:-1]]), pa.array(sha)],
+                                             names=["rep", "cut", "cut_sha"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     read = stored(rows.mapInArrow(_read, _READ), "word-texts")
-    # Equal word sequences have equal anchors, so any row's will do.
-    classes = stored(read.where(F.col("n_words") >= WINDOW).groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.first("anchors").alias("anchors")), "word-classes")
-    own = classes.select("rep", "h1", "h2", F.explode("anchors").alias("anchor"))
+    # Equal word sequences have equal anchors, so any row's will do. A class has a number of its own (fixed by storing it): ids may be null or repeated.
+    classes = read.where(F.col("n_words") >= WINDOW).groupBy("h1", "h2").agg(F.min(F.struct("doc", "digest")).alias("at"), F.first("anchors").alias("anchors"))
+    classes = stored(classes.select("h1", "h2", "at.doc", "at.digest", "anchors", F.monotonically_increasing_id().alias("rep")), "word-classes")
+    own = classes.select("rep", "doc", "digest", F.explode("anchors").alias("anchor"))
     again = stored(own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    wanted = stored(own.join(again, "anchor").groupBy("rep", "h1", "h2").agg(F.collect_list("anchor").alias("anchors")), "anchored")  # at most a text's own
-    texts = rows.withColumnRenamed("doc", "rep").join(wanted, "rep").mapInArrow(_checked, "rep long, h1 long, h2 long, anchors array<long>, text string")
-    texts = stored(texts, "anchored-texts")
-    windows = stored(texts.select("rep", "anchors", "text").mapInArrow(_hashed, "w1 long, w2 long, doc long, start int"), "windows")
+    wanted = stored(own.join(again, "anchor").groupBy("rep", "doc", "digest").agg(F.collect_list("anchor").alias("anchors")), "anchored")  # at most a text's own
+    texts = stored(rows.join(wanted, ["doc", "digest"]).select("rep", "doc", "anchors", "text"), "anchored-texts")
+    windows = stored(texts.mapInArrow(_hashed, "w1 long, w2 long, rep long, doc long, start int"), "windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("earliest"), F.max("doc").alias("latest")).where("earliest < latest").drop("latest")
     late = windows.join(stored(earliest, "repeated-windows"), ["w1", "w2"]).where("doc > earliest")
-    starts = late.groupBy(F.col("doc").alias("rep")).agg(F.collect_list("start").alias("starts"))  # at most a text's own windows
-    cuts = stored(texts.select("rep", "h1", "h2", "text").join(starts, "rep").mapInArrow(_cut, "h1 long, h2 long, cut long, cut_sha string"), "cuts").dropDuplicates(["h1", "h2"])
-    found = stored(classes.select("h1", "h2", "rep").join(cuts, ["h1", "h2"], "left"), "word-results")
-    out = read.drop("anchors").join(found, ["h1", "h2"], "left")
-    copy = F.coalesce(F.col("doc") > F.col("rep"), F.lit(False))
+    starts = late.groupBy("rep").agg(F.collect_list("start").alias("starts"))  # at most a text's own windows
+    cuts = stored(texts.select("rep", "text").join(starts, "rep").mapInArrow(_cut, "rep long, cut long, cut_sha string"), "cuts").dropDuplicates(["rep"])
+    found = stored(classes.select("h1", "h2", F.col("doc").alias("least"), "rep").join(cuts, "rep", "left").drop("rep"), "word-results")
+    out = read.drop("anchors", "digest").join(found, ["h1", "h2"], "left")
+    copy = F.coalesce(F.col("doc") > F.col("least"), F.lit(False))
     return out.select(F.col("doc").alias("doc_id"), "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).cast("long").alias("n_removed"),
                       F.when(copy, F.lit(_EMPTY)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"))

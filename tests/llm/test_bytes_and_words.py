@@ -1,6 +1,7 @@
 """Operators that cut repeated strings, against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -57,6 +58,28 @@ def test_words(docs, awkward):
     assert sorted(map(tuple, windows.remove_repeats(docs).collect())) == wanted_words(awkward)
 
 
+@pytest.fixture(scope="module")
+def shared_ids():
+    """Long texts of different lengths that share passages with others, and their ids with one another."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(n))
+    a, b, c, d = (prose(90) for _ in range(4))
+    return [(None, prose(700) + " " + a), (None, b + " " + prose(75)), (None, prose(80) + " " + c + " " + prose(300)), (5, prose(60) + " " + a + " " + prose(600) + " " + d), (5, c + " " + prose(70)),
+            (5, prose(65) + " " + b), (6, a + " " + prose(400)), (6, prose(500) + " " + d), (6, prose(55) + " " + d), (7, prose(300)), (7, prose(300))]
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_bytes_of_texts_that_share_an_id(spark, shared_ids, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    df = spark.createDataFrame(shared_ids, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, suffixes.remove_repeats(df).collect())) == wanted_bytes(shared_ids)
+
+
+def test_words_of_texts_that_share_an_id(spark, shared_ids):
+    df = spark.createDataFrame(shared_ids, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, windows.remove_repeats(df).collect())) == wanted_words(shared_ids)
+
+
 @pytest.mark.parametrize("operator", [suffixes.remove_repeats, windows.remove_repeats])
 def test_empty_table(nothing, operator):
     assert operator(nothing).collect() == []
