@@ -114,6 +114,13 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) ->
         begin = end
 
 
+def text_lists(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Pieces of the batches and the bytes of their texts; null counts as empty."""
+    for batch in batches:
+        for some in pieces(batch, "text", limit):
+            yield some, pc.fill_null(some.column(some.schema.get_field_index("text")), "").cast(pa.binary()).to_pylist()
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each document (and one past the last) the number of its first word."""
     if len(data) == 0:
