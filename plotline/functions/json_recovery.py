@@ -5,41 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plotline.functions.text import strip
+from plotline.functions.text import with_value
 
 
 def without_fences(text: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"(?i)^```(?:json)?\s*", "")
-    return F.regexp_replace(bare, r"\s*```$", "")
+    bare = F.regexp_replace(F.btrim(text, F.lit(ASCII_SPACES)), r"(?i)^```(?:json)?\s*+", "")
+    return F.regexp_replace(bare, r"(?<!\s)\s*+```$", "")
 
 
-# Quoted strings (with escapes), an unclosed string at the end, one brace, or a run of anything else.
-_PIECES = r'"(?:[^"\\]|\\[\s\S])*+(?:"|\\?$)|[{}]|[^"{}]++'
+ASCII_SPACES = "\t\n\x0b\x0c\r "
+# Quoted strings (with escapes, or unclosed) and the text between them, up to and with the next brace or the end.
+_PIECES = r'(?:[^"{}]++|"(?:[^"\\]++|\\[\s\S])*+(?:"|\\?$))*+(?:[{}]|$)'
+#: Braces that are followed one after the other.
+_BLOCK = 512
 
 
-def top_level_objects(text: Column) -> Column:
+def top_level_objects(text: Column, block: int = _BLOCK) -> Column:
     """All balanced top-level ``{...}`` substrings, in text order. Braces inside quoted strings do not count.
 
-    The text is cut into strings, braces and the runs between them, so the fold takes one step per piece rather than
-    per character.
+    The text is cut at its braces, and the running depth tells at which pieces an object opens and closes; each object is put
+    together once. A fold copies its state at every step, so lists only grow within blocks of braces: what a block does to the
+    depth is worked out first, then the depth at which each block starts. The work is linear in the text.
     """
-    empty = F.array().cast("array<string>")
+    some = "array<int>"
 
-    def step(acc: Column, piece: Column) -> Column:
-        opens, closes = piece == "{", (piece == "}") & (acc["depth"] > 0)
-        depth = F.when(opens, acc["depth"] + 1).when(closes, acc["depth"] - 1).otherwise(acc["depth"])
-        inside = opens | (acc["depth"] > 0)
-        grown = F.when(inside, F.concat(acc["open"], piece)).otherwise(F.lit(""))
-        done = closes & (acc["depth"] == 1)
-        return F.struct(
-            depth.alias("depth"),
-            F.when(done, F.lit("")).otherwise(grown).alias("open"),
-            F.when(done, F.array_append(acc["found"], grown)).otherwise(acc["found"]).alias("found"),
-        )
+    def found(pieces: Column) -> Column:
+        return with_value(F.transform(pieces, lambda p: F.when(p.endswith("{"), 1).when(p.endswith("}"), -1).otherwise(0)), lambda signs: placed(pieces, signs))
 
-    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), empty.alias("found"))
-    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
-    return F.aggregate(pieces, zero, step, lambda acc: acc["found"])
+    def placed(pieces: Column, signs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(signs) - 1) / block).cast("int")), lambda k: F.slice(signs, k * block + 1, F.lit(block)))
+        return with_value(blocks, lambda cut: opened_and_closed(pieces, cut))
+
+    def effect(signs: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("net"), F.lit(0).alias("low"))
+        return F.aggregate(signs, zero, lambda a, s: F.struct((a["net"] + s).alias("net"), F.least(a["low"], a["net"] + s).alias("low")))
+
+    def opened_and_closed(pieces: Column, blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("depth"), F.array().cast(some).alias("list"))
+        depths = F.aggregate(F.transform(blocks, effect), zero, lambda a, e: F.struct(
+            F.greatest(a["depth"] + e["net"], e["net"] - e["low"]).alias("depth"), F.array_append(a["list"], a["depth"]).alias("list")), lambda a: a["list"])
+        each = F.transform(F.arrays_zip(blocks.alias("signs"), depths.alias("depth")), lambda b, k: events(b["signs"], b["depth"], k * block))
+        return with_value(each, lambda all_: objects(
+            pieces, F.flatten(F.transform(all_, lambda e: e["opens"])), F.flatten(F.transform(all_, lambda e: e["closes"]))))
+
+    def events(signs: Column, depth: Column, first: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            return F.struct(
+                (a["at"] + 1).alias("at"), F.greatest(a["depth"] + s, F.lit(0)).alias("depth"),
+                F.when((s == 1) & (a["depth"] == 0), F.array_append(a["opens"], a["at"])).otherwise(a["opens"]).alias("opens"),
+                F.when((s == -1) & (a["depth"] == 1), F.array_append(a["closes"], a["at"])).otherwise(a["closes"]).alias("closes"))
+
+        return F.aggregate(signs, F.struct(first.alias("at"), depth.alias("depth"), F.array().cast(some).alias("opens"), F.array().cast(some).alias("closes")), step)
+
+    def objects(pieces: Column, opens: Column, closes: Column) -> Column:
+        spans = F.filter(F.arrays_zip(opens.alias("first"), closes.alias("last")), lambda s: s["last"].isNotNull())
+        return F.transform(spans, lambda s: F.concat(F.lit("{"), F.array_join(F.slice(pieces, s["first"] + 2, s["last"] - s["first"]), "")))
+
+    # The line end closes the last piece, so that no piece but those at braces ends with one.
+    return with_value(F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(_PIECES), F.lit(0)), found)
 
 
 def json_candidates(text: Column) -> Column:
@@ -54,18 +77,21 @@ def _parses_to_object(text: Column) -> Column:
     return parsed.isNotNull() & F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
 
 
-def is_object(text: Column) -> Column:
-    """The whole text is one JSON object. The parser alone would let anything follow it."""
-    bare = strip(text)
-    return F.coalesce(
-        _parses_to_object(bare) & (F.try_element_at(top_level_objects(bare), F.lit(1)) == bare), F.lit(False))
+def whole_json(text: Column) -> Column:
+    """The text as VARIANT; null unless it is one JSON value and nothing else.
 
+    The parser lets anything follow a value. So the text is parsed as the first element of a list whose second element is a
+    hash of the text: only a single whole value leaves that in its place.
+    """
+    mark = F.xxhash64(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    whole = F.try_variant_get(listed, "$[1]", "bigint") == mark
+    return F.when(F.coalesce(whole, F.lit(False)), F.variant_get(listed, "$[0]", "variant"))
 
-def whole_json(text: Column) -> Column:
-    """The text as VARIANT; null if it is no JSON, or an object that other text follows."""
-    parsed = F.try_parse_json(text)
-    trails = F.schema_of_variant(parsed).startswith("OBJECT") & ~is_object(text)
-    return F.when(~F.coalesce(trails, F.lit(False)), parsed)
+
+def is_object(text: Column) -> Column:
+    """The whole text is one JSON object."""
+    return F.coalesce(F.schema_of_variant(whole_json(text)).startswith("OBJECT"), F.lit(False))
 
 
 def recovered_object(text: Column) -> Column:
@@ -77,7 +103,7 @@ def recovery_error(text: Column) -> Column:
     """Why no object was found; null if one was."""
     bare = without_fences(text)
     return (
-        F.when(text.isNull() | (F.length(F.regexp_replace(text, r"\s+", "")) == 0), "empty model output")
+        F.when(text.isNull() | (F.length(F.btrim(text, F.lit(ASCII_SPACES))) == 0), "empty model output")
         .when(recovered_object(text).isNotNull(), None)
         .when((F.size(json_candidates(text)) == 0) & ~bare.rlike(r"^\{[\s\S]*\}$"), "no JSON object found in model output")
         .otherwise("failed to parse model JSON")

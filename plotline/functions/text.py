@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +13,15 @@ from plotline.functions import domains as D
 WHITESPACE = (
     r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+#: The same code points as a plain list.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = r"[A-Za-z][A-Za-z']+"
 WORD = r"[a-z']+"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
@@ -103,3 +107,25 @@ def _tagged(toks: Column, keep) -> Column:
 def lines(text: Column) -> Column:
     """Lines of a text; the carriage return of a Windows line end goes too."""
     return F.split(text, "\r\n|\n|\r")
+
+
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def lines_with(text: Column, sign: str) -> Column:
+    """Lines that hold a match of ``sign``, as (line, text); ``sign`` must not match line ends.
+
+    One search finds signs and line ends: the j-th sign, at place i of all finds, has i - j line ends before it. Only texts with
+    a sign are cut into lines.
+    """
+    finds = F.regexp_extract_all(text, F.lit(f"(?:{sign})|\\r\\n|\\n|\\r"), F.lit(0))
+    placed = F.filter(F.transform(finds, lambda t, i: F.when(~t.isin("\r\n", "\n", "\r"), i)), lambda i: i.isNotNull())
+    numbers = F.array_distinct(F.transform(placed, lambda i, j: i - j))
+
+    def found(at: Column) -> Column:
+        shown = with_value(lines(text), lambda all_: F.transform(at, lambda n: F.struct((n + 1).alias("line"), F.get(all_, n).alias("text"))))
+        return F.when(F.size(at) > 0, shown).otherwise(F.array().cast("array<struct<line:int,text:string>>"))
+
+    return with_value(numbers, found)

@@ -8,19 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions import text as X
+from plotline.operators.keyfilter import key_filter
 from plotline.operators.sequence import last_k
+from plotline.session import durable
 
 # Word edges with every Unicode letter and digit counted as part of a word.
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
-#: label, pattern, ignore case
-RISK_PATTERNS: tuple[tuple[str, str, bool], ...] = (
-    ("private path", r"(/Users/|/home/[A-Za-z0-9_.-]+)", True),
-    ("email", _B + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + _E, False),
-    ("institution/lab string", _B + r"(tufts|stanford|mit|berkeley|cmu|cornell)" + _E, True),
-    ("api key wording", _B + r"(api[_-]?key|secret[_-]?key|access[_-]?token|hf_token|openai_api_key)" + _E, True),
-    ("personal github/hf name", _B + r"github\.com/(?!huggingface" + _E + r")[A-Za-z0-9_.-]+", True),
-    ("personal github/hf name", _B + r"huggingface\.co/(?!api/)[A-Za-z0-9_.-]+", True),
+#: label, pattern, ignore case, and what every match holds in whatever case: plain enough to be tried at each place of a text
+RISK_PATTERNS: tuple[tuple[str, str, bool, str], ...] = (
+    ("private path", r"(/Users/|/home/[A-Za-z0-9_.-]+)", True, "/(?:users|home)/"),
+    ("email", _B + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + _E, False, "@"),
+    ("institution/lab string", _B + r"(tufts|stanford|mit|berkeley|cmu|cornell)" + _E, True, "tufts|stanford|mit|berkeley|cmu|cornell"),
+    ("api key wording", _B + r"(api[_-]?key|secret[_-]?key|access[_-]?token|hf_token|openai_api_key)" + _E, True,
+     "api[_-]?key|secret[_-]?key|access[_-]?token|hf_token"),
+    ("personal github/hf name", _B + r"github\.com/(?!huggingface" + _E + r")[A-Za-z0-9_.-]+", True, r"github\.com/"),
+    ("personal github/hf name", _B + r"huggingface\.co/(?!api/)[A-Za-z0-9_.-]+", True, r"huggingface\.co/"),
 )
 
 
@@ -32,60 +35,90 @@ def verbatim_options(examples: DataFrame, keep: Sequence[str] = ()) -> DataFrame
         "matching_option_is_correct", F.col("matching_option_idx") == F.col("answer_idx"))
 
 
-#: Key lengths, in characters, for items that are too short for a key of whole words.
-_CHAR_KEYS = (12, 6, 3, 2, 1)
+#: Longest run of words, and of characters, that serves as a key.
+WORD_RUN, CHAR_RUN = 4, 8
+#: Up to so many items without an inner word, and so many characters of them, are looked for in each text directly.
+DIRECT_ITEMS, DIRECT_CHARS = 64, 4096
 
 
-def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, text: str = "text", gram: int = 8) -> DataFrame:
-    """(text, item) pairs where the text holds the item verbatim; empty items are in no text.
+def _runs(units: Column, n: int) -> Column:
+    """A generator of all runs of ``n`` units, as ``n`` columns; the last runs are cut short and hold nulls."""
+    return F.inline(F.arrays_zip(*[F.slice(units, i + 1, F.size(units)).alias(f"u{i}") for i in range(n)]))
 
-    An item inside a text has its inner words, blank for blank, as whole words of that text; only its first and last
-    word may be glued to something else. So one run of ``gram`` inner words per item is an exact join key, and only
-    texts that have the run are searched. Items with fewer inner words are keyed by their longest inner word, items of
-    one or two words by their first characters.
-    """
-    item = items.filter(F.length(text) > 0).select(item_id, F.col(text).alias("_item"), F.split(text, " ", -1).alias("_w"))
-    inner = F.size("_w") - 2
-    longest = F.array_max(F.transform(F.slice("_w", 2, F.greatest(inner, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    reach = F.greatest(*[F.when(F.length("_item") >= q, q).otherwise(1) for q in _CHAR_KEYS])
-    keyed = item.select(
-        item_id, "_item",
-        F.when(inner >= gram, gram).when((inner >= 1) & (F.length(longest) > 0), 0).otherwise(-reach).alias("_kind"),
-        F.when(inner >= gram, F.array_join(F.slice("_w", 2, gram), " ")).when((inner >= 1) & (F.length(longest) > 0), longest)
-        .otherwise(F.left("_item", reach)).alias("_run"),
-    ).select(item_id, "_item", "_kind", F.xxhash64("_run").alias("_key"))
-    # Which kinds of keys occur decides which keys are made of the texts: a handful of numbers.
-    kinds = [r["_kind"] for r in keyed.select("_kind").distinct().collect()]
-    words = F.split(text, " ", -1)
+
+def _keyed_runs(rows: DataFrame, keep: Sequence[str], text: str, kinds: Sequence[int]) -> list[DataFrame]:
+    """For each kind the hashed runs of the texts as ``_key``: n words for n above zero, else -n characters."""
     parts = []
     for kind in kinds:
-        if kind == 0:
-            hashes = F.transform(words, lambda w: F.xxhash64(w))
-        elif kind > 0:
-            hashes = F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("_w") - kind + 1, F.lit(1))),
-                lambda i: F.xxhash64(F.array_join(F.slice("_w", i, gram), " ")))
-        else:
-            hashes = _char_hashes(text, -kind)
-        rows = texts.withColumn("_w", words) if kind > 0 else texts
-        keys = rows.select(text_id, F.lit(kind).alias("_kind"), F.explode(F.array_distinct(hashes)).alias("_key"))
-        parts.append(keys)
-    if not parts:
-        return texts.select(text_id, F.lit(None).cast(dict(items.dtypes)[item_id]).alias(item_id)).limit(0)
-    hits = parts[0]
+        n, names = abs(kind), [f"_u{i}" for i in range(abs(kind))]
+        units = F.split(text, " ", -1) if kind > 0 else F.split(text, "")
+        found = rows.select(*keep, _runs(units, n).alias(*names)).filter(F.col(names[-1]).isNotNull())
+        parts.append(found.select(*keep, F.xxhash64(F.lit(kind), *names).alias("_key")))
+    return parts
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    rows = parts[0]
     for other in parts[1:]:
-        hits = hits.unionByName(other)
-    pairs = hits.join(keyed, ["_kind", "_key"]).select(text_id, item_id, "_item").dropDuplicates([text_id, item_id])
-    return (
-        pairs.join(texts.select(text_id, F.col(text).alias("_text")), text_id)
-        .filter(F.col("_text").contains(F.col("_item"))).select(text_id, item_id)
-    )
+        rows = rows.unionByName(other)
+    return rows
 
 
-def _char_hashes(text: str, n: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.substr(F.col(text), i, F.lit(n))))
+def _item_kind(item: Column) -> Column:
+    """Runs of inner words, or of characters where there is no inner word.
+
+    An item inside a text has its inner words, blank for blank, as whole words of that text; only its first and last word may
+    be glued to something else.
+    """
+    inner = F.size(F.split(item, " ", -1)) - 2
+    kind = F.when(inner >= WORD_RUN, WORD_RUN).when(inner >= 1, inner)
+    for n in (CHAR_RUN, CHAR_RUN // 2, CHAR_RUN // 4, 1):
+        kind = kind.when(F.length(item) >= n, -n)
+    return kind
+
+
+def _item_keys(items: DataFrame, item_id: str, kinds: Sequence[int]) -> DataFrame:
+    """All keys of each item (``item_id``, ``_item``, ``_kind``)."""
+    words = F.split("_item", " ", -1)
+    shown = F.when(F.col("_kind") > 0, F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), " ")).otherwise(F.col("_item"))
+    rows = items.withColumn("_shown", shown)
+    parts = [_keyed_runs(rows.filter(F.col("_kind") == k), (item_id, "_item"), "_shown", [k])[0] for k in kinds]
+    return _union(parts).dropDuplicates([item_id, "_key"])
+
+
+def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, text: str = "text") -> DataFrame:
+    """(text, item) pairs where the text holds the item verbatim; empty items are in no text.
+
+    Every text that holds an item has all its runs of inner words, so one run per item is an exact join key, and the rarest run
+    is the best one. Runs of texts are counted first, only those that a Bloom filter of the items' runs lets pass; an item with a
+    run in no text is in no text. In a second reading only runs that pass a filter of the chosen ones leave their task, and a pair
+    is verified where the two meet, so what is shuffled follows the hits. The few items without an inner word are searched in
+    each text in place; beyond ``DIRECT_ITEMS`` of them they are keyed by characters in the same way.
+    """
+    kept = items.filter(F.length(text) > 0).select(item_id, F.col(text).alias("_item"))
+    bare = kept.filter(F.size(F.split("_item", " ", -1)) < 3)
+    few = bare.select(item_id, "_item", F.length("_item").alias("n")).limit(DIRECT_ITEMS + 1).collect()
+    direct = len(few) <= DIRECT_ITEMS and sum(r["n"] for r in few) <= DIRECT_CHARS
+    parts = []
+    if direct and few:
+        listed = F.array(*[F.struct(F.lit(r[item_id]).alias(item_id), F.lit(r["_item"]).alias("_item")) for r in few])
+        held = F.filter(listed, lambda i: F.col(text).contains(i["_item"]))
+        parts.append(texts.select(text_id, F.explode(held).alias("_i")).select(text_id, F.col(f"_i.{item_id}").alias(item_id)))
+    long = (kept.filter(F.size(F.split("_item", " ", -1)) >= 3) if direct else kept).withColumn("_kind", _item_kind(F.col("_item")))
+    kinds = [r["_kind"] for r in long.select("_kind").distinct().collect()]  # a handful of numbers
+    if kinds:
+        keys = durable(_item_keys(long, item_id, kinds))
+        any_run = key_filter(keys, "_key")
+        counted = _union(_keyed_runs(texts, (), text, kinds)).filter(any_run.may_contain(F.col("_key"))).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+        rarity = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))
+        rarest = keys.join(counted, "_key", "left").groupBy(item_id).agg(F.first("_item").alias("_item"), F.min(rarity).alias("_r"))
+        rarest = durable(rarest.filter("_r.n > 0").select(item_id, "_item", F.col("_r.key").alias("_key")))
+        chosen = key_filter(rarest, "_key")
+        found = _union(_keyed_runs(texts, (text_id, text), text, kinds)).filter(chosen.may_contain(F.col("_key")))
+        parts.append(found.join(rarest, "_key").filter(F.col(text).contains(F.col("_item"))).select(text_id, item_id))
+    if not parts:
+        return texts.select(text_id, F.lit(None).cast(dict(items.dtypes)[item_id]).alias(item_id)).limit(0)
+    return _union(parts).dropDuplicates([text_id, item_id])
 
 
 def leak_flags(index: Column, prior: Column, contexts: Mapping[int, Column], prompt0: Column, row_id: Column,
@@ -126,20 +159,26 @@ def leak_report(flagged: DataFrame, checks: Sequence[str], row_id: str = "id", s
     return counts.join(ids, "check", "left").withColumn("samples", F.coalesce("samples", F.lit("")))
 
 
-def _line_matches(regex: str):
-    return lambda line: line["t"].rlike(regex)
+def sensitive_findings(text: Column, patterns=RISK_PATTERNS, marker: str = "Pattern(", excerpt: int = 180) -> Column:
+    """First matching line per pattern: array of (pattern, label, line number, excerpt). No row leaves its partition.
 
+    The text is read once, by one search for what the patterns hold; the patterns are only tried on the lines it finds.
+    """
+    signs = "(?i:" + "|".join(sign for *_, sign in patterns) + ")"
 
-def sensitive_findings(text: Column, patterns=RISK_PATTERNS, marker: str = "Pattern(", excerpt: int = 180) -> Column:
-    """First matching line per pattern: array of (pattern, label, line number, excerpt). No row leaves its partition."""
-    numbered = F.transform(X.lines(text), lambda ln, i: F.struct((i + 1).alias("line"), ln.alias("t")))
-    scanned = F.filter(numbered, lambda s: ~s["t"].contains(marker))
-    found = []
-    for place, (label, pattern, ignore_case) in enumerate(patterns):
-        regex = ("(?i)" if ignore_case else "") + pattern
-        first = F.try_element_at(F.filter(scanned, _line_matches(regex)), F.lit(1))
-        # A text that matches nowhere is the usual case and costs one search, without cutting it into lines.
-        found.append(F.when(text.rlike(regex) & first.isNotNull(), F.struct(
-            F.lit(place).alias("pattern"), F.lit(label).alias("label"), first["line"].alias("line"),
-            F.substring(F.trim(first["t"]), 1, excerpt).alias("excerpt"))))
-    return F.array_compact(F.array(*found))
+    def report(hits: Column) -> Column:
+        shown = F.filter(hits, lambda s: ~s["text"].contains(marker))
+        found = []
+        for place, (label, pattern, ignore_case, _) in enumerate(patterns):
+            regex = "(?i)" + pattern if ignore_case else pattern
+            first = F.try_element_at(F.filter(shown, _line_has(regex)), F.lit(1))
+            found.append(F.when(first.isNotNull(), F.struct(
+                F.lit(place).alias("pattern"), F.lit(label).alias("label"), first["line"].alias("line"),
+                F.substring(F.trim(first["text"]), 1, excerpt).alias("excerpt"))))
+        return F.when(F.size(hits) > 0, F.array_compact(F.array(*found)))
+
+    return X.with_value(X.lines_with(text, signs), report)
+
+
+def _line_has(regex: str):
+    return lambda line: line["text"].rlike(regex)

@@ -140,17 +140,15 @@ def quarantine_reason(text: Column, patterns=D.PRIVATE_SUBSTRINGS, allowed=D.ALL
     def allowed_line(line: Column) -> Column:
         found = F.lit(False)
         for marker in allowed:
-            found = found | line.contains(marker)
+            found = found | line["text"].contains(marker)
         return found
 
     def first_pattern(line: Column) -> Column:
         found = F.when(F.lit(False), F.lit(""))
         for pattern in reversed(patterns):
-            found = F.when(line.contains(pattern.lower()), F.lit(pattern)).otherwise(found)
-        return found
+            found = F.when(line["text"].contains(pattern.lower()), F.lit(pattern)).otherwise(found)
+        return F.when(line.isNotNull(), F.concat(F.lit("matched private/secret pattern '"), found, F.lit("'")))
 
-    hits = F.filter(
-        F.transform(F.filter(X.lines(F.lower(text)), lambda ln: ~allowed_line(ln)), first_pattern),
-        lambda p: p.isNotNull())
-    first = F.try_element_at(hits, F.lit(1))
-    return F.when(first.isNotNull(), F.concat(F.lit("matched private/secret pattern '"), first, F.lit("'")))
+    literal = "|".join(r"\Q" + p.lower() + r"\E" for p in patterns)
+    hits = F.filter(X.lines_with(F.lower(text), literal), lambda line: ~allowed_line(line))
+    return X.with_value(F.try_element_at(hits, F.lit(1)), first_pattern)

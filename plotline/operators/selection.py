@@ -17,8 +17,9 @@ def _ids(clips: Column) -> Column:
 
 def needs_antecedent(sentence: Column) -> Column:
     """A sentence that opens with a fragment verb or a pronoun leans on the clip right before it."""
-    starts = "|".join(D.FRAGMENT_STARTS + D.PRONOUN_STARTS)
-    return F.lower(X.strip(F.coalesce(sentence, F.lit("")))).rlike(f"^({starts}) ")
+    starts = D.FRAGMENT_STARTS + D.PRONOUN_STARTS
+    opening = F.left(X.strip(F.coalesce(sentence, F.lit(""))), F.lit(2 * max(map(len, starts))))
+    return F.lower(opening).rlike(f"^({'|'.join(starts)}) ")
 
 
 def explicitly_invalid(target_type: Column, triviality: Column) -> Column:
