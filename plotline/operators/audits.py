@@ -11,6 +11,7 @@ from plotline.functions import text as X
 from plotline.operators.keyfilter import key_filter
 from plotline.operators.sequence import last_k
 from plotline.session import durable
+from plotline.sources.clips import union_all
 
 # Word edges with every Unicode letter and digit counted as part of a word.
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -57,13 +58,6 @@ def _keyed_runs(rows: DataFrame, keep: Sequence[str], text: str, kinds: Sequence
     return parts
 
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    rows = parts[0]
-    for other in parts[1:]:
-        rows = rows.unionByName(other)
-    return rows
-
-
 def _item_kind(item: Column) -> Column:
     """Runs of inner words, or of characters where there is no inner word.
 
@@ -83,7 +77,7 @@ def _item_keys(items: DataFrame, item_id: str, kinds: Sequence[int]) -> DataFram
     shown = F.when(F.col("_kind") > 0, F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), " ")).otherwise(F.col("_item"))
     rows = items.withColumn("_shown", shown)
     parts = [_keyed_runs(rows.filter(F.col("_kind") == k), (item_id, "_item"), "_shown", [k])[0] for k in kinds]
-    return _union(parts).dropDuplicates([item_id, "_key"])
+    return union_all(parts).dropDuplicates([item_id, "_key"])
 
 
 def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, text: str = "text") -> DataFrame:
@@ -109,16 +103,16 @@ def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: s
     if kinds:
         keys = durable(_item_keys(long, item_id, kinds))
         any_run = key_filter(keys, "_key")
-        counted = _union(_keyed_runs(texts, (), text, kinds)).filter(any_run.may_contain(F.col("_key"))).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+        counted = union_all(_keyed_runs(texts, (), text, kinds)).filter(any_run.may_contain(F.col("_key"))).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
         rarity = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))
         rarest = keys.join(counted, "_key", "left").groupBy(item_id).agg(F.first("_item").alias("_item"), F.min(rarity).alias("_r"))
         rarest = durable(rarest.filter("_r.n > 0").select(item_id, "_item", F.col("_r.key").alias("_key")))
         chosen = key_filter(rarest, "_key")
-        found = _union(_keyed_runs(texts, (text_id, text), text, kinds)).filter(chosen.may_contain(F.col("_key")))
+        found = union_all(_keyed_runs(texts, (text_id, text), text, kinds)).filter(chosen.may_contain(F.col("_key")))
         parts.append(found.join(rarest, "_key").filter(F.col(text).contains(F.col("_item"))).select(text_id, item_id))
     if not parts:
         return texts.select(text_id, F.lit(None).cast(dict(items.dtypes)[item_id]).alias(item_id)).limit(0)
-    return _union(parts).dropDuplicates([text_id, item_id])
+    return union_all(parts).dropDuplicates([text_id, item_id])
 
 
 def leak_flags(index: Column, prior: Column, contexts: Mapping[int, Column], prompt0: Column, row_id: Column,

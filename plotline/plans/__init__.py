@@ -6,7 +6,7 @@ import importlib
 
 from plotline.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("ingest", "normalise", "sequences", "selection", "matching", "scoring", "release", "checks", "picks", "models")
+_MODULES = ("ingest", "normalise", "sequences", "selection", "matching", "scoring", "release", "checks", "picks", "models", "sinks")
 
 
 def load() -> tuple[dict, dict]:

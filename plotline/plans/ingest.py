@@ -83,8 +83,30 @@ def source_unpivot(spark, sf_dir):
     return A.generated(spark, sf_dir).select("ord", "key", "source", "text", "r_start", "r_end")
 
 
-@query("manifest_check")
+_LISTED = """CASE WHEN doc_id % 19 = 2 THEN 'gone-' || doc_id ELSE 'doc-' || doc_id END"""
+
+
+@query("manifest_check", f"""
+    WITH m AS (SELECT *, {_LISTED} AS name, doc_id % 19 = 2 AS gone, doc_id % 11 = 4 AS other, doc_id % 13 = 5 AS vague, doc_id % 7 = 3 AS longer FROM documents)
+    SELECT name, array_to_string(list_filter([
+        CASE WHEN gone THEN 'file does not exist' END,
+        CASE WHEN NOT gone AND other THEN 'sha256 mismatch' END,
+        CASE WHEN NOT gone AND vague THEN 'size must be a byte count' END,
+        CASE WHEN NOT gone AND NOT vague AND longer THEN 'size mismatch' END], lambda e: e IS NOT NULL), ';') AS errors FROM m""")
 def manifest_check(spark, sf_dir):
+    """Texts as files, and a manifest with absent names, foreign hashes, sizes that are no number and sizes that are off."""
+    docs = A.table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    facts = R.row_facts(docs, F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.col("text"))
+    rest = lambda n, r: F.col("doc_id") % n == r
+    size = F.octet_length("text") + F.when(rest(7, 3), 1).otherwise(0)
+    manifest = docs.select(
+        F.expr(_LISTED).alias("name"), F.when(rest(11, 4), F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("sha256"),
+        F.when(rest(13, 5), "many").otherwise(size.cast("string")).alias("size"))
+    return R.manifest_errors(manifest, facts).select("name", F.array_join("errors", ";").alias("errors"))
+
+
+@query("manifest_files")
+def manifest_files(spark, sf_dir):
     """Document texts written per language; a manifest with one wrong size, one bad hash and one missing file."""
     path = scratch_path(spark, "manifest")
     A.table(spark, sf_dir, "documents").select("lang", F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.partitionBy("lang").text(path)

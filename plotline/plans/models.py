@@ -144,16 +144,21 @@ def retry_invalid(spark, sf_dir):
     return rows.select("id", F.col("prediction_idx").cast("bigint").alias("prediction_idx"), "run_name")
 
 
-@query("stream_route", O.with_views("SELECT route, count(*) AS n FROM v_selection GROUP BY route", "v_selection"))
-def stream_route(spark, sf_dir):
-    """Decisions arrive as files; each run routes what is new. A second run over the same input adds nothing."""
-    base = scratch_path(spark, "stream-route")
-    A.decisions(spark, sf_dir).write.parquet(f"{base}/in")
+def selection_stream(spark, decisions, base, runs=("first",)):
+    """Decisions as files, routed by as many streams as there are names in ``runs``."""
+    decisions.write.parquet(f"{base}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
 
     def route(batch):
         return P.materialize(batch, SELECTION_THRESHOLD).select("id", "movie", "rejection_reason", "route")
 
-    for attempt in ("first", "again"):
-        H.route_stream(spark, source, route, f"{base}/out", f"{base}/check-{attempt}").awaitTermination()
+    for name in runs:
+        H.route_stream(spark, source, route, f"{base}/out", f"{base}/check-{name}", order=["movie"]).awaitTermination()
+
+
+@query("stream_route", O.with_views("SELECT route, count(*) AS n FROM v_selection GROUP BY route", "v_selection"))
+def stream_route(spark, sf_dir):
+    """Decisions arrive as files; each run routes what is new. A second run over the same input adds nothing."""
+    base = scratch_path(spark, "stream-route")
+    selection_stream(spark, A.decisions(spark, sf_dir), base, ("first", "again"))
     return spark.read.parquet(f"{base}/out").groupBy("route").agg(F.count(F.lit(1)).alias("n"))

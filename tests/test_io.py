@@ -1,7 +1,9 @@
 """Scans, sinks, manifests, the model hook and the stream."""
 
+import gzip
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,11 +122,93 @@ def test_stream_adds_only_what_is_new(spark, tmp_path):
     # A lost checkpoint replays everything; nothing is written twice.
     H.route_stream(spark, stream(), route, out, str(tmp_path / "ck-new")).awaitTermination()
     assert {(r["id"], r["route"]) for r in spark.read.parquet(out).collect()} == {("a", "rejected"), ("b", "selected"), ("c", "selected")}
-    total = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
-    got = {r["route"]: r["n"] for r in H.progress(spark, out, "id string, v int, route string", total).collect()}
+    got = {r["route"]: r["n"] for r in H.progress(spark, out, 4).collect()}
     assert got == {"rejected": 1, "selected": 2, "remaining": 1}
 
 
+def test_stream_replays_and_expires(spark, tmp_path, monkeypatch):
+    """The first row by order stays; a batch written again replaces itself; ids older than the expiry count as new."""
+    source_dir, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    now = [1_000_000]
+    monkeypatch.setattr(H.time, "time", lambda: now[0])
+
+    def put(rows):
+        spark.createDataFrame(rows, "id string, v int").repartition(2).write.mode("append").parquet(source_dir)
+
+    def run(checkpoint, **more):
+        def route(batch):
+            return batch.withColumn("route", F.when(F.col("v") > 4, "kept").otherwise("odd"))
+
+        stream = spark.readStream.schema("id string, v int").parquet(source_dir)
+        H.route_stream(spark, stream, route, out, checkpoint, order=["v"], **more).awaitTermination()
+
+    rows = lambda: sorted(((r["id"], r["v"]) for r in spark.read.parquet(out).collect()), key=str)
+    put([("a", 7), ("a", 3), ("b", 9), ("a", 5), ("c", 1), (None, 2)])
+    run(check)
+    assert rows() == sorted([("a", 3), ("b", 9), ("c", 1), (None, 2)], key=str)
+    # The commit of the batch is lost, so the same batch runs again.
+    for name in (tmp_path / "ck" / "commits").iterdir():
+        name.rename(tmp_path / f"lost-{name.name}")
+    run(check)
+    assert rows() == sorted([("a", 3), ("b", 9), ("c", 1), (None, 2)], key=str)
+    assert {r["route"]: r["n"] for r in H.progress(spark, out).collect()} == {"kept": 1, "other": 3}
+    now[0] += 10 * H.SLOT
+    put([("b", 1), ("d", 8)])
+    run(check, expiry=20 * H.SLOT)
+    assert len(rows()) == 5
+    now[0] += 30 * H.SLOT
+    put([("b", 2)])
+    run(check, expiry=20 * H.SLOT)
+    assert [r for r in rows() if r[0] == "b"] == [("b", 2), ("b", 9)]
+    assert {r["route"]: r["n"] for r in H.progress(spark, out, 10).collect()} == {"kept": 2, "other": 4, "remaining": 4}
+
+
+def test_many_headers_make_one_plan(spark, tmp_path):
+    """Three hundred files with ten headers; a scan per layout, whatever the number of files."""
+    heads = [["movie", "text", "start"], ["text", "movie", "start"], ["x", "start", "movie", "text"], ["Movie_ID", "caption", "start_time"], ["imdb", "y", "z", "sentence", "start"],
+             ["start", "description", "video_id"], ["text", "text", "movie", "start"], ["movie", "", "text", "start"], ["MOVIE", "Text", "START"], ["id", "movie", "text", "start", "end"]]
+    want = set()
+    for k in range(300):
+        names = heads[k % 10]
+        lines = [",".join(names)]
+        for row in range(2):
+            value = {"start": str(row), "text": f'"line {k}, ""{row}"""', "movie": f"m{k}"}
+            value |= {"start_time": value["start"], "sentence": value["text"], "description": value["text"], "caption": value["text"], "imdb": value["movie"], "video_id": value["movie"], "movie_id": value["movie"]}
+            lines.append(",".join(value.get(n.lower(), f"q{row}") for n in names))
+            want.add((f"m{k}", row, f'line {k}, "{row}"', str(row)))
+        (tmp_path / f"f{k}.csv").write_text("\n".join(lines) + "\n")
+    rows = C.scan_clips(spark, str(tmp_path))
+    assert {(r["movie"], r["sequence_index"], r["text"], r["timestamp_start"]) for r in rows.collect()} == want
+    few = C.scan_clips(spark, str(tmp_path / "f0.csv"))
+    shape = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    assert shape(rows) == shape(few)
+
+
+def test_odd_delimited_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffmovie,text,video\r\nm,"a, ""b""",v\r\n\r\nm,5" disk,v\r\nm,short\r\nm,"unclosed,v\r\nm,,v\r\nm,"""q""",\r\n', encoding="utf-8")
+    got = [(r["sequence_index"], r["text"], r["video_path"]) for r in C.scan_clips(spark, str(tmp_path)).orderBy("sequence_index").collect()]
+    assert got == [(0, 'a, "b"', "v"), (1, '5" disk', "v"), (2, "short", None), (3, '"unclosed', "v"), (5, '"q"', None)]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "m.csv").write_text('text,movie\n"one\ntwo ""x""\n",m\nthree,m\n"a\n\nb",m\n')
+    got = [(r["sequence_index"], r["text"]) for r in C.scan_clips(spark, str(tmp_path / "b"), multi_line=True).orderBy("sequence_index").collect()]
+    assert got == [(0, 'one two "x"'), (1, "three"), (2, "a b")]
+    assert C.scan_clips(spark, str(tmp_path), suffixes={"txt": "csv"}).collect() == []
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path):
+    rng = random.Random(3)
+    contents = {"a": b"x" * 50, "b": b"\xef\xbb\xbfmark\nmore than a few bytes of text here\n", "c": b"\n" * 60, "d": b"\xef\xbb\xbf" + b"y" * 70, "e": bytes(rng.randrange(256) for _ in range(200_000)), "small": b"s", "none": b"",
+                "f": b"\r\n".join(b"line %d" % i for i in range(9000)), "g": b"no end" * 9000, "z.gz": gzip.compress(b"packed" * 100, mtime=0) * 3}
+    for name, body in contents.items():
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = {r["name"]: (r["actual_size"], r["actual_sha256"]) for r in R.file_facts(spark, str(tmp_path), whole_bytes=40).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items() if c}
+
+
 def test_text_source_file_with_byte_order_mark(spark, tmp_path):
     path = tmp_path / "wide.csv"
     path.write_text("start,end,alpha,ground_truth,beta-2,movie,vid\n144.104,148.433, He runs. ,He ran.,,SIGNS,x\n1,2,,,\"b, c\",1005_Signs,y\n", encoding="utf-8-sig")

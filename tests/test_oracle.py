@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from plotline.plans import load
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"manifest_check"}
+ROWS_ONLY = {"manifest_files"}
 #: The library's own queries; those of the llm subpackage have tests of their own.
 QUERIES, SQL = load()
 
