@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import partitions, stored
-from llm.textops import pieces, run_hashes, runs_within, sliding_min, span_hashes, text_buffer
+from llm.textops import halves, pieces, released, run_hashes, runs_within, sliding_min, span_hashes, text_buffer
 
 WINDOW = 200
 GRAM = 80
@@ -40,6 +40,8 @@ RUN = 128
 HOT = 256
 #: Bytes of a batch of the index family.
 BATCH = 1 << 20
+#: Bytes of snippets from which a new family begins at the next anchor.
+FRESH = 4 << 20
 _PIECE = 1 << 20
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _READ = "doc long, n_bytes long, sha string, h1 long, h2 long, anchors array<long>"
@@ -145,40 +147,66 @@ class Family:
         return Level(np.concatenate([a.text, b.text]), np.insert(a.starts, at, b.starts + len(a.text)), np.insert(a.ids, at, b.ids), a.rank + 1)
 
 
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Snippets to the windows in them that repeat; snippets that occur twice are only looked at as partners."""
-    family, held, size = Family(), [], 0
-    keys: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # per batch of the family: s1, s2, n, windows
+class _Search:
+    """A family and the snippets it holds, in batches."""
 
-    def index() -> None:
-        table = pa.Table.from_batches(held).combine_chunks()
+    def __init__(self) -> None:
+        self.family, self.held, self.size, self.total = Family(), [], 0, 0
+        self.keys: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # per batch: s1, s2, n, windows
+
+    def add(self, some: pa.RecordBatch) -> None:
+        self.held.append(some)
+        more = len(text_buffer(_column(some, "snippet"))[0])
+        self.size, self.total = self.size + more, self.total + more
+        if self.size >= BATCH:
+            self.index()
+
+    def index(self) -> None:
+        if not self.held:
+            return
+        table = pa.Table.from_batches(self.held).combine_chunks()
         data, offsets = text_buffer(table.column("snippet"))
         windows = np.diff(offsets) - (WINDOW - 1)
         starts = np.repeat(offsets[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-        family.add(data, starts)
-        keys.append((table.column("s1").to_numpy(), table.column("s2").to_numpy(), table.column("n").to_numpy(), windows))
+        self.family.add(data, starts)
+        self.keys.append((table.column("s1").to_numpy(), table.column("s2").to_numpy(), table.column("n").to_numpy(), windows))
+        self.held, self.size = [], 0
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        self.index()
+        done = 0
+        for s1, s2, n, windows in self.keys:
+            hit = self.family.repeated[done : done + windows.sum()]
+            done += windows.sum()
+            owner = np.repeat(np.arange(len(n)), windows)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+            hit = hit & (n[owner] == 1)
+            begin = hit.copy()  # runs of repeated windows
+            begin[1:] &= ~(hit[:-1] & (owner[1:] == owner[:-1]))
+            first = np.flatnonzero(begin)
+            length = np.add.reduceat(hit, first).astype(np.int32) if len(first) else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(s1[owner[first]]), pa.array(s2[owner[first]]), pa.array(place[first].astype(np.int32)), pa.array(length)], names=["s1", "s2", "skip", "windows"])
+
 
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Snippets, sorted by anchor, to the windows in them that repeat; snippets that occur twice are only looked at as partners.
+
+    Equal windows have equal anchors, so beyond ``FRESH`` bytes a new family begins at the next anchor.
+    """
+    search, last = _Search(), None
     for batch in batches:
         for some in pieces(batch, "snippet", BATCH // 4):
-            held.append(some)
-            size += some.column(some.schema.get_field_index("snippet")).nbytes
-            if size >= BATCH:
-                index()
-                held, size = [], 0
-    if held:
-        index()
-    done = 0
-    for s1, s2, n, windows in keys:
-        hit = family.repeated[done : done + windows.sum()]
-        done += windows.sum()
-        owner = np.repeat(np.arange(len(n)), windows)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        hit = hit & (n[owner] == 1)
-        begin = hit.copy()  # runs of repeated windows
-        begin[1:] &= ~(hit[:-1] & (owner[1:] == owner[:-1]))
-        first = np.flatnonzero(begin)
-        length = np.add.reduceat(hit, first).astype(np.int32) if len(first) else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(s1[owner[first]]), pa.array(s2[owner[first]]), pa.array(place[first].astype(np.int32)), pa.array(length)], names=["s1", "s2", "skip", "windows"])
+            anchor = _column(some, "anchor").to_numpy()
+            if search.total >= FRESH:
+                fresh = 0 if anchor[0] != last else int(np.argmax(anchor != last)) if (anchor != last).any() else -1
+                if fresh >= 0:
+                    if fresh:
+                        search.add(some.slice(0, fresh))
+                    yield from search.results()
+                    search, some = _Search(), some.slice(fresh)
+            search.add(some)
+            last = anchor[-1]
+    yield from search.results()
 
 
 # ---- reading texts ----------------------------------------------------------------------------------------------------------
@@ -200,11 +228,6 @@ def _anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return grams, at, sliding_min(grams, WINDOW - GRAM + 1)[at] if len(at) else grams[:0]
 
 
-def _whole(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    one, two = (span_hashes(data, offsets[:-1], offsets[1:], w).view(np.int64) for w in (0, 1))
-    return one, two
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reach = WINDOW - GRAM + 1
     for batch in batches:
@@ -216,8 +239,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = np.zeros(len(grams) + reach - 1, dtype=np.uint64)
                 m[at + reach - 1] = anchor
                 places = np.flatnonzero(~sliding_min(~m, reach) == grams)
-            h1, h2 = _whole(data, offsets)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(offsets)), pa.array(_digests(data, offsets)), pa.array(h1), pa.array(h2), _lists(grams[places], np.searchsorted(places, offsets))],
+            sha = _digests(data, offsets)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(offsets)), pa.array(sha), *halves(sha), _lists(grams[places], np.searchsorted(places, offsets))],
                                              names=["doc", "n_bytes", "sha", "h1", "h2", "anchors"])
 
 
@@ -303,8 +326,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    read = stored(rows.mapInArrow(_read, _READ), "byte-texts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    read = stored(rows.mapInArrow(released(_read), _READ), "byte-texts")
     # Equal texts have equal anchors, so any row's will do.
     classes = read.where(F.col("n_bytes") >= WINDOW).groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("sha").alias("sha"), F.count(F.lit(1)).alias("members"), F.first("anchors").alias("anchors"))
     # A class has a number of its own (fixed by storing it): ids may be null or repeated.
@@ -313,29 +336,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # An anchor matters if it occurs twice, and not only in texts that are removed whole anyway.
     again = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("members").alias("least")).where("n > 1 and least = 1")
     wanted = own.join(stored(again.select("anchor"), "anchors"), "anchor").groupBy("rep", "doc", "sha").agg(F.collect_set("anchor").alias("anchors"))  # at most a text's own
-    texts = rows.withColumn("sha", F.sha2("text", 256)).join(stored(wanted, "anchored"), ["doc", "sha"]).select("rep", "anchors", "text")
+    texts = rows.withColumn("sha", F.sha2("text", 256)).alias("r").join(stored(wanted, "anchored").alias("w"), F.expr("r.doc <=> w.doc and r.sha = w.sha")).select("rep", "anchors", "text")
     texts = stored(texts, "anchored-texts")
-    runs = stored(texts.select("rep", "anchors", "text").mapInArrow(_runs, "anchor long, s1 long, s2 long, rep long, start int, windows int"), "runs")
+    runs = stored(texts.select("rep", "anchors", "text").mapInArrow(released(_runs), "anchor long, s1 long, s2 long, rep long, start int, windows int"), "runs")
     snippets = runs.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min("anchor").alias("anchor"), F.min(F.struct("rep", "start")).alias("at"), F.min("windows").alias("windows"))
     snippets = stored(snippets, "snippets")
     mixed = stored(snippets.groupBy("anchor").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1").select("anchor", "kinds"), "mixed-anchors")
 
     listed = snippets.join(mixed.where(F.col("kinds") <= HOT).select("anchor"), "anchor")
     listed = listed.groupBy(F.col("at.rep").alias("rep")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "windows", "anchor", "s1", "s2", "n")).alias("runs"))
-    cut = texts.select("rep", "text").join(listed, "rep").mapInArrow(_snippets, "anchor long, s1 long, s2 long, n long, snippet binary")
+    cut = texts.select("rep", "text").join(listed, "rep").mapInArrow(released(_snippets), "anchor long, s1 long, s2 long, n long, snippet binary")
     dealt = cut.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
-    searched = stored(dealt.mapInArrow(_searched, "s1 long, s2 long, skip int, windows int"), "matches")
+    searched = stored(dealt.mapInArrow(released(_searched), "s1 long, s2 long, skip int, windows int"), "matches")
 
     hot = mixed.where(F.col("kinds") > HOT).select("anchor")
     hot = texts.select("rep", F.explode("anchors").alias("anchor")).join(hot, "anchor").groupBy("rep").agg(F.collect_list("anchor").alias("anchors"))
-    dense = stored(texts.select("rep", "text").join(hot, "rep").select("rep", "anchors", "text").mapInArrow(_dense, "w1 long, w2 long, rep long, start int"), "hot-windows")
+    dense = stored(texts.select("rep", "text").join(hot, "rep").select("rep", "anchors", "text").mapInArrow(released(_dense), "w1 long, w2 long, rep long, start int"), "hot-windows")
     twice = stored(dense.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "hot-repeats")
 
     full = runs.join(snippets.where("n > 1").select("s1", "s2"), ["s1", "s2"]).select("rep", "start", "windows")
     part = runs.select("s1", "s2", "rep", "start").join(searched, ["s1", "s2"]).select("rep", (F.col("start") + F.col("skip")).alias("start"), "windows")
     single = dense.join(twice, ["w1", "w2"]).select("rep", "start", F.lit(1).alias("windows"))
     spans = full.unionByName(part).unionByName(single).groupBy("rep").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))  # at most a text's own
-    cuts = texts.select("rep", "text").join(spans, "rep").mapInArrow(_cut, "rep long, cut long, cut_spans long, cut_sha string")
+    cuts = texts.select("rep", "text").join(spans, "rep").mapInArrow(released(_cut), "rep long, cut long, cut_spans long, cut_sha string")
     found = stored(classes.select("rep", "h1", "h2", "members").join(stored(cuts, "cuts").dropDuplicates(["rep"]), "rep", "left").drop("rep"), "byte-results")
     out = read.drop("anchors").join(found, ["h1", "h2"], "left")
     copy = F.coalesce(F.col("members") > 1, F.lit(False))

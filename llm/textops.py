@@ -6,7 +6,9 @@ the cost per document is a few numpy calls per *batch*, not per document or word
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +23,73 @@ LOWER[0x41:0x5B] += 32
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
+#: For each of the two span hashes two primes below 2^31, and a base for each.
+_FIELDS = (((2147483647, 1640531527), (2147483629, 1100585497)), ((2147483587, 1812433253), (2147483579, 1274126177)))
+#: Bytes hashed at a time, and the length from which a span is digested instead.
+BLOCK = 1 << 19
+LONG = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_FIELD_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _doubled(size: int, step: int, modulus: int, kind: type) -> np.ndarray:
+    """Powers of ``step``, by doubling: p[k:2k] = p[:k] * step^k."""
+    p = np.empty(size, dtype=kind)
+    p[0], filled = 1, 1
+    while filled < size:
+        take = min(filled, size - filled)
+        more = p[:take].astype(np.uint64) * np.uint64(step)
+        p[filled : filled + take] = more if modulus > _MASK else more % np.uint64(modulus)
+        filled += take
+        step = step * step % modulus
+    return p
 
 
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64, at least ``n`` of them."""
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         base = _BASES[which] | 1
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.empty(size, dtype=np.uint64)
-            p[0], filled, step = 1, 1, b
-            while filled < size:  # doubling: p[k:2k] = p[:k] * b^k
-                take = min(filled, size - filled)
-                p[filled : filled + take] = p[:take] * np.uint64(step)
-                filled += take
-                step = step * step & _MASK
-            out.append(p)
-        _POWERS[which] = have = (out[0], out[1])
+        have = (_doubled(size, base, 1 << 64, np.uint64), _doubled(size, pow(base, -1, 1 << 64), 1 << 64, np.uint64))
+        if size <= 2 * BLOCK:
+            _POWERS[which] = have
     return have
 
 
+def _field_powers(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo a prime, at least ``n`` of them; ``n`` is at most ``BLOCK + LONG``."""
+    have = _FIELD_POWERS.get((prime, base))
+    if have is None or len(have[0]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        have = (_doubled(size, base, prime, np.uint32), _doubled(size, pow(base, -1, prime), prime, np.uint32))
+        if size <= 2 * BLOCK:
+            _FIELD_POWERS[prime, base] = have
+    return have
+
+
+def release() -> None:
+    """Give memory of the ended task back: Python workers live on, and executors count it."""
+    _POWERS.clear()
+    _FIELD_POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a task, with :func:`release` at its end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))
@@ -54,23 +100,47 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Rabin-Karp hash of each span; equal bytes give equal hashes wherever they lie."""
-    n = len(data)
-    pow_, inv = _powers(n + 1, which)
-    c = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pow_[:n], out=c[1:])
-    return mixed((c[ends] - c[starts]) * inv[starts])
+    """Rabin-Karp hash of each span, starts ascending; equal bytes give equal hashes wherever they lie.
+
+    A hash joins two residues modulo primes of 31 bits: a modulus of 2^64 would spare the division, but has texts that collide
+    under every base. Prefix sums are taken over ``BLOCK`` bytes at a time; spans beyond ``LONG`` are digested.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    size = ends - starts
+    for k in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.sha256(bytes([which]) + np.ascontiguousarray(data[starts[k] : ends[k]]).tobytes()).digest()
+        out[k] = int.from_bytes(digest[:8], "little")
+    short = np.flatnonzero(size <= LONG)
+    begin = 0
+    while begin < len(short):
+        low = int(starts[short[begin]])
+        some = short[begin : max(begin + 1, int(np.searchsorted(starts[short], low + BLOCK, side="right")))]
+        begin += len(some)
+        s, e = starts[some] - low, ends[some] - low
+        n = int(e.max())
+        values = data[low : low + n].astype(np.uint64) + np.uint64(1)
+        parts = []
+        for prime, base in _FIELDS[which]:
+            power, inverse = _field_powers(n + 1, prime, base)
+            c = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(values * power[:n], out=c[1:])  # terms below 2^40, so many that no sum leaves 64 bits
+            parts.append((c[e] - c[s]) % np.uint64(prime) * inverse[s] % np.uint64(prime))
+        out[some] = mixed((parts[0] << np.uint64(32)) | parts[1])
+    return out
 
 
 def run_hashes(values: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """Rolling hash of each run of ``length`` consecutive 64-bit values."""
-    n = len(values) - length + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    pow_, inv = _powers(len(values) + 1, which)
-    c = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * pow_[: len(values)], out=c[1:])
-    return mixed((c[length:] - c[:n]) * inv[:n])
+    """Rolling hash of each run of ``length`` consecutive 64-bit values, ``BLOCK`` runs at a time."""
+    n = max(0, len(values) - length + 1)
+    out = np.empty(n, dtype=np.uint64)
+    for low in range(0, n, BLOCK):
+        some = values[low : low + BLOCK + length - 1]
+        runs = len(some) - length + 1
+        pow_, inv = _powers(len(some) + 1, which)
+        c = np.zeros(len(some) + 1, dtype=np.uint64)
+        np.cumsum(some * pow_[: len(some)], out=c[1:])
+        out[low : low + runs] = mixed((c[length:] - c[:runs]) * inv[:runs])
+    return out
 
 
 def sliding_min(values: np.ndarray, length: int) -> np.ndarray:
@@ -100,7 +170,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def halves(digests: list[str]) -> tuple[pa.Array, pa.Array]:
+    """The first 128 bits of SHA-256 digests, as two keys."""
+    raw = np.frombuffer(b"".join(bytes.fromhex(d[:32]) for d in digests), dtype="<i8").reshape(-1, 2)
+    return pa.array(np.ascontiguousarray(raw[:, 0])), pa.array(np.ascontiguousarray(raw[:, 1]))
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` text bytes (one row at least), so that arrays stay small."""
     if batch.num_rows == 0:
         return

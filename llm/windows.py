@@ -11,7 +11,10 @@ A window is removed where its word sequence also starts in a document with a sma
 4. Windows that start in an earlier document merge into intervals, which are cut out.
 
 Edge cases: null and empty texts have no words; texts shorter than a window are left alone; rows with equal ids are not earlier
-than one another, and different texts all the same; a null doc_id counts as -1. An empty table gives no rows; extra columns are ignored.
+than one another, and different texts all the same; a null doc_id is neither smaller nor larger than another, so such a row loses
+nothing and takes nothing. An empty table gives no rows; extra columns are ignored.
+
+Windows on an anchor that one class alone has are not hashed: they occur once. Whole copies need no windows either.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import stored
-from llm.textops import covered, mixed, pieces, run_hashes, runs_within, sliding_min, span_hashes, text_buffer, word_spans
+from llm.textops import covered, halves, pieces, released, run_hashes, runs_within, sliding_min, span_hashes, text_buffer, word_spans
 
 WINDOW = 50
 GRAM = 25
@@ -66,14 +69,6 @@ def _anchored(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, sliding_min(run_hashes(words, GRAM), WINDOW - GRAM + 1)[at]
 
 
-def _sequences(a: np.ndarray, b: np.ndarray, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each document's word sequence."""
-    place = mixed((np.arange(len(a)) - first[owner]).astype(np.uint64) + np.uint64(77))
-    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + place), dtype=np.uint64)]) for h in (a, b)]
-    one, two = ((c[first[1:]] - c[first[:-1]]).view(np.int64) for c in sums)
-    return one, two
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in pieces(batch):
@@ -82,7 +77,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
             sha = _digests(*joined(data, offsets, starts, ends, owner, np.ones(len(starts), bool)))
             words = span_hashes(data, starts, ends)
-            h1, h2 = _sequences(words, span_hashes(data, starts, ends, 1), first, owner)
+            h1, h2 = halves(sha)  # words hold no blank, so joined texts are equal where the words are
             at, anchor = _anchored(words, first)
             own = owner[at]
             new = np.ones(len(at), bool)
@@ -93,7 +88,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             once[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
             a, o = a[once], o[once]
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), some.column(some.schema.get_field_index("digest")), pa.array(np.diff(first)), pa.array(sha), pa.array(h1), pa.array(h2), _lists(a, np.searchsorted(o, np.arange(len(offsets))))],
+                [some.column(0), some.column(some.schema.get_field_index("digest")), pa.array(np.diff(first)), pa.array(sha), h1, h2, _lists(a, np.searchsorted(o, np.arange(len(offsets))))],
                 names=["doc", "digest", "n_words", "sha", "h1", "h2", "anchors"])
 
 
@@ -137,20 +132,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    read = stored(rows.mapInArrow(_read, _READ), "word-texts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    read = stored(rows.mapInArrow(released(_read), _READ), "word-texts")
     # Equal word sequences have equal anchors, so any row's will do. A class has a number of its own (fixed by storing it): ids may be null or repeated.
-    classes = read.where(F.col("n_words") >= WINDOW).groupBy("h1", "h2").agg(F.min(F.struct("doc", "digest")).alias("at"), F.first("anchors").alias("anchors"))
+    classes = read.where(F.col("n_words") >= WINDOW).groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "digest")).alias("at"), F.first("anchors").alias("anchors"))
     classes = stored(classes.select("h1", "h2", "at.doc", "at.digest", "anchors", F.monotonically_increasing_id().alias("rep")), "word-classes")
     own = classes.select("rep", "doc", "digest", F.explode("anchors").alias("anchor"))
     again = stored(own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     wanted = stored(own.join(again, "anchor").groupBy("rep", "doc", "digest").agg(F.collect_list("anchor").alias("anchors")), "anchored")  # at most a text's own
-    texts = stored(rows.join(wanted, ["doc", "digest"]).select("rep", "doc", "anchors", "text"), "anchored-texts")
-    windows = stored(texts.mapInArrow(_hashed, "w1 long, w2 long, rep long, doc long, start int"), "windows")
+    texts = rows.alias("r").join(wanted.alias("w"), F.expr("r.doc <=> w.doc and r.digest = w.digest")).select("rep", "w.doc", "anchors", "text")
+    texts = stored(texts, "anchored-texts")
+    windows = stored(texts.mapInArrow(released(_hashed), "w1 long, w2 long, rep long, doc long, start int"), "windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("earliest"), F.max("doc").alias("latest")).where("earliest < latest").drop("latest")
     late = windows.join(stored(earliest, "repeated-windows"), ["w1", "w2"]).where("doc > earliest")
     starts = late.groupBy("rep").agg(F.collect_list("start").alias("starts"))  # at most a text's own windows
-    cuts = stored(texts.select("rep", "text").join(starts, "rep").mapInArrow(_cut, "rep long, cut long, cut_sha string"), "cuts").dropDuplicates(["rep"])
+    cuts = stored(texts.select("rep", "text").join(starts, "rep").mapInArrow(released(_cut), "rep long, cut long, cut_sha string"), "cuts").dropDuplicates(["rep"])
     found = stored(classes.select("h1", "h2", F.col("doc").alias("least"), "rep").join(cuts, "rep", "left").drop("rep"), "word-results")
     out = read.drop("anchors", "digest").join(found, ["h1", "h2"], "left")
     copy = F.coalesce(F.col("doc") > F.col("least"), F.lit(False))

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from llm import suffixes, windows
+from llm import suffixes, textops, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -24,38 +24,38 @@ def wanted_bytes(rows):
                 gone[k : k + 200] = True
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out.append((-1 if i is None else i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
 
 
 def wanted_words(rows):
-    rows = [(-1 if i is None else i, WORD.findall(t or "")) for i, t, *_ in rows]
+    rows = [(i, WORD.findall(t or "")) for i, t, *_ in rows]
     first = {}
-    for i, w in sorted(rows):
+    for i, w in sorted(r for r in rows if r[0] is not None):
         for k in range(len(w) - 49):
             first.setdefault(tuple(w[k : k + 50]), i)
     out = []
     for i, w in rows:
         gone = [False] * len(w)
         for k in range(len(w) - 49):
-            if first[tuple(w[k : k + 50])] < i:
+            if i is not None and first[tuple(w[k : k + 50])] < i:
                 gone[k : k + 50] = [True] * 50
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def test_bytes(docs, awkward):
-    assert sorted(map(tuple, suffixes.remove_repeats(docs).collect())) == wanted_bytes(awkward)
+    assert sorted(map(tuple, suffixes.remove_repeats(docs).collect()), key=str) == wanted_bytes(awkward)
 
 
 def test_bytes_when_every_anchor_is_hot(docs, awkward, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 1)
-    assert sorted(map(tuple, suffixes.remove_repeats(docs).collect())) == wanted_bytes(awkward)
+    assert sorted(map(tuple, suffixes.remove_repeats(docs).collect()), key=str) == wanted_bytes(awkward)
 
 
 def test_words(docs, awkward):
-    assert sorted(map(tuple, windows.remove_repeats(docs).collect())) == wanted_words(awkward)
+    assert sorted(map(tuple, windows.remove_repeats(docs).collect()), key=str) == wanted_words(awkward)
 
 
 @pytest.fixture(scope="module")
@@ -72,12 +72,60 @@ def shared_ids():
 def test_bytes_of_texts_that_share_an_id(spark, shared_ids, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     df = spark.createDataFrame(shared_ids, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, suffixes.remove_repeats(df).collect())) == wanted_bytes(shared_ids)
+    assert sorted(map(tuple, suffixes.remove_repeats(df).collect()), key=str) == wanted_bytes(shared_ids)
 
 
 def test_words_of_texts_that_share_an_id(spark, shared_ids):
     df = spark.createDataFrame(shared_ids, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, windows.remove_repeats(df).collect())) == wanted_words(shared_ids)
+    assert sorted(map(tuple, windows.remove_repeats(df).collect()), key=str) == wanted_words(shared_ids)
+
+
+def mirrored(n=2048):
+    """Two texts without blanks whose bytes differ by the Thue-Morse signs: every polynomial hash modulo 2^64 takes them for equal."""
+    rng = random.Random(11)
+    base = [rng.randint(0x4A, 0x6F) for _ in range(n)]
+    signs = [1 - 2 * (i.bit_count() % 2) for i in range(n)]
+    return "".join(map(chr, base)), "".join(chr(x + s) for x, s in zip(base, signs, strict=True))
+
+
+def test_texts_that_collide_under_powers_of_two(spark):
+    one, two = mirrored()
+    rows = [(1, one), (2, two), (3, f"{one} {' '.join(f'w{i}' for i in range(60))}"), (4, f"{two} {' '.join(f'v{i}' for i in range(60))}"), (5, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, suffixes.remove_repeats(df).collect()), key=str) == wanted_bytes(rows)
+    assert sorted(map(tuple, windows.remove_repeats(df).collect()), key=str) == wanted_words(rows)
+    data = np.frombuffer((one + two).encode(), dtype=np.uint8)
+    for which in (0, 1):
+        a, b = textops.span_hashes(data, np.array([0, 2048]), np.array([2048, 4096]), which)
+        assert a != b
+
+
+def test_span_hashes_do_not_depend_on_place_or_block(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 3, 5000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 4600, 3000))
+    ends = starts + rng.integers(0, 6, 3000)
+    ends[::500] += 380
+    whole = {w: textops.span_hashes(data, starts, ends, w) for w in (0, 1)}
+    for w, h in whole.items():
+        by = {}
+        for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
+            by.setdefault(data[a:b].tobytes(), set()).add(int(h[k]))
+        assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
+    values = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
+    runs = textops.run_hashes(values, 50)
+    monkeypatch.setattr(textops, "BLOCK", 64)
+    textops.release()
+    assert all((textops.span_hashes(data, starts, ends, w) == h).all() for w, h in whole.items())
+    assert (textops.run_hashes(values, 50) == runs).all()
+    monkeypatch.setattr(textops, "LONG", 300)
+    long = textops.span_hashes(data, starts, ends)
+    assert (long[ends - starts <= 300] == whole[0][ends - starts <= 300]).all() and len(set(long[::500].tolist())) == 6
+
+
+def test_families_begin_anew_between_anchors(docs, awkward, monkeypatch):
+    monkeypatch.setattr(suffixes, "FRESH", 1)
+    assert sorted(map(tuple, suffixes.remove_repeats(docs).collect()), key=str) == wanted_bytes(awkward)
 
 
 @pytest.mark.parametrize("operator", [suffixes.remove_repeats, windows.remove_repeats])
