@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import components, partitions, stars, stored
-from llm.textops import mixed, pieces, run_hashes, runs_within, span_hashes, text_buffer, word_spans
+from llm.textops import mixed, pieces, released, run_hashes, runs_within, span_hashes, text_buffer, word_spans
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -277,7 +277,7 @@ def _digest() -> Column:
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """doc, digest, n, members, links for every row, and in ``first`` the smallest (doc, digest) of its class (null if n is 0)."""
     rows = docs.select(_doc().alias("doc"), _digest().alias("digest"), "text")
-    signed = stored(rows.mapInArrow(_signed, _SIGNED), "signatures")
+    signed = stored(rows.mapInArrow(released(_signed), _SIGNED), "signatures")
     # Equal sets have equal signatures, so any will do. The numbers are fixed by storing them.
     reps = signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc", "digest")).alias("at"), F.count(F.lit(1)).alias("members"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "shingle-sets")
@@ -285,14 +285,14 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     crowded = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     own = keyed.join(crowded, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "size")).alias("in"))  # at most one entry per band
     entries = reps.select("rep", "sig").join(own, "rep").select("rep", "sig", F.explode("in").alias("e")).select("rep", "sig", "e.key", "e.size")
-    candidates = _tiled(entries, "key", "size", BUCKET).select("key", "i", "j", "rep", "sig").mapInArrow(_buckets, "a long, b long")
+    candidates = _tiled(entries, "key", "size", BUCKET).select("key", "i", "j", "rep", "sig").mapInArrow(released(_buckets), "a long, b long")
     groups = stored(components(candidates), "candidate-groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = stored(reps.select("rep", "members", "at.doc", "at.digest").join(groups.withColumnRenamed("id", "rep"), "rep").join(stored(sizes, "group-sizes"), "component"), "members")
     # A merge join at every size: whether the few members fit a broadcast must not decide the plan.
     sets = rows.join(members.hint("merge"), ["doc", "digest"]).select("component", "rep", "members", "size", "text").mapInArrow(
-        _sets, "component long, rep long, members long, size long, grams array<long>")
-    verified = _tiled(sets, "component", "size", TILE).mapInArrow(lambda it: _verified(it, threshold), "a long, b long, links long")
+        released(_sets), "component long, rep long, members long, size long, grams array<long>")
+    verified = _tiled(sets, "component", "size", TILE).mapInArrow(released(lambda it: _verified(it, threshold)), "a long, b long, links long")
     verified = stored(verified, "links")
     links = verified.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     parts = components(verified.where("b is not null").select("a", "b")).withColumnRenamed("id", "rep")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import ranked, stored
-from llm.textops import SPACE, pieces, span_hashes, text_buffer
+from llm.textops import SPACE, pieces, released, span_hashes, text_buffer
 
 LIMIT = 2048
 END = 0
@@ -180,7 +180,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT)
                     [some.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), _PIECES)
 
 
 def _best_pair(left: list[int], count: list[int], room: int) -> tuple[int, int]:

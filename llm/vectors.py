@@ -56,6 +56,7 @@ def links(xa: np.ndarray, xb: np.ndarray, threshold: float, same: bool) -> tuple
 def _tile(table: pa.Table, threshold: float) -> pa.Table:
     rep, n, block = (table.column(c).to_numpy() for c in ("rep", "n", "block"))
     x = np.stack(table.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very small or large components leave the doubles
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
     p, q = links(x[a], x[b], threshold, i == j) if len(a) and len(b) else (np.zeros(0, int), np.zeros(0, int))

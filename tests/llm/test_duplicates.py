@@ -66,6 +66,15 @@ def test_jaccard(docs, awkward):
     assert sorted(map(tuple, jaccard.join(docs).collect())) == wanted_classes(awkward)
 
 
+def test_jaccard_of_texts_that_collide_under_powers_of_two(spark):
+    """Thue-Morse differences: long words that polynomial hashes modulo 2^64 take for equal."""
+    rng = np.random.default_rng(3)
+    base, signs = rng.integers(0x4A, 0x6F, 2048), np.array([1 - 2 * (i.bit_count() % 2) for i in range(2048)])
+    one, two = "".join(map(chr, base)), "".join(map(chr, base + signs))
+    rows = [(1, one), (2, two), (3, f"a b {one} c d"), (4, f"a b {two} c d"), (5, one)]
+    assert sorted(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == wanted_classes(rows)
+
+
 def test_jaccard_in_blocks(spark, monkeypatch):
     """Many different near copies of one text, with small blocks: buckets and groups are cut into tiles."""
     rng = np.random.default_rng(5)
@@ -144,6 +153,12 @@ def test_vectors(spark, block):
     assert sum(len(x) for x in links) > 1000
 
 
+def test_vectors_of_any_size(spark):
+    rows = [(1, [2e-200, 2e-200], 0), (2, [1e-200, 1e-200], 0), (3, [1e200, 1e200], 0), (4, [2e200, 2e200], 0), (5, [1e200, -1e200], 0), (6, [5e-324, 0.0], 0), (7, [3.0, 0.1], 0)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
