@@ -30,12 +30,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, last: Sequence[str] = ()) -> DataFrame:
     """Add a gapless rank from 0 within each group, without ever having one group in one task.
 
     Rows of a group are dealt into buckets by a hash of the order columns; buckets are counted (pre-aggregated before the
     shuffle), their offsets summed per group (one row per bucket), and only rows of one bucket are sorted together. The rank
-    follows (bucket, order). Group and order columns must not be null; ``df`` is read twice, so it should be stored.
+    follows (bucket, order, last), where ``last`` only settles ties. Group and order columns must not be null; ``df`` is read
+    twice, so it should be stored.
     """
     n = 2 * partitions(df.sparkSession)
     cut = f"__{name}_bucket"
@@ -44,7 +45,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str)
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    inner = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *last)) - 1
     return (
         dealt.withColumn("__in", inner.cast("long")).join(offsets, keys, "inner")
         .withColumn(name, F.col("__in") + F.col("__before")).drop("__in", "__before", cut)

@@ -4,13 +4,13 @@ A text becomes a hashed vector of byte n-grams (one to three bytes of lower-case
 and normalised. Spherical k-means gives several centroids per language; a text takes the language of the centroid with the
 largest cosine. A text is rejected if it has no letter, or if its cosine is far below what the language's own documents reach.
 
-The model is fitted on a sample: about ``SAMPLE`` labelled documents per language and at most ``TOTAL`` in all, chosen by a hash of
-the id. This bound is the only one; every document is scored on its whole text. The model has languages x ``CLUSTERS`` x ``DIMENSIONS``
+The model is fitted on a sample: about ``SAMPLE`` distinct labelled texts per language and ``TOTAL`` in all (up to ``PARTS`` of each
+language at least), the first in the order of a hash of the text; a language with fewer gives nearly all. This bound is the only one; every document is scored on its whole text. The model has languages x ``CLUSTERS`` x ``DIMENSIONS``
 numbers, whatever the number of documents.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; ties between centroids go to the language first by code
-point; without any labelled document every text is ``und``; repeated rows are scored each; extra columns are ignored by
-:func:`predict` and kept by :func:`accepted`.
+point; without any labelled document every text is ``und``, and :func:`accepted` keeps all texts with a letter; repeated rows are
+scored each; extra columns are ignored by :func:`predict` and kept by :func:`accepted`.
 """
 
 from __future__ import annotations
@@ -20,16 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.textops import LOWER, pieces, text_buffer
+from llm.common import stored
+from llm.textops import LOWER, pieces, released, text_buffer
 
 DIMENSIONS = 8192
 CLUSTERS = 4
 SAMPLE = 1000
 TOTAL = 8000
 ROUNDS = 8
+#: Dense rows in hand at a time.
+ROWS = 64
+#: Classes of draws that the sample is taken from.
+PARTS = 64
 #: A text is rejected below this share of the cosine that 99 % of the language's sample reach.
 REJECT = 0.4
 UNKNOWN = "und"
@@ -89,8 +94,8 @@ def weighted(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:
         for some in pieces(batch, text, 1 << 20):
-            for k in range(0, some.num_rows, 256):
-                part = some.slice(k, 256)
+            for k in range(0, some.num_rows, ROWS):
+                part = some.slice(k, ROWS)
                 yield part, counts(*text_buffer(part.column(part.schema.get_field_index(text))))
 
 
@@ -116,15 +121,21 @@ def clustered(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model | None:
     """The model of ``labelled`` (doc_id, text, lang), or None without labelled documents."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    size = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("draw"))
+    distinct = stored(usable.select("lang", "draw").distinct(), "language-draws")
+    size = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not size:
         return None
     want = min(sample, max(1, total // len(size)))
-    share = F.element_at(F.create_map(*[F.lit(v) for k, n in size.items() for v in (k, want / n)]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    # Languages with few documents give all.
-    rows = usable.where(draw < share).select("lang", "text").mapInArrow(_sampled, "lang string, at array<int>, count array<float>").toArrow()
+    # Draws of distinct texts are spread evenly, so twice the share holds enough; of those the first few of each of ``PARTS``
+    # classes of draws stay, so that no task has a language.
+    share = F.element_at(F.create_map(*[F.lit(v) for k, n in size.items() for v in (k, min(1.0, 2.0 * (want + PARTS) / n))]), F.col("lang"))
+    near = distinct.where(F.shiftrightunsigned("draw", 11) / float(1 << 53) < share).withColumn("part", F.pmod("draw", F.lit(PARTS)))
+    place = F.row_number().over(Window.partitionBy("lang", "part").orderBy("draw"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= -(-want // PARTS)).select("lang", "draw")
+    # Little more than ``total`` rows, or ``PARTS`` per language, are broadcast; equal texts give one row, reduced in the tasks.
+    texts = usable.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    rows = texts.select("lang", "text").mapInArrow(released(_sampled), "lang string, at array<int>, count array<float>").toArrow()
     if rows.num_rows == 0:
         return None
     langs, at, count = (rows.column(c).to_pylist() if c == "lang" else rows.column(c).to_numpy() for c in ("lang", "at", "count"))
@@ -169,7 +180,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                                              names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("known")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", letters).mapInArrow(run, _SCORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", letters).mapInArrow(released(run), _SCORED)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -179,18 +190,17 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns; scored in place, so texts are not shuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out(F.col("doc_id")))))
-    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__known")
+    found = fit(docs.where(~held_out(F.col("doc_id"))))
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    if found is None:
+        return docs.where(letters)
+    model = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        if m is None:
-            return
         for part, count in _blocks(batches, "text"):
             cosine = weighted(count, m.idf) @ m.centroids.T
             best = cosine.argmax(axis=1)
-            letters = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
-            stay = letters & (cosine[np.arange(len(best)), best] >= m.floor[m.owner[best]])
-            yield part.select(range(part.num_columns - 1)).filter(pa.array(stay))
+            yield part.filter(pa.array(cosine[np.arange(len(best)), best] >= m.floor[m.owner[best]]))
 
-    return docs.select("*", known).mapInArrow(run, docs.schema)
+    return docs.where(letters).mapInArrow(released(run), docs.schema)

@@ -82,14 +82,24 @@ def solve(hist: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
     return state.select("sid", "full", "mean", F.round("lam", 9).alias("lam"))
 
 
+def _tie() -> Column:
+    """What rows of one id, source and size are told apart by."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sizes = stored(docs.select(F.lit(0).alias("id"), _tie(), "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    return _planned(sizes, weights, cap).drop("id")
+
+
+def _planned(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """The plan of a stored table (id, tie, doc_id, source, size), where ``id`` is the caller's and settles ties of equal rows."""
     sources = stored(targets(sizes, weights, cap), "sources")
     # A null source matches its own row: compare flag and text.
     named = sources.select("sid", F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__source"))
-    keyed = sizes.select("doc_id", "size", F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__source"))
-    keyed = stored(keyed.join(named, ["__none", "__source"]).select(F.coalesce("doc_id", F.lit(-1)).alias("__doc"), "doc_id", "size", "sid"), "keyed")
+    keyed = sizes.select("id", "tie", "doc_id", "size", F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__source"))
+    keyed = stored(keyed.join(named, ["__none", "__source"]).select(F.coalesce("doc_id", F.lit(-1)).alias("__doc"), "id", "tie", "doc_id", "size", "sid"), "keyed")
     hist = stored(keyed.groupBy("sid", "size").agg(F.count(F.lit(1)).alias("n")), "sizes-by-source")
     dual = solve(hist, sources, cap)
     rate = F.when(F.col("full"), F.lit(cap)).otherwise(_rates(F.col("lam"), F.col("size") / F.greatest("mean", F.lit(1e-300)), cap))
@@ -107,9 +117,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP
     groups = stored(starts.select("sid", "size", "n", total.cast("long").alias("total")), "copies")
     for part in (4, 4, 1):
         groups = stored(_settled(groups, sources, part, cap), "copies")
-    rows = ranked(keyed, ["sid", "size"], ["__doc"], "rank").join(groups, ["sid", "size"]).join(sources.select("sid", "source_size", "target"), "sid")
+    rows = ranked(keyed, ["sid", "size"], ["__doc", "tie"], "rank", ["id"]).join(groups, ["sid", "size"]).join(sources.select("sid", "source_size", "target"), "sid")
     copies = F.floor((F.col("rank") + 1) * F.col("total") / F.col("n")) - F.floor(F.col("rank") * F.col("total") / F.col("n"))
-    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return rows.select("id", "doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
 def _settled(groups: DataFrame, sources: DataFrame, part: int, cap: float) -> DataFrame:
@@ -132,12 +142,10 @@ def _settled(groups: DataFrame, sources: DataFrame, part: int, cap: float) -> Da
 def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """The documents of the mix, each repeated by its copies, with the columns of ``docs``.
 
-    Rows that share a doc_id are told apart by their number among the rows of that id.
+    A row finds its copies by its number in the stored table, so nothing depends on ids; equal rows are alike to the plan.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__mix_key")
-    chosen = plan(docs, weights, cap).select(key, F.struct("size", "copies").alias("__mix")).groupBy("__mix_key").agg(F.sort_array(F.collect_list("__mix")).alias("__mix"))
-    keyed = docs.select("*", key).join(chosen, "__mix_key")
-    number = F.row_number().over(Window.partitionBy("__mix_key").orderBy(word_count(F.col("text"))))
-    copies = F.element_at("__mix", F.col("__mix_number"))["copies"]
-    repeated = keyed.withColumn("__mix_number", number).withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("row"), _tie(), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    rows = stored(own.withColumn("id", F.monotonically_increasing_id()), "mix-rows")
+    placed = _planned(rows.select("id", "tie", "doc_id", "source", "size"), weights, cap).where("copies > 0").select("id", "copies")
+    repeated = rows.select("id", "row").join(placed, "id").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return repeated.select("row.*")

@@ -106,6 +106,23 @@ def test_mix(docs, awkward):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str) and sorted(map(key, rows)) == sorted(map(key, again))
 
 
+def test_mix_repeats_the_rows_of_the_plan(spark):
+    """Copies go to rows of their own source, also where ids are null or shared between sources."""
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 3 == 0 else 9 if k % 3 == 1 else k, " ".join("abc"[: 1 + k % 3] for _ in range(1 + int(rng.integers(0, 4)))), "xyz"[int(rng.integers(0, 3)) if k > 40 else 0], "own") for k in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row string").repartition(3)
+    planned = Counter()
+    for r in mix.plan(df).collect():
+        planned[r.doc_id, r["size"], r.source_size] += r.copies
+    size = Counter()
+    for _, t, s, _ in rows:
+        size[s] += len(t.split())
+    assert len(set(size.values())) == len(size)
+    got = Counter((r.doc_id, len(r.text.split()), size[r.source]) for r in mix.apply(df).collect())
+    assert got == +planned and len({s for *_, s in got}) == 3
+    assert mix.apply(df).columns == df.columns
+
+
 def test_mix_repeats_rows(docs, nothing):
     taken = sum(r.taken for r in mix.plan(docs).collect())
     mixed = mix.apply(docs)

@@ -102,6 +102,31 @@ def test_language_without_labels(docs, nothing):
     assert language.accepted(nothing).collect() == []
 
 
+@pytest.mark.parametrize("number", [None, 4])
+def test_language_whatever_the_ids(spark, number):
+    """All ids null or equal: every language is learned, from as many distinct texts as asked for, copies counted once."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("doc_id", F.lit(number).cast("long"))
+    hot = docs.where("lang is not null").orderBy(F.length("text").desc()).limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(500)))).select(*docs.columns)
+    both = docs.unionByName(hot)
+    model = language.fit(both, sample=60)
+    names = {r.lang for r in docs.where("lang is not null").select("lang").distinct().collect()}
+    assert set(model.languages) == names
+    rows = language.predict(docs, model).select("lang_pred").count()
+    assert rows == docs.count()
+    got = docs.select("lang", "text").distinct().where("lang is not null")
+    right = language.predict(got.select(F.lit(1).alias("doc_id"), "text", "lang"), model).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred for r in right} >= names
+
+
+def test_language_without_labels_keeps_texts_with_letters(docs):
+    from pyspark.sql import functions as F
+
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.accepted(bare).count() == bare.where(F.col("text").rlike(r"\p{L}")).count()
+
+
 def test_language_accepts_whole_rows(docs):
     kept = language.accepted(docs)
     assert kept.columns == docs.columns
