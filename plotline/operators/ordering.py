@@ -64,20 +64,27 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], out: str = "rank",
 
 def ranged_positions(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str = "pos",
                      partitions: int | None = None) -> DataFrame:
-    """Dense position inside each group without ever sorting a group in one task."""
+    """Dense position inside each group without ever sorting a group in one task.
+
+    Only the group, what the order needs and two hashes of the row are range partitioned, and of these only group, hashes and
+    place are checkpointed. A row then finds its place by its hashes; equal rows share out theirs.
+    """
     n = partitions or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cols = [F.col(g) for g in group] + _names(order)
+    hashed = df.withColumns({"_h1": F.xxhash64(*df.columns), "_h2": F.xxhash64(F.lit(1), *df.columns)})
     placed = durable(
-        df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
+        hashed.repartitionByRange(n, *cols).sortWithinPartitions(*cols).select(*group, "_h1", "_h2", F.monotonically_increasing_id().alias("_at"))
     ).withColumn("_part", F.shiftright("_at", 33))
     # Pieces of a group, one per range partition it touches: at most ``n`` rows per group below.
     pieces = placed.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("_before", F.sum("_n").over(run) - F.col("_n")).drop("_n")
+    numbered = placed.join(pieces, [*group, "_part"]).select(*group, "_h1", "_h2", (F.col("_before") + F.col("_at") - F.col("_first")).alias(out))
+    keys = [*group, "_h1", "_h2"]
+    alike = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(by))
     return (
-        placed.join(pieces, [*group, "_part"])
-        .withColumn(out, F.col("_before") + F.col("_at") - F.col("_first"))
-        .drop("_part", "_at", "_first", "_before")
+        hashed.withColumn("_like", alike(F.lit(0))).join(numbered.withColumn("_like", alike(out)), [*keys, "_like"])
+        .drop("_h1", "_h2", "_like")
     )
 
 

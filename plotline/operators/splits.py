@@ -1,64 +1,78 @@
 """Group-disjoint train/val/test split.
 
-Groups go, by falling size and then by name, to the split that is least full relative to its target. That is a
-sequential rule, but it only sees sizes: among groups of one size the n-th pick depends on nothing but n. So the state
-is carried over the distinct sizes alone (fewer than the square root of twice the number of rows), and every group
-works out its own split from its rank among the groups of its size.
+Groups go, by falling size and then by name, to the split that is least full relative to its target. That is a sequential rule,
+but it only sees sizes: among groups of one size the n-th pick depends on nothing but n. So the state is carried over the distinct
+sizes alone (fewer than the square root of twice the number of rows, in one row), and every group works out its own split from its
+rank among the groups of its size. All of it is Column arithmetic.
+
+Picks of one size are taken in the order of (fill before the pick, count before the pick, split), which rises along each split. So
+any picks known to be among the first n may be taken at once, and the few that are left are played out one by one. A common level
+that n - 3 picks reach in fractions gives such picks: with it no split gets more than it has after n whole picks.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
+from collections.abc import Sequence
+from itertools import combinations
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotline.functions.text import with_value
 from plotline.operators.ordering import positions
 
 SPLITS = ("train", "val", "test")
+#: Distinct sizes whose states are kept in one list while they are worked out; a fold copies its state at every step.
+_BLOCK = 256
 
-# The helpers below travel with the job, so workers need not have this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _fill(counts: np.ndarray, targets: np.ndarray, size: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """Groups each split has received after ``picks`` picks of groups of one size (row-wise, exact).
-
-    All picks below a common fill level are a prefix of the greedy order, so a level safely below the final one is
-    taken in closed form and the few picks that are left are played out.
-    """
-    order = np.argsort(counts / targets, axis=1, kind="stable")
-    c, t = np.take_along_axis(counts, order, 1), np.take_along_axis(targets, order, 1)
-    goal = (size * picks).astype(float)
-    level = np.full(len(goal), -np.inf)
-    for used in range(1, c.shape[1] + 1):
-        candidate = (goal + c[:, :used].sum(1)) / t[:, :used].sum(1)
-        fits = candidate >= c[:, used - 1] / t[:, used - 1]
-        level = np.where(fits, candidate, level)
-    level = level - (c.shape[1] + 1) * size / t.min(1)
-    col = size[:, None].astype(float)
-    given = np.maximum(0, np.ceil((level[:, None] * targets - counts) / col)).astype(np.int64)
-    for _ in range(2):
-        given = np.where((given > 0) & ((counts + (given - 1) * col) / targets >= level[:, None]), given - 1, given)
-        given = np.where((counts + given * col) / targets < level[:, None], given + 1, given)
-    left = picks - given.sum(1)
-    while (left > 0).any():
-        live = left > 0
-        best = _next(counts + given * col, targets)
-        given[np.arange(len(best)), best] += live
-        left = left - live
-    return given
-
-
-def _next(counts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Split of the next group: smallest fill, then smallest count, then split order."""
-    fill = counts / targets
-    tied = fill == fill.min(1, keepdims=True)
-    return np.argmin(np.where(tied, counts, np.inf), axis=1)
+
+def _next(counts: Column, targets: Sequence[float]) -> Column:
+    """Place of the split that gets the next group: smallest fill, then smallest count, then split order."""
+    keys = [F.struct((F.get(counts, F.lit(i)) / t).alias("fill"), F.get(counts, F.lit(i)).alias("count"), F.lit(i).alias("place")) for i, t in enumerate(targets)]
+    return F.least(*keys)["place"] if len(keys) > 1 else F.lit(0)
+
+
+def _after(counts: Column, size: Column, picks: Column, targets: Sequence[float]) -> Column:
+    """Counts after ``picks`` groups of ``size`` rows."""
+    places = range(len(targets))
+    count = lambda c, i: F.get(c, F.lit(i))
+    ahead = F.greatest(picks - len(targets), F.lit(0)) * size
+    # The level at which splits share what is ahead: the smallest over all sets of splits that might take part.
+    shared = [(ahead + sum((count(counts, i) for i in some), F.lit(0.0))) / sum(targets[i] for i in some) for n in places for some in combinations(places, n + 1)]
+    level = F.least(*shared) if len(shared) > 1 else shared[0]
+
+    def given(at: Column) -> Column:
+        sure = [F.greatest(F.floor((at * t - count(counts, i)) / size) - 1, F.lit(0)).cast("double") for i, t in enumerate(targets)]
+        return F.array(*sure)
+
+    def played(first: Column) -> Column:
+        left = (picks - F.aggregate(first, F.lit(0.0), lambda a, n: a + n)).cast("int")
+        begun = F.zip_with(counts, first, lambda c, n: c + n * size)
+        one = lambda c: with_value(_next(c, targets), lambda best: F.transform(c, lambda x, i: F.when(i == best, x + size).otherwise(x)))
+        return F.aggregate(F.sequence(F.lit(0), left), begun, lambda c, k: F.when(k < left, one(c)).otherwise(c))
+
+    return with_value(level, lambda at: with_value(given(at), played))
+
+
+def _states(runs: Column, targets: Sequence[float], block: int) -> Column:
+    """For each run of equal sizes, largest first: its size and the counts before it. ``runs`` lists (size, groups)."""
+    start = F.array(*[F.lit(0.0)] * len(targets))
+    step = lambda c, r: _after(c, r["size"], r["groups"], targets)
+    entry = lambda c, r: F.struct(r["size"].alias("size"), c.alias("counts"))
+    kind = "array<struct<size:bigint,counts:array<double>>>"
+
+    def within(part: Column, before: Column) -> Column:
+        zero = F.struct(before.alias("counts"), F.array().cast(kind).alias("list"))
+        return F.aggregate(part, zero, lambda a, r: F.struct(
+            step(a["counts"], r).alias("counts"), F.array_append(a["list"], entry(a["counts"], r)).alias("list")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(runs) - 1) / block).cast("int")), lambda k: F.slice(runs, k * block + 1, F.lit(block)))
+    zero = F.struct(start.alias("counts"), F.array().cast(f"array<{kind}>").alias("lists"))
+    return F.aggregate(
+        blocks, zero,
+        lambda a, part: with_value(within(part, a["counts"]), lambda w: F.struct(
+            w["counts"].alias("counts"), F.array_append(a["lists"], w["list"]).alias("lists"))),
+        lambda a: F.flatten(a["lists"]))
 
 
 def group_split(examples: DataFrame, group: str = "movie", ratios: tuple[float, float, float] = (0.8, 0.1, 0.1),
@@ -68,30 +82,16 @@ def group_split(examples: DataFrame, group: str = "movie", ratios: tuple[float,
         raise ValueError("split ratios must sum to 1.0")
     sizes = examples.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
     # One row per distinct size. Distinct sizes add up to at most the number of rows, hence the square-root bound.
-    runs = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("groups")).orderBy(F.desc("size")).toPandas()
-    total = int((runs["size"] * runs["groups"]).sum())
+    runs = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
+    facts = runs.agg(F.sum(F.col("size") * F.col("groups")).alias("total"), F.max("groups").alias("most")).first()
     # A split with target 0 is never the least full one while rows are left, so it gets no group.
-    names = [s for s, r in zip(SPLITS, ratios) if r > 0]
-    targets = np.array([[total * r for r in ratios if r > 0]])
-    counts, states = np.zeros_like(targets), []
-    for size, groups in runs.itertuples(index=False):
-        states.append((int(size), *counts[0].tolist()))
-        counts = counts + size * _fill(counts, targets, np.array([size]), np.array([groups]))
-    fields = [f"_c{i}" for i in range(len(names))]
-    state = examples.sparkSession.createDataFrame(states, "size long, " + ", ".join(f"{f} double" for f in fields))
-    ranked = positions(sizes, ["size"], [group], "_rank", longest=int(runs["groups"].max() if len(runs) else 0), hot_rows=hot_rows)
-    goal = targets[0]
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                have = pdf[fields].to_numpy(float)
-                want = np.tile(goal, (len(pdf), 1))
-                size = pdf["size"].to_numpy()
-                given = _fill(have, want, size, pdf["_rank"].to_numpy())
-                pick = _next(have + given * size[:, None], want)
-                yield pd.DataFrame({group: pdf[group], "size": size, "split": np.array(names)[pick]})
-
-    kind = dict(sizes.dtypes)[group]
-    return ranked.join(state, "size").select(group, "size", "_rank", *fields).mapInPandas(
-        assign, f"`{group}` {kind}, size long, split string")
+    chosen = [(s, (facts["total"] or 0) * r) for s, r in zip(SPLITS, ratios, strict=True) if r > 0]
+    names, targets = [s for s, _ in chosen], [t for _, t in chosen]
+    if not facts["total"]:
+        return sizes.withColumn("split", F.lit(names[0]))
+    listed = runs.agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "groups")))).alias("runs"))
+    state = listed.select(F.inline(_states(F.col("runs"), targets, _BLOCK)))
+    ranked = positions(sizes, ["size"], [group], "_rank", longest=int(facts["most"]), hot_rows=hot_rows).join(state, "size")
+    after = _after(F.col("counts"), F.col("size"), F.col("_rank"), targets)
+    split = with_value(after, lambda c: F.get(F.array(*[F.lit(n) for n in names]), _next(c, targets)))
+    return ranked.select(group, "size", split.alias("split"))

@@ -78,6 +78,14 @@ def test_split_equals_the_sequential_rule(spark, seed, ratios):
         assert got == _greedy(sizes, ratios)
 
 
+def test_split_in_small_blocks_of_sizes(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"m{k:03d}",) for k in range(60) for _ in range(1 + k * 7 % 29)], "movie string")
+    whole = sorted(map(tuple, D.group_split(rows).collect()))
+    monkeypatch.setattr(D, "_BLOCK", 3)
+    assert sorted(map(tuple, D.group_split(rows).collect())) == whole and len({s for *_, s in whole}) == 3
+    assert D.group_split(rows.limit(0)).collect() == []
+
+
 def test_split_small_fixture(spark):
     rows = spark.createDataFrame([("MovieA",), ("MovieA",), ("MovieB",), ("MovieB",), ("MovieC",), ("MovieC",)], "movie string")
     assert {r["movie"]: r["split"] for r in D.group_split(rows, ratios=(0.5, 0.25, 0.25)).collect()} == {"MovieA": "train", "MovieB": "val", "MovieC": "test"}
