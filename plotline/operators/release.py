@@ -149,3 +149,52 @@ def assemble_candidates(selection: DataFrame, decisions: DataFrame, questions: D
         F.lit(0.0).alias("distractor_quality"),
         *[c for c in questions.columns if c not in {key, "error"}],
     )
+
+
+#: Continuity features of a candidate row; zero where they were not worked out.
+FEATURES = ("semantic_similarity_last", "semantic_similarity_mean", "entity_overlap", "action_overlap", "location_overlap")
+
+
+def full_candidates(rows: DataFrame, strategy: str = "block_search") -> DataFrame:
+    """Candidate rows in the internal schema: answer fields, clips, evidence, features and nested metadata.
+
+    Reads a selection row (``context``, ``full_context``, ``target``, ``evidence``, ids and labels) with its question block. Columns
+    that may be missing: the features, ``timestamp_gap``, ``target_validity_reason``, ``selected_window_size``, ``rejection_reason``.
+    A fresh candidate has no confidence and no verdict yet, so those scores are zero and the passes null.
+    """
+    def given(name: str, kind: str, default: Column | None = None) -> Column:
+        value = F.col(name) if name in rows.columns else F.lit(None)
+        return F.coalesce(value.cast(kind), default) if default is not None else value.cast(kind)
+
+    clip_ids = lambda clips: F.transform(clips, lambda c: c["clip_id"])
+    reasoning = L.reasoning_types(F.col("reasoning_type"))
+    evidence = L.evidence_rows(F.col("evidence"))
+    size = given("selected_window_size", "int", F.size("context"))
+    features = {name: given(name, "double", F.lit(0.0)) for name in FEATURES}
+    cited = F.col("evidence_clip_ids")
+    return rows.select(
+        "id", "movie", "target_clip_id", "target_sentence",
+        clip_ids(F.col("context")).alias("context_clip_ids"),
+        F.transform("context", lambda c: c["text"]).alias("context_sentences"),
+        L.question_type(F.col("question_type"), F.col("target_type")).alias("question_type"),
+        "question", "options", "answer_idx", "answer_text",
+        F.coalesce("predictability", F.lit("unpredictable")).alias("predictability"),
+        given("expectedness", "double").alias("expectedness"),
+        "target_type",
+        F.when(F.size(cited) > 0, cited).otherwise(clip_ids(evidence)).alias("evidence_clip_ids"),
+        F.struct(F.col("target_triviality"), given("target_validity_reason", "string").alias("target_validity_reason"), size.alias("selected_window_size")).alias("selection_metadata"),
+        F.struct(F.lit(None).cast("boolean").alias("oracle_pass"), F.lit(None).cast("boolean").alias("grounding_pass"), F.lit(0.0).alias("distractor_quality")).alias("validation_metadata"),
+        "distractor_metadata", F.lit(None).cast("string").alias("split"), "context", "target",
+        evidence.alias("evidence"), reasoning.alias("reasoning_type"),
+        L.continuity_type(F.col("continuity_type"), reasoning).alias("continuity_type"),
+        F.struct(*[v.alias(n) for n, v in features.items()]).alias("continuity_scores"),
+        *[v.alias(n) for n, v in features.items()],
+        given("timestamp_gap", "double").alias("timestamp_gap"),
+        size.alias("selected_window_size"), F.lit(strategy).alias("context_selection_strategy"),
+        clip_ids(F.col("full_context")).alias("full_prior_context_clip_ids"),
+        clip_ids(F.col("context")).alias("selected_context_clip_ids"),
+        given("rejection_reason", "string").alias("rejection_reason"),
+        F.struct(
+            F.lit(0.0).alias("qwen_confidence"), S.loose_double(F.col("evidence_sufficiency")).alias("evidence_sufficiency"),
+            F.lit(0.0).alias("distractor_quality"), F.coalesce(S.loose_bool(F.col("should_keep")), F.lit(False)).alias("should_keep")).alias("quality"),
+    )

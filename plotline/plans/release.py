@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotline.functions import labels as L
+from plotline.operators import constraints as C
 from plotline.operators import release as E
 from plotline.operators import splits as D
 from plotline.plans import oracle_views as O
 from plotline.plans.registry import query
 from plotline.plans.scoring import _FOLD
-from plotline.plans.sequences import selection_rows
+from plotline.plans.sequences import continuity_features, selection_rows
 from plotline.sources import adapters as A
 
 _LETTER = "chr((65 + answer_idx)::INT)"
@@ -98,6 +99,30 @@ def candidate_assemble(spark, sf_dir):
         F.col("continuity_type").alias("continuity"), F.col("evidence_sufficiency").alias("sufficiency"), "should_keep", "question")
 
 
+@query("candidate_rows", O.with_views(f"""
+    SELECT id, CASE WHEN s % 9 = 0 THEN 'correct answer must be labeled correct in distractor metadata'
+                    WHEN s % 9 = 4 THEN 'invalid distractor type: weird' ELSE '' END AS errors,
+           len(selected_ids) AS window, target_triviality AS triviality, len(evidence) AS evidence, {O.loose_double('sufficiency_raw')} AS sufficiency,
+           coalesce({O.loose_bool('should_keep_raw')}, false) AS should_keep, len(list_filter(prefix, lambda c: true)) AS reach, array_to_string(selected_ids, ',') AS context
+    FROM (SELECT *, conv_id + block_start AS s FROM v_selection WHERE route = 'selected')""", "v_selection"))
+def candidate_rows(spark, sf_dir):
+    """Whole candidate rows of selected blocks, with features, checked by the internal rules; some labels are planted wrong."""
+    n, planted = A.longest_conversation(spark, sf_dir), F.col("conv_id") + F.col("block_start")
+    at = F.pmod(planted, F.lit(4)).cast("int")
+    labels = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when((i == at) & (planted % 9 != 0), "correct").when((i == F.pmod(at + 1, F.lit(4))) & (planted % 9 == 4), "weird").otherwise("unrelated"))
+    options = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == at, F.col("target_sentence")).otherwise(F.concat(F.lit("Nothing of kind "), i.cast("string"))))
+    chosen = selection_rows(spark, sf_dir, n).filter("route = 'selected'").withColumns({
+        "full_context": F.col("prefix"), "options": options, "answer_idx": at, "answer_text": F.col("target_sentence"), "distractor_metadata": labels,
+        "question": F.concat(F.lit("What follows "), "block_id", F.lit("?")), "question_type": F.lit("what_happens_next"), "should_keep": F.col("should_keep_raw")})
+    whole = E.full_candidates(chosen.join(continuity_features(spark, sf_dir), "block_id"))
+    text = whole.withColumn("json", F.to_json(F.struct(*whole.columns), {"ignoreNullFields": "false"}))
+    return C.check(text, "internal").select(
+        "id", F.array_join("errors", ";").alias("errors"), F.col("selection_metadata.selected_window_size").cast("bigint").alias("window"),
+        F.col("selection_metadata.target_triviality").alias("triviality"), F.size("evidence").cast("bigint").alias("evidence"),
+        F.col("quality.evidence_sufficiency").alias("sufficiency"), F.col("quality.should_keep").alias("should_keep"),
+        F.size("full_prior_context_clip_ids").cast("bigint").alias("reach"), F.array_join("selected_context_clip_ids", ",").alias("context"))
+
+
 @query("expectedness_enriched", O.with_views(f"""
     SELECT id, {O.score('expectedness_raw')} AS expectedness,
            CASE WHEN {O.score('expectedness_raw')} IS NULL THEN 'invalid_expectedness_output' END AS expectedness_warning
