@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +149,23 @@ def dropped_words(bridge: Column, reference: Column, other: Column) -> Column:
     return F.size(F.array_except(F.array_intersect(X.word_set(reference), bridge), X.word_set(other)))
 
 
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Share of characters in the matching blocks of two texts in lower case, as Python's own ``difflib`` defines it: found longest
+    first, and in texts of 200 and more characters without the most frequent ones. Texts go to Python in Arrow batches."""
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    return ratio(F.lower(a), F.lower(b))
+
+
+def near_paraphrases(rows: DataFrame, limit: float = 0.45) -> DataFrame:
+    """Items whose right option repeats the hidden target: ``ratio`` above the limit. Items without either text are left out."""
+    option = F.try_element_at("options", F.col("answer_idx") + 1)
+    given = rows.filter((F.length(option) > 0) & (F.length("target_sentence") > 0))
+    return given.withColumn("ratio", matching_ratio(option, F.col("target_sentence"))).filter(F.col("ratio") > limit)
+
+
 def weak_reasons() -> Column:
     """Why an item is weak; reads ``distractor_quality, distractor_metadata, answer_idx, target_sentence,
     context_sentences`` and the word sets of answer and target."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotline.operators.ordering import WALK_STARTS, setting
+from plotline.operators.ordering import WALK_STARTS, neighbour_columns, positions, setting
 
 DEAD = -1
 
@@ -48,8 +48,13 @@ def _through(children: Column, entry: Column, chunk: int) -> Column:
 
 
 def walk(blocks: DataFrame, width: int, longest: int, group: str = "movie", start: str = "block_start",
-         step: str = "step", chunk: int | None = None) -> DataFrame:
-    """Visited ``(group, start)`` rows. ``step`` lies in 1..width; ``longest`` bounds the length of a sequence."""
+         step: str = "step", chunk: int | None = None, skip_gaps: bool = False) -> DataFrame:
+    """Visited ``(group, start)`` rows. ``step`` lies in 1..width; ``longest`` bounds the length of a sequence.
+
+    A start without a block ends the walk of its sequence; with ``skip_gaps`` the walk goes on at the next block there is.
+    """
+    if skip_gaps:
+        return _walk_over_gaps(blocks, width, longest, group, start, step, chunk)
     chunk = setting(blocks, WALK_STARTS, chunk)
     if chunk < width:
         raise ValueError("a piece must not be shorter than a step")
@@ -78,6 +83,16 @@ def walk(blocks: DataFrame, width: int, longest: int, group: str = "movie", star
     return entered.select(F.col("g").alias(group), F.explode(path).alias(start))
 
 
+def _walk_over_gaps(blocks: DataFrame, width: int, longest: int, group: str, start: str, step: str, chunk: int | None) -> DataFrame:
+    """The walk over the blocks there are, by their place in the sequence: a step of n starts passes the blocks below start + n."""
+    placed = positions(blocks.select(group, F.col(start).cast("bigint").alias(start), F.col(step).cast("bigint").alias(step)), [group], [start], "_place", longest=longest)
+    seen = neighbour_columns(placed, [group], "_place", {"_ahead": lambda w: F.collect_list(start).over(w.rowsBetween(1, width))}, before=0, after=width, longest=longest)
+    wide = F.col(step).between(1, width)
+    moves = F.when(wide, F.size(F.filter("_ahead", lambda s: s < F.col(start) + F.col(step))) + 1).otherwise(F.col(step))
+    visited = walk(seen.select(group, "_place", moves.alias("_moves")), width, longest, group, "_place", "_moves", chunk)
+    return visited.join(placed.select(group, "_place", start), [group, "_place"]).select(group, start)
+
+
 def _entered_leaves(leaves: DataFrame, width: int, longest: int, chunk: int) -> DataFrame:
     firsts = leaves.groupBy("g").agg(F.min_by(F.struct("piece", F.col("starts")[0]["start"].alias("start")), "piece").alias("f"))
     leaves = (

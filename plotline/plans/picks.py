@@ -122,3 +122,10 @@ def weak_items(spark, sf_dir):
     rows = A.examples(spark, sf_dir).withColumns({
         "distractor_quality": S.loose_double(F.col("distractor_raw")), "evidence": F.col("evidence_raw")})
     return T.with_word_sets(rows).select("id", F.array_join(T.weak_reasons(), ";").alias("reasons"))
+
+
+@query("near_paraphrases")
+def near_paraphrases(spark, sf_dir):
+    """Items whose right option is close to the hidden target, character by character; SQL has no such ratio."""
+    found = T.near_paraphrases(A.examples(spark, sf_dir))
+    return found.select("id", F.round("ratio", 6).alias("ratio"))

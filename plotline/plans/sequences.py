@@ -96,6 +96,21 @@ def target_walk(spark, sf_dir):
     return W.walk(_steps(spark, sf_dir, n), A.BLOCK_WIDTH, n)
 
 
+@query("walk_over_gaps", O.with_views(f"""
+    WITH steps AS (SELECT * FROM ({_STEPS}) WHERE (block_start + length(movie)) % 4 <> 1),
+    nxt AS (SELECT s.movie, s.block_start, min(t.block_start) AS next FROM steps s LEFT JOIN steps t ON t.movie = s.movie AND t.block_start >= s.block_start + s.step GROUP BY ALL),
+    visited AS (
+      SELECT movie, min(block_start) AS block_start FROM steps GROUP BY movie
+      UNION ALL
+      SELECT v.movie, n.next FROM visited v JOIN nxt n ON n.movie = v.movie AND n.block_start = v.block_start WHERE n.next IS NOT NULL)
+    SELECT movie, block_start FROM visited""", "v_resolved", recursive=True))
+def walk_over_gaps(spark, sf_dir):
+    """A walk that goes on behind missing blocks."""
+    n = A.longest_conversation(spark, sf_dir)
+    some = _steps(spark, sf_dir, n).filter("(block_start + length(movie)) % 4 <> 1")
+    return W.walk(some, A.BLOCK_WIDTH, n, skip_gaps=True)
+
+
 @query("walk_budget", O.with_views(f"""
     WITH steps AS (SELECT movie, block_start, called, CASE WHEN called THEN step ELSE 1 END AS step FROM ({_STEPS})),
     visited AS (

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from plotline.plans import load
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"manifest_files"}
+ROWS_ONLY = {"manifest_files", "near_paraphrases"}
 #: The library's own queries; those of the llm subpackage have tests of their own.
 QUERIES, SQL = load()
 
@@ -35,7 +35,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 15
 
 
-HOT = ["clip_order", "search_blocks", "last_k_context", "target_walk", "walk_budget", "verbatim_options", "context_materialize", "context_gain", "group_split",
+HOT = ["walk_over_gaps", "clip_order", "search_blocks", "last_k_context", "target_walk", "walk_budget", "verbatim_options", "context_materialize", "context_gain", "group_split",
        "selection_route", "leak_audit"]
 
 

@@ -159,3 +159,22 @@ def test_score_ties_go_by_the_second_score(spark):
 
     rows = spark.createDataFrame([("a", "m1", "x", 7.0, 1), ("b", "m2", "y", 7.0, 3), ("c", "m3", "z", 8.0, 0)], "id string, movie string, target_type string, score double, evidence int")
     assert [r["id"] for r in T.capped_topk2(rows, "movie", "target_type", then="evidence").orderBy("place").collect()] == ["c", "b", "a"]
+
+
+def test_near_paraphrases(spark):
+    """The ratio is that of the standard library, on short, long and odd texts."""
+    import random
+    from difflib import SequenceMatcher
+
+    from plotline.operators import picks
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        a = "".join(rng.choice("abcd eÉ") for _ in range(rng.choice([0, 5, 40, 260])))
+        b = "".join(c if rng.random() < 0.7 else rng.choice("xyz ") for c in a.upper()) if k % 2 else "".join(rng.choice("abcd e") for _ in range(rng.choice([3, 40, 300])))
+        rows.append((str(k), ["", a, "z", "y"], 1, b))
+    rows += [("none", ["x"], 2, "x"), ("null", None, 0, "x"), ("gone", ["x"], 0, None)]
+    df = spark.createDataFrame(rows, "id string, options array<string>, answer_idx int, target_sentence string")
+    want = {i: SequenceMatcher(None, o[1].lower(), t.lower()).ratio() for i, o, _, t in rows[:120] if o[1] and t}
+    assert {r["id"]: r["ratio"] for r in picks.near_paraphrases(df).collect()} == {i: pytest.approx(x) for i, x in want.items() if x > 0.45}
