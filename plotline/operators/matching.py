@@ -2,7 +2,7 @@
 
 All time joins are equi joins on (sequence, start cell, end cell). Both times are cells of a grid, a left row is
 copied to the few cells its tolerance touches, and right rows at the same place are first reduced to the one that can
-win. A cell therefore holds at most as many right rows as there are clock ticks in it, whatever the size of the
+win; these places are stored, so the right side is read once. A cell therefore holds at most as many right rows as there are clock ticks in it, whatever the size of the
 tables; a sequence that holds a third of all rows spreads over as many cells as it has moments. Where the nearest row
 is wanted and the densest cell, which is counted first, is still crowded, the search goes outwards in rings: a row found
 within a small reach is the nearest, and only rows that found none go on to larger cells.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from plotline.functions import domains as D
 from plotline.functions import text as X
 from plotline.operators.ordering import setting
+from plotline.session import durable
 
 _SLACK = 1e-6
 
@@ -43,132 +44,188 @@ def _cell(value: Column, width: float) -> Column:
     return F.floor(value / width).cast("bigint")
 
 
-def _places(right: DataFrame, keys: Sequence[str], order: str, payload: Sequence[str]) -> DataFrame:
-    """One row per (keys, start, end): the first in input order."""
-    return right.groupBy(*keys, "r_start", "r_end").agg(
-        F.min_by(F.struct(*payload), order).alias("_p"), F.min(order).alias(order))
+#: What a row of the index is found by: its two times, its wording alone, its wording and its times.
+_TIME, _WORD, _NEAR = 0, 1, 2
+#: Rows in a cell from which the search goes outwards in rings.
+DENSE_CELL = ("spark.plotline.denseCell", 2000)
+_SLOT = ("_slot", "_t", "_u", "_cs", "_ce")
 
 
-def _in_reach(left: DataFrame, places: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
-    width = 4 * reach
-    probes = (
-        left.withColumn("_cs", F.explode(_cells(F.col("l_start"), reach, width)))
-        .withColumn("_ce", F.explode(_cells(F.col("l_end"), reach, width)))
-    )
-    stored = places.withColumn("_cs", _cell(F.col("r_start"), width)).withColumn("_ce", _cell(F.col("r_end"), width))
-    return probes.join(stored, [*keys, "_cs", "_ce"]).drop("_cs", "_ce")
+def _worded(key: Column) -> list[Column]:
+    return [F.lit(_WORD).alias("_slot"), F.xxhash64(key).alias("_t"), F.xxhash64(F.lit(1), key).alias("_u")]
+
+
+def _timed() -> Column:
+    return F.struct(F.lit(_TIME).alias("_slot"), F.lit(0).cast("bigint").alias("_t"), F.lit(0).cast("bigint").alias("_u"))
+
+
+def _places(right: DataFrame, keys: Sequence[str], payload: Sequence[str], order: str, by_time: bool, by_text: bool, truth: str) -> DataFrame:
+    """One row per (keys, way to find it, start, end): the first in input order and how many there are. Read once, then stored.
+
+    A row is listed under both of its text keys, and twice where these are equal, as the rules want; wordings are kept as 128 bits.
+    """
+    ways = [F.array(_timed())] if by_time else []
+    if by_text:
+        keyed = F.array(*[F.struct(*_worded(k)) for k in (X.compare_key(F.col(truth)), X.lookup_key(F.col(truth)))])
+        ways.append(F.when(F.length(truth) > 0, keyed).otherwise(F.slice(keyed, 1, 0)))
+    rows = right.select(*keys, "r_start", "r_end", F.struct(*payload).alias("_p"), F.col(order).alias("_o"), F.explode(F.concat(*ways)).alias("_w")).select("*", "_w.*").drop("_w")
+    return durable(rows.groupBy(*keys, "_slot", "_t", "_u", "r_start", "r_end").agg(
+        F.count(F.lit(1)).alias("_n"), F.min_by("_p", "_o").alias("_p"), F.min("_o").alias("_o")))
+
+
+def _celled(places: DataFrame, slot: int, width: float) -> DataFrame:
+    return places.withColumns({"_slot": F.lit(slot), "_cs": _cell(F.col("r_start"), width), "_ce": _cell(F.col("r_end"), width)})
+
+
+def _probe(slot: int, which: int, key: Sequence[Column], cells: tuple[Column, Column] | None) -> Column:
+    """Array of what a left row looks for in one way: one entry per cell in reach."""
+    zero = F.lit(0).cast("bigint")
+    starts, ends = cells or (F.array(zero), F.array(zero))
+
+    def entry(cs: Column, ce: Column) -> Column:
+        return F.struct(F.lit(slot).alias("_slot"), F.lit(which).alias("_which"), key[0].alias("_t"), key[1].alias("_u"), cs.alias("_cs"), ce.alias("_ce"))
+
+    return F.flatten(F.transform(starts, lambda cs: F.transform(ends, lambda ce: entry(cs, ce))))
+
+
+def _dense(places: DataFrame, keys: Sequence[str], slot: int, width: float) -> bool:
+    """Whether any cell holds many places: one combined count over the stored places, one number to the driver."""
+    cells = _celled(places.filter(F.col("_slot") == slot), slot, width)
+    densest = cells.groupBy(*keys, *_SLOT).count().agg(F.max("count")).first()[0] or 0
+    return densest > setting(places, DENSE_CELL)
+
+
+def _match(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys: Sequence[str], payload: Sequence[str], order: str, by: Sequence[str],
+           tolerance: float | None, limit: float | None, text: str, truth: str = "ground_truth") -> DataFrame:
+    """``left_id``, ``by``, ``_b`` (payload and times) and ``matched_by`` of the left rows that found a row.
+
+    Either side is read once. A left row looks in one join for its cell of times, for the count of rows under each of its wordings,
+    and for rows under these in its larger cells; what it has found is put together in one aggregation. ``by`` are columns
+    of the right rows alone: a left row is matched with the rows of each of their values.
+    """
+    places = _places(right, [*keys, *by], payload, order, tolerance is not None, limit is not None, truth)
+    found_by, right_keys = [*left_id, *by], [*keys, *by]
+    listed, looks = [], []
+    crowded = limit is not None and _dense(places, right_keys, _WORD, 4 * limit)
+    if tolerance is not None:
+        width = 4 * tolerance
+        listed.append(_celled(places.filter(F.col("_slot") == _TIME), _TIME, width))
+        looks.append(_probe(_TIME, 0, (F.lit(0).cast("bigint"),) * 2, (_cells(F.col("l_start"), tolerance, width), _cells(F.col("l_end"), tolerance, width))))
+    if limit is not None:
+        worded, width = places.filter(F.col("_slot") == _WORD), 4 * limit
+        first = F.min_by(F.struct("_p", "r_start", "r_end"), "_o").alias("_f")
+        counts = worded.groupBy(*right_keys, "_t", "_u").agg(F.sum("_n").alias("_n"), first).select(
+            *right_keys, F.lit(_WORD).alias("_slot"), "_t", "_u", "_f.r_start", "_f.r_end", "_n", "_f._p", F.lit(None).cast(dict(places.dtypes)["_o"]).alias("_o"),
+            F.lit(0).cast("bigint").alias("_cs"), F.lit(0).cast("bigint").alias("_ce"))
+        listed.append(counts)
+        for which, key in ((1, X.compare_key(F.col(text))), (2, X.lookup_key(F.col(text)))):
+            hashes = (F.xxhash64(key), F.xxhash64(F.lit(1), key))
+            looks.append(_probe(_WORD, which, hashes, None))
+            if not crowded:
+                looks.append(_probe(_NEAR, which, hashes, (_cells(F.col("l_start"), limit, width), _cells(F.col("l_end"), limit, width))))
+        if not crowded:
+            listed.append(_celled(worded, _NEAR, width))
+    index = listed[0]
+    for other in listed[1:]:
+        index = index.unionByName(other)
+    probes = left.select(*left_id, *keys, "l_start", "l_end", F.explode(F.concat(*looks)).alias("_l")).select(*left_id, *keys, "l_start", "l_end", "_l.*")
+    apart = (F.abs(F.col("r_start") - F.col("l_start")), F.abs(F.col("r_end") - F.col("l_end")))
+    slot = F.col("_slot")
+    reached = slot == _WORD
+    if tolerance is not None:
+        reached = reached | ((slot == _TIME) & (apart[0] <= tolerance) & (apart[1] <= tolerance))
+    if limit is not None:
+        reached = reached | ((slot == _NEAR) & (apart[0] + apart[1] <= limit))
+    hits = probes.join(index, [*keys, *_SLOT]).filter(reached)
+    here = F.struct("_p", "r_start", "r_end")
+
+    def best(condition: Column, *sort: str | Column) -> Column:
+        return F.min_by(here, F.when(condition, F.struct(*sort)))
+
+    picks = [best(slot == _TIME, "r_start", "r_end", "_o").alias("_time")]
+    for which in (1, 2):
+        mine = F.col("_which") == which
+        picks += [
+            F.max(F.when(mine & (slot == _WORD), F.col("_n"))).alias(f"_n{which}"), F.max(F.when(mine & (slot == _WORD), F.struct("_t", "_u"))).alias(f"_k{which}"),
+            best(mine & (slot == _WORD), F.lit(0)).alias(f"_one{which}"), best(mine & (slot == _NEAR), (apart[0] + apart[1]).alias("d"), "_o").alias(f"_near{which}")]
+    put = hits.groupBy(*found_by).agg(*picks, F.first("l_start").alias("l_start"), F.first("l_end").alias("l_end"), *[F.first(k).alias(k) for k in keys if k not in left_id])
+    first_key = F.col("_n1").isNotNull()
+    put = put.select(*found_by, *[k for k in keys if k not in left_id], "l_start", "l_end", "_time", F.coalesce("_n1", "_n2").alias("_n"), F.when(first_key, F.col("_k1")).otherwise(F.col("_k2")).alias("_k"),
+                     F.when(first_key, F.col("_one1")).otherwise(F.col("_one2")).alias("_one"), F.when(first_key, F.col("_near1")).otherwise(F.col("_near2")).alias("_near"))
+    chosen = F.when(F.col("_time").isNotNull(), F.col("_time")).when(F.col("_n") == 1, F.col("_one")).otherwise(F.col("_near"))
+    how = F.when(F.col("_time").isNotNull(), "time").otherwise("text").alias("matched_by")
+    done = put.select(*found_by, chosen.alias("_b"), how).filter(F.col("_b").isNotNull())
+    if not crowded:
+        return done
+    several = put.filter(F.col("_time").isNull() & (F.col("_n") > 1)).select(*found_by, *[k for k in keys if k not in left_id], "l_start", "l_end", "_k._t", "_k._u")
+    worded = places.filter(F.col("_slot") == _WORD).drop("_slot", "_n")
+    rest = _nearest(several, worded, found_by, [*right_keys, "_t", "_u"], apart[0] + apart[1], _rings(limit), strict=False)
+    return done.unionByName(rest.select(*found_by, F.struct(F.col("_b._p").alias("_p"), F.col("_b.r_start").alias("r_start"), F.col("_b.r_end").alias("r_end")).alias("_b"), F.lit("text").alias("matched_by")))
 
 
 def tolerance_match(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys: Sequence[str], payload: Sequence[str],
-                    order: str = "ord", tolerance: float = D.MATCH_TOLERANCE) -> DataFrame:
+                    order: str = "ord", tolerance: float = D.MATCH_TOLERANCE, by: Sequence[str] = ()) -> DataFrame:
     """First right row by (start, end) with both times within the tolerance; only matched left rows.
 
-    ``left`` has ``left_id, keys, l_start, l_end``; ``right`` has ``keys, r_start, r_end, order`` and the payload.
+    ``left`` has ``left_id, keys, l_start, l_end``; ``right`` has ``keys, by, r_start, r_end, order`` and the payload.
     """
-    close = _in_reach(left.select(*left_id, *keys, "l_start", "l_end"), _places(right, keys, order, payload), keys, tolerance)
-    close = close.filter(
-        (F.abs(F.col("r_start") - F.col("l_start")) <= tolerance) & (F.abs(F.col("r_end") - F.col("l_end")) <= tolerance))
-    best = close.groupBy(*left_id).agg(F.min_by(
-        F.struct("_p", "r_start", "r_end"), F.struct("r_start", "r_end", order)).alias("_b"))
-    return best.select(*left_id, "_b._p.*", F.col("_b.r_start").alias("r_start"), F.col("_b.r_end").alias("r_end"))
+    return _match(left, right, left_id, keys, payload, order, by, tolerance, None, "").select(*left_id, *by, "_b._p.*", "_b.r_start", "_b.r_end")
 
 
-#: Rows in a cell from which the search goes outwards in rings.
-DENSE_CELL = ("spark.plotline.denseCell", 2000)
+def text_match(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys: Sequence[str], payload: Sequence[str],
+               text: str = "text", order: str = "ord", limit: float = D.TEXT_MATCH_LIMIT, by: Sequence[str] = ()) -> DataFrame:
+    """Match by wording: the only candidate under a key, or the nearest in time within ``limit`` of several."""
+    return _match(left, right, left_id, keys, payload, order, by, None, limit, text).select(*left_id, *by, "_b._p.*", "_b.r_start", "_b.r_end")
 
 
-def _crowded(right: DataFrame, keys: Sequence[str], limit: float) -> bool:
-    """Whether any cell holds many rows: one combined count over (keys, cell), one number to the driver."""
-    width = 4 * limit
-    densest = (
-        right.groupBy(*keys, _cell(F.col("r_start"), width).alias("_cs"), _cell(F.col("r_end"), width).alias("_ce"))
-        .count().agg(F.max("count")).first()[0] or 0
-    )
-    return densest > setting(right, DENSE_CELL)
+def match_texts(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys: Sequence[str], payload: Sequence[str],
+                text: str = "text", order: str = "ord", by: Sequence[str] = ()) -> DataFrame:
+    """Time tolerance first, wording for what is left; adds ``matched_by``."""
+    found = _match(left, right, left_id, keys, payload, order, by, D.MATCH_TOLERANCE, D.TEXT_MATCH_LIMIT, text)
+    return found.select(*left_id, *by, "_b._p.*", "_b.r_start", "_b.r_end", "matched_by")
 
 
 def _rings(limit: float) -> list[float]:
     return [limit / 100, limit / 10, limit]
 
 
-def _nearest(left: DataFrame, places: DataFrame, left_id: Sequence[str], keys: Sequence[str], order: str, distance: Column,
+def _in_reach(left: DataFrame, places: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
+    width = 4 * reach
+    probes = (
+        left.withColumn("_cs", F.explode(_cells(F.col("l_start"), reach, width)))
+        .withColumn("_ce", F.explode(_cells(F.col("l_end"), reach, width)))
+    )
+    stored = places.withColumn("_cs", _cell(F.col("r_start"), width)).withColumn("_ce", _cell(F.col("r_end"), width))
+    return probes.join(stored, [*keys, "_cs", "_ce"]).drop("_cs", "_ce")
+
+
+def _nearest(left: DataFrame, places: DataFrame, found_by: Sequence[str], keys: Sequence[str], distance: Column,
              reaches: Sequence[float], strict: bool) -> DataFrame:
-    """``left_id`` and winning place ``_b`` (with its distance ``_d``) per left row with a place in reach."""
+    """``found_by`` and winning place ``_b`` (with its distance ``_d``) per left row with a place in reach."""
     found = None
     rest = left
     for reach in reaches:
-        close = _in_reach(rest, places, keys, reach).withColumn("_d", distance)
+        close = _in_reach(rest, places, [k for k in keys if k in rest.columns], reach).withColumn("_d", distance)
         close = close.filter(F.col("_d") < reach if strict else F.col("_d") <= reach)
-        best = close.groupBy(*left_id).agg(
-            F.min_by(F.struct("_p", "r_start", "r_end", "_d"), F.struct("_d", order)).alias("_b"))
+        best = close.groupBy(*found_by).agg(
+            F.min_by(F.struct("_p", "r_start", "r_end", "_d"), F.struct("_d", "_o")).alias("_b"))
         found = best if found is None else found.unionByName(best)
-        rest = rest.join(best.select(*left_id), list(left_id), "left_anti")
+        if reach != reaches[-1]:
+            rest = rest.join(best.select(*found_by), list(found_by), "left_anti")
     return found
 
 
 def nearest_match(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys: Sequence[str], payload: Sequence[str],
-                  order: str = "ord", limit: float = D.NEAREST_LIMIT) -> DataFrame:
+                  order: str = "ord", limit: float = D.NEAREST_LIMIT, by: Sequence[str] = ()) -> DataFrame:
     """Right row with the smallest max(|start|, |end|) difference below the limit; first in input order on ties."""
     error = F.greatest(F.abs(F.col("r_start") - F.col("l_start")), F.abs(F.col("r_end") - F.col("l_end")))
-    reaches = _rings(limit) if _crowded(right, keys, limit) else [limit]
-    best = _nearest(left.select(*left_id, *keys, "l_start", "l_end"), _places(right, keys, order, payload), left_id, keys, order,
-                    error, reaches, strict=True)
-    return best.select(*left_id, "_b._p.*", F.col("_b._d").alias("error"))
-
-
-def text_index(right: DataFrame, keys: Sequence[str], truth: str = "ground_truth") -> DataFrame:
-    """Right rows under both of their text keys; a row whose keys are equal is listed twice, as the rules want."""
-    return right.filter(F.length(truth) > 0).withColumn(
-        "text_key", F.explode(F.array(X.compare_key(F.col(truth)), X.lookup_key(F.col(truth)))))
-
-
-def text_match(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys: Sequence[str], payload: Sequence[str],
-               text: str = "text", order: str = "ord", limit: float = D.TEXT_MATCH_LIMIT) -> DataFrame:
-    """Match by wording: the only candidate under a key, or the nearest in time within ``limit`` of several."""
-    index = text_index(right, keys)
-    entry = index.groupBy(*keys, "text_key").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min_by(F.struct(*payload, F.col("r_start").alias("r_start"), F.col("r_end").alias("r_end")), order).alias("_one"))
-    probe = left.select(*left_id, *keys, "l_start", "l_end", X.compare_key(F.col(text)).alias("_k1"),
-                        X.lookup_key(F.col(text)).alias("_k2"))
-    found = (
-        probe.join(entry.withColumnsRenamed({"text_key": "_k1", "_n": "_n1", "_one": "_one1"}), [*keys, "_k1"], "left")
-        .join(entry.withColumnsRenamed({"text_key": "_k2", "_n": "_n2", "_one": "_one2"}), [*keys, "_k2"], "left")
-        .withColumn("text_key", F.when(F.col("_n1").isNotNull(), F.col("_k1")).when(F.col("_n2").isNotNull(), F.col("_k2")))
-        .withColumn("_n", F.coalesce("_n1", "_n2"))
-        .withColumn("_one", F.coalesce("_one1", "_one2"))
-        .filter(F.col("_n").isNotNull())
-    )
-    by_text = [*keys, "text_key"]
-    places = _places(index, by_text, order, payload)
-    distance = F.abs(F.col("r_start") - F.col("l_start")) + F.abs(F.col("r_end") - F.col("l_end"))
-    if _crowded(index, by_text, limit):
-        single = found.filter("_n = 1").select(*left_id, "_one.*")
-        several = found.filter("_n > 1").select(*left_id, *by_text, "l_start", "l_end")
-        best = _nearest(several, places, left_id, by_text, order, distance, _rings(limit), strict=False)
-        return single.unionByName(
-            best.select(*left_id, "_b._p.*", F.col("_b.r_start").alias("r_start"), F.col("_b.r_end").alias("r_end")))
-    # One pass for both cases: only rows with several candidates are sent to the cells in reach.
-    width, many, nowhere = 4 * limit, F.col("_n") > 1, F.array(F.lit(None).cast("bigint"))
-    probes = (
-        found.withColumn("_cs", F.explode(F.when(many, _cells(F.col("l_start"), limit, width)).otherwise(nowhere)))
-        .withColumn("_ce", F.explode(F.when(many, _cells(F.col("l_end"), limit, width)).otherwise(nowhere)))
-    )
-    stored = places.withColumn("_cs", _cell(F.col("r_start"), width)).withColumn("_ce", _cell(F.col("r_end"), width))
-    joined = probes.join(stored, [*by_text, "_cs", "_ce"], "left")
-    near = F.struct(*[F.col(f"_p.{c}").alias(c) for c in payload], "r_start", "r_end")
-    candidates = joined.withColumn("_d", F.when(many, distance).otherwise(0.0)).filter(F.col("_d") <= limit)
-    best = candidates.groupBy(*left_id).agg(F.min_by(F.when(many, near).otherwise(F.col("_one")), F.struct("_d", order)).alias("_b"))
-    return best.select(*left_id, "_b.*")
-
-
-def match_texts(left: DataFrame, right: DataFrame, left_id: Sequence[str], keys: Sequence[str], payload: Sequence[str],
-                text: str = "text", order: str = "ord") -> DataFrame:
-    """Time tolerance first, wording for what is left; adds ``matched_by``."""
-    timed = tolerance_match(left, right, left_id, keys, payload, order).withColumn("matched_by", F.lit("time"))
-    rest = left.join(timed.select(*left_id), list(left_id), "left_anti")
-    worded = text_match(rest, right, left_id, keys, payload, text, order).withColumn("matched_by", F.lit("text"))
-    return timed.unionByName(worded)
+    places = _places(right, [*keys, *by], payload, order, True, False, "")
+    rows = left.select(*left_id, *[k for k in keys if k not in left_id], "l_start", "l_end")
+    crowded = _dense(places, [*keys, *by], _TIME, 4 * limit)
+    if crowded and by:  # rings drop left rows that are settled, for each value of ``by`` on its own
+        rows = rows.join(places.select(*keys, *by).distinct(), list(keys))
+    found = _nearest(rows, places, [*left_id, *by], [*keys, *by], error, _rings(limit) if crowded else [limit], strict=True)
+    return found.select(*left_id, *by, "_b._p.*", F.col("_b._d").alias("error"))
 
 
 def variant_lookup(left: DataFrame, right: DataFrame, left_id: Sequence[str], variants: Column, name: str,

@@ -20,67 +20,67 @@ def probes(spark, sf_dir):
     return A.timed(spark, sf_dir).withColumnsRenamed({"start_s": "l_start", "end_s": "l_end"})
 
 
-def source_rows(spark, sf_dir, source="beta"):
-    return A.generated(spark, sf_dir).filter(F.col("source") == source)
-
+GENERATED = ("alpha", "beta", "gamma")
+LENGTHS = (1, 2, 4, 8)
+_SOURCES = ", ".join(f"('{s}', {i})" for i, s in enumerate(GENERATED))
 
-O.VIEWS["v_source"] = (("v_generated",), "SELECT * FROM v_generated WHERE source = 'beta'")
-O.VIEWS["v_by_time"] = (("v_timed", "v_source"), """
-    SELECT event_id, ord, text FROM (
-      SELECT t.event_id, g.ord, g.text, row_number() OVER (PARTITION BY t.event_id ORDER BY g.r_start, g.r_end, g.ord) AS n
-      FROM v_timed t JOIN v_source g ON g.key = t.key AND abs(g.r_start - t.start_s) <= 0.02 AND abs(g.r_end - t.end_s) <= 0.02)
+O.VIEWS["v_tried"] = (("v_timed",), f"SELECT t.*, s.source FROM v_timed t CROSS JOIN (VALUES {_SOURCES}) s(source, number)")
+O.VIEWS["v_by_time"] = (("v_timed", "v_generated"), """
+    SELECT event_id, source, ord, text FROM (
+      SELECT t.event_id, g.source, g.ord, g.text, row_number() OVER (PARTITION BY t.event_id, g.source ORDER BY g.r_start, g.r_end, g.ord) AS n
+      FROM v_timed t JOIN v_generated g ON g.key = t.key AND abs(g.r_start - t.start_s) <= 0.02 AND abs(g.r_end - t.end_s) <= 0.02)
     WHERE n = 1""")
-O.VIEWS["v_index"] = (("v_source",), f"""
-    SELECT key, {O.compare_key('ground_truth')} AS tkey, r_start, r_end, ord, text FROM v_source
-    UNION ALL SELECT key, {O.lookup_key('ground_truth')}, r_start, r_end, ord, text FROM v_source""")
-O.VIEWS["v_by_text"] = (("v_timed", "v_index"), f"""
-    SELECT event_id, ord, text FROM (
-      SELECT p.event_id, i.ord, i.text, p.n, abs(i.r_start - p.start_s) + abs(i.r_end - p.end_s) AS d,
-             row_number() OVER (PARTITION BY p.event_id ORDER BY abs(i.r_start - p.start_s) + abs(i.r_end - p.end_s), i.ord) AS rn
-      FROM (SELECT t.event_id, t.key, t.start_s, t.end_s, coalesce(c1.n, c2.n) AS n, CASE WHEN c1.n IS NOT NULL THEN t.k1 ELSE t.k2 END AS tkey
-            FROM (SELECT *, {O.compare_key('text')} AS k1, {O.lookup_key('text')} AS k2 FROM v_timed) t
-            LEFT JOIN (SELECT key, tkey, count(*) AS n FROM v_index GROUP BY ALL) c1 ON c1.key = t.key AND c1.tkey = t.k1
-            LEFT JOIN (SELECT key, tkey, count(*) AS n FROM v_index GROUP BY ALL) c2 ON c2.key = t.key AND c2.tkey = t.k2
+O.VIEWS["v_index"] = (("v_generated",), f"""
+    SELECT source, key, {O.compare_key('ground_truth')} AS tkey, r_start, r_end, ord, text FROM v_generated
+    UNION ALL SELECT source, key, {O.lookup_key('ground_truth')}, r_start, r_end, ord, text FROM v_generated""")
+O.VIEWS["v_by_text"] = (("v_tried", "v_index"), f"""
+    SELECT event_id, source, ord, text FROM (
+      SELECT p.event_id, p.source, i.ord, i.text, p.n, abs(i.r_start - p.start_s) + abs(i.r_end - p.end_s) AS d,
+             row_number() OVER (PARTITION BY p.event_id, p.source ORDER BY abs(i.r_start - p.start_s) + abs(i.r_end - p.end_s), i.ord) AS rn
+      FROM (SELECT t.event_id, t.source, t.key, t.start_s, t.end_s, coalesce(c1.n, c2.n) AS n, CASE WHEN c1.n IS NOT NULL THEN t.k1 ELSE t.k2 END AS tkey
+            FROM (SELECT *, {O.compare_key('text')} AS k1, {O.lookup_key('text')} AS k2 FROM v_tried) t
+            LEFT JOIN (SELECT source, key, tkey, count(*) AS n FROM v_index GROUP BY ALL) c1 ON c1.source = t.source AND c1.key = t.key AND c1.tkey = t.k1
+            LEFT JOIN (SELECT source, key, tkey, count(*) AS n FROM v_index GROUP BY ALL) c2 ON c2.source = t.source AND c2.key = t.key AND c2.tkey = t.k2
             WHERE coalesce(c1.n, c2.n) IS NOT NULL) p
-      JOIN v_index i ON i.key = p.key AND i.tkey = p.tkey)
+      JOIN v_index i ON i.source = p.source AND i.key = p.key AND i.tkey = p.tkey)
     WHERE rn = 1 AND (n = 1 OR d <= 6.0)""")
 O.VIEWS["v_matched"] = (("v_by_time", "v_by_text"), """
-    SELECT event_id, ord, text, 'time' AS matched_by FROM v_by_time
-    UNION ALL SELECT event_id, ord, text, 'text' FROM v_by_text WHERE event_id NOT IN (SELECT event_id FROM v_by_time)""")
+    SELECT event_id, source, ord, text, 'time' AS matched_by FROM v_by_time
+    UNION ALL SELECT event_id, source, ord, text, 'text' FROM v_by_text ANTI JOIN v_by_time USING (event_id, source)""")
 O.VIEWS["v_context"] = (("v_matched", "v_timed"), f"""
-    SELECT c.item, c.place, c.event_id, m.text FROM (
+    SELECT c.item, s.source, c.place, c.event_id, m.text FROM (
       SELECT o.event_id AS item, p.pos - o.pos + {CONTEXT} AS place, p.event_id
       FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start_s, event_id) AS pos FROM v_timed) o
       JOIN (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start_s, event_id) AS pos FROM v_timed) p
         ON p.key = o.key AND p.pos < o.pos AND p.pos >= o.pos - {CONTEXT}) c
-    LEFT JOIN v_matched m USING (event_id)""")
+    CROSS JOIN (VALUES {_SOURCES}) s(source, number) LEFT JOIN v_matched m ON m.event_id = c.event_id AND m.source = s.source""")
 
 
-@query("tolerance_join", O.with_views("SELECT event_id, ord, text FROM v_by_time", "v_by_time"))
+@query("tolerance_join", O.with_views("SELECT event_id, source, ord, text FROM v_by_time", "v_by_time"))
 def tolerance_join(spark, sf_dir):
-    return M.tolerance_match(probes(spark, sf_dir), source_rows(spark, sf_dir), ["event_id"], ["key"], ["ord", "text"]).select(
-        "event_id", "ord", "text")
+    found = M.tolerance_match(probes(spark, sf_dir), A.generated(spark, sf_dir), ["event_id"], ["key"], ["ord", "text"], by=["source"])
+    return found.select("event_id", "source", "ord", "text")
 
 
-@query("text_key_join", O.with_views("SELECT event_id, ord, text FROM v_by_text", "v_by_text"))
+@query("text_key_join", O.with_views("SELECT event_id, source, ord, text FROM v_by_text", "v_by_text"))
 def text_key_join(spark, sf_dir):
-    return M.text_match(probes(spark, sf_dir), source_rows(spark, sf_dir), ["event_id"], ["key"], ["ord", "text"]).select(
-        "event_id", "ord", "text")
+    found = M.text_match(probes(spark, sf_dir), A.generated(spark, sf_dir), ["event_id"], ["key"], ["ord", "text"], by=["source"])
+    return found.select("event_id", "source", "ord", "text")
 
 
 @query("nearest_join", O.with_views("""
-    SELECT event_id, ord, round(e, 6) AS error FROM (
-      SELECT t.event_id, g.ord, greatest(abs(g.r_start - t.start_s), abs(g.r_end - t.end_s)) AS e,
-             row_number() OVER (PARTITION BY t.event_id ORDER BY greatest(abs(g.r_start - t.start_s), abs(g.r_end - t.end_s)), g.ord) AS n
-      FROM v_timed t JOIN v_source g ON g.key = t.key AND greatest(abs(g.r_start - t.start_s), abs(g.r_end - t.end_s)) < 0.4)
-    WHERE n = 1""", "v_timed", "v_source"))
+    SELECT event_id, source, ord, round(e, 6) AS error FROM (
+      SELECT t.event_id, g.source, g.ord, greatest(abs(g.r_start - t.start_s), abs(g.r_end - t.end_s)) AS e,
+             row_number() OVER (PARTITION BY t.event_id, g.source ORDER BY greatest(abs(g.r_start - t.start_s), abs(g.r_end - t.end_s)), g.ord) AS n
+      FROM v_timed t JOIN v_generated g ON g.key = t.key AND greatest(abs(g.r_start - t.start_s), abs(g.r_end - t.end_s)) < 0.4)
+    WHERE n = 1""", "v_timed", "v_generated"))
 def nearest_join(spark, sf_dir):
-    found = M.nearest_match(probes(spark, sf_dir), source_rows(spark, sf_dir), ["event_id"], ["key"], ["ord"])
-    return found.select("event_id", "ord", F.round("error", 6).alias("error"))
+    found = M.nearest_match(probes(spark, sf_dir), A.generated(spark, sf_dir), ["event_id"], ["key"], ["ord"], by=["source"])
+    return found.select("event_id", "source", "ord", F.round("error", 6).alias("error"))
 
 
 def contexts(spark, sf_dir):
-    """Last three events of the same user as context; the source text of each, all or nothing."""
+    """Last three events of the same user as context; each source's text of them, all or nothing."""
     rows = probes(spark, sf_dir)
     # Skew check on the raw table; the sequence key is a function of the user id.
     longest = longest_group(A.table(spark, sf_dir, "events"), ["user_id"])
@@ -89,46 +89,27 @@ def contexts(spark, sf_dir):
         ordered, ["key"], "pos", {"before": lambda w: F.collect_list("event_id").over(w.rowsBetween(-CONTEXT, -1))},
         before=CONTEXT, after=0, longest=longest)
     wanted = framed.select(F.col("event_id").alias("item"), F.posexplode("before").alias("place", "source_event"))
-    matched = M.match_texts(rows, source_rows(spark, sf_dir), ["event_id"], ["key"], ["text"])
-    placed = wanted.join(matched.select(F.col("event_id").alias("source_event"), "text"), "source_event", "left")
-    return M.materialize_context(placed.withColumn("clip_id", F.col("source_event").cast("string")), ["item"])
+    matched = M.match_texts(rows, A.generated(spark, sf_dir), ["event_id"], ["key"], ["text"], by=["source"])
+    asked = wanted.withColumn("source", F.explode(F.array(*map(F.lit, GENERATED))))
+    placed = asked.join(matched.select(F.col("event_id").alias("source_event"), "source", "text"), ["source_event", "source"], "left")
+    return M.materialize_context(placed.withColumn("clip_id", F.col("source_event").cast("string")), ["item", "source"])
 
 
 @query("context_materialize", O.with_views("""
-    SELECT item, array_to_string(list(text ORDER BY place), '|') AS context FROM v_context
-    GROUP BY item HAVING count(*) = count(text)""", "v_context"))
+    SELECT item, source, array_to_string(list(text ORDER BY place), '|') AS context FROM v_context
+    GROUP BY item, source HAVING count(*) = count(text)""", "v_context"))
 def context_materialize(spark, sf_dir):
-    return contexts(spark, sf_dir).filter("complete").select("item", F.array_join("context", "|").alias("context"))
+    return contexts(spark, sf_dir).filter("complete").select("item", "source", F.array_join("context", "|").alias("context"))
 
 
 @query("unmatched_report", O.with_views("""
-    SELECT item, array_to_string(list_sort(list(event_id::VARCHAR) FILTER (text IS NULL)), ',') AS unmatched FROM v_context
-    GROUP BY item HAVING count(*) > count(text)""", "v_context"))
+    SELECT item, source, array_to_string(list_sort(list(event_id::VARCHAR) FILTER (text IS NULL)), ',') AS unmatched FROM v_context
+    GROUP BY item, source HAVING count(*) > count(text)""", "v_context"))
 def unmatched_report(spark, sf_dir):
-    return contexts(spark, sf_dir).filter("NOT complete").select("item", F.array_join("unmatched", ",").alias("unmatched"))
+    return contexts(spark, sf_dir).filter("NOT complete").select("item", "source", F.array_join("unmatched", ",").alias("unmatched"))
 
 
-GENERATED = ("alpha", "beta", "gamma")
-LENGTHS = (1, 2, 4, 8)
-_SOURCES = ", ".join(f"('{s}', {i})" for i, s in enumerate(GENERATED))
-
-O.VIEWS["v_tried"] = (("v_timed",), f"SELECT t.*, s.source FROM v_timed t CROSS JOIN (VALUES {_SOURCES}) s(source, number)")
-O.VIEWS["v_all_time"] = (("v_tried", "v_generated"), """
-    SELECT DISTINCT t.event_id, t.source FROM v_tried t JOIN v_generated g
-      ON g.source = t.source AND g.key = t.key AND abs(g.r_start - t.start_s) <= 0.02 AND abs(g.r_end - t.end_s) <= 0.02""")
-O.VIEWS["v_all_index"] = (("v_generated",), f"""
-    SELECT source, key, {O.compare_key('ground_truth')} AS tkey, r_start, r_end FROM v_generated
-    UNION ALL SELECT source, key, {O.lookup_key('ground_truth')}, r_start, r_end FROM v_generated""")
-O.VIEWS["v_all_text"] = (("v_tried", "v_all_index"), f"""
-    WITH n AS (SELECT source, key, tkey, count(*) AS n FROM v_all_index GROUP BY ALL),
-    p AS (SELECT t.event_id, t.source, t.key, t.start_s, t.end_s, coalesce(c1.n, c2.n) AS n, CASE WHEN c1.n IS NOT NULL THEN t.k1 ELSE t.k2 END AS tkey
-          FROM (SELECT *, {O.compare_key('text')} AS k1, {O.lookup_key('text')} AS k2 FROM v_tried) t
-          LEFT JOIN n c1 ON c1.source = t.source AND c1.key = t.key AND c1.tkey = t.k1
-          LEFT JOIN n c2 ON c2.source = t.source AND c2.key = t.key AND c2.tkey = t.k2
-          WHERE coalesce(c1.n, c2.n) IS NOT NULL)
-    SELECT DISTINCT p.event_id, p.source FROM p JOIN v_all_index i ON i.source = p.source AND i.key = p.key AND i.tkey = p.tkey
-    WHERE p.n = 1 OR abs(i.r_start - p.start_s) + abs(i.r_end - p.end_s) <= 6.0""")
-O.VIEWS["v_all_matched"] = (("v_all_time", "v_all_text"), "SELECT event_id, source FROM v_all_time UNION SELECT event_id, source FROM v_all_text")
+O.VIEWS["v_all_matched"] = (("v_matched",), "SELECT event_id, source FROM v_matched")
 O.VIEWS["v_eval"] = (("v_tried", "v_all_matched", "v_timed"), f"""
     WITH pos AS (SELECT event_id, key, row_number() OVER (PARTITION BY key ORDER BY start_s, event_id) AS pos FROM v_timed),
     runs AS (SELECT s.source, s.number, k.k FROM (VALUES {_SOURCES}) s(source, number) CROSS JOIN (VALUES (1), (2), (4), (8)) k(k)),
@@ -143,8 +124,7 @@ O.VIEWS["v_eval"] = (("v_tried", "v_all_matched", "v_timed"), f"""
 def matched_sources(spark, sf_dir):
     """Events with the list of sources that have a text for them, by time or wording."""
     rows = probes(spark, sf_dir)
-    tried = rows.withColumn("source", F.explode(F.array(*map(F.lit, GENERATED))))
-    matched = M.match_texts(tried, A.generated(spark, sf_dir), ["event_id", "source"], ["source", "key"], ["text"])
+    matched = M.match_texts(rows, A.generated(spark, sf_dir), ["event_id"], ["key"], ["text"], by=["source"])
     found = matched.groupBy("event_id").agg(F.collect_set("source").alias("found"))
     return rows.join(found, "event_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
 

@@ -86,6 +86,17 @@ def test_matches_equal_the_sequential_rules(spark, rings, seed):
     assert both == {l[0]: (_time(l, right) or _text(l, right))[0] for l in left if _time(l, right) or _text(l, right)}
 
 
+def test_columns_of_the_right_side_split_the_candidates(spark, rings):
+    """With two sources every left row is matched with the rows of each, as if these were alone."""
+    left, right = _data(4)
+    ldf = spark.createDataFrame(left, LEFT)
+    rdf = spark.createDataFrame(right, RIGHT).withColumn("source", F.when(F.col("ord") % 3 == 0, "a").otherwise("b"))
+    for match in (M.tolerance_match, M.text_match, M.match_texts, M.nearest_match):
+        both = sorted((r["source"], r["id"], r["ord"]) for r in match(ldf, rdf, ["id"], ["key"], ["ord"], by=["source"]).collect())
+        apart = sorted((s, r["id"], r["ord"]) for s in "ab" for r in match(ldf, rdf.filter(F.col("source") == s), ["id"], ["key"], ["ord"]).collect())
+        assert both == apart and len({s for s, *_ in both}) == 2
+
+
 def test_equal_keys_count_twice_so_the_time_limit_applies(spark):
     ldf = spark.createDataFrame([(1, "m", 0.0, 1.0, "rain"), (2, "m", 0.0, 1.0, "It rains.")], LEFT)
     rdf = spark.createDataFrame([(1, "m", 50.0, 51.0, "rain", "a"), (2, "m", 50.0, 51.0, "it rains.", "b")], RIGHT)
