@@ -58,14 +58,14 @@ def _keyed_runs(rows: DataFrame, keep: Sequence[str], text: str, kinds: Sequence
     return parts
 
 
-def _item_kind(item: Column) -> Column:
+def _item_kind(item: Column, gram: int) -> Column:
     """Runs of inner words, or of characters where there is no inner word.
 
     An item inside a text has its inner words, blank for blank, as whole words of that text; only its first and last word may
     be glued to something else.
     """
     inner = F.size(F.split(item, " ", -1)) - 2
-    kind = F.when(inner >= WORD_RUN, WORD_RUN).when(inner >= 1, inner)
+    kind = F.when(inner >= gram, gram).when(inner >= 1, inner)
     for n in (CHAR_RUN, CHAR_RUN // 2, CHAR_RUN // 4, 1):
         kind = kind.when(F.length(item) >= n, -n)
     return kind
@@ -80,7 +80,7 @@ def _item_keys(items: DataFrame, item_id: str, kinds: Sequence[int]) -> DataFram
     return union_all(parts).dropDuplicates([item_id, "_key"])
 
 
-def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, text: str = "text") -> DataFrame:
+def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, text: str = "text", gram: int = WORD_RUN) -> DataFrame:
     """(text, item) pairs where the text holds the item verbatim; empty items are in no text.
 
     Every text that holds an item has all its runs of inner words, so one run per item is an exact join key, and the rarest run
@@ -98,7 +98,7 @@ def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: s
         listed = F.array(*[F.struct(F.lit(r[item_id]).alias(item_id), F.lit(r["_item"]).alias("_item")) for r in few])
         held = F.filter(listed, lambda i: F.col(text).contains(i["_item"]))
         parts.append(texts.select(text_id, F.explode(held).alias("_i")).select(text_id, F.col(f"_i.{item_id}").alias(item_id)))
-    long = (kept.filter(F.size(F.split("_item", " ", -1)) >= 3) if direct else kept).withColumn("_kind", _item_kind(F.col("_item")))
+    long = (kept.filter(F.size(F.split("_item", " ", -1)) >= 3) if direct else kept).withColumn("_kind", _item_kind(F.col("_item"), gram))
     kinds = [r["_kind"] for r in long.select("_kind").distinct().collect()]  # a handful of numbers
     if kinds:
         keys = durable(_item_keys(long, item_id, kinds))
