@@ -14,7 +14,7 @@ The baseline needs the count of every word of every text. Each input partition l
 word, and go back to the partitions that asked. A hot word is one row per partition, however often it occurs.
 
 Edge cases: null and empty texts have one token, the end; without training documents the model is uniform and the baseline counts
-are zero; a null doc_id is a training document and counts as -1; repeated rows are scored (and learned from) each. An empty table
+are zero; a null doc_id is a training document; repeated rows are scored (and learned from) each. An empty table
 gives no rows; extra columns are ignored.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import stored
-from llm.textops import LOWER, pieces, span_hashes, text_buffer, word_spans
+from llm.textops import LOWER, pieces, release, released, span_hashes, text_buffer, word_spans
 
 DEPTH = 5
 #: Nats that a context must gain per parameter, times the logarithm of its count.
@@ -42,7 +42,7 @@ LIMIT = 1 << 23
 CHUNK = 32 << 20
 SYMBOLS = 257
 END, BLANK = 0x0A, 0x20
-_PIECE = 2 << 20
+_PIECE = 1 << 19
 _COUNTED = "gram long, n long"
 
 
@@ -346,6 +346,7 @@ def _scored(texts: pa.Table, words: pa.Table, tree: Broadcast, train: int, kinds
                 "doc": some.column(some.schema.get_field_index("doc")), "held_out": some.column(some.schema.get_field_index("held")),
                 "mark": some.column(some.schema.get_field_index("mark")), "n_tokens": pa.array(np.diff(first) + 1), "n_known": pa.array(known[first[1:]] - known[first[:-1]] + (train > 0)),
                 "base_score": pa.array(sums[first[1:]] - sums[first[:-1]] + base(train)), "score": pa.array(_text_scores(data, offsets, tree.value))}))
+    release()
     return pa.concat_tables(out)
 
 
@@ -360,13 +361,13 @@ def score(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     spark = docs.sparkSession
     held = held_out(F.col("doc_id"))
     text = F.coalesce("text", F.lit("")).alias("text")
-    counted = stored(docs.where(~held).select(text).mapInArrow(_count_grams, _COUNTED).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    counted = stored(docs.where(~held).select(text).mapInArrow(released(_count_grams), _COUNTED).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
 
     # A chunk is an input partition, or a share of one where partitions are large. Reading the same files with the same settings
     # cuts them alike; a word that is missing in the end stops the job.
     share = _shares(docs)
     chunk = (F.spark_partition_id() * share + F.pmod(F.xxhash64("doc_id"), F.lit(share)).cast("int")).alias("chunk")
-    listed = docs.select(chunk, held.alias("held"), text).mapInArrow(_list_words, "chunk int, word long, n long")
+    listed = docs.select(chunk, held.alias("held"), text).mapInArrow(released(_list_words), "chunk int, word long, n long")
     words = stored(listed.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks")), "words")  # a chunk lists a word once
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, 1)), F.lit(0)).alias("kinds")).first()
     train = docs.where(~held).count()
@@ -374,7 +375,7 @@ def score(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     asked = words.select(F.explode("chunks").alias("chunk"), "word", "n")
 
     mark = F.xxhash64("text").alias("mark")
-    rows = docs.select(chunk, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), held.alias("held"), mark, text)
+    rows = docs.select(chunk, F.col("doc_id").cast("long").alias("doc"), held.alias("held"), mark, text)
     parts = trees(counted, limit)
     tree = spark.sparkContext.broadcast(next(parts))
     found = rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda t, w: _scored(t, w, tree, train, kinds, total), _SCORED)
@@ -386,6 +387,7 @@ def score(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
                 for some in pieces(batch, limit=_PIECE):
                     yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(_text_scores(*text_buffer(some.column(2)), other.value))], names=["doc", "mark", "more"])
 
-        extra = rows.select("doc", "mark", "text").mapInArrow(partial, "doc long, mark long, more double").dropDuplicates(["doc", "mark"])
-        found = found.join(stored(extra, "scores"), ["doc", "mark"]).withColumn("score", F.col("score") + F.col("more")).drop("more")
+        extra = rows.select("doc", "mark", "text").mapInArrow(released(partial), "doc long, mark long, more double").dropDuplicates(["doc", "mark"])
+        extra = stored(extra, "scores").withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
+        found = found.join(extra, F.expr("doc <=> _doc and mark = _mark")).withColumn("score", F.col("score") + F.col("more")).drop("more", "_doc", "_mark")
     return found.select(F.col("doc").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
