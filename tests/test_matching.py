@@ -128,3 +128,16 @@ def test_variants_are_tried_in_order(spark):
     right = spark.createDataFrame([(1, "y", 0.0, 1.0), (2, "x", 0.0, 1.0), (3, "x", 0.0, 1.0)], "ord long, name string, r_start double, r_end double")
     got = [tuple(r) for r in M.variant_lookup(left, right, ["id"], F.col("names"), "name", ["ord"]).collect()]
     assert got == [(1, 3, 0)]
+
+
+def test_sides_of_a_match_are_not_broadcast(spark):
+    # Sizes estimated from packed files are far too low, so a plan that trusts them sends the whole index through the driver.
+    left, right = (spark.range(200) for _ in range(2))
+    ldf = left.selectExpr("id", "'p' AS key", "double(id) AS l_start", "double(id) AS l_end", "'rain' AS text")
+    rdf = right.selectExpr("id AS ord", "'p' AS key", "double(id) AS r_start", "double(id) AS r_end", "'rain' AS ground_truth", "'t' AS text")
+    for match in (M.tolerance_match, M.text_match, M.match_texts, M.nearest_match):
+        found = match(ldf, rdf, ["id"], ["key"], ["text"])
+        assert found.count() == 200
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString(), match.__name__
+    placed = M.shuffled(rdf.select(F.col("ord").alias("id")))
+    assert "Broadcast" not in ldf.join(placed, "id", "left")._jdf.queryExecution().executedPlan().toString()
