@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions import text as X
-from plotline.operators.keyfilter import key_filter
+from plotline.operators.keyfilter import KeyFilter, key_filter
 from plotline.operators.sequence import last_k
 from plotline.session import durable
 from plotline.sources.clips import union_all
@@ -43,8 +43,12 @@ DIRECT_ITEMS, DIRECT_CHARS = 64, 4096
 
 
 def _runs(units: Column, n: int) -> Column:
-    """A generator of all runs of ``n`` units, as ``n`` columns; the last runs are cut short and hold nulls."""
-    return F.inline(F.arrays_zip(*[F.slice(units, i + 1, F.size(units)).alias(f"u{i}") for i in range(n)]))
+    """All runs of ``n`` units, as structs of ``n`` fields; the last runs are cut short and hold nulls."""
+    return F.arrays_zip(*[F.slice(units, i + 1, F.size(units)).alias(f"u{i}") for i in range(n)])
+
+
+def _units(kind: int, text: str) -> Column:
+    return F.split(text, " ", -1) if kind > 0 else F.split(text, "")
 
 
 def _keyed_runs(rows: DataFrame, keep: Sequence[str], text: str, kinds: Sequence[int]) -> list[DataFrame]:
@@ -52,12 +56,25 @@ def _keyed_runs(rows: DataFrame, keep: Sequence[str], text: str, kinds: Sequence
     parts = []
     for kind in kinds:
         n, names = abs(kind), [f"_u{i}" for i in range(abs(kind))]
-        units = F.split(text, " ", -1) if kind > 0 else F.split(text, "")
-        found = rows.select(*keep, _runs(units, n).alias(*names)).filter(F.col(names[-1]).isNotNull())
+        found = rows.select(*keep, F.inline(_runs(_units(kind, text), n)).alias(*names)).filter(F.col(names[-1]).isNotNull())
         parts.append(found.select(*keep, F.xxhash64(F.lit(kind), *names).alias("_key")))
     return parts
 
 
+def _runs_in_place(texts: DataFrame, text_id: str, text: str, reach: Mapping[int, int], chosen: KeyFilter) -> list[DataFrame]:
+    """For each kind the runs that pass the filter as (``text_id``, ``_key``, ``_near``), with ``reach`` units of the text on either side."""
+    parts = []
+    for kind, far in reach.items():
+        n = abs(kind)
+        cut = texts.select(text_id, _units(kind, text).alias("_units"))
+        runs = cut.select(text_id, "_units", F.posexplode(_runs(F.col("_units"), n)).alias("_at", "_run"))
+        fields = [F.col(f"_run.u{i}") for i in range(n)]
+        runs = runs.filter(fields[-1].isNotNull() & chosen.may_contain(F.xxhash64(F.lit(kind), *fields)))
+        near = F.slice("_units", F.greatest(F.col("_at") + 1 - far, F.lit(1)), F.lit(2 * far + 1))
+        parts.append(runs.select(text_id, F.xxhash64(F.lit(kind), *fields).alias("_key"), F.array_join(near, " " if kind > 0 else "").alias("_near")))
+    return parts
+
+
 def _item_kind(item: Column, gram: int) -> Column:
     """Runs of inner words, or of characters where there is no inner word.
 
@@ -85,8 +102,9 @@ def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: s
 
     Every text that holds an item has all its runs of inner words, so one run per item is an exact join key, and the rarest run
     is the best one. Runs of texts are counted first, only those that a Bloom filter of the items' runs lets pass; an item with a
-    run in no text is in no text. In a second reading only runs that pass a filter of the chosen ones leave their task, and a pair
-    is verified where the two meet, so what is shuffled follows the hits. The few items without an inner word are searched in
+    run in no text is in no text. In a second reading only runs that pass a filter of the chosen ones leave their task, each with
+    as much of the text around it as the longest item takes, and a pair is verified where the two meet: what is shuffled follows
+    the hits and the length of items, not that of texts. The few items without an inner word are searched in
     each text in place; beyond ``DIRECT_ITEMS`` of them they are keyed by characters in the same way.
     """
     kept = items.filter(F.length(text) > 0).select(item_id, F.col(text).alias("_item"))
@@ -99,7 +117,9 @@ def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: s
         held = F.filter(listed, lambda i: F.col(text).contains(i["_item"]))
         parts.append(texts.select(text_id, F.explode(held).alias("_i")).select(text_id, F.col(f"_i.{item_id}").alias(item_id)))
     long = (kept.filter(F.size(F.split("_item", " ", -1)) >= 3) if direct else kept).withColumn("_kind", _item_kind(F.col("_item"), gram))
-    kinds = [r["_kind"] for r in long.select("_kind").distinct().collect()]  # a handful of numbers
+    longest = F.max(F.when(F.col("_kind") > 0, F.size(F.split("_item", " ", -1))).otherwise(F.length("_item")))
+    reach = {r["_kind"]: r["n"] for r in long.groupBy("_kind").agg(longest.alias("n")).collect()}  # a handful of numbers
+    kinds = list(reach)
     if kinds:
         keys = durable(_item_keys(long, item_id, kinds))
         any_run = key_filter(keys, "_key")
@@ -108,8 +128,8 @@ def contained_items(texts: DataFrame, items: DataFrame, text_id: str, item_id: s
         rarest = keys.join(counted, "_key", "left").groupBy(item_id).agg(F.first("_item").alias("_item"), F.min(rarity).alias("_r"))
         rarest = durable(rarest.filter("_r.n > 0").select(item_id, "_item", F.col("_r.key").alias("_key")))
         chosen = key_filter(rarest, "_key")
-        found = union_all(_keyed_runs(texts, (text_id, text), text, kinds)).filter(chosen.may_contain(F.col("_key")))
-        parts.append(found.join(rarest, "_key").filter(F.col(text).contains(F.col("_item"))).select(text_id, item_id))
+        found = union_all(_runs_in_place(texts, text_id, text, reach, chosen))
+        parts.append(found.join(rarest, "_key").filter(F.col("_near").contains(F.col("_item"))).select(text_id, item_id))
     if not parts:
         return texts.select(text_id, F.lit(None).cast(dict(items.dtypes)[item_id]).alias(item_id)).limit(0)
     return union_all(parts).dropDuplicates([text_id, item_id])

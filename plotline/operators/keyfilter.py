@@ -7,8 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits a key, and probes of each: about one key in forty that is not in the set passes.
-BITS, PROBES = 10, 3
+#: Bits a key, and probes of each: about one key in five thousand that is not in the set passes. Large sets get fewer
+#: bits, never under ``LEAST_BITS`` a key: about one in eighty passes.
+BITS, PROBES, LEAST_BITS = 32, 4, 10
+#: Bits that small sets may grow to.
+MOST_BITS = 1 << 24
 #: Beyond so many keys there is no filter: its bits travel in the plan.
 MOST_KEYS = 2_000_000
 
@@ -39,7 +42,7 @@ def key_filter(keys: DataFrame, key: str, most: int = MOST_KEYS) -> KeyFilter:
     n = keys.select(F.approx_count_distinct(key).alias("n")).first()["n"]
     if n > most:
         return KeyFilter("", 0)
-    size = 1 << max(6, int(n * BITS - 1).bit_length())
+    size = 1 << max(6, int(max(min(n * BITS, MOST_BITS), n * LEAST_BITS) - 1).bit_length())
     bits = keys.select(F.explode(F.array(*_places(F.col(key), size))).alias("at"))
     bits = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits"))
     words = ["0"] * (size // 64)

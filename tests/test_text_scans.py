@@ -55,6 +55,31 @@ def test_key_filter_lets_all_its_keys_pass(spark):
     assert others.filter(K.key_filter(keys, "k", most=10).may_contain(F.col("k"))).count() == 30_000
 
 
+def test_few_other_keys_pass(spark):
+    keys, others = spark.range(3000).select(F.xxhash64("id").alias("k")), spark.range(10_000, 40_000).select(F.xxhash64("id").alias("k"))
+    assert others.filter(K.key_filter(keys, "k").may_contain(F.col("k"))).count() < 0.002 * 30_000
+
+
+def test_runs_take_along_no_more_text_than_items_need(spark):
+    filler = " ".join(f"w{i}" for i in range(5000))
+    texts = [f"{filler} xred  fox jumps over the dogs {filler}", "red  fox jumps over the dog", "fox jumps over the", f"{filler} red fox jumps over the dog", None, ""]
+    a = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame([(0, "red  fox jumps over the dog"), (1, "w4998 w4999 red fox jumps"), (2, "over the dogs w0 w1")], "item_id long, text string")
+    got = sorted(map(tuple, U.contained_items(a, b, "doc_id", "item_id").collect()))
+    assert got == [(0, 0), (0, 2), (1, 0), (3, 1)]
+    near = U.union_all(U._runs_in_place(a, "doc_id", "text", {4: 7}, K.KeyFilter("", 0)))
+    assert near.agg(F.max(F.size(F.split("_near", " ")))).first()[0] == 15
+
+
+def test_windows_of_characters_hold_items_beyond_the_plane(spark):
+    items = [f"\U0001F600{chr(0x1F400 + i)}x{i}" for i in range(70)]
+    texts = [f"ab {items[3]}{items[40]} \U0001F600", "".join(items), "\U0001F600x1", "x" * 50 + items[69] + "\U0001F600" * 30]
+    a = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted(map(tuple, U.contained_items(a, b, "doc_id", "item_id").collect()))
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if x in t)
+
+
 LINES = ["plain", "", "mail a@b.org and tufts", "Pattern( c@d.org )", "see /home/x and /Users/y", "permit", "MIT.", "my API_KEY", "OPENAI_API_KEY x", "hf_token", "github.com/huggingface", "GitHub.com/me",
          "huggingface.co/api/x", "huggingface.co/me", "xgithub.com/me", "@", "secret_key: todo(author)", "/users/z raw source", "é@b.org", "a@b.org" + "x" * 300, "  cornell   x@y.org"]
 
