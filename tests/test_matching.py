@@ -141,3 +141,16 @@ def test_sides_of_a_match_are_not_broadcast(spark):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString(), match.__name__
     placed = M.shuffled(rdf.select(F.col("ord").alias("id")))
     assert "Broadcast" not in ldf.join(placed, "id", "left")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_times_can_be_left_out_and_unknown_sequences_match_nothing(spark, rings):
+    left, right = _data(3)
+    left, right = [*left, (900, None, 1.0, 1.0, "Rain")], [*right, (900, None, 1.0, 1.0, "Rain", "unknown")]
+    ldf, rdf = spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT)
+    for match in (M.text_match, M.match_texts):
+        full = match(ldf, rdf, ["id"], ["key"], ["ord"])
+        bare = match(ldf, rdf, ["id"], ["key"], ["ord"], times=False)
+        assert [c for c in full.columns if c not in bare.columns] == ["r_start", "r_end"]
+        got = sorted(map(tuple, bare.collect()))
+        assert got == sorted(map(tuple, full.drop("r_start", "r_end").collect()))
+        assert got and 900 not in [g[0] for g in got]
