@@ -7,45 +7,59 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits a key, and probes of each: about one key in five thousand that is not in the set passes. Large sets get fewer
-#: bits, never under ``LEAST_BITS`` a key: about one in eighty passes.
+from plotline.session import durable
+
+#: Bits a key, and probes of each, all in one word: about one key in two thousand that is not in the set passes. Large sets
+#: get fewer bits, never under ``LEAST_BITS`` a key: about one in fifty passes.
 BITS, PROBES, LEAST_BITS = 32, 4, 10
 #: Bits that small sets may grow to.
 MOST_BITS = 1 << 24
-#: Beyond so many keys there is no filter: its bits travel in the plan.
-MOST_KEYS = 2_000_000
+#: Beyond so many keys there is no filter: its bits travel with every task.
+MOST_KEYS = 8_000_000
+#: Words that are put together at once when the row of all words is built, as a power of two.
+BLOCK = 9
 
 
 @dataclass(frozen=True)
 class KeyFilter:
-    words: str  # the bits, 64 a number, in decimal, comma between
+    words: DataFrame | str  # one row: the bits, 64 a number
     size: int  # number of bits, a power of two; 0: no filter
 
     def may_contain(self, key: Column) -> Column:
-        """False only for keys that are not in the set. ``key`` is a 64-bit hash."""
+        """False only for keys that are not in the set. ``key`` is a 64-bit hash.
+
+        The words come in as a subquery, so neither plans nor what is shown and logged of them hold any bits.
+        """
         if self.size == 0:
             return F.lit(True)
-        words = F.split(F.lit(self.words), ",").cast("array<bigint>")  # folded into one constant
-        found = F.lit(True)
-        for place in _places(key, self.size):
-            found = found & (F.getbit(F.get(words, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return found
+        mask = _mask(key)
+        return F.get(self.words.scalar(), _word(key, self.size).cast("int")).bitwiseAND(mask) == mask
+
 
+def _word(key: Column, size: int) -> Column:
+    return F.shiftrightunsigned(key, 1).bitwiseAND(F.lit(size // 64 - 1))
 
-def _places(key: Column, size: int) -> list[Column]:
-    step = F.shiftrightunsigned(key, 33)
-    return [(F.shiftrightunsigned(key, 1) + step * i).bitwiseAND(F.lit(size - 1)) for i in range(PROBES)]
+
+def _mask(key: Column) -> Column:
+    """The bits of a key in its word, from the upper bits of the hash, which do not choose the word."""
+    mask = F.lit(0).cast("bigint")
+    for i in range(PROBES):
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(key, 64 - 6 * (i + 1)).bitwiseAND(F.lit(63)).cast("int")))
+    return mask
 
 
 def key_filter(keys: DataFrame, key: str, most: int = MOST_KEYS) -> KeyFilter:
-    """Filter of the distinct values of ``key``. Words of bits are combined in the tasks; the driver gets the set words."""
+    """Filter of the distinct values of ``key``. Its words are put together in the tasks and stored as one row."""
     n = keys.select(F.approx_count_distinct(key).alias("n")).first()["n"]
     if n > most:
         return KeyFilter("", 0)
     size = 1 << max(6, int(max(min(n * BITS, MOST_BITS), n * LEAST_BITS) - 1).bit_length())
-    bits = keys.select(F.explode(F.array(*_places(F.col(key), size))).alias("at"))
-    bits = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits"))
-    words = ["0"] * (size // 64)
-    for r in bits.collect():  # at most ``size`` / 64 rows
-        words[r["word"]] = str(r["bits"])
-    return KeyFilter(",".join(words), size)
+    every = keys.sparkSession.range(size // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    bits = keys.filter(F.col(key).isNotNull()).select(_word(F.col(key), size).alias("word"), _mask(F.col(key)).alias("bits"))
+    words = bits.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+    def row(parts: DataFrame, at: str, value: str, *by: Column) -> DataFrame:
+        return parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda s: s[value]).alias(value))
+
+    blocks = row(words, "word", "bits", F.shiftright("word", BLOCK).alias("block"))
+    return KeyFilter(durable(row(blocks, "block", "bits").select(F.flatten("bits").alias("bits"))), size)

@@ -60,6 +60,16 @@ def test_few_other_keys_pass(spark):
     assert others.filter(K.key_filter(keys, "k").may_contain(F.col("k"))).count() < 0.002 * 30_000
 
 
+def test_bits_of_a_filter_are_not_part_of_the_plan(spark):
+    # As text in the plan, the bits of some 100,000 keys came to the driver's memory with every plan that was shown or logged.
+    keys, others = spark.range(100_000).select(F.xxhash64("id").alias("k")), spark.range(200_000, 300_000).select(F.xxhash64("id").alias("k"))
+    found = K.key_filter(keys, "k")
+    assert keys.filter(~found.may_contain(F.col("k"))).count() == 0
+    rest = others.filter(found.may_contain(F.col("k")))
+    assert rest.count() < 0.002 * 100_000
+    assert len(rest._jdf.queryExecution().toString()) < 20_000
+
+
 def test_runs_take_along_no_more_text_than_items_need(spark):
     filler = " ".join(f"w{i}" for i in range(5000))
     texts = [f"{filler} xred  fox jumps over the dogs {filler}", "red  fox jumps over the dog", "fox jumps over the", f"{filler} red fox jumps over the dog", None, ""]
