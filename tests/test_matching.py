@@ -154,3 +154,57 @@ def test_times_can_be_left_out_and_unknown_sequences_match_nothing(spark, rings)
         got = sorted(map(tuple, bare.collect()))
         assert got == sorted(map(tuple, full.drop("r_start", "r_end").collect()))
         assert got and 900 not in [g[0] for g in got]
+
+
+def test_short_sequences_are_matched_where_they_lie(spark):
+    """Either side is shuffled once and as it is, what was found once more, and nothing is stored on the way."""
+    left, right = _data(5)
+    ldf = spark.createDataFrame(left, LEFT)
+    rdf = spark.createDataFrame(right, RIGHT).withColumn("source", F.when(F.col("ord") % 3 == 0, "a").otherwise("b"))
+    for match in (M.tolerance_match, M.text_match, M.match_texts):
+        plan = match(ldf, rdf, ["id"], ["key"], ["ord"], by=["source"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2 and "Join" not in plan, match.__name__
+
+
+def test_plans_of_short_and_of_long_sequences_agree(spark):
+    left, right = _data(6)
+    # An id that comes in two sequences, several rows at one place, rows without an order, a time or a wording.
+    left += [(0, "q", 3.0, 4.0, "Rain"), (0, "r", 3.0, 4.0, "Rain"), (901, "r", None, 4.0, "Rain"), (902, "r", 3.0, 4.0, None), (None, "r", 3.0, 4.0, "rain"), (None, "p", 3.0, 4.0, "x")]
+    right += [(900 + i, "r", 3.0, 4.0, "Rain", "same place") for i in range(30)] + [(990, "r", None, 4.0, "He nods.", "no start"), (991, "r", 3.01, 4.0, None, "no wording")]
+    ldf = spark.createDataFrame(left, LEFT)
+    rdf = spark.createDataFrame(right, RIGHT).withColumn("source", F.when(F.col("ord") % 3 == 0, "a").otherwise("b"))
+
+    def found(**settings):
+        for name, value in settings.items():
+            spark.conf.set(f"spark.plotline.{name}", value)
+        try:
+            return [sorted(map(repr, match(ldf, rdf, ["id"], ["key"], ["ord"], by=["source"]).collect())) for match in (M.tolerance_match, M.text_match, M.match_texts)]
+        finally:
+            for name in settings:
+                spark.conf.unset(f"spark.plotline.{name}")
+
+    in_place = found()
+    assert all(in_place)
+    assert in_place == found(hotGroupRows="0")  # by cells
+    assert in_place == found(denseCell="10")  # cells are counted, 30 rows at one place are one
+
+
+def test_texts_go_once_to_each_place_of_an_item(spark, tmp_path):
+    """Places are listed by source only where the item is put together."""
+    import datetime
+
+    from plotline.plans import matching as P
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=7 * i), i % 3, ["view", "click", "signup", "error"][i % 4], 1.5 + i % 5, '{"k": %d}' % (i % 2)) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    for query, parts in ((P.context_materialize, {(i, s) for i in range(60) for s in P.GENERATED}), (P.unmatched_report, set())):
+        found = query(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(item" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "source#" in x], plan
+        parts ^= {(r["item"], r["source"]) for r in found.collect()}
+        assert parts
+    whole = {(r["item"], r["source"]) for r in P.context_materialize(spark, str(tmp_path)).collect()}
+    lost = {(r["item"], r["source"]) for r in P.unmatched_report(spark, str(tmp_path)).collect()}
+    assert whole and lost and not whole & lost
+    assert {i for i, _ in whole | lost} == set(range(3, 60))  # the first event of a user has no context
