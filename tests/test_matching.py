@@ -189,15 +189,19 @@ def test_plans_of_short_and_of_long_sequences_agree(spark):
     assert in_place == found(denseCell="10")  # cells are counted, 30 rows at one place are one
 
 
-def test_texts_go_once_to_each_place_of_an_item(spark, tmp_path):
-    """Places are listed by source only where the item is put together."""
+def _events(spark, folder):
     import datetime
 
-    from plotline.plans import matching as P
-
     start = datetime.datetime(2024, 1, 1)
     rows = [(i, start + datetime.timedelta(seconds=7 * i), i % 3, ["view", "click", "signup", "error"][i % 4], 1.5 + i % 5, '{"k": %d}' % (i % 2)) for i in range(60)]
-    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+
+
+def test_texts_go_once_to_each_place_of_an_item(spark, tmp_path):
+    """Places are listed by source only where the item is put together."""
+    from plotline.plans import matching as P
+
+    _events(spark, tmp_path)
     for query, parts in ((P.context_materialize, {(i, s) for i in range(60) for s in P.GENERATED}), (P.unmatched_report, set())):
         found = query(spark, str(tmp_path))
         plan = found._jdf.queryExecution().executedPlan().toString()
@@ -208,3 +212,17 @@ def test_texts_go_once_to_each_place_of_an_item(spark, tmp_path):
     lost = {(r["item"], r["source"]) for r in P.unmatched_report(spark, str(tmp_path)).collect()}
     assert whole and lost and not whole & lost
     assert {i for i, _ in whole | lost} == set(range(3, 60))  # the first event of a user has no context
+
+
+def test_sources_found_are_listed_where_the_match_leaves_them(spark, tmp_path):
+    """What was found goes by event; nothing is shuffled for each source of an event."""
+    from plotline.plans import matching as P
+
+    _events(spark, tmp_path)
+    lost, evaluated = P.unmatched_contexts(spark, str(tmp_path)), P.evaluated(spark, str(tmp_path))
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (lost, evaluated)):
+        assert "Exchange hashpartitioning(event_id" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "source#" in x], plan
+    gone = {(r["event_id"], r["source"]) for r in lost.collect()}
+    assert {(i, s) for i in range(60) for s in P.GENERATED if i % 4 == 3 or (i % 4 == 0 and s == "beta")} == gone
+    ready = {(r["event_id"], r["source"]) for r in evaluated.filter("k = 1 AND complete").collect()}
+    assert ready == {(i, s) for i in range(60) for s in P.GENERATED if i < 3 or (i - 3, s) not in gone}
