@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from plotline.session import durable
 
-#: Bits a key, and probes of each, all in one word: about one key in two thousand that is not in the set passes. Large sets
-#: get fewer bits, never under ``LEAST_BITS`` a key: about one in fifty passes.
-BITS, PROBES, LEAST_BITS = 32, 4, 10
+#: Bits a key, and probes of each, all in one word: few keys that are not in a small set pass, about one in two thousand at 40
+#: bits. Large sets get fewer bits, never under ``LEAST_BITS`` a key: about one in fifty passes.
+BITS, PROBES, LEAST_BITS = 128, 4, 10
 #: Bits that small sets may grow to.
-MOST_BITS = 1 << 24
+MOST_BITS = 1 << 25
 #: Beyond so many keys there is no filter: its bits travel with every task.
 MOST_KEYS = 8_000_000
 #: Words that are put together at once when the row of all words is built, as a power of two.
@@ -32,19 +32,25 @@ class KeyFilter:
         """
         if self.size == 0:
             return F.lit(True)
-        mask = _mask(key)
-        return F.get(self.words.scalar(), _word(key, self.size).cast("int")).bitwiseAND(mask) == mask
+        word, mask = F.get(self.words.scalar(), _word(key, self.size).cast("int")), _mask(key)
+        # Most keys fail at the first bit, so the rest, for which the hash is worked out again, is not asked.
+        return (F.getbit(word, _bit(key, 0)) == 1) & (word.bitwiseAND(mask) == mask)
 
 
 def _word(key: Column, size: int) -> Column:
     return F.shiftrightunsigned(key, 1).bitwiseAND(F.lit(size // 64 - 1))
 
 
+def _bit(key: Column, probe: int) -> Column:
+    """Place of a bit in its word, from the upper bits of the hash, which do not choose the word."""
+    return F.shiftrightunsigned(key, 64 - 6 * (probe + 1)).bitwiseAND(F.lit(63)).cast("int")
+
+
 def _mask(key: Column) -> Column:
-    """The bits of a key in its word, from the upper bits of the hash, which do not choose the word."""
+    """All bits of a key in its word."""
     mask = F.lit(0).cast("bigint")
     for i in range(PROBES):
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(key, 64 - 6 * (i + 1)).bitwiseAND(F.lit(63)).cast("int")))
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(key, i)))
     return mask
 
 
